@@ -17,7 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import _shared
-from wayfold.llm._text import U, mix
+from wayfold.llm._text import U, cut, flat, mix
+
+#: Bytes of text that a map function takes at a time.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut to about SLICE bytes of text; a longer text stands alone."""
+    for batch in batches:
+        if batch.num_rows:
+            _, at = flat(batch.column(text))
+            for lo, hi in cut(at, SLICE):
+                yield batch.slice(lo, hi - lo)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.int64)
+
 
 BLOBS = "bucket long, keys binary, counts binary"
 
@@ -107,7 +124,7 @@ def store(blobs: DataFrame, path: str, n: int, least: int = 1, then: Callable |
             k, c = merged([unpack_sorted(r["keys"]) for r in held], [unpack(r["counts"], np.int64) for r in held])
             if least > 1:
                 k, c = k[c >= least], c[c >= least]
-            save(path, i, keys=k, counts=c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c)
+            save(path, i, keys=k, counts=narrow(c))
             if then:
                 yield from then(i, k, c)
             else:
@@ -149,9 +166,10 @@ class Arrays:
                         raise
         return self.open[name, i]
 
-    def find(self, keys: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Of each key (best sorted): its place in the whole store, -1 if absent, and its count (0)."""
-        place, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    def find(self, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """Of each key (best sorted): its place in the whole store, -1 if absent, then the columns' values (0 if absent)."""
+        columns = columns or ("counts",)
+        place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in columns]
         b = bucket(keys, self.n)
         order = np.argsort(b, kind="stable")
         ends = np.searchsorted(b[order], np.arange((1 << self.n) + 1))
@@ -162,10 +180,11 @@ class Arrays:
             have = self.column("keys", i, ("u8",))
             pos = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
             ok = have[pos] == keys[at]
-            place[at[ok]] = self.base[i] + pos[ok]
-            if counts:
-                value[at[ok]] = self.column("counts", i, ("u4", "i8"))[pos[ok]]
-        return place, value
+            at, pos = at[ok], pos[ok]
+            place[at] = self.base[i] + pos
+            for value, name in zip(values, columns, strict=True):
+                value[at] = self.column(name, i, ("u4", "i8"))[pos]
+        return [place, *values]
 
 
 @lru_cache(maxsize=8)

@@ -185,9 +185,12 @@ def cut(at: np.ndarray, size: int = 4 * SPAN) -> list[tuple[int, int]]:
 
 
 def sum_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The sum of each range; 0 for an empty one."""
-    run = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
-    return run[first[1:]] - run[first[:-1]]
+    """The sum of each range; 0 for an empty one. A range's sum doesn't depend on the others."""
+    out = np.zeros(len(first) - 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values[: first[-1]], first[:-1][full])
+    return out
 
 
 class Index:
@@ -222,6 +225,15 @@ class Index:
         return at, there
 
 
+def spread(keys: np.ndarray) -> Index:
+    """An index of sorted keys that aren't hashes: of their mixed values, with their places."""
+    mixed = mix(keys)
+    order = np.argsort(mixed)
+    out = Index(mixed[order])
+    out.order = order
+    return out
+
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 #: White space of Unicode, as the tokenizers' patterns take \s.

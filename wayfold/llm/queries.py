@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _tokenizer(name: str) -> str:
@@ -17,14 +18,31 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _held_out(n: int) -> Column:
+    """Whether crc32 of doc_id as text is divisible by n; a row without doc_id is never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == 0, F.lit(True))
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm import _shared
+    from wayfold.llm.lm_scoring import fit, forget, score
+
+    docs = _table(spark, sf, "documents")
+    model = fit(docs.where(~_held_out(10)))
+    out = _shared.written(score(model, docs).withColumn("held_out", _held_out(10)), "lm-scoring")
+    forget(spark, model)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_lm_scoring": op4_lm_scoring,
 }
 
 SQL: dict[str, str] = {}
