@@ -40,9 +40,16 @@ def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf, "documents"), part=85, whole=100, n=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {}
