@@ -174,6 +174,14 @@ def grams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
     return mix(out), first
 
 
+def gram_at(w: Words, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each place on, as grams() has it."""
+    out = np.full(len(at), n, U) * _LENGTH
+    for k in range(n):
+        out += w.hash[at + k] * _STEP[k]
+    return mix(out)
+
+
 def cut(at: np.ndarray, size: int = 4 * SPAN) -> list[tuple[int, int]]:
     """Row ranges whose texts hold about so many bytes; a longer text stands alone."""
     out, lo, n = [], 0, len(at) - 1
