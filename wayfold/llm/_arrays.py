@@ -167,9 +167,9 @@ class Arrays:
         return self.open[name, i]
 
     def find(self, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """Of each key (best sorted): its place in the whole store, -1 if absent, then the columns' values (0 if absent)."""
+        """Of each key (best sorted): its place in the whole store, -1 if absent, then the columns' values (0 if absent): logarithms in columns log..., else whole numbers."""
         columns = columns or ("counts",)
-        place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in columns]
+        place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.float64 if name.startswith("log") else np.int64) for name in columns]
         b = bucket(keys, self.n)
         order = np.argsort(b, kind="stable")
         ends = np.searchsorted(b[order], np.arange((1 << self.n) + 1))
@@ -183,7 +183,7 @@ class Arrays:
             at, pos = at[ok], pos[ok]
             place[at] = self.base[i] + pos
             for value, name in zip(values, columns, strict=True):
-                value[at] = self.column(name, i, ("u4", "i8"))[pos]
+                value[at] = self.column(name, i, ("f8",) if name.startswith("log") else ("u4", "i8"))[pos]
         return [place, *values]
 
 

@@ -40,6 +40,12 @@ def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm.quality_rules import quality
+
+    return quality(_table(spark, sf, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.decontamination import decontaminate
 
@@ -55,6 +61,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
+    "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
