@@ -23,6 +23,14 @@ def _held_out(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == 0, F.lit(True))
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm.toxicity import fit, score
+
+    docs = _table(spark, sf, "documents")
+    model = fit(docs, _table(spark, sf, "labels").where(~_held_out(5)))
+    return score(docs, model).withColumn("held_out", _held_out(5)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.token_counts import token_counts
 
@@ -59,6 +67,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
