@@ -54,6 +54,13 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality(_table(spark, sf, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm.packing import pack
+
+    pieces = pack(_table(spark, sf, "documents"), _tokenizer("word_bpe_49k.json"), end=2)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.decontamination import decontaminate
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
