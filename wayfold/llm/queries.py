@@ -23,6 +23,15 @@ def _held_out(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == 0, F.lit(True))
 
 
+def op1_id_files(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm import _shared
+    from wayfold.llm.id_files import read_ids, write_ids
+
+    path = _shared.folder(spark, "ids")
+    files = write_ids(_table(spark, sf, "documents"), path, _tokenizer("byte_bpe_50k.json"), end=0).collect()  # a row a file
+    return read_ids(spark, path, [(r["file"], r["n_ids"]) for r in files]).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.toxicity import fit, score
 
@@ -74,6 +83,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_id_files": op1_id_files,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
