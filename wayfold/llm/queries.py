@@ -57,6 +57,32 @@ def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def op5_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of a replica in which every page with page_id % 101 = 7 has other bytes and every one with page_id % 499 = 5 is lost."""
+    from wayfold.llm import _shared
+    from wayfold.llm.fixity import audit, records, tree
+
+    here = _shared.written(records(_table(spark, sf, "pages")), "records")
+    there = here.where("page_id % 499 != 5").withColumn("hash", F.when(F.expr("page_id % 101 = 7"), F.sha2(F.concat(F.lit("damaged "), "hash"), 256)).otherwise(F.col("hash")))
+    one, other = tree(here.drop("page_id")), tree(there.drop("page_id"))
+    bad = audit(one, other).join(here.select("file", "offset", "page_id"), ["file", "offset"]).groupBy("file").agg(F.count("other_hash").alias("n_damaged"), F.sum(F.col("other_hash").isNull().cast("long")).alias("n_lost"), F.min("offset").alias("first_offset"), F.min("page_id").alias("first_page"))
+    files = here.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.sum("length").alias("n_bytes"))
+    roots = one[-1].select("file", F.col("hash").alias("root")).join(other[-1].select("file", F.col("hash").alias("other_root")), "file", "left")
+    return files.join(roots, "file").join(bad, "file", "left").select("file", "n_records", "n_bytes", "root", F.col("root").eqNullSafe(F.col("other_root")).alias("intact"), F.coalesce("n_damaged", F.lit(0)).alias("n_damaged"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"), "first_offset", "first_page")
+
+
+def op6_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Each assistant turn as a call "reply" that depends on the one two turns before, each user turn as the result of the turn before it."""
+    from wayfold.llm.tool_calls import link
+
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    calls = turns.where("role = 'assistant'").select("conv_id", name(0).alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", F.when(F.col("turn") % 3 != 2, F.char_length("text")).alias("chars"))).alias("arguments"), F.array(name(2)).alias("parents"))
+    results = turns.where("role = 'user'").select("conv_id", name(1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    schemas = spark.sql("select * from values ('reply', 'turn', 'integer', true), ('reply', 'text', 'string', true), ('reply', 'chars', 'integer', true) as t(name, field, type, required)")
+    return link(calls, results, schemas).select("conv_id", "call_id", "position", "level", F.array_join("errors", ",").alias("errors"), "n_results", "result_position", F.char_length("result").cast("long").alias("result_chars"), "status", F.sha2("arguments", 256).alias("arguments_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.quality_rules import quality
 
@@ -87,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_fixity": op5_fixity,
+    "op6_tool_calls": op6_tool_calls,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
@@ -96,6 +124,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op5_fixity": """
+WITH p AS (SELECT page_id // 1000 AS file, page_id,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2) AS record FROM pages),
+h AS (SELECT file, page_id, sha256(record) AS hash, octet_length(encode(record)) AS length FROM p),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM h),
+both_ AS (SELECT 0 AS replica, file, off, hash, page_id FROM o
+  UNION ALL SELECT 1, file, off, CASE WHEN page_id % 101 = 7 THEN sha256('damaged ' || hash) ELSE hash END, page_id FROM o WHERE page_id % 499 <> 5),
+l1 AS (SELECT replica, file, off // 65536 AS k, sha256(string_agg(off || ':' || hash || ';', '' ORDER BY off, hash)) AS hash FROM both_ GROUP BY ALL),
+l2 AS (SELECT replica, file, k // 16 AS k, sha256(string_agg(l1.k || ':' || hash || ';', '' ORDER BY l1.k)) AS hash FROM l1 GROUP BY replica, file, k // 16),
+l3 AS (SELECT replica, file, k // 16 AS k, sha256(string_agg(l2.k || ':' || hash || ';', '' ORDER BY l2.k)) AS hash FROM l2 GROUP BY replica, file, k // 16),
+top AS (SELECT max(k) AS t FROM l1),
+roots AS (SELECT replica, file, hash FROM l1, top WHERE t = 0 UNION ALL SELECT replica, file, hash FROM l2, top WHERE t BETWEEN 1 AND 15 UNION ALL SELECT replica, file, hash FROM l3, top WHERE t BETWEEN 16 AND 255),
+bad AS (SELECT file, count(*) FILTER (WHERE page_id % 499 <> 5) AS n_damaged, count(*) FILTER (WHERE page_id % 499 = 5) AS n_lost, min(off) AS first_offset, min(page_id) AS first_page FROM o WHERE page_id % 101 = 7 OR page_id % 499 = 5 GROUP BY file)
+SELECT f.file, n_records, n_bytes, a.hash AS root, a.hash IS NOT DISTINCT FROM b.hash AS intact, coalesce(n_damaged, 0) AS n_damaged, coalesce(n_lost, 0) AS n_lost, first_offset, first_page
+FROM (SELECT file, count(*) AS n_records, CAST(sum(length) AS BIGINT) AS n_bytes FROM o GROUP BY file) f
+JOIN roots a ON a.file = f.file AND a.replica = 0 LEFT JOIN roots b ON b.file = f.file AND b.replica = 1 LEFT JOIN bad ON bad.file = f.file""",
+    "op6_tool_calls": """
+WITH calls AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'assistant'),
+results AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, count(*) AS n, min(turn) AS turn, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY ALL)
+SELECT c.conv_id, c.call_id, c.turn AS position, CAST(0 AS BIGINT) AS level, CASE WHEN c.turn % 3 = 2 THEN 'missing chars' ELSE '' END AS errors,
+  coalesce(r.n, 0) AS n_results, r.turn AS result_position, CAST(length(r.text) AS BIGINT) AS result_chars,
+  CASE WHEN c.turn % 3 = 2 THEN 'invalid' WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  sha256('{' || CASE WHEN c.turn % 3 = 2 THEN '' ELSE '"chars":' || length(c.text) || ',' END || '"text":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '}') AS arguments_sha256
+FROM calls c LEFT JOIN results r USING (conv_id, call_id)""",
     "op9_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
