@@ -1,16 +1,73 @@
-"""The corpus pipeline: STAGES applied in turn to documents."""
+"""The corpus pipeline: STAGES applied in turn to documents.
+
+Each stage works on every row its predecessor kept; all but the last return the columns of
+documents. A filtering stage drops the rows whose id the operator rejects: rows that repeat
+an id share the strictest verdict, rows with a null id are never dropped by id.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.llm import _shared
+from wayfold.llm.decontamination import decontaminate
+from wayfold.llm.near_dedup import near_duplicates
+from wayfold.llm.packing import pack
+from wayfold.llm.quality_rules import quality
+from wayfold.llm.toxicity import fit, score
+
+#: Rejected ids that are broadcast at most (16 bytes each and a hash table: under 128 MB); more are joined by a shuffle.
+BROADCAST = 2_000_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    ids = _shared.written(rejected.where("doc_id is not null").select("doc_id").distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, quality(docs).where("not kept"), "rejected-quality")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, score(docs, model).where("predicted = 1"), "rejected-toxic")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words, similarity 0.8 or more; of each group the document with the least id stays."""
+    return _without(docs, near_duplicates(docs, part=80, whole=100, n=5).where("not kept"), "rejected-copies")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"), "rejected-contaminated")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of op8 with their ids; the end id is 2."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2).withColumn("ids_crc32", F.crc32("ids"))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None
+#: A learned model and perplexities decide: not expressible in SQL.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = _shared.written(docs, f"stage-{name.replace(' ', '-')}")
     return docs
