@@ -21,10 +21,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = _shared.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
+        # each minimum is written before it is joined: the join then has two plain shuffles, and Spark splits the rows of a hub
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = _shared.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = _shared.written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
+        low = _shared.written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = _shared.written(small.where("a != b").distinct(), name)
         stats = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
