@@ -67,6 +67,9 @@ def test_images(engine):
     assert data[:8] == b"\x89PNG\r\n\x1a\n"
     assert engine.tile("17/0/0") is None
     assert engine.tile_pixels("10/550/335", 256).count() > 0
+    plan = engine.tile_pixels("10/550/335", 256)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "PartitionFilters" in x and "(z#" in x)
+    assert "GreaterThanOrEqual(x,550)" in scan and "coords:array" in scan
     assert engine.render("13.2,52.4,13.5,52.6", 300, 200)[:4] == b"\x89PNG"
     with pytest.raises(ValueError):
         engine.render("13,52,14,53", 4000)

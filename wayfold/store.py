@@ -19,7 +19,9 @@ from wayfold.operators import tiling
 from wayfold.operators.activities import upserted
 
 ACTIVITIES = "id long, file string, title string, start_time timestamp, properties string, created_at timestamp"
-VERSION = 1
+VERSION = 2
+#: Parts of a table before an upsert makes one of them.
+PARTS = 64
 
 
 @dataclass
@@ -83,7 +85,7 @@ class Store:
         m = self._get("manifest.json")
         if m["version"] > VERSION:
             raise ValueError(f"the store is of version {m['version']}, newer than {VERSION}")
-        steps = {0: lambda m: m | {"tables": m.get("tables", {})}}
+        steps = {0: lambda m: m | {"tables": m.get("tables", {})}, 1: lambda m: m | {"tables": {k: [v] for k, v in m["tables"].items()}}}
         while m["version"] < VERSION:
             m = steps[m["version"]](m) | {"version": m["version"] + 1}
             self._put("manifest.json", m)
@@ -118,10 +120,11 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         schema = {"activities": ACTIVITIES, "activity_tiles": tiling.TILES}[name]
-        at = self._get("manifest.json")["tables"].get(name)
-        if at is None:
+        parts = self._get("manifest.json")["tables"].get(name)
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{at}")
+        columns = [c.strip().split(" ")[0] for c in schema.replace("struct<x: int, y: int>", "struct").split(",")]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in parts)).select(*columns)
 
     @property
     def activities(self) -> DataFrame:
@@ -131,30 +134,35 @@ class Store:
     def tiles(self) -> DataFrame:
         return self.table("activity_tiles")
 
-    def _replace(self, tables: dict[str, DataFrame]) -> None:
+    def _write(self, tables: dict[str, DataFrame], append: bool = False) -> None:
+        """Write tables as new parts, in place of the old ones or beside them, then name them in the manifest."""
         m = self._get("manifest.json")
         old, names = dict(m["tables"]), {}
         for name, df in tables.items():
-            names[name] = f"{name}-{uuid.uuid4().hex}"
+            names[name] = f"{name}/part={uuid.uuid4().hex}"
             # tiles are read by zoom and ranges of x and y
             out = df.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.partitionBy("z") if name == "activity_tiles" else df.write
             out.parquet(f"{self.path}/{names[name]}")
-        m["tables"] |= names
+        m["tables"] |= {k: [*(old.get(k, []) if append else []), v] for k, v in names.items()}
         self._put("manifest.json", m)
-        for name in names:
-            if name in old:
-                fs, p = self._fs(f"{self.path}/{old[name]}")
+        for name in () if append else names:
+            for part in old.get(name, []):
+                fs, p = self._fs(f"{self.path}/{part}")
                 fs.delete(p, True)
 
     def upsert(self, activities: DataFrame, tiles: DataFrame) -> None:
-        """Put activities (one row a file) and their tiles in place of those with the same file; the replaced ones' tiles go too."""
+        """Put activities (one row a file) and their tiles in place of those with the same file; the replaced ones' tiles go too. New files alone are added as a part, so an import costs what it brings; a replacement writes the tables anew, in one part."""
+        parts = self._get("manifest.json")["tables"].get("activities", [])
+        if len(parts) < PARTS and self.activities.join(activities.select("file"), "file", "left_semi").isEmpty():
+            self._write({"activities": activities, "activity_tiles": tiles}, append=True)
+            return
         kept = upserted(self.activities, activities)
         ids = kept.select(F.col("id").alias("activity_id"))
         old = self.tiles.join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti").join(ids, "activity_id", "left_semi")
-        self._replace({"activities": kept, "activity_tiles": old.unionByName(tiles.select(*old.columns))})
+        self._write({"activities": kept, "activity_tiles": old.unionByName(tiles.select(*old.columns))})
 
     def reset(self) -> None:
-        self._replace({"activities": self.spark.createDataFrame([], ACTIVITIES), "activity_tiles": self.spark.createDataFrame([], tiling.TILES)})
+        self._write({"activities": self.spark.createDataFrame([], ACTIVITIES), "activity_tiles": self.spark.createDataFrame([], tiling.TILES)})
 
 
 def rounded(fragment):
