@@ -14,7 +14,7 @@ mixture of what the three orders give, with weights that follow how well each di
 so every machine decodes what another wrote.
 
 The blocks of a call are coded in lockstep by numpy: one step codes the next id of each.
-The coder is a 32-bit carry-less range coder.
+The coder is a 64-bit carry-less range coder that shifts bytes out once an id.
 """
 
 from __future__ import annotations
@@ -23,70 +23,70 @@ import numpy as np
 
 #: Ids in a block, and blocks coded in step.
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 
 #: Tables of a block: small, so that those of all lanes stay in the processor's caches.
 _SLOTS = 1 << 9
 _PREFIX = 63
-_M = np.uint64(0xFFFFFFFF)
-_TOP, _BOT = np.uint64(1 << 24), np.uint64(1 << 16)
-_8, _24, _16 = np.uint64(8), np.uint64(24), np.uint64(16)
-_ROOM = 1 << 12  # the most that frequencies of a nibble sum to
+_TOP, _BOT = np.uint64(1 << 56), np.uint64(1 << 48)
+_1, _8, _56 = np.uint64(1), np.uint64(8), np.uint64(56)
+BITS = 46
+#: Bits of the total frequency of the first symbol and of a nibble.
+_FIRST, _NIBBLE = 12, 10
+_ROOM = 1 << _NIBBLE
 _INC = 32
 _STEPS = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16) * _INC
 
 
 class Coder:
-    """The range coder of some blocks, to write or to read."""
+    """The range coder of some blocks, to write or to read: 64-bit, carry-less. Symbols of up to BITS bits of total frequency may pass between two settlings."""
 
     def __init__(self, lanes: int, data: np.ndarray | None = None, start: np.ndarray | None = None, room: int = 0):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _M)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
         self.reading = data is not None
         if self.reading:
             self.data, self.at = np.append(data, np.zeros(16, np.uint8)), start.copy()
             self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
+            for _ in range(8):
                 self.code = (self.code << _8) | self.data[np.minimum(self.at, len(data))]
                 self.at += 1
         else:
             self.out, self.at = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
 
-    def take(self, ix: np.ndarray, total) -> np.ndarray:
+    def take(self, ix: np.ndarray | slice, total) -> np.ndarray:
         """Where each block's code points, below total; call narrow() with the symbol found there."""
         self.unit = self.range[ix] // total
-        return np.minimum(((self.code[ix] - self.low[ix]) & _M) // self.unit, total - np.uint64(1))
+        return np.minimum((self.code[ix] - self.low[ix]) // self.unit, total - _1)
 
-    def narrow(self, ix: np.ndarray, cum: np.ndarray, freq: np.ndarray, total) -> None:
+    def narrow(self, ix: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, total) -> None:
         unit = self.unit if self.reading else self.range[ix] // total
-        low, size = (self.low[ix] + cum * unit) & _M, freq * unit
-        # shift out settled bytes; `on` are the blocks that still have some
-        on = np.arange(len(ix))
-        l, r = low, size
+        self.low[ix] += cum * unit
+        self.range[ix] = freq * unit
+
+    def settle(self, k: int) -> None:
+        """Shift out the settled bytes of the first k blocks."""
+        on = np.arange(k)
+        l, r = self.low[:k], self.range[:k]
         while True:
-            same = ((l ^ (l + r)) & _M) < _TOP
-            tight = ~same & (r < _BOT)
-            go = same | tight
-            if not go.any():
-                low[on], size[on] = l, r
-                break
-            if not go.all():
-                low[on], size[on] = l, r
-                on, l, r, tight = on[go], l[go], r[go], tight[go]
+            same = (l ^ (l + r)) < _TOP
+            go = np.flatnonzero(same | (r < _BOT))
+            if not len(go):
+                return
+            on, l, r, tight = on[go], l[go], r[go], ~same[go]
             if tight.any():
-                r[tight] = (~l[tight] + np.uint64(1)) & (_BOT - np.uint64(1))
-            at = ix[on]
+                r[tight] = (~l[tight] + _1) & (_BOT - _1)
             if self.reading:
-                self.code[at] = ((self.code[at] << _8) | self.data[self.at[at]]) & _M
+                self.code[on] = (self.code[on] << _8) | self.data[self.at[on]]
             else:
-                self.out[at, self.at[at]] = (l >> _24).astype(np.uint8)
-            self.at[at] += 1
-            l, r = (l << _8) & _M, (r << _8) & _M
-        self.low[ix], self.range[ix] = low, size
+                self.out[on, self.at[on]] = l >> _56
+            self.at[on] += 1
+            l, r = l << _8, r << _8
+            self.low[on], self.range[on] = l, r
 
     def blocks(self) -> list[bytes]:
         out = []
         for i, (n, low) in enumerate(zip(self.at.tolist(), self.low.tolist(), strict=True)):
-            out.append(self.out[i, :n].tobytes() + int(low).to_bytes(4, "big"))
+            out.append(self.out[i, :n].tobytes() + int(low).to_bytes(8, "big"))
         return out
 
 
@@ -121,9 +121,9 @@ class Model:
         self.pb = (np.zeros(k), np.where(self.same, 0.0, self.rb), np.where(self.same, 0.0, fb))
         qa = self.pa[0] * w[:, 0] + self.pa[1] * w[:, 1] + self.pa[2] * w[:, 2]
         qb = self.pb[1] * w[:, 1] + self.pb[2] * w[:, 2]
-        a = (qa * 65000.0).astype(np.int64) + 16
-        b = np.where(self.same, 0, np.minimum((qb * 65000.0).astype(np.int64) + 16, 65500 - np.minimum(a, 65400)))
-        return np.minimum(a, 65400).astype(np.uint64), b.astype(np.uint64)
+        a = np.minimum((qa * 4060.0).astype(np.int64) + 2, 4080)
+        b = np.where(self.same, 0, np.minimum((qb * 4060.0).astype(np.int64) + 2, 4090 - a))
+        return a.astype(np.uint64), b.astype(np.uint64)
 
     def learn(self, k: int, ids: np.ndarray) -> None:
         lane = np.arange(k)
@@ -165,12 +165,11 @@ def _walk(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None, s
     reading = ids is None
     out = np.zeros(int(sizes.sum()), np.uint32) if reading else ids
     p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    total = np.uint64(1 << 16)
-    one = np.uint64(1)
+    total = np.uint64(1 << _FIRST)
     sixteen = np.uint64(16)
     for step in range(int(sizes[0]) if lanes else 0):
         k = int(np.searchsorted(-sizes, -step, "left"))  # blocks longer than step
-        every = np.arange(k)
+        every = slice(0, k)
         a, b = model.guess(k, p1[:k], p2[:k], step)
         if reading:
             v = coder.take(every, total)
@@ -184,7 +183,12 @@ def _walk(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None, s
         if len(ix):
             prefix = np.zeros(len(ix), np.int64)
             mine = None if reading else sym[ix].astype(np.int64)
+            bits = _FIRST
             for level in range(width - 1):
+                bits += _NIBBLE + 4 * (level == width - 2)
+                if bits > BITS:
+                    coder.settle(k)
+                    bits = _NIBBLE + 4
                 rows = model.nibble_rows(ix, level, prefix)
                 last = level == width - 2  # its symbol is a learned nibble and an even one
                 sums = model.rows[rows, 16].astype(np.uint64)
@@ -200,7 +204,7 @@ def _walk(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None, s
                 if last:
                     cum = cum * sixteen
                     if reading:
-                        even = np.minimum((v - cum) // freq, sixteen - one)
+                        even = np.minimum((v - cum) // freq, sixteen - _1)
                     else:
                         even = (mine & 15).astype(np.uint64)
                     coder.narrow(ix, cum + even * freq, freq, whole)
@@ -211,6 +215,7 @@ def _walk(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None, s
             if reading:
                 sym = sym.copy()
                 sym[ix] = ((prefix << 4) | even.astype(np.int64)).astype(sym.dtype)
+        coder.settle(k)
         if reading:
             out[start[:k] + step] = sym
         model.learn(k, sym)
