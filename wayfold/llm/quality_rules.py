@@ -38,6 +38,8 @@ from wayfold.llm._text import SPAN, WORD_BYTES, Index, U, constants, cut, flat,
 ORDER = 4
 FENCE = 3.0
 ACCURACY = 10_000
+#: Languages whose discounts are broadcast at most (under 10 MB); more are joined by a shuffle.
+LANGUAGES = 100_000
 START, END = 2, 3
 #: Characters of texts that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +145,8 @@ def character_model(counts: DataFrame) -> DataFrame:
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         ratio = lambda i, num, den, other: F.when(F.col("n1") == 0, 0.0).when(F.col(den) == 0, other).otherwise(F.least(F.greatest(F.lit(i) - (i + 1) * y * F.col(num) / F.nullif(F.col(den), F.lit(0.0)), F.lit(0.0)), F.lit(float(i))))
         d = of.select("lang", ratio(1, "n2", "n1", 0.0).alias("d1"), ratio(2, "n3", "n2", 1.0).alias("d2"), ratio(3, "n4", "n3", 1.5).alias("d3"))
-        c = c.join(d, "lang").withColumn("take", _discount("n"))
+        d = _shared.written(d, "character-discounts")  # a row a language
+        c = c.join(F.broadcast(d) if d.count() <= LANGUAGES else d, "lang").withColumn("take", _discount("n"))
         context = c.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), (F.sum("take") / F.sum("n")).alias("free"), F.count(F.lit(1)).alias("kinds"))
         c = c.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
         own = (F.col("n") - F.col("take")) / F.col("total")
