@@ -80,3 +80,8 @@ def fetched(path: str) -> str:
                 out.write(chunk)
         _FETCHED[path] = out.name
     return _FETCHED[path]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that these operators left in the shared folder; frames that read them can't be used any more."""
+    remove(spark, f"{base(spark)}/wayfold")
