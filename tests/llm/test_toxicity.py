@@ -42,7 +42,7 @@ def test_held_out_accuracy_and_determinism(spark):
 
 def test_one_step_by_hand():
     u = np.array([5, 9], np.uint64)
-    key, w = train([u, u], [1, 1], alpha=1.0, beta=1.0, l1=0.25, l2=0.0, epochs=1)
+    key, w = train([u, u.copy()], [1, 1], alpha=1.0, beta=1.0, l1=0.25, l2=0.0, epochs=1)
     # first row: p = 1/2, g = -1/2 for all three coordinates; second: features and bias from z = -1/2, n = 1/4
     z, n = -0.5, 0.25
     first = (0.25 / (1 + 0.5), 0.5 / (1 + 0.5))

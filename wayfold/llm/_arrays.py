@@ -17,19 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import _shared
-from wayfold.llm._text import U, cut, flat, mix
+from wayfold.llm._text import U, cut, flat, mix, release
 
 #: Bytes of text that a map function takes at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut to about SLICE bytes of text; a longer text stands alone."""
+    release()
     for batch in batches:
         if batch.num_rows:
             _, at = flat(batch.column(text))
             for lo, hi in cut(at, SLICE):
                 yield batch.slice(lo, hi - lo)
+    release()
 
 
 def narrow(x: np.ndarray) -> np.ndarray:

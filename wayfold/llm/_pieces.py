@@ -9,6 +9,7 @@ whose normal form or lower case isn't one character) go to the library whole.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wayfold.llm._text import LETTER, NUMBER, SPACE, SPAN, Index, U, classes, constants, cut, flat, mix, points, powers
+from wayfold.llm._text import LETTER, NUMBER, SPACE, SPAN, Index, U, classes, constants, cut, flat, mix, points, powers, release
 
 #: Pre-tokens kept by a worker; beyond it starts anew.
-KEPT = 3_000_000
+KEPT = 1_500_000
 
 
 def starts(cp: np.ndarray, first: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +236,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
-def coder(path: str, rule: str) -> Coder:
-    """A worker's coder; kept between tasks."""
-    return Coder(path, rule)
+@contextlib.contextmanager
+def coder(path: str, rule: str):
+    """A task's coder; its tables are freed with the task, so that a reused worker keeps nothing of them."""
+    c = Coder(path, rule)
+    try:
+        yield c
+    finally:
+        c.reset()
+        del c.tokenizer
+        release()

@@ -9,6 +9,8 @@ every executor and on every retry.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,6 +21,23 @@ import pyarrow.compute as pc
 
 SPAN = 1 << 20
 
+
+def _give_back() -> None:
+    """Let the C library return the memory of large arrays to the system when they are freed: workers are reused, and what one stage needed at most must not stay with the next. Without effect where the library has no such setting."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_back()
+
+
+def release() -> None:
+    """Give freed memory back now: called where a task ends, as its worker waits for the next."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 U = np.uint64
 
 

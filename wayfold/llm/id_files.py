@@ -79,7 +79,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
-        c = coder(tokenizer, rule)
+        with coder(tokenizer, rule) as c:
+            yield from write_by(c, batches)
+
+    def write_by(c, batches):
         width = id_coder.nibbles(max(c.tokenizer.get_vocab_size(), end))
         part = TaskContext.get().partitionId()
         names, tokens, blocks, held, size = [], [], [], [], 0

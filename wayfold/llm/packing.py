@@ -64,7 +64,10 @@ def pack(docs: DataFrame, path: str, end: int, rule: str = "word", length: int =
     schema = f"group long, id {docs.schema['id'].dataType.simpleString()}, start long, n long, doc_tokens long, ids binary"
 
     def cut(batches):
-        c = coder(path, rule)
+        with coder(path, rule) as c:
+            yield from cut_by(c, batches)
+
+    def cut_by(c, batches):
         width = np.uint16 if c.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else np.uint32
         seen = TaskContext.get().partitionId() << 40
         for batch in _arrays.slices(batches):

@@ -64,7 +64,10 @@ def token_counts(docs: DataFrame, path: str, rule: str = "byte", limit: int = 51
     at = _shared.folder(spark, "pieces")
 
     def distinct(batches):
-        c = coder(path, rule)
+        with coder(path, rule) as c:
+            yield from distinct_by(c, batches)
+
+    def distinct_by(c, batches):
         sent = Index(np.zeros(0, U))
         recent: list[np.ndarray] = []
         for batch in batches:
@@ -85,7 +88,10 @@ def token_counts(docs: DataFrame, path: str, rule: str = "byte", limit: int = 51
                 yield pa.RecordBatch.from_arrays([pa.array(_arrays.bucket(keys, n).astype(np.int64)), pa.array(keys.view(np.int64)), pa.array(strings(cp, s[pick], e[pick]), pa.string())], ["bucket", "key", "piece"])
 
     def pieces(batches):
-        c = coder(path, rule)
+        with coder(path, rule) as c:
+            yield from pieces_by(c, batches)
+
+    def pieces_by(c, batches):
         now, keys, counts = None, [], []
 
         def end():
@@ -121,7 +127,10 @@ def token_counts(docs: DataFrame, path: str, rule: str = "byte", limit: int = 51
     sizes = _arrays.sizes(stats)
 
     def count(batches):
-        c = coder(path, rule)
+        with coder(path, rule) as c:
+            yield from count_by(c, batches)
+
+    def count_by(c, batches):
         store = _arrays.arrays(at, n, sizes)
         for batch in batches:
             texts, owner, total = _segments(batch.column("text"), c.special)
