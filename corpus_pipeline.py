@@ -30,7 +30,7 @@ def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality(docs).where("not kept"), "rejected-quality")
+    return _without(docs, quality(docs, clean=True).where("not kept"), "rejected-quality")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from wayfold.llm.lm_scoring import discounts
-from wayfold.llm.quality_rules import END, ORDER, START, quality
+from wayfold.llm.quality_rules import END, LEAST, ORDER, START, quality
+from wayfold.llm.queries import QUERIES
 
 WORDS = "river stone bridge light under morning quiet field carry winter road before small green".split()
 
@@ -92,3 +93,21 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def op7(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id: r for r in QUERIES["op7_quality_rules"](spark, str(folder)).collect()}
+
+
+def test_copies_do_not_narrow_the_band(spark, tmp_path):
+    rows = [(i, prose(i if i < 40 else 0), "de") for i in range(300)]  # 261 copies of one text
+    rows += [(1000, prose(50), "fr"), (1001, prose(50), "fr")]
+    by = op7(spark, tmp_path, rows)
+    assert len(by) == len(rows)
+    assert [i for i, r in by.items() if not r.base_failed and not r.kept] == []
+    assert not any(r.base_failed for r in by.values())
+    assert all(r.upper - r.lower >= 2 * LEAST - 1e-9 for r in by.values())  # also that of fr, with one text
+    assert len({r.log_perplexity for i, r in by.items() if i >= 40 and i < 300}) == 1
+    once = quality(spark.createDataFrame(rows[:40], "doc_id long, text string, lang string")).collect()
+    assert all(by[r.doc_id].log_perplexity == pytest.approx(r.log_perplexity) for r in once)

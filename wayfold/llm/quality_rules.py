@@ -15,12 +15,17 @@ written as sorted hash arrays, which scoring tasks memory-map. Its size follows
 number of distinct character grams, not of texts.
 
 A text passes if its perplexity lies in its language's band: log10 perplexity from
-Q1 - FENCE (Q3 - Q1) to Q3 + FENCE (Q3 - Q1), the quartiles being those of the language's
-texts that pass the base rules (percentile_approx with ACCURACY, over all of them).
+Q1 - R to Q3 + R with R = FENCE (Q3 - Q1), at least LEAST. The quartiles are those of the
+language's distinct texts (by 64-bit hash) that pass the base rules (percentile_approx
+with ACCURACY, over all of them): copies neither narrow the band nor move it.
+
+clean: the model, too, learns each distinct text once, else a text with many copies would
+leave the band as too likely. Numbers of copies are counted by hash and mapped; each of n
+copies adds 1 / n to its grams, so no text is shuffled and the sums are whole.
 
 Nulls: a null text is empty: no words, so it fails. A null language is a language of its
-own (""), a null id is kept. Repeated rows count each. Empty tables give no rows; other
-columns are not read.
+own (""), a null id is kept. Repeated rows are learned from each, or with clean once, and
+judged alike. Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from wayfold.llm._text import SPAN, WORD_BYTES, Index, U, constants, cut, flat,
 
 ORDER = 4
 FENCE = 3.0
+#: A band reaches at least so far beyond its quartiles, also where a language's texts are few or alike.
+LEAST = 0.05
 ACCURACY = 10_000
 #: Languages whose discounts are broadcast at most (under 10 MB); more are joined by a shuffle.
 LANGUAGES = 100_000
@@ -89,10 +96,21 @@ def _by_language(batch: pa.RecordBatch):
         yield name, np.flatnonzero(lang == name)
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """lang, gram (ORDER characters) and its count."""
+def _copies(docs: DataFrame, path: str, b: int) -> tuple:
+    """Store the hashes that several rows have with their counts."""
+
+    def count(batches):
+        for batch in batches:
+            yield _arrays.rows(*_arrays.counted(batch.column("hash").to_numpy().view(U)), b)
+
+    return _arrays.sizes(_arrays.store(docs.select("hash").mapInArrow(count, _arrays.BLOBS), path, b, least=2))
+
+
+def _grams(docs: DataFrame, copies: tuple | None = None) -> DataFrame:
+    """lang, gram (ORDER characters) and its count. copies (what arrays() takes): of n rows of one hash, each counts 1 / n."""
 
     def count(batches):
+        store = copies and _arrays.arrays(*copies)
         held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
         def out():
@@ -104,15 +122,18 @@ def _grams(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in _arrays.slices(batches):
+            share = 1 / np.maximum(store.find(batch.column("hash").to_numpy().view(U))[1], 1) if copies else np.ones(batch.num_rows)
             for name, rows in _by_language(batch):
                 data, at = flat(batch.column("text").take(pa.array(rows)))
                 for lo, hi in cut(at, SPAN):
                     cp, edge = _framed(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     end = _ends(edge)
                     h = _gram(_char_values(cp), end, ORDER, _seed(name))
-                    key, n = _arrays.counted(h)
+                    key = _arrays.counted(h)[0]
+                    found = Index(key).find(h)[0]
+                    n = np.bincount(found, np.repeat(share[rows[lo:hi]], np.diff(edge) - ORDER + 1), len(key))
                     place = np.empty(len(key), np.int64)
-                    place[Index(key).find(h)[0]] = end
+                    place[found] = end
                     cps = cp[place[:, None] + np.arange(1 - ORDER, 1)]
                     if name in held:
                         k, c, m = held[name]
@@ -126,7 +147,8 @@ def _grams(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the shares of a text's copies add up to 1 but for rounding
+    return docs.mapInArrow(count, "lang string, gram string, n double").groupBy("lang", "gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def _discount(n: str) -> F.Column:
@@ -288,13 +310,15 @@ def measures(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, fence: float = FENCE, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, or over most_repeated percent of them in repeated windows) and kept of every row."""
+def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, fence: float = FENCE, clean: bool = False, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, or over most_repeated percent of them in repeated windows) and kept of every row. clean: learn from each distinct text once."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")).withColumn("hash", F.xxhash64("lang", "text"))
     b = _arrays.bits(docs)
-    path = _shared.folder(spark, "characters")
-    sizes = _stored(character_model(_shared.written(_grams(docs), "character-grams")), path, b)
+    path, again = _shared.folder(spark, "characters"), _shared.folder(spark, "copies")
+    counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)) if clean else None), "character-grams")
+    _shared.remove(spark, again)
+    sizes = _stored(character_model(counts), path, b)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches):
@@ -307,13 +331,14 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, fen
                 part, off = flat(batch.column("text").take(pa.array(rows)))
                 log[rows] = _score(store, part, off, name)
                 length[rows] = sum_by(off, ((part & 0xC0) != 0x80).astype(np.int64)) + 1
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array(m[x]) for x in names), pa.array(-log / length)], ["id", "lang", *names, "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("hash"), *(pa.array(m[x]) for x in names), pa.array(-log / length)], ["id", "lang", "hash", *names, "log_perplexity"])
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, lang string, {', '.join(f'{x} long' for x in names)}, log_perplexity double"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, lang string, hash long, {', '.join(f'{x} long' for x in names)}, log_perplexity double"
     measured = docs.mapInArrow(measure, schema).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     measured = _shared.written(measured, "quality")
     _shared.remove(spark, path)
-    q = F.percentile_approx("log_perplexity", [0.25, 0.75], ACCURACY)
-    bands = measured.where(~F.col("base_failed")).groupBy("lang").agg(q.alias("q")).select("lang", (F.col("q")[0] - fence * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
+    texts = measured.where(~F.col("base_failed")).groupBy("lang", "hash").agg(F.min("log_perplexity").alias("log_perplexity"))
+    q, reach = F.percentile_approx("log_perplexity", [0.25, 0.75], ACCURACY), F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST))
+    bands = texts.groupBy("lang").agg(q.alias("q")).select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     return measured.join(bands, "lang", "left").select(F.col("id").alias(id), *names, "log_perplexity", "lower", "upper", "base_failed", kept.alias("kept"))

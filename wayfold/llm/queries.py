@@ -86,7 +86,7 @@ def op6_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     from wayfold.llm.quality_rules import quality
 
-    return quality(_table(spark, sf, "documents"))
+    return quality(_table(spark, sf, "documents"), clean=True)
 
 
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
