@@ -111,3 +111,13 @@ def test_copies_do_not_narrow_the_band(spark, tmp_path):
     assert len({r.log_perplexity for i, r in by.items() if i >= 40 and i < 300}) == 1
     once = quality(spark.createDataFrame(rows[:40], "doc_id long, text string, lang string")).collect()
     assert all(by[r.doc_id].log_perplexity == pytest.approx(r.log_perplexity) for r in once)
+
+
+def test_junk_is_caught_and_not_learned_from(spark, tmp_path):
+    clean = [(i, prose(i), "en") for i in range(30)]
+    junk = [(100 + i, " | ".join(f"{w}{j}" for j, w in enumerate(prose(60 + i).split())), "en") for i in range(20)] + [(200 + i, " ".join(f"{w}{j}" + "$%&*"[j % 4] * 3 for j, w in enumerate(prose(90 + i).split())), "en") for i in range(20)]
+    by = op7(spark, tmp_path, clean + junk)
+    assert {i for i, r in by.items() if r.kept} == {r[0] for r in clean}
+    assert all(by[i].n_words >= 50 and 2 * by[i].n_repeat_words <= by[i].n_words for i, _, _ in junk)
+    alone = quality(spark.createDataFrame(clean, "doc_id long, text string, lang string")).collect()
+    assert all(by[r.doc_id].log_perplexity == pytest.approx(r.log_perplexity) for r in alone)

@@ -19,9 +19,10 @@ Q1 - R to Q3 + R with R = FENCE (Q3 - Q1), at least LEAST. The quartiles are tho
 language's distinct texts (by 64-bit hash) that pass the base rules (percentile_approx
 with ACCURACY, over all of them): copies neither narrow the band nor move it.
 
-clean: the model, too, learns each distinct text once, else a text with many copies would
-leave the band as too likely. Numbers of copies are counted by hash and mapped; each of n
-copies adds 1 / n to its grams, so no text is shuffled and the sums are whole.
+clean: the model learns from texts that pass the base rules, not from what it is to catch,
+and from each distinct one once, else a text with many copies would leave the band as too
+likely. Numbers of copies are counted by hash and mapped; each of n copies adds 1 / n to
+its grams, so no text is shuffled and the sums are whole.
 
 Nulls: a null text is empty: no words, so it fails. A null language is a language of its
 own (""), a null id is kept. Repeated rows are learned from each, or with clean once, and
@@ -31,6 +32,7 @@ judged alike. Empty tables give no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +108,8 @@ def _copies(docs: DataFrame, path: str, b: int) -> tuple:
     return _arrays.sizes(_arrays.store(docs.select("hash").mapInArrow(count, _arrays.BLOBS), path, b, least=2))
 
 
-def _grams(docs: DataFrame, copies: tuple | None = None) -> DataFrame:
-    """lang, gram (ORDER characters) and its count. copies (what arrays() takes): of n rows of one hash, each counts 1 / n."""
+def _grams(docs: DataFrame, copies: tuple | None = None, failed: Callable | None = None) -> DataFrame:
+    """lang, gram (ORDER characters) and its count. copies (what arrays() takes): of n rows of one hash, each counts 1 / n. failed: of measures, which texts are left out."""
 
     def count(batches):
         store = copies and _arrays.arrays(*copies)
@@ -123,6 +125,9 @@ def _grams(docs: DataFrame, copies: tuple | None = None) -> DataFrame:
 
         for batch in _arrays.slices(batches):
             share = 1 / np.maximum(store.find(batch.column("hash").to_numpy().view(U))[1], 1) if copies else np.ones(batch.num_rows)
+            if failed:
+                use = np.flatnonzero(~failed(measures(*flat(batch.column("text")))))
+                batch, share = batch.take(pa.array(use)), share[use]
             for name, rows in _by_language(batch):
                 data, at = flat(batch.column("text").take(pa.array(rows)))
                 for lo, hi in cut(at, SPAN):
@@ -310,16 +315,20 @@ def measures(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, fence: float = FENCE, clean: bool = False, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, or over most_repeated percent of them in repeated windows) and kept of every row. clean: learn from each distinct text once."""
+def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most_symbols: int = 10, fence: float = FENCE, clean: bool = False, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, over most_repeated percent of them in repeated windows, or over most_symbols symbols to 100 of them) and kept of every row. clean: learn from each distinct text that passes these rules once."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")).withColumn("hash", F.xxhash64("lang", "text"))
     b = _arrays.bits(docs)
     path, again = _shared.folder(spark, "characters"), _shared.folder(spark, "copies")
-    counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)) if clean else None), "character-grams")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def failed(m):  # of arrays or Columns
+        return (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"]) | (100 * m["n_symbols"] > most_symbols * m["n_words"])
+
+    counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)), failed) if clean else _grams(docs), "character-grams")
     _shared.remove(spark, again)
     sizes = _stored(character_model(counts), path, b)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches):
         store = _arrays.arrays(path, b, sizes)
@@ -334,7 +343,7 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, fen
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("hash"), *(pa.array(m[x]) for x in names), pa.array(-log / length)], ["id", "lang", "hash", *names, "log_perplexity"])
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, lang string, hash long, {', '.join(f'{x} long' for x in names)}, log_perplexity double"
-    measured = docs.mapInArrow(measure, schema).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
+    measured = docs.mapInArrow(measure, schema).withColumn("base_failed", failed({x: F.col(x) for x in names}))
     measured = _shared.written(measured, "quality")
     _shared.remove(spark, path)
     texts = measured.where(~F.col("base_failed")).groupBy("lang", "hash").agg(F.min("log_perplexity").alias("log_perplexity"))
