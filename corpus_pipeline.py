@@ -34,7 +34,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Where no document has a label there is nothing to judge by, and all rows stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if docs.join(labels.where("toxic is not null"), "doc_id", "left_semi").isEmpty():
+        return docs
+    model = fit(docs, labels)
     return _without(docs, score(docs, model).where("predicted = 1"), "rejected-toxic")
 
 

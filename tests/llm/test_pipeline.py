@@ -71,3 +71,10 @@ def test_each_stage(spark, folder):
     assert all(len(np.frombuffer(r.ids, "<u4")) == r.length for r in pieces)
     whole = corpus_pipeline.run(spark, path).collect()
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.start, r.ids_crc32) for r in pieces)
+
+
+@pytest.mark.parametrize("rows", [[], [(5_000, 1, 1)]])
+def test_toxicity_keeps_all_without_labels(spark, folder, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == docs.count()

@@ -57,3 +57,11 @@ def test_nothing_to_learn_from(spark):
     y = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in score(d, fit(d, y)).collect()] == [0.5]
     assert score(d.limit(0), fit(d.limit(0), y)).count() == 0
+
+
+def test_labels_without_documents_use_up_no_sample(spark):
+    docs, labels = corpus(120)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame(labels + [(10_000 + i, 0) for i in range(2_000)], "doc_id long, toxic int")
+    got, want = fit(d, y, sample=100), fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=100)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])

@@ -4,7 +4,7 @@ A text's features are the distinct hashes (64 bits) of its words, pairs of neigh
 pairs with one word between, of lower-cased runs of letters and digits. Each coordinate
 has its own learning rate from its past gradients; L1 keeps the weights of few features.
 
-Learning takes at most `sample` labelled rows, those with the least hash of their id, in
+Learning takes at most `sample` labelled ids of the documents, those with the least hash, in
 hash order in one task of bounded size; features of a single row are left out. What comes
 back are the non-zero weights, at most MOST of them (else fit() refuses and asks for a
 larger l1), which are broadcast. Every text is scored whole.
@@ -84,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     """Hashes and weights of the features that matter. l1: times the square root of the number of rows, as the noise of a sum of gradients grows."""
     y = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     # at most `sample` rows of two numbers: their size is bounded, so they are broadcast
+    y = y.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
     y = y.withColumn("turn", F.xxhash64(F.col("id").cast("string"))).orderBy("turn", "id").limit(sample)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(y), "id")
 
