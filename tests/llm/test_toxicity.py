@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -65,3 +66,7 @@ def test_labels_without_documents_use_up_no_sample(spark):
     y = spark.createDataFrame(labels + [(10_000 + i, 0) for i in range(2_000)], "doc_id long, toxic int")
     got, want = fit(d, y, sample=100), fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=100)
     assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_sample_is_not_lowered():
+    assert inspect.signature(fit).parameters["sample"].default == 16_000

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import _arrays
 from wayfold.llm._text import Index, U, constants, flat, mix, words
 
-SAMPLE = 12_000
+SAMPLE = 16_000
 PREFIX = 26
 MOST = 1_000_000
 _KIND = constants(3, 515)
