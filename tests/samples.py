@@ -13,7 +13,7 @@ GPX = """<?xml version="1.0" encoding="UTF-8"?>
 </gpx>"""
 
 
-def gpx(points, kind="ride", start="2025-08-16T10:18:54.087Z") -> bytes:
+def gpx(points, kind="ride", start="2025-06-03T07:41:00.250Z") -> bytes:
     p = "".join(f'<trkpt lat="{lat}" lon="{lng}">' + (f"<ele>{e}</ele>" if e is not None else "") + "</trkpt>" for lng, lat, e in points)
     return GPX.format(points=p, kind=kind, start=start).encode()
 
@@ -38,7 +38,7 @@ def fit(points, start=1_000_000_000, sub_sport=7, chained=False) -> bytes:
     return one * (2 if chained else 1)
 
 
-RIDE = [(13.377609, 52.489478, 43.8), (13.377443, 52.489465, 43.9), (13.376965, 52.489428, 44), (13.376905, 52.489422, 44.1), (13.376698, 52.489403, 44.1), (13.376716, 52.489532, 44.2), (13.376721, 52.489568, 44.2), (13.376731, 52.489921, 44.3), (13.376738, 52.490137, 44)]
+RIDE = [(13.402 + 0.00021 * i, 52.5021 + 0.00007 * (i * i % 5), 61.5 + (3 * i % 4) / 10) for i in range(9)]
 RUN = [("2026-01-02T10:00:00Z", -71.0, 42.0), ("2026-01-02T10:01:00Z", None, None), ("2026-01-02T10:02:30Z", -71.0005, 42.0005), ("2026-01-02T10:05:00Z", -71.0009, 42.0009)]
 LOOP = [(13.3 + i * 0.0004, 52.5 + (i % 7) * 0.0003, 40 + i % 9, 10 * i) for i in range(60)]
 

@@ -1,5 +1,6 @@
 import io
 import json
+import math
 import threading
 import urllib.error
 import urllib.request
@@ -10,6 +11,7 @@ import pytest
 from tests import samples
 from wayfold import cli
 from wayfold.engine import Engine
+from wayfold.functions import geo
 from wayfold.serve import server, split_size, uploads
 from wayfold.sources import fit, polyline
 from wayfold.streaming import landing
@@ -36,14 +38,20 @@ def props(engine, name):
     return json.loads(r.properties)
 
 
+def kilometres(points):
+    """The sum of great-circle distances, by the law of cosines on a sphere of the mean radius."""
+    unit = [(math.cos(math.radians(p[1])) * math.cos(math.radians(p[0])), math.cos(math.radians(p[1])) * math.sin(math.radians(p[0])), math.sin(math.radians(p[1]))) for p in points]
+    return sum(2 * math.asin(math.dist(a, b) / 2) for a, b in zip(unit, unit[1:])) * geo.MEAN_RADIUS / 1000
+
+
 def test_import(engine, folder):
     assert engine.counts == {"imported": 3, "skipped": 4, "failed": 2}
     assert engine.count() == 3
     ride = props(engine, "sample.gpx")
-    assert ride["total_distance"] == pytest.approx(0.1439, abs=1e-4) and (ride["elevation_min"], ride["elevation_max"], ride["elevation_loss"]) == (43.8, 44.3, 0)
+    assert ride["total_distance"] == pytest.approx(kilometres(samples.RIDE), abs=1e-4) and (ride["elevation_min"], ride["elevation_max"], ride["elevation_loss"]) == (61.5, 61.8, 0)
     assert ride["elevation_gain"] == 500 and ride["activity_type"] == "ride"  # the CSV wins
     run = props(engine, "sample.tcx")
-    assert run["total_distance"] == pytest.approx(0.1247, abs=1e-4) and (run["elapsed_time"], run["moving_time"], run["max_speed"]) == (300, 0, 0.0)
+    assert run["total_distance"] == pytest.approx(kilometres([p[1:] for p in samples.RUN if p[1] is not None]), abs=1e-4) and (run["elapsed_time"], run["moving_time"], run["max_speed"]) == (300, 0, 0.0)
     assert "average_speed" not in run and "elevation_min" not in run
     loop = props(engine, "sample.fit")
     assert loop["manufacturer"] == "garmin" and loop["total_calories"] == 1188 and loop["elapsed_time"] == 590
@@ -144,9 +152,11 @@ def test_fit_decoder():
 
 
 def test_polyline():
-    pts = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
-    assert polyline.encode(pts) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and polyline.decode(polyline.encode(pts)) == pts
-    for bad in ("_", " ", "_p~iF"):
+    pts = [(52.5, 13.4), (52.50123, 13.39876), (-3.25, 179.99999), (0.0, 0.0)]
+    assert polyline.decode(polyline.encode(pts)) == pts
+    # by hand: 1e-5 degrees is 1, doubled to 2, so "A" (63 + 2); minus 1 is turned over to 1, so "@"
+    assert polyline.encode([(0.00001, -0.00001)]) == "A@" and polyline.decode("A@") == [(0.00001, -0.00001)]
+    for bad in ("_", " ", polyline.encode([(50.0, 0.0)])[:-1]):
         with pytest.raises(ValueError):
             polyline.decode(bad)
 

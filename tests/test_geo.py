@@ -8,10 +8,21 @@ from wayfold.operators import raster, tiling
 from wayfold.plans import gradients
 
 
-def test_known_places():
-    assert geo.point_tile(*geo.point(20.6852, 40.1222), 9) == (285, 193)
-    assert geo.tile_bounds(486, 332, 10) == pytest.approx((-1017529.7205, 7005300.7683, -978393.9621, 7044436.5268), abs=1e-3)
-    assert geo.point(-118.256838, 34.052659) == pytest.approx((-13164291, 4035875), abs=2)
+def test_places_by_formula():
+    """Own places, with what the definitions of the projection give for them."""
+    assert geo.point(0.0, 0.0) == pytest.approx((0, 0), abs=1e-6)
+    assert geo.point(180.0, 0.0) == pytest.approx((math.pi * geo.RADIUS, 0), abs=1e-6)
+    # the latitude at which a square map ends
+    end = math.degrees(2 * math.atan(math.exp(math.pi)) - math.pi / 2)
+    assert geo.point(-180.0, end) == pytest.approx((-geo.HALF, geo.HALF), abs=1e-3)
+    for lng, lat in ((9.9937, 53.5511), (-43.2, -22.9), (151.2, -33.86)):
+        p = geo.point(lng, lat)
+        assert p == pytest.approx((geo.RADIUS * math.radians(lng), geo.RADIUS * math.asinh(math.tan(math.radians(lat)))))
+        for z in (0, 3, 9, 16):
+            x, y = geo.point_tile(*p, z)
+            assert (x, y) == (int((lng + 180) / 360 * 2**z), int((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * 2**z))
+            left, bottom, right, top = geo.tile_bounds(x, y, z)
+            assert left <= p[0] < right and bottom < p[1] <= top and right - left == pytest.approx(geo.CIRCLE / 2**z)
     assert geo.point(0, -90) is None and geo.point(0, 90) is None and geo.point(0, -89.9999) is not None
 
 
@@ -64,8 +75,9 @@ def test_parsers_and_ranges():
 
 
 def test_gradients():
-    p = gradients.palette("1:001122;10:789;100:334455;200:ffffff33")
-    assert [bytes(p[i]).hex() for i in (0, 1, 10, 100, 255)] == ["00000000", "001122ff", "778899ff", "334455ff", "ffffff33"]
+    p = gradients.palette("1:0a0b0c;21:4cd;61:203040;255:e0e0e080")
+    assert [bytes(p[i]).hex() for i in (0, 1, 21, 61, 255)] == ["00000000", "0a0b0cff", "44ccddff", "203040ff", "e0e0e080"]
+    assert bytes(p[41]).hex() == "327e8eff"  # half way from 21 to 61
     for bad in ("", "1", "1:12", "300:fff", "x:fff", "1:ggg"):
         with pytest.raises(ValueError):
             gradients.palette(bad)
