@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +39,18 @@ def line(n, dx=1e-4, y=52.5):
     return [geo.point(13.37 + i * dx, y + (i % 3) * 1e-5) for i in range(n)]
 
 
+def walked(lines, z):
+    """Polylines by tile."""
+    found, out, a = tiling.walk([np.array(x, float).reshape(-1, 2) for x in lines], z), {}, 0
+    for end in found.ends.tolist():
+        out.setdefault(tuple(found.tile[a].tolist()), []).append([tuple(p) for p in found.pixel[a:end].tolist()])
+        a = end
+    return out
+
+
 def test_walk_drops_the_last_point_and_short_lines():
-    assert tiling.walk([line(2)], 10) == {}
-    got = tiling.walk([line(5)], 10)
+    assert walked([line(2)], 10) == {}
+    got = walked([line(5)], 10)
     assert sum(len(p) for ps in got.values() for p in ps) == 4
 
 
@@ -50,13 +60,13 @@ def test_walk_splits_at_tile_edges():
     left, bottom, right, top = geo.tile_bounds(x, y, z)
     mid = (bottom + top) / 2
     pts = [(left + 10, mid), (right - 10, mid), (right + 30, mid), (right + 60, mid), (right + 90, mid)]
-    got = tiling.walk([pts], z)
+    got = walked([pts], z)
     assert set(got) == {(x, y), (x + 1, y)}
     assert got[x, y][0][-1][0] == tiling.EXTENT and got[x + 1, y][0][0][0] == 0
     # a segment over three tiles leaves nothing in the middle one
     size = right - left
     far = [(left + 10, mid), (left + 10 + 2 * size, mid), (left + 20 + 2 * size, mid)]
-    assert set(tiling.walk([far], z)) == {(x, y), (x + 2, y)}
+    assert set(walked([far], z)) == {(x, y), (x + 2, y)}
 
 
 def test_walk_loses_the_segment_after_a_jump():
@@ -67,16 +77,46 @@ def test_walk_loses_the_segment_after_a_jump():
     size = right - left
     there = left + 4 * size
     pts = [(left + 1, mid), (left + 5, mid), (there + 1, mid), (there + 9, mid), (there + 20, mid), (there + 30, mid)]
-    got = tiling.walk([pts], z)
+    got = walked([pts], z)
     n = sum(len(p) - 1 for p in got.get((x + 4, y), []))
     assert n == 1  # of two segments there the first only moved the walk
 
 
 def test_simplify():
-    assert tiling.simplify([(0, 0), (5, 1), (10, 0)]) == [(0, 0), (10, 0)]
-    assert tiling.simplify([(0, 0), (5, 9), (10, 0)]) == [(0, 0), (5, 9), (10, 0)]
-    assert tiling.simplify([(0, 0), (50, 0), (0, 0)]) == [(0, 0), (50, 0), (0, 0)]
-    assert tiling.simplify([(3, 3)]) == [(3, 3)]
+    lines = [[(0, 0), (5, 1), (10, 0)], [(0, 0), (5, 9), (10, 0)], [(0, 0), (50, 0), (0, 0)], [(3, 3)], [(0, 0), (0, 0), (0, 0)]]
+    want = [[(0, 0), (10, 0)], [(0, 0), (5, 9), (10, 0)], [(0, 0), (50, 0), (0, 0)], [(3, 3)], [(0, 0), (0, 0)]]
+    pixel, ends = np.array(sum(lines, [])), np.cumsum([len(x) for x in lines])
+    keep = tiling.simplified(pixel, ends)
+    assert [[tuple(p) for p in pixel[e - len(x) : e][keep[e - len(x) : e]].tolist()] for x, e in zip(lines, ends.tolist())] == want
+    assert len(tiling.simplified(np.zeros((0, 2), np.int64), np.zeros(0, np.int64))) == 0
+
+
+def test_simplify_keeps_within_the_tolerance():
+    """Every left-out vertex is near the chord of the kept ones around it, and every kept one is farther than the tolerance from some longer chord."""
+    rng = np.random.default_rng(3)
+    line = np.cumsum(rng.integers(-9, 10, (400, 2)), axis=0)
+    keep = tiling.simplified(line, np.array([400]))
+    at = np.flatnonzero(keep)
+    assert 2 < len(at) < 400 and keep[0] and keep[-1]
+
+    def away(p, a, b):
+        d = b - a
+        t = min(max(float((p - a) @ d) / float(d @ d), 0), 1) if (d @ d) else 0
+        return math.dist(p, a + t * d)
+
+    for a, b in zip(at, at[1:]):
+        assert all(away(line[i], line[a], line[b]) <= tiling.EPSILON for i in range(a + 1, b))
+
+
+def test_parts_inside_one_tile_are_whole_lines():
+    """A line that never leaves its tile is one polyline of its own pixels."""
+    rng = np.random.default_rng(5)
+    z = 14
+    box = geo.tile_bounds(8802, 5373, z)
+    pts = np.stack([rng.uniform(box[0], box[2], 50), rng.uniform(box[1], box[3], 50)], 1)
+    got = walked([pts], z)
+    size = (box[2] - box[0]) / tiling.EXTENT
+    assert got == {(8802, 5373): [[(math.floor((x - box[0]) / size + 0.5), math.floor((y - box[1]) / size + 0.5)) for x, y in pts[:-1].tolist()]]}
 
 
 def test_codec():

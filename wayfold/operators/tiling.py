@@ -1,7 +1,7 @@
 """Cutting tracks into stored tile polylines.
 
-exact(): the order-dependent cut of each activity, in Arrow batches by activity: the walk
-keeps a current tile, cuts each segment at its edges and goes on in the segment's end tile.
+exact(): the order-dependent cut of each activity, in Arrow batches by activity, runs of
+segments inside one tile at once: the walk keeps a current tile, cuts each segment at its edges and goes on in the segment's end tile.
 Known behaviour kept: the last point of every line is left out; a segment that misses the
 current tile is lost and only moves the walk to the tile of its start; of a segment over
 more than two tiles only the first and the last get a part.
@@ -13,7 +13,7 @@ a jump, and doesn't chain parts into polylines.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,75 +86,133 @@ def _inside(ax, ay, bx, by, box):
     return start, end
 
 
-def walk(lines: list[list[tuple[float, float]]], z: int, extent: int = EXTENT) -> dict[tuple[int, int], list[list[tuple[int, int]]]]:
-    """Polylines by tile (pixels from its bottom left) of lines of Mercator points."""
-    found: dict[tuple[int, int], list[list[tuple[int, int]]]] = {}
-    tile = box = None
+@dataclass
+class Lines:
+    """Polylines of one activity: tile and pixels of each vertex, and where each polyline ends."""
 
-    def enter(p):
-        nonlocal tile, box
-        tile = geo.point_tile(*p, z)
-        box = geo.tile_bounds(*tile, z)
+    tile: np.ndarray
+    pixel: np.ndarray
+    ends: np.ndarray
 
-    def pixel(p):
-        px = math.floor((p[0] - box[0]) / (box[2] - box[0]) * extent + 0.5)
-        py = math.floor((p[1] - box[1]) / (box[3] - box[1]) * extent + 0.5)
-        return min(max(px, 0), extent), min(max(py, 0), extent)
 
-    def close():
-        if tile in found and found[tile][-1]:
-            found[tile].append([])
+def _tiles(points: np.ndarray, z: int) -> np.ndarray:
+    return np.maximum(np.floor(2.0**z / geo.CIRCLE * (np.stack([points[:, 0] + geo.HALF, geo.HALF - points[:, 1]], 1))), 0).astype(np.int64)
+
+
+def _boxes(tiles: np.ndarray, z: int) -> np.ndarray:
+    if not len(tiles):
+        return np.zeros((0, 4))
+    uniq, at = np.unique(tiles, axis=0, return_inverse=True)
+    return np.array([geo.tile_bounds(x, y, z) for x, y in uniq.tolist()])[at.reshape(-1)]
+
+
+def _pixels(points: np.ndarray, box: np.ndarray, extent: int) -> np.ndarray:
+    box = np.atleast_2d(box)
+    return np.clip(np.floor((points - box[:, :2]) / (box[:, 2:] - box[:, :2]) * extent + 0.5), 0, extent).astype(np.int64)
+
+
+def walk(lines: list[np.ndarray], z: int, extent: int = EXTENT) -> Lines:
+    """Polylines in tiles (pixels from the bottom left) of lines of Mercator points (n, 2), in the order in which they begin.
+
+    Segments that lie wholly in the walk's tile are taken a run at a time; only those that meet its edge are looked at one by one.
+    """
+    tile, pixel, ends, open_ = [], [], [], 0
+
+    def put(where, px):
+        nonlocal open_
+        tile.append(np.broadcast_to(np.array(where), px.shape))
+        pixel.append(px)
+        open_ += len(px)
+
+    def end_line():
+        nonlocal open_
+        if open_:
+            ends.append((ends[-1] if ends else 0) + open_)
+            open_ = 0
+
+    def bounds(where):
+        return geo.tile_bounds(*where, z)
+
+    def piece(where, part):
+        put(where, _pixels(np.array(part if not open_ else part[1:]), np.array(bounds(where)), extent))
 
     for line in lines:
-        if tile is not None:
-            close()
-        tile = None
-        for a, b in zip(line, line[1:-1]):
-            if math.hypot(b[0] - a[0], b[1] - a[1]) > geo.MAX_GAP:
-                continue
-            if tile is None:
-                enter(a)
-            while True:
-                part = _inside(*a, *b, box)
-                if part is None:
-                    close()
-                    enter(a)
-                    break
-                to = found.setdefault(tile, [[]])[-1]
-                if not to:
-                    to.append(pixel(part[0]))
-                to.append(pixel(part[1]))
-                if part[1] == b:
-                    break
-                close()
-                before, a = tile, part[1]
-                enter(b)
-                if tile == before:
-                    break
-    return {t: [p for p in ps if p] for t, ps in found.items()}
-
-
-def simplify(line: list[tuple[int, int]], epsilon: float = EPSILON) -> list[tuple[int, int]]:
-    """Ramer-Douglas-Peucker with the distance to the chord as a segment; no recursion."""
-    if len(line) < 3:
-        return line
-    p = np.array(line, float)
-    keep = np.zeros(len(p), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(p) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
+        end_line()
+        a, b = line[:-2], line[1:-1]  # the last point of a line is left out
+        near = np.hypot(b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]) <= geo.MAX_GAP if len(line) > 2 else np.zeros(0, bool)
+        a, b = a[: len(near)][near], b[: len(near)][near]
+        if not len(a):
             continue
-        mid, d = p[a + 1 : b], p[b] - p[a]
-        size = float(d @ d)
-        t = np.clip((mid - p[a]) @ d / size, 0, 1) if size else np.zeros(len(mid))
-        off = np.hypot(*(mid - p[a] - t[:, None] * d).T)
-        k = int(off.argmax())
-        if off[k] > epsilon:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return [line[i] for i in np.flatnonzero(keep).tolist()]
+        ta, tb = _tiles(a, z), _tiles(b, z)
+        box = _boxes(tb, z)
+        inside = lambda p: ((p >= box[:, :2]) & (p <= box[:, 2:])).all(1)  # noqa: B023, E731
+        whole = (ta == tb).all(1) & inside(a) & inside(b)
+        pa_, pb = _pixels(a, box, extent), _pixels(b, box, extent)
+        # where a run of segments in one tile ends
+        same = np.append(whole[1:] & whole[:-1] & (tb[1:] == tb[:-1]).all(1), False)
+        stop = np.flatnonzero(~same)
+        now, i = tuple(ta[0].tolist()), 0
+        while i < len(a):
+            if whole[i] and tuple(tb[i].tolist()) == now:
+                j = int(stop[np.searchsorted(stop, i)]) + 1
+                put(now, pb[i:j] if open_ else np.concatenate([pa_[i : i + 1], pb[i:j]]))
+                i = j
+                continue
+            p, q = tuple(a[i].tolist()), tuple(b[i].tolist())
+            i += 1
+            first = _inside(*p, *q, bounds(now))
+            if first is None:  # lost: the walk only moves to where it starts
+                end_line()
+                now = geo.point_tile(*p, z)
+                continue
+            piece(now, first)
+            if first[1] == q:
+                continue
+            end_line()
+            to = geo.point_tile(*q, z)
+            if to == now:
+                continue
+            second = _inside(*first[1], *q, bounds(to))
+            if second is None:
+                now = geo.point_tile(*first[1], z)
+                continue
+            now = to
+            piece(to, second)
+            if second[1] != q:
+                end_line()
+    end_line()
+    if not tile:
+        return Lines(np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    return Lines(np.concatenate(tile), np.concatenate(pixel), np.array(ends, np.int64))
+
+
+def simplified(pixel: np.ndarray, ends: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
+    """Which vertices of polylines stay after Ramer-Douglas-Peucker, with the distance to the chord as a segment: all chords of a depth at once."""
+    keep = np.zeros(len(pixel), bool)
+    if not len(ends):
+        return keep
+    start = np.append(0, ends[:-1])
+    keep[start] = keep[ends - 1] = True
+    point = np.flatnonzero(~keep)
+    line = np.searchsorted(ends, point, "right")
+    left, right = start[line], ends[line] - 1
+    p = pixel.astype(float)
+    while len(point):
+        d, off = p[right] - p[left], p[point] - p[left]
+        size = (d * d).sum(1)
+        t = np.clip((off * d).sum(1) / np.where(size > 0, size, 1), 0, 1)
+        away = np.hypot(*(off - t[:, None] * d).T)
+        first = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(point))))
+        most = np.maximum.reduceat(away, first)
+        far = np.minimum.reduceat(np.where(away == most[owner], point, len(pixel)), first)
+        cut = far[owner]
+        keep[far[most > epsilon]] = True
+        stay = (most > epsilon)[owner] & (point != cut)
+        before = (point < cut)[stay]
+        point, left, right, cut = point[stay], left[stay], right[stay], cut[stay]
+        left, right = np.where(before, left, cut), np.where(before, cut, right)
+    return keep
 
 
 def exact(points: DataFrame, zooms: list[int] | None = None, extent: int = EXTENT, trim: float = 0.0, epsilon: float = EPSILON) -> DataFrame:
@@ -164,20 +222,23 @@ def exact(points: DataFrame, zooms: list[int] | None = None, extent: int = EXTEN
 
     def cut(table: pa.Table) -> pa.Table:
         table = table.sort_by([("part", "ascending"), ("seq", "ascending")])
-        who = table.column("activity_id")[0].as_py() if table.num_rows else None
-        part, xs, ys = (table.column(c).to_pylist() for c in ("part", "mx", "my"))
-        lines: list[list] = []
-        for i, (p, x, y) in enumerate(zip(part, xs, ys)):
-            if i == 0 or p != part[i - 1]:
-                lines.append([])
-            lines[-1].append((x, y))
-        out = [
-            {"activity_id": who, "z": z, "x": t[0], "y": t[1], "coords": [{"x": x, "y": y} for x, y in simplify(poly, epsilon)]}
-            for z in zooms
-            for t, polys in sorted(walk(lines, z, extent).items())
-            for poly in polys
-        ]
-        return pa.Table.from_pylist(out, schema=_ARROW)
+        part = table.column("part").to_numpy()
+        points = np.stack([table.column(c).to_numpy() for c in ("mx", "my")], 1)
+        lines = np.split(points, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(points) else []
+        out = []
+        for z in zooms:
+            found = walk(lines, z, extent)
+            keep = simplified(found.pixel, found.ends, epsilon)
+            size = np.diff(np.append(0, np.cumsum(keep)[found.ends - 1])) if len(found.ends) else found.ends
+            first = found.tile[np.append(0, found.ends[:-1])] if len(found.ends) else found.tile
+            order = np.lexsort((np.arange(len(size)), first[:, 1], first[:, 0]))
+            at = np.cumsum(size) - size
+            pick = np.flatnonzero(keep)[np.repeat(at[order], size[order]) + np.arange(size.sum()) - np.repeat(np.cumsum(size[order]) - size[order], size[order])]
+            px = found.pixel[pick].astype(np.int32)
+            coords = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[order])).astype(np.int32)), pa.StructArray.from_arrays([pa.array(px[:, 0]), pa.array(px[:, 1])], ["x", "y"]))
+            who = table.column("activity_id").combine_chunks().take(pa.array(np.zeros(len(size), np.int64))) if len(size) else pa.array([], pa.int64())
+            out.append(pa.Table.from_arrays([who, pa.array(np.full(len(size), z, np.int32)), *(pa.array(first[order, k].astype(np.int32)) for k in (0, 1)), coords], schema=_ARROW))
+        return pa.concat_tables(out)
 
     return kept.groupBy("activity_id").applyInArrow(cut, TILES)
 
