@@ -43,6 +43,11 @@ RUN = [("2026-01-02T10:00:00Z", -71.0, 42.0), ("2026-01-02T10:01:00Z", None, Non
 LOOP = [(13.3 + i * 0.0004, 52.5 + (i % 7) * 0.0003, 40 + i % 9, 10 * i) for i in range(60)]
 
 
+def pulled(since):
+    """A client that finds nothing."""
+    return []
+
+
 def write_folder(path) -> None:
     import gzip
 

@@ -12,8 +12,10 @@ from tests import samples
 from wayfold import cli
 from wayfold.engine import Engine
 from wayfold.functions import geo
+from wayfold.operators import activities
 from wayfold.serve import server, split_size, uploads
-from wayfold.sources import fit, polyline
+from wayfold.sources import files, fit, polyline
+from wayfold.store import VERSION, Conflict
 from wayfold.streaming import landing
 
 
@@ -35,7 +37,7 @@ def engine(spark, folder, tmp_path_factory):
 
 def props(engine, name):
     r = engine.store.activities.where(f"file like '%{name}%'").first()
-    return json.loads(r.properties)
+    return json.loads(str(r.properties))
 
 
 def kilometres(points):
@@ -87,9 +89,9 @@ def test_images(engine):
 
 def test_masks(engine, spark):
     before = engine.tile_pixels("10/550/335", 256).count()
-    engine.store.add_mask("home", 52.5, 13.31, 9000)
-    engine.store.add_mask("home", 52.5, 13.31, 9000.5)
-    assert engine.mask_lines() == ["home - 52.50000,13.31000 (radius: 9000.5m)"]
+    engine.store.add_mask("home", 52.5, 13.35, 9000)
+    engine.store.add_mask("home", 52.5, 13.35, 9000.5)
+    assert engine.mask_lines() == ["home - 52.50000,13.35000 (radius: 9000.5m)"]
     assert engine.tile_pixels("10/550/335", 256).count() < before
     engine.store.remove_mask("home")
     with pytest.raises(KeyError):
@@ -112,6 +114,57 @@ def test_keys_upsert_and_reset(spark, folder, tmp_path):
         Engine(spark, str(tmp_path / "none"), create=False)
 
 
+def test_two_writers_lose_nothing(spark, folder, tmp_path):
+    one, two = Engine(spark, str(tmp_path / "db")), Engine(spark, str(tmp_path / "db"))
+    since = one.store._latest()
+    up = lambda n: spark.createDataFrame([(n, bytearray(samples.gpx(samples.RIDE)))], "path string, content binary")
+    two.upload(up("b.gpx"))
+    with pytest.raises(Conflict):  # one began before two ended
+        one.store._write({"activities": one.store.activities.limit(0), "activity_tiles": one.store.tiles.limit(0)}, since)
+    assert one.count() == 1
+    threads = [threading.Thread(target=e.upload, args=(up(f"{n}{i}.gpx"),)) for i in range(2) for n, e in (("x", one), ("y", two))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert one.count() == two.count() == 5
+    assert not [x for x in (tmp_path / "db").iterdir() if x.name.startswith(".") and not x.name.endswith(".crc")]
+
+
+def test_older_stores_are_migrated(spark, tmp_path):
+    at = tmp_path / "db"
+    spark.sql("select 1L as id, 'f' as file, 't' as title, timestamp '2024-01-01' as start_time, '{\"a\": 1.5}' as properties, timestamp '2024-01-02' as created_at").write.parquet(str(at / "activities" / "part=x"))
+    (at / "manifest.json").write_text(json.dumps({"version": 1, "tables": {"activities": "activities/part=x"}}))
+    (at / "config.json").write_text(json.dumps({"zoom_levels": [2], "unknown": 1}))
+    e = Engine(spark, str(at), create=False)
+    assert e.store._latest()[1]["version"] == VERSION and e.count(filter="a > 1") == 1 and e.store.config().zoom_levels == [2]
+    assert [json.loads(r.value)["properties"] for r in e.json_lines().collect()] == [{"a": 1.5}]
+    e.store._next(e.store._latest()[0], {"version": VERSION + 1, "tables": {}})
+    with pytest.raises(ValueError):
+        Engine(spark, str(at))
+
+
+def test_known_files_are_not_opened(spark, folder, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "db"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a [1] {x}*.gpx").write_bytes(samples.gpx(samples.RIDE))
+    opened, real = [], files.opened
+    monkeypatch.setattr(files, "opened", lambda spark, at: (opened.append(len(at)), real(spark, at))[1])
+    assert e.import_path(str(tmp_path / "in"))["imported"] == 1 and e.import_path(str(tmp_path / "in"))["imported"] == 0
+    (tmp_path / "in" / "b.gpx").write_bytes(samples.gpx(samples.RIDE))
+    assert e.import_path(str(tmp_path / "in"))["imported"] == 1 and opened == [1, 1]
+
+
+def test_properties_are_parsed_once(spark, engine):
+    text = spark.createDataFrame([(1, '{"a": 1, "b": "x"}')], "id int, properties string").selectExpr("id", "properties", "current_timestamp() as start_time")
+    condition = "a in [1, 2, x] && (b > 3 || b like 'x%') || has? c"
+    plan = activities.matching(text, filter=condition)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1
+    plan = activities.matching(engine.store.activities, filter=condition)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse" not in plan.lower()
+    assert activities.matching(text, filter=condition).count() == 1
+
+
 def test_webhook_and_pull(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
     line = polyline.encode([(52.5 + i * 1e-3, 13.3 + i * 1e-3) for i in range(9)])
@@ -174,6 +227,9 @@ def test_cli(spark, folder, tmp_path, engine):
     run("mask", "add", "work", "52.5,13.4", "150")
     assert run("mask") == "work - 52.50000,13.40000 (radius: 150m)\n"
     run("mask", "remove", "work")
+    assert run("fetch", "mine", "--client", "tests.samples:pulled", "--lookback", "3") == "0 from mine\n"
+    with pytest.raises(ValueError):
+        run("fetch", "mine", "--client", "tests.samples:nothing")
     with pytest.raises(ValueError):
         cli.run(cli.parser().parse_args(["--in-memory", "activities"]), spark)
     with pytest.raises(FileNotFoundError):
@@ -186,7 +242,14 @@ def test_http(spark, tmp_path, monkeypatch):
     kind = "multipart/form-data; boundary=b"
     assert [n for n, _ in uploads(kind, form)] == ["a.gpx"]
     monkeypatch.setenv("WAYFOLD_UPLOAD_TOKEN", "secret")
-    s = server(Engine(spark, str(tmp_path / "db")), upload=True, render=True, cors=True)
+    monkeypatch.setenv("WAYFOLD_WEBHOOK_TOKEN", "hook")
+
+    def broken(since):
+        raise OSError("no network")
+
+    line = polyline.encode([(52.5 + i * 1e-3, 13.3 + i * 1e-3) for i in range(9)])
+    details = {1: {"id": 1, "name": "a", "map": {"polyline": line}, "start_date": "2024-05-01T10:00:00Z", "type": "Walk"}, 2: {"id": 2, "map": {"polyline": line}, "type": "VirtualRun"}}
+    s = server(Engine(spark, str(tmp_path / "db")), upload=True, render=True, cors=True, fetch=True, webhook=True, sources={"mine": lambda since: [("mine/1.fit", samples.fit(samples.LOOP))], "broken": broken}, detail=lambda owner, activity: details[activity])
     threading.Thread(target=s.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{s.server_port}"
 
@@ -214,5 +277,16 @@ def test_http(spark, tmp_path, monkeypatch):
         assert get("/tile/17/1/1")[0] == 404 and get("/tile/2/x/1")[0] == 400 and get("/tile/2/1/1@big")[0] == 400
         assert get("/api/activity-count?filter=%3D")[0] == 400
         assert "total_distance" in json.loads(get("/")[1])["properties"]
+        assert get("/fetch/mine", b"")[0] == 401
+        assert get("/fetch/mine?lookback=7", b"", **auth)[:2] == (200, b"ingested 1 activities")
+        assert get("/fetch/mine", b"", **auth)[:2] == (200, b"ingested 0 activities")
+        assert get("/fetch/other", b"", **auth)[0] == 404 and get("/fetch/broken", b"", **auth)[0] == 500 and get("/fetch/mine?lookback=x", b"", **auth)[0] == 400
+        hook = "/strava/webhook?hub.mode=subscribe&hub.challenge=abc&hub.verify_token="
+        assert json.loads(get(hook + "hook")[1]) == {"hub.challenge": "abc"} and get(hook + "no")[0] == 401
+        assert get("/strava/webhook?hub.mode=other")[0] == 400
+        event = lambda kind, i: get("/strava/webhook", json.dumps({"object_type": kind, "object_id": i, "owner_id": 5}).encode())[:2]
+        assert event("athlete", 1) == (200, b"nothing to do") and event("activity", 1) == (200, b"added!")
+        assert event("activity", 2)[0] == 204 and event("activity", 3)[0] == 500 and get("/strava/webhook", b"{")[0] == 400
+        assert get("/api/activity-count?filter=activity_type%20%3D%20Walk")[1] == b"1"
     finally:
         s.shutdown()

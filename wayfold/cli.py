@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
+import shutil
 import sys
 import tempfile
 from datetime import date
@@ -46,8 +48,15 @@ def parser() -> argparse.ArgumentParser:
     q = sub.add_parser("serve")
     q.add_argument("--host", default="127.0.0.1")
     q.add_argument("--port", type=int, default=8080)
-    for flag in ("upload", "render", "cors"):
+    for flag in ("upload", "render", "fetch", "cors"):
         q.add_argument(f"--{flag}", action="store_true")
+    q.add_argument("--strava-webhook", action="store_true")
+    q.add_argument("--client", action="append", default=[], metavar="SOURCE=MODULE:FUNCTION", help="a client that POST /fetch/SOURCE calls")
+    q.add_argument("--detail", metavar="MODULE:FUNCTION", help="the webhook's client for an activity's details")
+    q = sub.add_parser("fetch")
+    q.add_argument("source")
+    q.add_argument("--client", required=True, metavar="MODULE:FUNCTION", help="a function of a date that yields (name, content)")
+    q.add_argument("--lookback", type=int, default=30)
     q = sub.add_parser("mask")
     m = q.add_subparsers(dest="action")
     a = m.add_parser("add")
@@ -59,15 +68,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def client(name: str):
+    """The function that MODULE:FUNCTION names."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise ValueError(f"no client {name!r}: {e}") from e
+
+
 def run(args: argparse.Namespace, spark, out=sys.stdout) -> int:
     from wayfold.engine import Engine
-    from wayfold.functions.geo import parse_point
 
     reading = args.command in ("activities", "tile", "render")
     if args.in_memory and reading:
         raise ValueError("nothing to read from a store in memory")
-    path = tempfile.mkdtemp() if args.in_memory else os.path.abspath(args.db) if "://" not in args.db else args.db
-    engine = Engine(spark, path, create=not reading)
+    if args.in_memory:
+        own = tempfile.mkdtemp()
+        try:
+            return _command(args, Engine(spark, own), out)
+        finally:
+            shutil.rmtree(own, ignore_errors=True)
+    return _command(args, Engine(spark, args.db if "://" in args.db else os.path.abspath(args.db), create=not reading), out)
+
+
+def _command(args: argparse.Namespace, engine, out) -> int:
+    from wayfold.functions.geo import parse_point
+
     some = {k: getattr(args, k) for k in ("before", "after", "filter") if getattr(args, k, None) is not None}
     if args.command == "activities":
         if args.count:
@@ -96,7 +123,11 @@ def run(args: argparse.Namespace, spark, out=sys.stdout) -> int:
     elif args.command == "serve":
         from wayfold.serve import server
 
-        server(engine, args.host, args.port, upload=args.upload, render=args.render, cors=args.cors).serve_forever()
+        sources = {k: client(v) for k, _, v in (x.partition("=") for x in args.client)}
+        detail = client(args.detail) if args.detail else None
+        server(engine, args.host, args.port, sources, detail, upload=args.upload, render=args.render, fetch=args.fetch, webhook=args.strava_webhook, cors=args.cors).serve_forever()
+    elif args.command == "fetch":
+        print(f"{engine.fetch(client(args.client), date.today(), args.lookback)} from {args.source}", file=out)
     return 0
 
 

@@ -7,6 +7,7 @@ import posixpath
 from collections.abc import Callable, Iterable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ class Engine:
             if meta is not None:
                 new = metadata.enrich(new, meta)
             new = new.withColumn("properties", F.transform_values("properties", lambda _, v: rounded(v)))
-            rows = new.select("id", "file", "title", "start_time", props.object_text(F.col("properties")).alias("properties"), F.current_timestamp().alias("created_at"))
+            rows = new.select("id", "file", "title", "start_time", F.parse_json(props.object_text(F.col("properties"))).alias("properties"), F.current_timestamp().alias("created_at"))
             c = self.store.config()
             self.store.upsert(rows, tiling.exact(points, c.zoom_levels, c.tile_extent, c.trim_dist))
         finally:
@@ -56,17 +57,19 @@ class Engine:
             self.store.save(c)
         if reset:
             self.store.reset()
-        found = files.scan(self.spark, path)
+        # names first: only files that aren't known yet are opened
+        found = files.names(self.spark, path)
         meta = metadata.read(self.spark, join) if join else None
         key = F.col("path")
         if meta is not None:
             found = found.join(meta.select("path", metadata.activity_id(F.col("more")).alias("_id")), "path", "left")
             key = files.file_key(key, F.col("_id"))
-        found = found.withColumn("file", key).join(self.store.activities.select("file"), "file", "left_anti").select("file", "path", "content").persist()
-        try:
-            return self._load(files.parsed(found.select("path", "content")).join(found.select("path", "file"), "path"), meta)
-        finally:
-            found.unpersist()
+        found = found.withColumn("file", key).join(self.store.activities.select("file"), "file", "left_anti").select("file", "path", "at")
+        new = found.collect()  # names alone, as many as Spark's own list of the folder has on the driver
+        if not new:
+            return {s: 0 for s in ("imported", "skipped", "failed")}
+        named = self.spark.createDataFrame([(r["file"], r["path"]) for r in new], "file string, path string")
+        return self._load(files.parsed(files.opened(self.spark, [r["at"] for r in new])).join(named, "path"), meta)
 
     def upload(self, uploads: DataFrame) -> dict[str, int]:
         """path and content of pushed files, stored as upload:{file name}."""
@@ -95,6 +98,7 @@ class Engine:
         return acts.property_stats(self.store.activities, **conditions)
 
     def etag(self, **conditions) -> str:
+        """Of the number of activities, as it always has been."""
         return hashlib.sha256(str(self.count(**conditions)).encode()).hexdigest()[:16]
 
     def mask_lines(self) -> list[str]:
@@ -116,13 +120,14 @@ class Engine:
         drawn = self._drawn([geo.parse_tile(tile)], width, **conditions)
         return None if drawn is None else drawn.select("px", "py", "visits")
 
-    def tile(self, tile: str, width: int = 1024, color: str | None = None, gradient: str | None = None, default: str = "pinkish", **conditions) -> bytes | None:
-        """The PNG of a tile (its pixels are at most width squared, a bound of what comes to the driver); blank where nothing is."""
+    def tile(self, tile: str, width: int = 1024, color: str | None = None, gradient: str | None = None, default: str = "pinkish", drawn: bool = False, **conditions) -> bytes | None:
+        """The PNG of a tile (its pixels are at most width squared, a bound of what comes to the driver); where nothing is it is blank, or with drawn None."""
         palette = gradients.choose(color, gradient, default)
         pixels = self.tile_pixels(tile, width, **conditions)
         if pixels is None:
             return None
-        return png(raster.image([tuple(r) for r in pixels.collect()], width, palette), width, width)
+        got = _numbers(pixels)
+        return None if drawn and not len(got) else png(raster.image(got, width, palette), width, width)
 
     def render(self, bounds: str, width: int = 1024, height: int = 1024, color: str | None = None, gradient: str | None = None, default: str = "pinkish", **conditions) -> bytes:
         """The PNG of a viewport west,south,east,north, drawn as one job over its tiles and cut out around their middle."""
@@ -137,7 +142,13 @@ class Engine:
         left, top = (w - width) // 2, (h - height) // 2
         drawn = self._drawn([(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], size, **conditions)
         at = drawn.select(((F.col("tx") - x0) * size + F.col("px") - left).alias("px"), ((F.col("ty") - y0) * size + F.col("py") - top).alias("py"), "visits").where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height))
-        return png(raster.image([tuple(r) for r in at.collect()], width, palette, height), width, height)
+        return png(raster.image(_numbers(at), width, palette, height), width, height)
+
+
+def _numbers(pixels: DataFrame) -> np.ndarray:
+    """Rows of px, py, visits."""
+    got = pixels.select(*(F.col(c).cast("long") for c in ("px", "py", "visits"))).toArrow()
+    return np.stack([c.to_numpy() for c in got.columns], axis=1)
 
 
 def file_name(path: str) -> str:

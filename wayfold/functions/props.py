@@ -6,15 +6,20 @@ text, true and false count as 1 and 0, a missing or null property gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def variant(column: Column) -> Column:
-    """A JSON text column parsed once."""
+    """A JSON text column as VARIANT."""
     return F.try_parse_json(column)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: Spark would put a costly expression into each place of a filter that names it, but not through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 

@@ -1,4 +1,4 @@
-"""Listing, counting and profiling activities (id, file, title, start_time, created_at, properties as JSON)."""
+"""Listing, counting and profiling activities (id, file, title, start_time, created_at, properties as VARIANT; JSON text is parsed once a row)."""
 
 from __future__ import annotations
 
@@ -14,20 +14,27 @@ from wayfold.plans.filters import predicate
 def matching(activities: DataFrame, filter: str | None = None, before: date | None = None, after: date | None = None) -> DataFrame:
     if not filter:
         return activities.where(predicate(F.lit(None), F.col("start_time"), None, before, after))
-    parsed = activities.withColumn("_v", props.variant(F.col("properties")))
+    if is_variant(activities):
+        return activities.where(predicate(F.col("properties"), F.col("start_time"), filter, before, after))
+    parsed = props.once(activities, "_v", props.variant(F.col("properties")))
     return parsed.where(predicate(F.col("_v"), F.col("start_time"), filter, before, after)).drop("_v")
 
 
+def is_variant(activities: DataFrame) -> bool:
+    return activities.schema["properties"].dataType.typeName() == "variant"
+
+
 def count(activities: DataFrame, **conditions) -> int:
     return matching(activities, **conditions).count()
 
 
 def listing(activities: DataFrame, tiles: DataFrame, **conditions) -> DataFrame:
-    """file, title, start_time, created_at, properties and tile_count, the oldest first. An activity without tiles counts one, as it always has."""
+    """file, title, start_time, created_at, properties (JSON) and tile_count, the oldest first. An activity without tiles counts one, as it always has."""
     n = tiles.groupBy("activity_id").agg(F.countDistinct("z", "x", "y").alias("n"))
     out = matching(activities, **conditions).join(n, F.col("id") == F.col("activity_id"), "left")
     order = F.coalesce(F.col("created_at").cast("string"), F.col("start_time").cast("string"), F.col("id").cast("string"))
-    return out.select("file", "title", "start_time", "created_at", "properties", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("tile_count"), order.alias("_o")).orderBy("_o", "file").drop("_o")
+    properties = F.to_json("properties").alias("properties") if is_variant(activities) else F.col("properties")
+    return out.select("file", "title", "start_time", "created_at", properties, F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("tile_count"), order.alias("_o")).orderBy("_o", "file").drop("_o")
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -41,7 +48,8 @@ def type_class(v: Column) -> Column:
 
 def property_stats(activities: DataFrame, **conditions) -> DataFrame:
     """key, count (activities with a scalar there) and types (sorted) of every property."""
-    rows = matching(activities, **conditions).select("id", props.variant(F.col("properties")).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    v = F.col("properties") if is_variant(activities) else props.variant(F.col("properties"))
+    rows = props.once(matching(activities, **conditions).select("id", v.alias("p")), "v", F.col("p")).where(F.schema_of_variant("v").startswith("OBJECT"))
     each = rows.select("id", F.explode(F.map_entries(F.expr("cast(v as map<string, variant>)"))).alias("e")).select("id", F.col("e.key").alias("key"), props.kind(F.col("e.value")).alias("type"))
     return each.where(F.col("type").isin("string", "number", "bool")).groupBy("key").agg(F.countDistinct("id").alias("count"), F.array_sort(F.collect_set("type")).alias("types"))
 

@@ -82,8 +82,10 @@ def rasterize(tiles: DataFrame, targets: list[tuple[int, int, int]], source: int
     n = F.greatest(F.size("v") - 1, F.lit(0))
     s = lines.select("tx", "ty", F.explode(F.zip_with(F.slice("v", 1, n), F.slice("v", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     if near:
-        cover = lambda end: reduce(lambda a, b: a | b, [(F.col("tx") == t[0]) & (F.col("ty") == t[1]) & hidden(F.col(f"p.{end}.x"), F.col(f"p.{end}.y"), m) for t, m in near.items()])
-        s = s.where(~cover("a") & ~cover("b"))
+        # masks of a few tiles: a row a tile, looked up by it
+        of = tiles.sparkSession.createDataFrame([(*t, m) for t, m in near.items()], "tx long, ty long, masks array<struct<x: long, y: long, r: long>>")
+        cover = lambda end: F.exists("masks", lambda m: (F.col(f"p.{end}.x") - m["x"]) * (F.col(f"p.{end}.x") - m["x"]) + (F.col(f"p.{end}.y") - m["y"]) * (F.col(f"p.{end}.y") - m["y"]) <= m["r"])
+        s = s.join(F.broadcast(of), ["tx", "ty"], "left").where(F.col("masks").isNull() | (~cover("a") & ~cover("b"))).drop("masks")
     s = s.select("tx", "ty", *(F.col(f"p.{e}.{c}").cast("double").alias(f"{e}{c}") for e in "ab" for c in "xy")).where("not (ax = bx and ay = by)")
     t0, t1 = geo.clip(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), box)
     s = s.withColumns({"t0": t0, "t1": t1}).where("t0 is not null")
@@ -92,12 +94,10 @@ def rasterize(tiles: DataFrame, targets: list[tuple[int, int, int]], source: int
     return counted(bresenham(s, ["tx", "ty"]), ["tx", "ty"])
 
 
-def image(pixels: list, width: int, palette: np.ndarray, height: int | None = None) -> bytes:
-    """RGBA rows of (px, py, visits); pixels without a visit are transparent."""
+def image(pixels: np.ndarray, width: int, palette: np.ndarray, height: int | None = None) -> bytes:
+    """RGBA rows of an array of px, py, visits; pixels without a visit are transparent."""
     out = np.zeros((height or width, width, 4), np.uint8)
-    if pixels:
-        p = np.array(pixels, np.int64)
-        ok = (p[:, 0] >= 0) & (p[:, 0] < width) & (p[:, 1] >= 0) & (p[:, 1] < out.shape[0])
-        p = p[ok]
-        out[p[:, 1], p[:, 0]] = palette[p[:, 2]]
+    ok = (pixels[:, 0] >= 0) & (pixels[:, 0] < width) & (pixels[:, 1] >= 0) & (pixels[:, 1] < out.shape[0])
+    p = pixels[ok]
+    out[p[:, 1], p[:, 0]] = palette[p[:, 2]]
     return out.tobytes()

@@ -288,7 +288,7 @@ def heat_colored(spark, sf):
 @query(f"WITH {_heat_sql(14, 256)}, o AS (SELECT min(x) AS ox, min(y) AS oy FROM heat) SELECT ((x - ox) * 256 + px) // 16 AS cx, ((y - oy) * 256 + py) // 16 AS cy, CAST(sum(visits) AS BIGINT) AS visits, count(*) AS pixels FROM heat, o GROUP BY 1, 2")
 def viewport_mosaic(spark, sf):
     heat = _heat(spark, sf, 14, 256)
-    origin = F.broadcast(_density_origin(heat))  # one row
+    origin = F.broadcast(_density_origin(tiling.segments(points(spark, sf), 14, 256)))  # one row; a tile has pixels where it has segments
     m = heat.join(origin)
     return m.groupBy(F.expr("((x - ox) * 256 + px) div 16").alias("cx"), F.expr("((y - oy) * 256 + py) div 16").alias("cy")).agg(F.sum("visits").alias("visits"), F.count(F.lit(1)).alias("pixels"))
 
@@ -301,10 +301,12 @@ def _density_origin(heat: DataFrame) -> DataFrame:
 
 
 def event_activities(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a table of activities, with properties as the store has them: VARIANT."""
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     p = F.struct(k.alias("k"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("type"), F.col("value"), F.when(k % 3 == 0, k % 2 == 0).alias("flag"), F.when(k % 5 == 0, F.array(k)).alias("list"))
-    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("upload:"), F.col("event_id").cast("string")).alias("file"), F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("created_at"), F.to_json(p).alias("properties"))
+    rows = e.select(F.col("event_id").alias("id"), F.concat(F.lit("upload:"), F.col("event_id").cast("string")).alias("file"), F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("created_at"), p.alias("p"))
+    return props.once(rows, "properties", F.to_variant_object("p")).drop("p")
 
 
 _EVENTS = "a AS (SELECT event_id AS id, ts, k, CASE WHEN event_type <> 'error' THEN event_type END AS type, value, CASE WHEN k % 3 = 0 THEN k % 2 = 0 END AS flag FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
@@ -442,13 +444,16 @@ def stored_raster_z14(spark, sf):
     return raster.rasterize(tiles, [(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], 14, 256, 2048, [m[1:] for m in MASKS])
 
 
-@query()
+@query(f"WITH {_POINTS} SELECT activity_id, count(*) AS n, CAST(sum(seq * (CAST(round(lat * 100000) AS BIGINT) * 3 + CAST(round(lng * 100000) AS BIGINT) * 7)) AS BIGINT) AS checksum FROM points GROUP BY activity_id")
 def polyline_codec(spark, sf):
+    """Lines encoded and decoded again: number of points and a checksum of places and coordinates in 1e-5 degrees."""
     from wayfold.sources.polyline import decoded, encoded
 
     lines = points(spark, sf).groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lng"))).alias("p"))
     lines = lines.select("activity_id", F.transform("p", lambda q: F.struct(q["lat"].alias("lat"), q["lng"].alias("lng"))).alias("p"))
-    return decoded(encoded(lines, "p", "line"), "line", "q").select("activity_id", F.size("p").alias("n"), F.size("q").alias("m"))
+    back = decoded(encoded(lines, "p", "line"), "line", "q").select("activity_id", F.posexplode("q").alias("i", "d"))
+    whole = lambda c: F.round(F.col(c) * 100000).cast("long")
+    return back.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("i") + 1) * (whole("d.lat") * 3 + whole("d.lng") * 7)).alias("checksum"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -1,9 +1,14 @@
-"""A small HTTP server over an engine (standard library only)."""
+"""A small HTTP server over an engine (standard library only).
+
+Clients of outside services are passed in: sources are functions of a date that yield (name,
+content), detail is a function of (owner, activity) that returns an activity as JSON.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from datetime import date
 from email.parser import BytesParser
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -39,6 +44,9 @@ class Handler(BaseHTTPRequestHandler):
     engine = None
     flags: dict = {}
     token: str | None = None
+    secret: str | None = None
+    sources: dict[str, Callable] = {}
+    detail: Callable | None = None
 
     def log_message(self, *args) -> None:
         if self.flags.get("verbose"):
@@ -73,6 +81,8 @@ class Handler(BaseHTTPRequestHandler):
             elif parts[0] == "tile" and len(parts) == 4:
                 y, size = split_size(parts[3])
                 self.image(lambda: self.tile(f"{parts[1]}/{parts[2]}/{y}", size, look, some), some)
+            elif parts == ["strava", "webhook"] and self.flags.get("webhook"):
+                self.confirm(q)
             elif parts == ["render"] and self.flags.get("render"):
                 self.image(lambda: self.engine.render(q.get("bounds", ""), int(q.get("width", 1024)), int(q.get("height", 1024)), **look, **some), some)
             else:
@@ -80,12 +90,19 @@ class Handler(BaseHTTPRequestHandler):
         except ValueError as e:
             self.answer(400, str(e).encode())
 
+    def confirm(self, q: dict) -> None:
+        """The challenge of a service that wants to know whether this address takes its events."""
+        if q.get("hub.mode") != "subscribe":
+            self.answer(400, b"invalid mode")
+        elif not self.secret or q.get("hub.verify_token") != self.secret:
+            self.answer(401, b"invalid verify token")
+        else:
+            self.answer(200, json.dumps({"hub.challenge": q.get("hub.challenge", "")}).encode(), "application/json")
+
     def tile(self, tile: str, size: int, look: dict, some: dict) -> bytes | None:
         if geo.source_zoom(self.engine.store.config().zoom_levels, geo.parse_tile(tile)[0]) is None:
             raise LookupError
-        if self.engine.tile_pixels(tile, size, **some).isEmpty():
-            return None
-        return self.engine.tile(tile, size, **look, **some)
+        return self.engine.tile(tile, size, drawn=True, **look, **some)
 
     def image(self, draw, some: dict) -> None:
         tag = f'"{self.engine.etag(**some)}"'
@@ -101,14 +118,65 @@ class Handler(BaseHTTPRequestHandler):
         self.answer(204, **cache) if data is None else self.answer(200, data, "image/png", **cache)
 
     def do_POST(self) -> None:  # noqa: N802
-        if not self.flags.get("upload") or urlparse(self.path).path != "/upload":
-            self.answer(404)
-        elif not self.allowed():
-            self.answer(401)
-        elif (size := int(self.headers.get("Content-Length", 0))) > BODY:
+        url = urlparse(self.path)
+        parts = url.path.strip("/").split("/")
+        try:
+            if parts == ["upload"] and self.flags.get("upload"):
+                self.upload()
+            elif len(parts) == 2 and parts[0] == "fetch" and self.flags.get("fetch"):
+                self.fetch(parts[1], parse_qs(url.query))
+            elif parts == ["strava", "webhook"] and self.flags.get("webhook"):
+                self.event()
+            else:
+                self.answer(404)
+        except Exception as e:  # what fails inside is the server's fault, and the next request is served
+            self.log_error("%s", e)
+            self.answer(500, b"failed")
+
+    def body(self) -> bytes | None:
+        """None, answered, where it is too large."""
+        size = int(self.headers.get("Content-Length", 0))
+        if size > BODY:
             self.answer(413)
+            return None
+        return self.rfile.read(size)
+
+    def fetch(self, source: str, q: dict) -> None:
+        look = q.get("lookback", ["30"])[0]
+        if not self.allowed():
+            self.answer(401, b"bad token")
+        elif not look.isdigit():
+            self.answer(400, b"lookback is a number of days")
+        elif source not in self.sources:
+            self.answer(404, f"unknown or unconfigured source: {source}".encode())
+        else:
+            n = self.engine.fetch(self.sources[source], date.today(), int(look))
+            self.answer(200, f"ingested {n} activities".encode())
+
+    def event(self) -> None:
+        if (body := self.body()) is None:
+            return
+        try:
+            told = json.loads(body)
+            kind, owner, activity = told["object_type"], told.get("owner_id"), told.get("object_id")
+        except (ValueError, KeyError, TypeError, AttributeError):
+            self.answer(400)
+            return
+        if kind != "activity":
+            self.answer(200, b"nothing to do")
+            return
+        found = self.detail(owner, activity)
+        text = found if isinstance(found, str) else json.dumps(found)
+        got = self.engine.webhook(self.engine.spark.createDataFrame([(text,)], "body string"))
+        if got["imported"]:
+            self.answer(200, b"added!")
         else:
-            body = self.rfile.read(size)
+            self.answer(204 if got["skipped"] else 500)
+
+    def upload(self) -> None:
+        if not self.allowed():
+            self.answer(401)
+        elif (body := self.body()) is not None:
             try:
                 found = uploads(self.headers.get("Content-Type", ""), body)
             except ValueError:
@@ -129,7 +197,9 @@ class Handler(BaseHTTPRequestHandler):
                 self.answer(415)
 
 
-def server(engine, host: str = "127.0.0.1", port: int = 0, **flags) -> ThreadingHTTPServer:
-    """Bound, not yet serving. The upload token is WAYFOLD_UPLOAD_TOKEN of the environment."""
-    kind = type("BoundHandler", (Handler,), {"engine": engine, "flags": flags, "token": os.environ.get("WAYFOLD_UPLOAD_TOKEN")})
-    return ThreadingHTTPServer((host, port), kind)
+def server(engine, host: str = "127.0.0.1", port: int = 0, sources: dict[str, Callable] | None = None, detail: Callable | None = None, **flags) -> ThreadingHTTPServer:
+    """Bound, not yet serving. The bearer token of uploads and fetches is WAYFOLD_UPLOAD_TOKEN of the environment, the webhook's verify token WAYFOLD_WEBHOOK_TOKEN."""
+    if flags.get("webhook") and detail is None:
+        raise ValueError("a webhook needs a client for the details of activities")
+    own = {"engine": engine, "flags": flags, "token": os.environ.get("WAYFOLD_UPLOAD_TOKEN"), "secret": os.environ.get("WAYFOLD_WEBHOOK_TOKEN"), "sources": sources or {}, "detail": staticmethod(detail) if detail else None}
+    return ThreadingHTTPServer((host, port), type("BoundHandler", (Handler,), own))

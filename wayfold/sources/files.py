@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +34,18 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of one file, or of all below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
+def _reader(spark: SparkSession):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """path, and at (as Spark names it), of one file or of all below a folder; none is opened."""
+    return _reader(spark).load(path).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("path").alias("at"))
+
+
+def opened(spark: SparkSession, at: list[str]) -> DataFrame:
+    """path and content of files, whose names are no patterns."""
+    return _reader(spark).load([re.sub(r"([\\\[\]{}*?^])", r"\\\1", x) for x in at]).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
 
 
 def unzipped(files: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """The engine's tables as Parquet in one folder, with configuration, masks and versions.
 
-Every write makes a new version of a table and then names it in the store's manifest, so a
-reader sees the old version or the new one, and a failed write leaves the old one.
+Every write makes new parts of a table and then names them in the store's next manifest, a
+numbered file that is put in place by a rename which fails if another writer was first. So
+a reader sees the old version or the new one, a failed write leaves the old one, and of
+two writers the second starts over from what the first left.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import date
 
@@ -18,10 +21,19 @@ from wayfold.functions.props import round4
 from wayfold.operators import tiling
 from wayfold.operators.activities import upserted
 
-ACTIVITIES = "id long, file string, title string, start_time timestamp, properties string, created_at timestamp"
-VERSION = 2
+ACTIVITIES = "id long, file string, title string, start_time timestamp, properties variant, created_at timestamp"
+VERSION = 3
 #: Parts of a table before an upsert makes one of them.
 PARTS = 64
+#: Manifests that are kept, and times a writer starts over.
+KEPT, TRIES = 20, 10
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the store meanwhile."""
+
+
+SCHEMAS = {"activities": ACTIVITIES, "activity_tiles": tiling.TILES}
 
 
 @dataclass
@@ -49,11 +61,11 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = spark, path.rstrip("/")
         self.jvm = spark._jvm
-        if not self._exists(f"{self.path}/manifest.json"):
+        if self._latest() is None:
             if not create:
                 raise FileNotFoundError(f"no store at {path}")
-            self._put("manifest.json", {"version": VERSION, "tables": {}})
             self.save(Config())
+            self._next(0, {"version": VERSION, "tables": {}})
         self.migrate()
 
     def _fs(self, path: str):
@@ -72,23 +84,64 @@ class Store:
         finally:
             stream.close()
 
-    def _put(self, name: str, value: dict) -> None:
-        fs, p = self._fs(f"{self.path}/{name}")
-        out = fs.create(p, True)
+    def _put(self, name: str, value: dict, over: bool = True) -> None:
+        """A whole file or none. over: in place of an older one, else Conflict if there is one."""
+        fs, part = self._fs(f"{self.path}/.{uuid.uuid4().hex}")
+        out = fs.create(part, True)
         try:
             out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
         finally:
             out.close()
+        _, p = self._fs(f"{self.path}/{name}")
+        fs.mkdirs(p.getParent())
+        kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE if over else kinds.NONE
+        at = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            at.rename(fs.makeQualified(part), fs.makeQualified(p), how)
+        except Exception as e:
+            fs.delete(part, False)
+            if not over and fs.exists(p):
+                raise Conflict(name) from e
+            raise
+
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/manifests")
+        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _latest(self) -> tuple[int, dict] | None:
+        """The last manifest and its number; 0 is that of an older store."""
+        if numbers := self._numbers():
+            return numbers[-1], self._get(f"manifests/{numbers[-1]:012d}.json")
+        return (0, self._get("manifest.json")) if self._exists(f"{self.path}/manifest.json") else None
+
+    def _next(self, number: int, manifest: dict) -> None:
+        self._put(f"manifests/{number + 1:012d}.json", manifest, over=False)
+        for old in self._numbers()[:-KEPT]:
+            fs, p = self._fs(f"{self.path}/manifests/{old:012d}.json")
+            fs.delete(p, False)
 
     def migrate(self) -> None:
-        """Bring an older manifest to VERSION, one step after another; a newer one is refused."""
-        m = self._get("manifest.json")
+        """Bring an older store to VERSION, one step after another; a newer one is refused."""
+        n, m = self._latest()
         if m["version"] > VERSION:
             raise ValueError(f"the store is of version {m['version']}, newer than {VERSION}")
-        steps = {0: lambda m: m | {"tables": m.get("tables", {})}, 1: lambda m: m | {"tables": {k: [v] for k, v in m["tables"].items()}}}
+        steps = {0: lambda m: m | {"tables": m.get("tables", {})}, 1: lambda m: m | {"tables": {k: [v] for k, v in m["tables"].items()}}, 2: self._to_variant}
         while m["version"] < VERSION:
             m = steps[m["version"]](m) | {"version": m["version"] + 1}
-            self._put("manifest.json", m)
+            self._next(n, m)
+            n += 1
+
+    def _to_variant(self, m: dict) -> dict:
+        """Properties, JSON text up to version 2, parsed once and for all."""
+        parts = m["tables"].get("activities")
+        if not parts:
+            return m
+        old = self.spark.read.schema(ACTIVITIES.replace("variant", "string")).option("basePath", f"{self.path}/activities").parquet(*(f"{self.path}/{p}" for p in parts))
+        name = f"activities/part={uuid.uuid4().hex}"
+        old.withColumn("properties", F.try_parse_json("properties")).drop("part").write.parquet(f"{self.path}/{name}")
+        return m | {"tables": m["tables"] | {"activities": [name]}}
 
     # configuration
 
@@ -119,13 +172,16 @@ class Store:
     # tables
 
     def table(self, name: str) -> DataFrame:
-        schema = {"activities": ACTIVITIES, "activity_tiles": tiling.TILES}[name]
-        parts = self._get("manifest.json")["tables"].get(name)
+        schema = SCHEMAS[name]
+        parts = self._latest()[1]["tables"].get(name)
         if not parts:
-            return self.spark.createDataFrame([], schema)
+            return self._empty(name)
         columns = [c.strip().split(" ")[0] for c in schema.replace("struct<x: int, y: int>", "struct").split(",")]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in parts)).select(*columns)
 
+    def _empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], SCHEMAS[name])
+
     @property
     def activities(self) -> DataFrame:
         return self.table("activities")
@@ -134,35 +190,54 @@ class Store:
     def tiles(self) -> DataFrame:
         return self.table("activity_tiles")
 
-    def _write(self, tables: dict[str, DataFrame], append: bool = False) -> None:
-        """Write tables as new parts, in place of the old ones or beside them, then name them in the manifest."""
-        m = self._get("manifest.json")
-        old, names = dict(m["tables"]), {}
+    def _write(self, tables: dict[str, DataFrame], since: tuple[int, dict], append: bool = False) -> None:
+        """Write tables as new parts, in place of those of the manifest since or beside them, then name them in the next one."""
+        n, m = since
+        names = {}
         for name, df in tables.items():
             names[name] = f"{name}/part={uuid.uuid4().hex}"
             # tiles are read by zoom and ranges of x and y
             out = df.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.partitionBy("z") if name == "activity_tiles" else df.write
             out.parquet(f"{self.path}/{names[name]}")
-        m["tables"] |= {k: [*(old.get(k, []) if append else []), v] for k, v in names.items()}
-        self._put("manifest.json", m)
-        for name in () if append else names:
-            for part in old.get(name, []):
-                fs, p = self._fs(f"{self.path}/{part}")
-                fs.delete(p, True)
+        old = {k: m["tables"].get(k, []) for k in names}
+        try:
+            self._next(n, m | {"tables": m["tables"] | {k: [*(old[k] if append else []), v] for k, v in names.items()}})
+        except Conflict:
+            self._drop(list(names.values()))
+            raise
+        if not append:
+            self._drop(sum(old.values(), []))
+
+    def _drop(self, parts: list[str]) -> None:
+        for part in parts:
+            fs, p = self._fs(f"{self.path}/{part}")
+            fs.delete(p, True)
+
+    def _tried(self, write: Callable[[tuple[int, dict]], None]) -> None:
+        """write(latest manifest), again if another writer was first."""
+        for k in range(TRIES):
+            try:
+                return write(self._latest())
+            except Conflict:
+                if k == TRIES - 1:
+                    raise
 
     def upsert(self, activities: DataFrame, tiles: DataFrame) -> None:
         """Put activities (one row a file) and their tiles in place of those with the same file; the replaced ones' tiles go too. New files alone are added as a part, so an import costs what it brings; a replacement writes the tables anew, in one part."""
-        parts = self._get("manifest.json")["tables"].get("activities", [])
-        if len(parts) < PARTS and self.activities.join(activities.select("file"), "file", "left_semi").isEmpty():
-            self._write({"activities": activities, "activity_tiles": tiles}, append=True)
-            return
-        kept = upserted(self.activities, activities)
-        ids = kept.select(F.col("id").alias("activity_id"))
-        old = self.tiles.join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti").join(ids, "activity_id", "left_semi")
-        self._write({"activities": kept, "activity_tiles": old.unionByName(tiles.select(*old.columns))})
+
+        def write(since):
+            parts = since[1]["tables"].get("activities", [])
+            if len(parts) < PARTS and self.activities.join(activities.select("file"), "file", "left_semi").isEmpty():
+                return self._write({"activities": activities, "activity_tiles": tiles}, since, append=True)
+            kept = upserted(self.activities, activities)
+            ids = kept.select(F.col("id").alias("activity_id"))
+            old = self.tiles.join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti").join(ids, "activity_id", "left_semi")
+            return self._write({"activities": kept, "activity_tiles": old.unionByName(tiles.select(*old.columns))}, since)
+
+        self._tried(write)
 
     def reset(self) -> None:
-        self._write({"activities": self.spark.createDataFrame([], ACTIVITIES), "activity_tiles": self.spark.createDataFrame([], tiling.TILES)})
+        self._tried(lambda since: self._write({name: self._empty(name) for name in SCHEMAS}, since))
 
 
 def rounded(fragment):
