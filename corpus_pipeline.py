@@ -1,8 +1,14 @@
 """The corpus pipeline: STAGES applied in turn to documents.
 
 Each stage works on every row its predecessor kept; all but the last return the columns of
-documents. A filtering stage drops the rows whose id the operator rejects: rows that repeat
-an id share the strictest verdict, rows with a null id are never dropped by id.
+documents, extra ones too. A filtering stage drops the rows that the operator rejects. Rows
+are told apart by a 64-bit hash of all their columns, not by id: of rows that repeat an id
+each has its own verdict, rows alike in every column share it, a null id is no shelter.
+Only near duplicates go by id, as their groups are made of ids: there a row with a null id
+stays, and rows that repeat a kept id stay.
+
+Null and empty texts have too few words and go in the first stage; texts of any length are
+judged whole. Where a stage rejects every row, or there are none, the rest return none.
 """
 
 from __future__ import annotations
@@ -20,17 +26,32 @@ from wayfold.llm.packing import pack
 from wayfold.llm.quality_rules import quality
 from wayfold.llm.toxicity import fit, score
 
-#: Rejected ids that are broadcast at most (16 bytes each and a hash table: under 128 MB); more are joined by a shuffle.
+#: Rejected keys that are broadcast at most (16 bytes each and a hash table: under 128 MB); more are joined by a shuffle.
 BROADCAST = 2_000_000
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    ids = _shared.written(rejected.where("doc_id is not null").select("doc_id").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of the row's content (maps can't be hashed and don't count)."""
+    return docs.withColumn(KEY, F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map")))
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key was rejected."""
+    keys = _shared.written(rejected.where(F.col(key).isNotNull()).select(key).distinct(), name)
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _filtered(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """docs without the rows that rejected(), given them with KEY as id, returns."""
+    keyed = _keyed(docs)
+    return _without(keyed, rejected(keyed), name, KEY).drop(KEY)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality(docs, clean=True).where("not kept"), "rejected-quality")
+    return _filtered(docs, lambda d: quality(d, clean=True, id=KEY).where("not kept"), "rejected-quality")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +60,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.join(labels.where("toxic is not null"), "doc_id", "left_semi").isEmpty():
         return docs
     model = fit(docs, labels)
-    return _without(docs, score(docs, model).where("predicted = 1"), "rejected-toxic")
+    return _filtered(docs, lambda d: score(d, model, id=KEY).where("predicted = 1"), "rejected-toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +69,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"), "rejected-contaminated")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _filtered(docs, lambda d: decontaminate(d, benchmark, id=KEY).where("contaminated"), "rejected-contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
