@@ -47,7 +47,8 @@ def corpus(seed=3):
 
 
 def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("wayfold.llm.near_dedup.BLOCK", 8)  # clusters of many blocks
+    monkeypatch.setattr("wayfold.llm.near_dedup.BLOCK", 4)  # lists of many blocks
+    monkeypatch.setattr("wayfold.llm.near_dedup.MEMBERS", 5)
     rows = corpus()
     for part in (85, 80):
         want = brute(rows, part, 100)
@@ -59,16 +60,58 @@ def test_equals_brute_force(spark, monkeypatch):
 
 
 def test_nulls_repeats_and_nothing(spark):
-    rows = [(None, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "a b c d e f", 3), (4, "A b c d e f", 4), (3, None, 5)]
+    rows = [(None, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "a b c d e f", 3), (4, "A b c d e f", 4), (3, None, 5), (4, "p q r s t u", 6), (9, "p q r s t u", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id int").withColumnRenamed("id", "n")
     got = sorted(near_duplicates(df).collect(), key=str)
-    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == sorted([(3, 0, 3, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (None, 0, None, True)], key=str)
+    want = [(3, 0, 3, True), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (9, 2, 4, False), (None, 2, None, True)]
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got] == sorted(want, key=str)
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_links_needs_whole_sets():
-    from wayfold.llm.near_dedup import links
+def test_a_group_far_from_its_head_is_open(spark):
+    """Copies of copies: the list's head reaches only some, the rest are found in blocks."""
+    rnd = random.Random(8)
+    words = ["v%d" % i for i in range(5000)]
+    now, rows = rnd.choices(words, k=300), []
+    for i in range(40):
+        rows.append((i, " ".join(now)))
+        for _ in range(4):
+            now[rnd.randrange(len(now))] = rnd.choice(words)
+    want = brute(rows, 80, 100)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_chained_classes_ship_no_sets(spark, monkeypatch):
+    """Each text shares one passage with the next: all would be one cluster, but no pair is near."""
+    import wayfold.llm.near_dedup as near
+
+    shipped = []
+    kept = near._shipped
+    monkeypatch.setattr(near, "_shipped", lambda docs, classes, nodes, b, n: (shipped.append(nodes.count()), kept(docs, classes, nodes, b, n))[1])
+    rnd = random.Random(4)
+    part = lambda: ["u%d" % rnd.randrange(10**6) for _ in range(60)]
+    links = [part() for _ in range(301)]
+    rows = [(i, " ".join(links[i] + part() + part() + links[i + 1])) for i in range(300)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()
+    assert all(r.kept for r in got) and sum(shipped) == 0
+
+
+def test_estimate_uses_the_unions_least_values():
+    from wayfold.llm.near_dedup import padded, passes
+
+    a = np.arange(64, dtype=np.uint64)
+    half = np.concatenate([np.arange(0, 64, 2, dtype=np.uint64), np.arange(1000, 1032, dtype=np.uint64)])
+    x = padded([s.tobytes() for s in (a, a, a[:10])], 64)
+    y = padded([s.tobytes() for s in (a, half, a[:5])], 64)
+    # of the 64 least of each union: 64 shared, 32, and 5 of 10
+    for part, want in ((100, [True, False, False]), (50, [True, True, True]), (51, [True, False, False])):
+        assert passes(x, y, part, 100, 0.0).tolist() == want
+
+
+def test_forest_needs_whole_sets():
+    from wayfold.llm.near_dedup import forest
 
     a = np.arange(100, dtype=np.uint64)
-    got = links([a, np.append(a[:92], np.arange(900, 908, dtype=np.uint64)), a + np.uint64(500)], np.zeros(3), 85, 100)
+    got = forest([a, np.append(a[:92], np.arange(900, 908, dtype=np.uint64)), a + np.uint64(500)], ~np.eye(3, dtype=bool), 85, 100)
     assert got.tolist() == [0, 0, 2]

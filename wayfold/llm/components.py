@@ -17,7 +17,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round's edges are written to the shared folder, so lineage stays short and a lost
     executor costs one round. Rounds grow with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     now = _shared.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
@@ -27,7 +26,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = _shared.written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         low = _shared.written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = _shared.written(small.where("a != b").distinct(), name)
+        old, now = now, _shared.written(small.where("a != b").distinct(), name)
+        _shared.drop(old, least, large, low)
         stats = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(stats) == mark:
             break
