@@ -57,3 +57,11 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate(docs, items).collect()] == [(1, 2, 0, 0)]
     assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    item = " ".join("b%d" % i for i in range(20))
+    docs = spark.createDataFrame([(1, item, 1, "x", "y"), (2, "a " * 400_000 + item, 1, "x", "y")], "doc_id long, text string, id int, item_id string, spans string")
+    items = spark.createDataFrame([(7, item, 5, "k")], "item_id long, text string, doc_id int, mark string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (20, 20, 1, True), 2: (400_020, 20, 1, False)}

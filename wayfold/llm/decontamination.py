@@ -7,8 +7,8 @@ so each shared run of SPAN words leaves the same fingerprint on both sides: none
 The benchmark's fingerprints and windows (with their items) are sorted arrays in the
 shared folder, whatever their number; tasks map them and join the documents' fingerprints
 to them, so no document is shuffled and nothing is broadcast. A hit is extended to the
-windows whose least K-gram it is, which are compared by the hash of all their words, and
-these cover words. Items shorter than SPAN are looked up by their whole length.
+windows whose least K-gram it is, which are looked up by the hash of all their words and
+then compared word by word, and these cover words. Items shorter than SPAN are looked up by their whole length.
 
 Nulls: a null text has no words and hits nothing; a null id is kept; items with a null id
 or text are no items. Repeated rows are judged each; a repeated item id is one item with
@@ -54,17 +54,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
 
     def windows(batches):
         for batch in _arrays.slices(batches):
-            w = words(*flat(batch.column("text")), "alnum")
+            data, at = flat(batch.column("text"))
+            w = words(data, at, "alnum")
             g, first = grams(w, span, short=True)
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
             size = np.minimum(w.count, span)[row]
             # windows come in the order of their texts, one for each start
             start = np.arange(len(g)) - first[:-1][row] + w.first[:-1][row]
             low = least(w, k, span - k + 1)
+            texts = [_window(w, data, i, n) for i, n in zip(start.tolist(), size.tolist(), strict=True)]
             mark = np.where(size == span, low[np.minimum(start, max(len(low) - 1, 0))] if len(low) else U(0), U(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_arrays.bucket(g, b).astype(np.int64)), pa.array(g.view(np.int64)), pa.array(size), pa.array(mark.view(np.int64)), batch.column("item").take(pa.array(row))], ["bucket", "key", "size", "mark", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(_arrays.bucket(g, b).astype(np.int64)), pa.array(g.view(np.int64)), pa.array(size), pa.array(mark.view(np.int64)), batch.column("item").take(pa.array(row)), pa.array(texts, pa.binary())], ["bucket", "key", "size", "mark", "item", "words"])
 
-    found = _shared.written(items.mapInArrow(windows, "bucket long, key long, size long, mark long, item string").distinct(), "benchmark-windows")
+    found = _shared.written(_arrays.run(items, windows, "bucket long, key long, size long, mark long, item string, words binary").distinct(), "benchmark-windows")
     lengths = sorted(r["size"] for r in found.where(F.col("size") < span).select("size").distinct().collect())  # fewer than span values
     path = _shared.folder(spark, "benchmark")
 
@@ -72,7 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
         for batch in batches:
             yield _arrays.rows(*_arrays.counted(batch.column("mark").to_numpy().view(U)), b)
 
-    fingerprints = _arrays.sizes(_arrays.store(found.where(F.col("size") == span).select("mark").distinct().mapInArrow(marks, _arrays.BLOBS), f"{path}/marks", b))
+    fingerprints = _arrays.sizes(_arrays.store(_arrays.run(found.where(F.col("size") == span).select("mark").distinct(), marks, _arrays.BLOBS), f"{path}/marks", b))
 
     def index(batches):
         for i, held in _arrays.by_bucket(batches):
@@ -81,15 +83,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
             key = key[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             _arrays.save(f"{path}/windows", i, keys=key[at], counts=np.diff(np.append(at, len(key))), start=at.astype(np.int64))
-            _shared.write(f"{path}/windows/items-{i}.arrow", [_strings([held[j]["item"] for j in order.tolist()])])
+            _shared.write(f"{path}/windows/items-{i}.arrow", [_strings([held[j]["item"] for j in order.tolist()], [held[j]["words"] for j in order.tolist()])])
             yield pa.RecordBatch.from_pylist([{"bucket": i, "n": len(at)}])
 
-    sizes = _arrays.sizes(found.select("bucket", "key", "item").distinct().repartition(1 << b, "bucket").sortWithinPartitions("bucket").mapInArrow(index, "bucket long, n long"))
+    sizes = _arrays.sizes(_arrays.run(found.select("bucket", "key", "item", "words").distinct().repartition(1 << b, "bucket").sortWithinPartitions("bucket"), index, "bucket long, n long"))
 
     def judge(batches):
         marked, store = _arrays.arrays(f"{path}/marks", b, fingerprints), _arrays.arrays(f"{path}/windows", b, sizes)
         for batch in _arrays.slices(batches):
-            w = words(*flat(batch.column("text")), "alnum")
+            data, off = flat(batch.column("text"))
+            w = words(data, off, "alnum")
             count, ends = w.count, w.first[1:]
             row = w.text_of()
             tries = []
@@ -106,24 +109,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
                 at = at[at + n <= ends[row]]
                 tries.append((at, gram_at(w, at, n), n))
             cover = np.zeros(len(w.hash) + 1, np.int64)
-            pairs = []
+            own: dict[int, set[str]] = {}
             for at, h, n in tries:
                 uniq = _arrays.counted(h)[0]
                 hit = (store.find(uniq)[0] >= 0)[Index(uniq).find(h)[0]] if len(h) else np.zeros(0, bool)
                 at, h = at[hit], h[hit]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + n, -1)
-                pairs.append(np.stack([row[at].astype(U), h]))
+                known = _items(store, _arrays.counted(h)[0].tolist())
+                same = np.zeros(len(at), bool)
+                for j, (i, key) in enumerate(zip(at.tolist(), h.tolist(), strict=True)):
+                    if names := known[key].get(_window(w, data, i, n)):
+                        same[j] = True
+                        own.setdefault(int(row[i]), set()).update(names)
+                np.add.at(cover, at[same], 1)
+                np.add.at(cover, at[same] + n, -1)
             inside = np.cumsum(cover[:-1]) > 0
             n_hit = sum_by(w.first, inside.astype(np.int64))
-            own: dict[int, list[int]] = {}
-            for r, h in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else []:
-                own.setdefault(r, []).append(h)
             n_items, digest, spans = np.zeros(batch.num_rows, np.int64), [_EMPTY] * batch.num_rows, [[] for _ in range(batch.num_rows)]
-            known = _items(store, sorted({h for hs in own.values() for h in hs}))
-            for r, hs in own.items():
-                names = sorted(set().union(*(known[h] for h in hs)))
-                n_items[r], digest[r] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+            for r, names in own.items():
+                n_items[r], digest[r] = len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
                 x = np.diff(inside[w.first[r] : w.first[r + 1]].astype(np.int8), prepend=0, append=0)
                 spans[r] = [{"start": a, "end": z} for a, z in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -132,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
             )
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
-    out = _shared.written(docs.mapInArrow(judge, schema).withColumnRenamed("id", id), "decontaminated")
+    out = _shared.written(_arrays.run(docs, judge, schema).withColumnRenamed("id", id), "decontaminated")
     _shared.remove(spark, path)
     return out
 
@@ -140,21 +143,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _strings(x: list[str]) -> bytes:
+def _window(w, data: np.ndarray, at: int, n: int) -> bytes:
+    """The n words from a place on, lower-cased (A-Z) and set apart by single spaces."""
+    return b" ".join(data[a:z].tobytes().lower() for a, z in zip(w.start[at : at + n].tolist(), w.end[at : at + n].tolist(), strict=True))
+
+
+def _strings(items: list[str], texts: list[bytes]) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.large_string())], ["item"])
+    batch = pa.RecordBatch.from_arrays([pa.array(items, pa.large_string()), pa.array(texts, pa.large_binary())], ["item", "words"])
     with pa.ipc.new_file(sink, batch.schema) as f:
         f.write_batch(batch)
     return sink.getvalue()
 
 
-def _items(store: _arrays.Arrays, keys: list[int]) -> dict[int, set[str]]:
-    """The items of each window; the strings are mapped too."""
+def _items(store: _arrays.Arrays, keys: list[int]) -> dict[int, dict[bytes, set[str]]]:
+    """The windows with each hash, by their words, and their items; the strings are mapped too."""
     h = np.array(keys, U)
     place, start, count = store.find(h, "start", "counts")
-    out: dict[int, set[str]] = {}
+    out: dict[int, dict[bytes, set[str]]] = {}
     for key, b, a, n in zip(keys, _arrays.bucket(h, store.n).tolist(), start.tolist(), count.tolist(), strict=True):
         if ("items", b) not in store.open:
-            store.open["items", b] = pa.ipc.open_file(pa.memory_map(_shared.fetched(f"{store.path}/items-{b}.arrow"))).get_batch(0).column(0)
-        out[key] = set(store.open["items", b].slice(a, n).to_pylist())
+            store.open["items", b] = pa.ipc.open_file(pa.memory_map(_shared.fetched(f"{store.path}/items-{b}.arrow"))).get_batch(0)
+        some = store.open["items", b].slice(a, n)
+        for name, text in zip(some.column("item").to_pylist(), some.column("words").to_pylist(), strict=True):
+            out.setdefault(key, {}).setdefault(text, set()).add(name)
     return out
