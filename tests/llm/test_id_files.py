@@ -24,7 +24,38 @@ def test_blocks_round_trip(top, monkeypatch):
         for i in range(len(blocks)):  # each alone
             part = ids[i * 200 : i * 200 + 200]
             assert np.array_equal(id_coder.decode(np.frombuffer(blocks[i], np.uint8), np.array([len(blocks[i])]), len(part), width), part)
-    assert len(id_coder.encode(np.zeros(200, np.uint32), 4)[0]) < 20
+    assert len(id_coder.encode(np.zeros(200, np.uint32), 4)[0]) < 40
+
+
+def test_carries_and_rare_ids_survive(monkeypatch):
+    """Predictions broken as late as can be, and ids of every size, in blocks of many shapes."""
+    monkeypatch.setattr(id_coder, "BLOCK", 500)
+    rng = np.random.default_rng(9)
+    for seed in range(40):
+        n = int(rng.integers(1, 1500))
+        ids = np.where(rng.random(n) < rng.random(), rng.integers(0, 50_257, n), int(rng.choice([0, 1, 50_256]))).astype(np.uint32)
+        blocks = id_coder.encode(ids, 4)
+        assert np.array_equal(id_coder.decode(np.frombuffer(b"".join(blocks), np.uint8), np.cumsum([len(b) for b in blocks]), n, 4), ids)
+        assert all(len(b) % 4 == 0 for b in blocks)
+    with pytest.raises(ValueError):
+        id_coder.nibbles(1 << 24)
+
+
+def test_orders_one_and_two_predict():
+    """Repeated phrases cost far less than their ids' entropy, over 8 bits each."""
+    rng = np.random.default_rng(3)
+    phrases = rng.integers(0, 50_000, (30, 12))
+    ids = phrases[rng.integers(0, 30, 2000)].reshape(-1).astype(np.uint32)
+    assert 8 * sum(map(len, id_coder.encode(ids, 4))) < 7 * len(ids)
+
+
+def test_files_follow_the_inputs_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("wayfold.llm.id_files.FILE", 2000)
+    docs = spark.createDataFrame([(i, "some words here " * 20, "x", 1) for i in range(100)], "doc_id long, text string, ids string, tokens int")
+    path = f"file://{tmp_path}/many"
+    files = write_ids(docs, path, P.path("byte_bpe_50k.json")).collect()
+    assert len(files) >= 12 and max(f.n_docs for f in files) < 30
+    assert read_ids(spark, path, [(f.file, f.n_ids) for f in files]).count() == 100
 
 
 def test_files_round_trip_and_damage(spark, tmp_path):

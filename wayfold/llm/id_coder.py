@@ -1,224 +1,249 @@
-"""Arithmetic coding of token ids in independent blocks, many blocks in step.
+"""Adaptive range coding of token ids in independent blocks, many blocks in step.
 
 Each block starts from an empty model and is coded alone. What drives the coder:
 
 order 2 and 1: tables of the id that last followed the last two ids, or the last one, each
-with how often it was right in a row. Their chance to be right is learned by that number.
-order 0: how often an id occurred in the block so far, and adaptive frequencies of the
-parts (nibbles) of an id after the parts before.
-
-An id is coded as "the order-2 prediction", "the order-1 prediction" or "neither", then in
-the last case by its nibbles (the last one evenly). The chances of the first symbol are a
-mixture of what the three orders give, with weights that follow how well each did
-(Bayesian, per block). All arithmetic is +, *, / of doubles and integers in a fixed order,
-so every machine decodes what another wrote.
-
-The blocks of a call are coded in lockstep by numpy: one step codes the next id of each.
-The coder is a 64-bit carry-less range coder that shifts bytes out once an id.
+with how often it was right in a row, which gives its chance to be right again.
+order 0: the id that is the majority of the block so far, with the share of its hits; and
+adaptive cumulative frequencies of the parts (nibbles) of an id after the parts before.
+
+An id is coded as "the order-2 prediction", "the order-1 prediction", "the order-0
+prediction" or "none of them", then in the last case by its nibbles (the last one evenly).
+The chances of the first symbol are a mixture of what the three orders give, with weights
+that follow how well each did (Bayesian, per block). All arithmetic is +, *, / of doubles
+and integers in a fixed order, so every machine decodes what another wrote.
+
+The blocks of a call are coded in lockstep by numpy: one step codes the next id of each. The
+tables of a block take 7 KB and are touched a few times a step, for what a step costs is
+mostly their way through the caches. The range coder works in 64 bits and puts out 32-bit
+words; carries are added up when a block ends.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Ids in a block, and blocks coded in step.
+#: Ids in a block, and blocks coded in step: many, as what numpy's calls cost is shared by them.
 BLOCK = 2048
-LANES = 2048
+LANES = 4096
 
-#: Tables of a block: small, so that those of all lanes stay in the processor's caches.
+U = np.uint64
 _SLOTS = 1 << 9
+#: Contexts of a nibble after two or more others, by hash.
 _PREFIX = 63
-_TOP, _BOT = np.uint64(1 << 56), np.uint64(1 << 48)
-_1, _8, _56 = np.uint64(1), np.uint64(8), np.uint64(56)
-BITS = 46
-#: Bits of the total frequency of the first symbol and of a nibble.
-_FIRST, _NIBBLE = 12, 10
-_ROOM = 1 << _NIBBLE
-_INC = 32
-_STEPS = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16) * _INC
-
-
-class Coder:
-    """The range coder of some blocks, to write or to read: 64-bit, carry-less. Symbols of up to BITS bits of total frequency may pass between two settlings."""
-
-    def __init__(self, lanes: int, data: np.ndarray | None = None, start: np.ndarray | None = None, room: int = 0):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-        self.reading = data is not None
-        if self.reading:
-            self.data, self.at = np.append(data, np.zeros(16, np.uint8)), start.copy()
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(8):
-                self.code = (self.code << _8) | self.data[np.minimum(self.at, len(data))]
-                self.at += 1
-        else:
-            self.out, self.at = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
-
-    def take(self, ix: np.ndarray | slice, total) -> np.ndarray:
-        """Where each block's code points, below total; call narrow() with the symbol found there."""
-        self.unit = self.range[ix] // total
-        return np.minimum((self.code[ix] - self.low[ix]) // self.unit, total - _1)
-
-    def narrow(self, ix: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, total) -> None:
-        unit = self.unit if self.reading else self.range[ix] // total
-        self.low[ix] += cum * unit
-        self.range[ix] = freq * unit
-
-    def settle(self, k: int) -> None:
-        """Shift out the settled bytes of the first k blocks."""
-        on = np.arange(k)
-        l, r = self.low[:k], self.range[:k]
-        while True:
-            same = (l ^ (l + r)) < _TOP
-            go = np.flatnonzero(same | (r < _BOT))
-            if not len(go):
-                return
-            on, l, r, tight = on[go], l[go], r[go], ~same[go]
-            if tight.any():
-                r[tight] = (~l[tight] + _1) & (_BOT - _1)
-            if self.reading:
-                self.code[on] = (self.code[on] << _8) | self.data[self.at[on]]
-            else:
-                self.out[on, self.at[on]] = l >> _56
-            self.at[on] += 1
-            l, r = l << _8, r << _8
-            self.low[on], self.range[on] = l, r
+#: Bits of the total frequency of the first symbol and of a nibble; least frequency of a nibble.
+_FIRST, _NIBBLE, _LEAST = 12, 14, 2
+_WORD, _LOW = U(1 << 32), U((1 << 32) - 1)
+_32, _4 = U(32), U(4)
+_RUN = 24
+#: Chance that a prediction is right which was so many times in a row before; 0: never met.
+_CHANCE = np.array([0.0, 0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.92], np.float32)
+#: A row has the lower bounds of its nibbles. It moves by a power of a half towards what came, by more in a block's first steps.
+_RATES = ((32, np.int16(3)), (160, np.int16(4)), (700, np.int16(5)), (BLOCK, np.int16(6)))
+_TO = np.array([[_LEAST * i if i <= s else (1 << _NIBBLE) - _LEAST * (16 - i) for i in range(16)] for s in range(16)], np.int16)
+_EVEN = np.array([i << (_NIBBLE - 4) for i in range(16)], np.int16)
+
+
+class Writer:
+    """The range coder of some blocks. A symbol's place is cum and freq of 2**bits."""
+
+    def __init__(self, lanes: int, room: int):
+        self.lanes, self.low, self.range = lanes, np.zeros(lanes, U), np.full(lanes, ~U(0))
+        self.out, self.at = np.zeros(room * lanes, U), np.zeros(lanes, np.int64)
+
+    def narrow(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
+        """Moves low (of lanes ix) in place and returns the new range."""
+        unit = size >> bits
+        add = cum * unit
+        low += add
+        over = np.flatnonzero(low < add)
+        if len(over):  # a carry goes into the last word
+            over = ix[over]
+            self.out[(self.at[over] - 1) * self.lanes + over] += U(1)
+        return freq * unit
+
+    def settle(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+        go = np.flatnonzero(size < _WORD)
+        if len(go):
+            lane, l = ix[go], low[go]
+            self.out[self.at[lane] * self.lanes + lane] = l >> _32
+            self.at[lane] += 1
+            low[go] = l << _32
+            size[go] <<= _32
 
     def blocks(self) -> list[bytes]:
-        out = []
-        for i, (n, low) in enumerate(zip(self.at.tolist(), self.low.tolist(), strict=True)):
-            out.append(self.out[i, :n].tobytes() + int(low).to_bytes(8, "big"))
-        return out
+        lane = np.arange(self.lanes)
+        for word in (self.low >> _32, self.low & _LOW):
+            self.out[self.at * self.lanes + lane] = word
+            self.at += 1
+        out = self.out.reshape(-1, self.lanes)[: int(self.at.max())]
+        for i in range(len(out) - 1, 0, -1):
+            out[i - 1] += out[i] >> _32
+            out[i] &= _LOW
+        whole = np.ascontiguousarray(out.T.astype(">u4"))
+        return [row[:n].tobytes() for row, n in zip(whole, self.at.tolist(), strict=True)]
+
+
+class Reader:
+    """The range coder of some blocks that start at these words; its low is the code less what was taken from it."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray):
+        self.words, self.at = np.append(words, np.zeros(2, np.uint32)), start + 2
+        self.low = self._next(start) << _32 | self._next(start + 1)
+        self.range = np.full(len(start), ~U(0))
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return self.words[np.minimum(at, len(self.words) - 1)].astype(U)
+
+    def point(self, low: np.ndarray, size: np.ndarray, bits) -> np.ndarray:
+        """Where the code points, below 2**bits."""
+        return np.minimum(low // (size >> bits), (U(1) << bits) - U(1))
+
+    def narrow(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
+        unit = size >> bits
+        low -= cum * unit
+        return freq * unit
+
+    def settle(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+        go = np.flatnonzero(size < _WORD)
+        if len(go):
+            lane = ix[go]
+            low[go] = low[go] << _32 | self._next(self.at[lane])
+            size[go] <<= _32
+            self.at[lane] += 1
 
 
 class Model:
     """The model of some blocks; rows of its tables are lanes."""
 
-    def __init__(self, lanes: int, nibbles: int):
-        self.n = lanes
-        self.next = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        # chance to be right after so many times in a row, 0: never met (no chance)
-        self.right = [np.tile(np.array([0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.93, 0.95]), lanes) for _ in range(2)]
-        self.often = np.zeros(lanes * _SLOTS, np.uint16)
-        self.weight = np.tile(np.array([0.5, 0.3, 0.2]), (lanes, 1))
-        self.nibbles = nibbles
-        self.contexts = 1 + 16 + (_PREFIX + 1) * (nibbles - 3)
-        self.rows = np.tile((np.arange(17) * 8).astype(np.uint16), (lanes * self.contexts, 1))
-
-    def guess(self, k: int, p1: np.ndarray, p2: np.ndarray, step: int):
-        """Predictions of orders 2 and 1 for the first k lanes and the mixed chances of each."""
-        lane = np.arange(k)
-        self.slot = [lane * _SLOTS + ((p1 * 40503 + p2 * 30011 + (p2 >> 5)) & (_SLOTS - 1)), lane * _SLOTS + ((p1 * 40503 + (p1 >> 7)) & (_SLOTS - 1))]
-        self.a, self.b = (t[s] for t, s in zip(self.next, self.slot, strict=True))
-        self.ca, self.cb = (t[s] for t, s in zip(self.sure, self.slot, strict=True))
-        self.ra, self.rb = (t[lane * 8 + c] for t, c in zip(self.right, (self.ca, self.cb), strict=True))
-        self.same = self.a == self.b
-        fa = self.often[lane * _SLOTS + (self.a & (_SLOTS - 1))] / (step + 4.0)
-        fb = self.often[lane * _SLOTS + (self.b & (_SLOTS - 1))] / (step + 4.0)
-        w = self.weight[:k]
-        # chance of a, then of b, by order 2, 1 and 0
-        self.pa = (self.ra, np.where(self.same, self.rb, 0.0), fa)
-        self.pb = (np.zeros(k), np.where(self.same, 0.0, self.rb), np.where(self.same, 0.0, fb))
-        qa = self.pa[0] * w[:, 0] + self.pa[1] * w[:, 1] + self.pa[2] * w[:, 2]
-        qb = self.pb[1] * w[:, 1] + self.pb[2] * w[:, 2]
-        a = np.minimum((qa * 4060.0).astype(np.int64) + 2, 4080)
-        b = np.where(self.same, 0, np.minimum((qb * 4060.0).astype(np.int64) + 2, 4090 - a))
-        return a.astype(np.uint64), b.astype(np.uint64)
-
-    def learn(self, k: int, ids: np.ndarray) -> None:
-        lane = np.arange(k)
-        ha = self.a == ids
-        hb = self.b == ids
-        like = [np.where(ha, pa, np.where(hb, pb, 1.0 - pa - pb)) + 0.02 for pa, pb in zip(self.pa, self.pb, strict=True)]
-        w = self.weight[:k]
-        w0, w1, w2 = w[:, 0] * like[0] + 0.002, w[:, 1] * like[1] + 0.002, w[:, 2] * like[2] + 0.002
-        total = w0 + w1 + w2
-        w[:, 0], w[:, 1], w[:, 2] = w0 / total, w1 / total, w2 / total
-        for right, hit, c, slot, nxt, sure in zip(self.right, (ha, hb), (self.ca, self.cb), self.slot, self.next, self.sure, strict=True):
-            at = lane * 8 + c
-            right[at] += np.where(c > 0, (hit - right[at]) * 0.03, 0.0)
-            sure[slot] = np.where(hit, np.minimum(c + 1, 7), 1)
-            nxt[slot] = ids
-        self.often[lane * _SLOTS + (ids & (_SLOTS - 1))] += 1
-
-    def nibble_rows(self, ix: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        own = 0 if level == 0 else 1 + prefix if level == 1 else 17 + (_PREFIX + 1) * (level - 2) + ((prefix ^ (prefix >> 6)) & _PREFIX)
-        return ix * self.contexts + own
-
-    def learn_nibble(self, rows: np.ndarray, sym: np.ndarray) -> None:
-        got = self.rows[rows] + _STEPS[sym]
-        full = got[:, 16] >= _ROOM - _INC
-        if full.any():
-            got[full] = (got[full] >> 1) + np.arange(17, dtype=np.uint16)
-        self.rows[rows] = got
+    def __init__(self, lanes: int, width: int):
+        self.lane = np.arange(lanes)
+        self.base = self.lane * _SLOTS
+        self.tables = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
+        self.major, self.lead, self.share = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32), np.full(lanes, 0.05, np.float32)
+        self.weights = [np.full(lanes, w, np.float32) for w in (0.5, 0.3, 0.2)]
+        self.contexts = 1 + 16 + (_PREFIX + 1) * (width - 3)
+        self.rows = np.tile(_EVEN, (lanes * self.contexts, 1))
+
+    def guess(self, k: int, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
+        """Frequencies of "order 2", "order 1" and "order 0" for the first k lanes."""
+        h = p1 * np.uint32(40503)
+        last = np.uint32(_SLOTS - 1)
+        self.slots = [self.base[:k] + ((h + p2 * np.uint32(30011) + (p2 >> np.uint32(5))) & last), self.base[:k] + ((h + (p1 >> np.uint32(7))) & last)]
+        met = [t.take(s) for t, s in zip(self.tables, self.slots, strict=True)]
+        self.runs = [x >> np.uint32(_RUN) for x in met]
+        self.ids = [*(x & np.uint32((1 << _RUN) - 1) for x in met), self.major[:k]]
+        a, b, c = self.ids
+        self.chance = [*(_CHANCE.take(r) for r in self.runs), self.share[:k]]
+        qa, qb, qc = (w[:k] * q for w, q in zip(self.weights, self.chance, strict=True))
+        ab, ac, bc = a == b, a == c, b == c
+        full = np.float32(4000.0)
+        fa = ((qa + ab * qb + ac * qc) * full).astype(np.int32) + 2
+        fb = (((qb + bc * qc) * full).astype(np.int32) + 2) * ~ab
+        fc = ((qc * full).astype(np.int32) + 2) * ~(ac | bc)
+        return [fa, fb, fc]
+
+    def learn(self, k: int, ids: np.ndarray, none: np.ndarray) -> None:
+        """ids came; none: where no prediction was right."""
+        hits = [x == ids for x in self.ids]
+        one, some, more = np.float32(1.0), np.float32(0.02), np.float32(0.002)
+        like = [w[:k] * (np.abs(q - ~hit) * (hit | none) + some) + more for w, hit, q in zip(self.weights, hits, self.chance, strict=True)]
+        scale = one / (like[0] + like[1] + like[2])
+        for w, x in zip(self.weights, like, strict=True):
+            np.multiply(x, scale, out=w[:k])
+        for table, slot, hit, run in zip(self.tables, self.slots, hits, self.runs, strict=False):
+            table[slot] = ids | ((np.minimum(run, np.uint32(6)) * hit + np.uint32(1)) << np.uint32(_RUN))
+        hit, share, lead = hits[2], self.share[:k], self.lead[:k]
+        share += (hit - share) * some
+        lead += hit.astype(np.int32) * np.int32(2) - np.int32(1)
+        np.copyto(self.major[:k], ids, where=lead < 0)
+        np.abs(lead, out=lead)
+
+    def place(self, ix: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
+        """The rows of a nibble after the ones before it."""
+        at = ix * self.contexts
+        if level == 1:
+            at += prefix + 1
+        elif level > 1:
+            at += ((prefix ^ (prefix >> 6)) & _PREFIX) + (17 + (_PREFIX + 1) * (level - 2))
+        return at
+
+    def move(self, rows: np.ndarray, row: np.ndarray, sym: np.ndarray, rate: np.int16) -> None:
+        step = _TO.take(sym, 0)
+        step -= row
+        step >>= rate
+        step += row
+        self.rows[rows] = step
 
 
 def nibbles(top: int) -> int:
-    """Nibbles of the largest id, 4 at least."""
+    """Nibbles of the largest id, 4 at least; ids have 24 bits."""
+    if top >= 1 << _RUN:
+        raise ValueError("ids of more than 24 bits")
     return max(4, -(-int(top).bit_length() // 4))
 
 
-def _walk(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None, start: np.ndarray) -> np.ndarray:
+def _walk(coder: Writer | Reader, sizes: np.ndarray, width: int, ids: np.ndarray | None, start: np.ndarray) -> np.ndarray:
     """Codes (ids given) or decodes blocks of these sizes, the longest first; returns the ids, block after block."""
     lanes = len(sizes)
     model = Model(lanes, width)
     reading = ids is None
     out = np.zeros(int(sizes.sum()), np.uint32) if reading else ids
-    p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    total = np.uint64(1 << _FIRST)
-    sixteen = np.uint64(16)
+    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    first, nibble, whole = U(_FIRST), U(_NIBBLE), U((1 << _NIBBLE) - 1)
     for step in range(int(sizes[0]) if lanes else 0):
         k = int(np.searchsorted(-sizes, -step, "left"))  # blocks longer than step
-        every = slice(0, k)
-        a, b = model.guess(k, p1[:k], p2[:k], step)
+        lane, low, size = model.lane[:k], coder.low[:k], coder.range[:k]
+        fa, fb, fc = model.guess(k, p1[:k], p2[:k])
+        ab = fa + fb
+        abc = ab + fc
         if reading:
-            v = coder.take(every, total)
-            hit = np.where(v < a, 0, np.where(v < a + b, 1, 2))
-            sym = np.where(hit == 0, model.a, model.b)
+            v = coder.point(low, size, first).astype(np.int32)
+            a, b, c = v >= fa, v >= ab, v >= abc
+            sym = np.where(b, model.ids[2], np.where(a, model.ids[1], model.ids[0]))
         else:
             sym = out[start[:k] + step]
-            hit = np.where(sym == model.a, 0, np.where(sym == model.b, 1, 2))
-        coder.narrow(every, np.where(hit == 0, 0, np.where(hit == 1, a, a + b)).astype(np.uint64), np.where(hit == 0, a, np.where(hit == 1, b, total - a - b)), total)
-        ix = np.flatnonzero(hit == 2)
+            a = sym != model.ids[0]
+            b = a & (sym != model.ids[1])
+            c = b & (sym != model.ids[2])
+        # a, b, c: not order 2's, nor 1's, nor 0's
+        cum = fa * a + fb * b + fc * c
+        freq = np.where(c, (1 << _FIRST) - abc, np.where(b, fc, np.where(a, fb, fa)))
+        size[:] = coder.narrow(lane, low, size, cum.astype(U), freq.astype(U), first)
+        ix = np.flatnonzero(c)
         if len(ix):
+            rate = next(r for until, r in _RATES if step < until)
+            own, span = low[ix], size[ix]
+            at = np.arange(len(ix)) * 16
             prefix = np.zeros(len(ix), np.int64)
             mine = None if reading else sym[ix].astype(np.int64)
-            bits = _FIRST
             for level in range(width - 1):
-                bits += _NIBBLE + 4 * (level == width - 2)
-                if bits > BITS:
-                    coder.settle(k)
-                    bits = _NIBBLE + 4
-                rows = model.nibble_rows(ix, level, prefix)
-                last = level == width - 2  # its symbol is a learned nibble and an even one
-                sums = model.rows[rows, 16].astype(np.uint64)
-                whole = sums * sixteen if last else sums
+                rows = model.place(ix, level, prefix)
+                row = model.rows.take(rows, 0)
                 if reading:
-                    v = coder.take(ix, whole)
-                    row = model.rows[rows]
-                    s = (row[:, 1:] <= (v // sixteen if last else v)[:, None]).sum(1)
+                    v = coder.point(own, span, nibble)
+                    s = np.bitwise_count((row <= v.astype(np.int16)[:, None]).view(U)).sum(1, dtype=np.int64) - 1
                 else:
                     s = (mine >> (4 * (width - 1 - level))) & 15
-                cum = model.rows[rows, s].astype(np.uint64)
-                freq = model.rows[rows, s + 1].astype(np.uint64) - cum
-                if last:
-                    cum = cum * sixteen
-                    if reading:
-                        even = np.minimum((v - cum) // freq, sixteen - _1)
-                    else:
-                        even = (mine & 15).astype(np.uint64)
-                    coder.narrow(ix, cum + even * freq, freq, whole)
-                else:
-                    coder.narrow(ix, cum, freq, whole)
-                model.learn_nibble(rows, s)
+                flat = row.reshape(-1)
+                cum = flat.take(at + s).astype(U)
+                # the upper bound of the last nibble, the next row's 0, is the whole
+                freq = (flat.take(at + s + 1, mode="wrap").astype(U) - cum) & whole
+                span = coder.narrow(ix, own, span, cum, freq, nibble)
+                model.move(rows, row, s, rate)
                 prefix = (prefix << 4) | s
+                if level % 2 == 0:
+                    coder.settle(ix, own, span)
+            last = coder.point(own, span, _4) if reading else (mine & 15).astype(U)
+            span = coder.narrow(ix, own, span, last, U(1), _4)
+            coder.settle(ix, own, span)
+            low[ix], size[ix] = own, span
             if reading:
-                sym = sym.copy()
-                sym[ix] = ((prefix << 4) | even.astype(np.int64)).astype(sym.dtype)
-        coder.settle(k)
+                sym[ix] = (prefix << 4) | last.astype(np.int64)
+        coder.settle(lane, low, size)
         if reading:
             out[start[:k] + step] = sym
-        model.learn(k, sym)
+        model.learn(k, sym, c)
         p2[:k], p1[:k] = p1[:k], sym
     return out
 
@@ -234,7 +259,7 @@ def encode(ids: np.ndarray, width: int) -> list[bytes]:
     start, size = _blocks(len(ids))
     for lo in range(0, len(start), LANES):
         s, n = start[lo : lo + LANES], size[lo : lo + LANES]
-        coder = Coder(len(s), room=4 * BLOCK + 64)
+        coder = Writer(len(s), room=BLOCK * (4 * width + 8) // 32 + 8)
         _walk(coder, n, width, ids.astype(np.uint32, copy=False), s)
         out += coder.blocks()
     return out
@@ -244,9 +269,10 @@ def decode(data: np.ndarray, ends: np.ndarray, n: int, width: int) -> np.ndarray
     """The n ids of coded blocks, which end at these places of data."""
     out = np.zeros(n, np.uint32)
     start, size = _blocks(n)
-    begin = np.append(0, ends)[:-1] if len(ends) else ends
+    begin = np.append(0, ends)[:-1] // 4 if len(ends) else ends
+    words = np.frombuffer(data[: len(data) // 4 * 4].tobytes(), ">u4").astype(np.uint32)
     for lo in range(0, len(start), LANES):
         s, m = start[lo : lo + LANES], size[lo : lo + LANES]
-        coder = Coder(len(s), data, begin[lo : lo + LANES])
+        coder = Reader(words, begin[lo : lo + LANES])
         out[s[0] : s[-1] + m[-1]] = _walk(coder, m, width, None, s - s[0])
     return out

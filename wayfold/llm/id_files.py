@@ -1,7 +1,7 @@
 """Token ids of whole texts in compressed files, in ascending order of the documents' ids.
 
-Rows are dealt to files by ranges of the id (rows of one id by a hash of their text), each
-task sorts its range, encodes its texts, appends the end id to each and writes one file:
+Rows are dealt to files by ranges of the id (rows of one id by a hash of their text), as many
+as keep the texts of each to FILE bytes, however large the input is; each task sorts its range, encodes its texts, appends the end id to each and writes one file:
 
     "WFID1\\n", coded blocks, footer, footer length (8 bytes), crc32 of the footer (4), "WFID1\\n"
 
@@ -30,6 +30,8 @@ from wayfold.llm import _arrays, _shared, id_coder
 from wayfold.llm._pieces import coder
 
 MARK = b"WFID1\n"
+#: Bytes of texts in a file, on average at most: files are held whole by their tasks.
+FILE = 128 << 20
 
 
 def _file(docs: list, tokens: np.ndarray, blocks: list[bytes], width: int) -> list[bytes]:
@@ -76,7 +78,8 @@ def parse(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: str = "byte", id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all rows to files in the folder path and return file, n_docs and n_ids of each. tokenizer, rule: see _pieces.Coder."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
 
     def write(batches):
         with coder(tokenizer, rule) as c:
@@ -107,7 +110,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
         yield pa.RecordBatch.from_pylist([{"file": part, "n_docs": len(names), "n_ids": int(n.sum())}])
 
     dealt = docs.repartitionByRange(files, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return dealt.mapInArrow(write, "file long, n_docs long, n_ids long")
+    return _arrays.run(dealt, write, "file long, n_docs long, n_ids long")
 
 
 def read_ids(spark: SparkSession, path: str, totals: list[tuple[int, int]], id: str = "doc_id") -> DataFrame:
@@ -131,4 +134,4 @@ def read_ids(spark: SparkSession, path: str, totals: list[tuple[int, int]], id:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.wfid").load(path)
-    return files.select("path", "content").mapInArrow(read, f"{id} long, start long, n_tokens long, ids binary")
+    return _arrays.run(files.select("path", "content"), read, f"{id} long, start long, n_tokens long, ids binary")
