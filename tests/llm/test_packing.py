@@ -66,3 +66,9 @@ def test_pieces_rebuild_all_ids(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), P.path("word_bpe_49k.json"), end=2).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a few words " * i, 1, 2, "x") for i in range(9)], "doc_id long, text string, id int, group int, ids string")
+    got = pack(docs, P.path("word_bpe_49k.json"), end=2).collect()
+    assert {r.doc_id for r in got} == set(range(9)) and sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)

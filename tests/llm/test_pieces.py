@@ -34,7 +34,7 @@ def test_long_texts_are_cut_where_pretokens_start(name, rule, monkeypatch):
     monkeypatch.setattr(_pieces, "SPAN", 60)
     c = Coder(P.path(name), rule)
     rnd = random.Random(3)
-    some = [" ".join(rnd.choice(["it's", "word", "12", "end.\n", "X"]) for _ in range(200)), "x" * 500, "short"]
+    some = [" ".join(rnd.choice(["it's", "word", "12", "end.\n", "X"]) for _ in range(200)), "x" * 500, "short", "".join(rnd.choice(["漢字", "かな", "，", "。", "１", "’s"]) for _ in range(200))]
     at = _text.flat(pa.array(some))[1]
     assert len(parts(_text.flat(pa.array(some))[0], at)) > len(at) + 1
     ids, first = c.encode(pa.array(some))
@@ -51,6 +51,7 @@ def test_pretokens_equal_the_librarys_cut():
 
 def test_words_and_grams_by_hand(monkeypatch):
     monkeypatch.setattr(_text, "SPAN", 16)
+    _text.powers.cache_clear()
     import re
 
     rnd = random.Random(2)
@@ -73,6 +74,32 @@ def test_words_and_grams_by_hand(monkeypatch):
         assert len(set(of.values())) == len(of)
 
 
+def test_sums_dont_depend_on_place_or_span(monkeypatch):
+    rnd = np.random.default_rng(5)
+    data = rnd.integers(0, 256, 1000).astype(np.uint8)
+    start = np.sort(rnd.choice(900, 60, replace=False))
+    end = np.minimum(start + 1, np.append(start[1:], 1000))
+    end[::7] = np.append(start[1:], 1000)[::7]
+    value = _text.constants(256, 11)
+    got = []
+    for span in (1 << 18, 64, 7, 1000, 999):
+        monkeypatch.setattr(_text, "SPAN", span)
+        _text.powers.cache_clear()
+        got.append(_text.sums(data, value, start, end).tolist())
+    p = 0x5851F42D4C957F2D
+    want = [sum(int(value[data[i]]) * pow(p, i - a, 1 << 64) for i in range(a, z)) % (1 << 64) for a, z in zip(start.tolist(), end.tolist())]
+    assert all(x == want for x in got)
+    _text.powers.cache_clear()
+    assert len(_text.words(data[:0], np.zeros(3, np.int64)).hash) == 0
+
+
+def test_a_long_run_without_gaps_needs_no_larger_tables():
+    _text.powers.cache_clear()
+    text = np.full(5 * _text.SPAN + 3, 0x61, np.uint8)
+    w = _text.words(text, np.array([0, len(text)]))
+    assert w.start.tolist() == [0] and w.end.tolist() == [len(text)] and len(_text.powers()[0]) == _text.SPAN
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 

@@ -8,6 +8,8 @@ folder. Memory: one bucket of one task; disk: a few bytes a distinct key and bat
 
 from __future__ import annotations
 
+import gc
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,22 +22,43 @@ from wayfold.llm import _shared
 from wayfold.llm._text import U, cut, flat, mix, release
 
 #: Bytes of text that a map function takes at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut to about SLICE bytes of text; a longer text stands alone."""
-    release()
     for batch in batches:
         if batch.num_rows:
             _, at = flat(batch.column(text))
             for lo, hi in cut(at, SLICE):
                 yield batch.slice(lo, hi - lo)
-    release()
+
+
+def run(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema); when a task ends, its worker closes its stores and gives all memory back, for it is kept for tasks of other stages."""
+
+    def task(batches):
+        try:
+            yield from f(batches)
+        finally:
+            arrays.cache_clear()
+            _shared.forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            release()
+
+    _shared.limit(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
+#: Types of whole numbers in files, by name.
+WHOLE = ("u1", "u2", "u4", "i8")
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.int64)
+    """Whole numbers from 0 on in as few bytes as hold the largest."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next((k for k, bits in (("u1", 8), ("u2", 16), ("u4", 32)) if top < 1 << bits), "i8"))
 
 
 BLOBS = "bucket long, keys binary, counts binary"
@@ -81,9 +104,17 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(np.append(at, len(s)))
 
 
-def rows(keys: np.ndarray, counts: np.ndarray, n: int) -> pa.RecordBatch:
-    """Sorted distinct keys and their counts, packed by bucket."""
-    b = bucket(keys, n)
+def placed(b: np.ndarray, keys: np.ndarray, n: int) -> pa.RecordBatch:
+    """Keys counted in given buckets, packed by bucket."""
+    order = np.lexsort((keys, b))
+    b, keys = b[order], keys[order]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (b[1:] != b[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return rows(keys[at], np.diff(np.append(at, len(keys))), n, b[at])
+
+
+def rows(keys: np.ndarray, counts: np.ndarray, n: int, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """Distinct keys, sorted within each bucket, and their counts, packed by bucket (of the key's hash, if none are given)."""
+    b = bucket(keys, n) if b is None else b
     order = np.argsort(b, kind="stable")
     ends = np.searchsorted(b[order], np.arange((1 << n) + 1))
     ids, ks, cs = [], [], []
@@ -100,8 +131,8 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[at], np.add.reduceat(c, at)
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+    return k[at], np.add.reduceat(c, at) if len(k) else c
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -132,7 +163,7 @@ def store(blobs: DataFrame, path: str, n: int, least: int = 1, then: Callable |
             else:
                 yield pa.RecordBatch.from_pylist([{"bucket": i, "n": len(k), "total": int(c.sum())}])
 
-    return blobs.repartition(1 << n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
+    return run(blobs.repartition(1 << n, "bucket").sortWithinPartitions("bucket"), merge, schema)
 
 
 def save(path: str, i: int, **columns: np.ndarray) -> None:
@@ -146,6 +177,18 @@ def mapped(path: str, name: str, i: int, dtype: str, n: int) -> np.ndarray:
     return np.asarray(np.memmap(_shared.fetched(f"{path}/{name}-{i}.{dtype}"), dtype, "r", shape=(n,)))
 
 
+def whole(path: str, name: str, i: int, dtypes: tuple[str, ...]) -> np.ndarray:
+    """All of an array of one of these types, memory-mapped."""
+    for d in dtypes:
+        try:
+            at = _shared.fetched(f"{path}/{name}-{i}.{d}")
+            return mapped(path, name, i, d, os.path.getsize(at) // np.dtype(d).itemsize)
+        except OSError:
+            if d == dtypes[-1]:
+                raise
+    raise AssertionError
+
+
 class Arrays:
     """The arrays of a store, memory-mapped bucket by bucket as they are needed. sizes: bucket -> number of keys."""
 
@@ -157,7 +200,11 @@ class Arrays:
         self.base = np.cumsum(self.sizes) - self.sizes
         self.open: dict[tuple[str, int], np.ndarray] = {}
 
-    def column(self, name: str, i: int, dtypes: tuple[str, ...]) -> np.ndarray:
+    def bucket_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base + self.sizes, place, "right")
+
+    def column(self, name: str, i: int, dtypes: tuple[str, ...] | None = None) -> np.ndarray:
+        dtypes = dtypes or (("u8",) if name == "keys" else WHOLE)
         if (name, i) not in self.open:
             for d in dtypes:
                 try:
@@ -185,13 +232,13 @@ class Arrays:
             at, pos = at[ok], pos[ok]
             place[at] = self.base[i] + pos
             for value, name in zip(values, columns, strict=True):
-                value[at] = self.column(name, i, ("f8",) if name.startswith("log") else ("u4", "i8"))[pos]
+                value[at] = self.column(name, i, ("f8",) if name.startswith("log") else None)[pos]
         return [place, *values]
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def arrays(path: str, n: int, sizes: tuple[tuple[int, int], ...]) -> Arrays:
-    """A worker's open store; kept between tasks."""
+    """A task's open store."""
     return Arrays(path, n, sizes)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wayfold.llm._text import LETTER, NUMBER, SPACE, SPAN, Index, U, classes, constants, cut, flat, mix, points, powers, release
+from wayfold.llm._text import LETTER, NUMBER, SPACE, SPAN, Index, U, classes, constants, cut, flat, mix, points, sums
 
 #: Pre-tokens kept by a worker; beyond it starts anew.
 KEPT = 1_500_000
@@ -67,29 +67,29 @@ def _values() -> np.ndarray:
 
 
 def hashes(cp: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    p, q = powers(max(2 * SPAN, 1 << len(cp).bit_length()))
-    run = np.zeros(len(cp) + 1, U)
-    np.cumsum(_values()[cp] * p[: len(cp)], out=run[1:])
-    return mix((run[end] - run[at]) * q[at] + (end - at).astype(U) * constants(1, 6)[0])
+    return mix(sums(cp, _values(), at, end) + (end - at).astype(U) * constants(1, 6)[0])
 
 
 def parts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Offsets with long texts cut further, only before a space between two ASCII letters, where both patterns start a pre-token whatever stands around it."""
+    """Offsets with long texts cut further, only after a letter that no letter follows, where both patterns start a pre-token whatever stands around it. A longer run of letters is one pre-token and stays whole."""
     long = np.flatnonzero(np.diff(at) > SPAN)
     if not len(long):
         return at
     out = [at]
-    letter = np.zeros(256, bool)
-    letter[0x61:0x7B] = letter[0x41:0x5B] = True
     for i in long:
         lo, hi = int(at[i]), int(at[i + 1])
         while hi - lo > SPAN:
-            near = data[lo + SPAN // 2 : lo + SPAN]
-            ok = np.flatnonzero((near[1:-1] == 0x20) & letter[near[:-2]] & letter[near[2:]])
-            if not len(ok):
+            for near in range(lo + SPAN // 2, hi, SPAN // 2):
+                from_, to = (k + int(np.flatnonzero((data[k : k + 4] & 0xC0) != 0x80)[0]) if k < hi else hi for k in (near, min(near + SPAN // 2, hi)))
+                kind = classes()[points(data[from_:to], np.array([0, to - from_]))[0]]
+                ok = np.flatnonzero((kind[:-1] == LETTER) & (kind[1:] != LETTER))
+                if len(ok):
+                    leads = np.flatnonzero((data[from_:to] & 0xC0) != 0x80)
+                    lo = from_ + int(leads[ok[-1] + 1])
+                    out.append(np.array([lo]))
+                    break
+            else:
                 break
-            lo += SPAN // 2 + int(ok[-1]) + 1
-            out.append(np.array([lo]))
     return np.sort(np.concatenate(out))
 
 
@@ -117,6 +117,15 @@ def lowered() -> np.ndarray:
 SIMPLE = 0x130
 
 
+@lru_cache(maxsize=1)
+def library(path: str):
+    """A worker's tokenizer; it is made once, since each one that has encoded something leaves some MB behind when it is freed."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @dataclass
 class Coder:
     """The ids of texts by the tokenizer at path. rule: its pre-token pattern, see starts()."""
@@ -125,10 +134,7 @@ class Coder:
     rule: str
 
     def __post_init__(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer = library(self.path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
@@ -244,5 +250,3 @@ def coder(path: str, rule: str):
         yield c
     finally:
         c.reset()
-        del c.tokenizer
-        release()

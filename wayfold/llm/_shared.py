@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -32,12 +33,32 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time, and how the session calls it.
+BATCH = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit(spark: SparkSession) -> None:
+    """Where the session doesn't say how many bytes go to Python at a time, BATCH do: a batch lies in the executor's memory outside the heap and in the worker's at once, and both keep room for the largest they met."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it is computed once, and losing an executor loses none of it."""
-    base(df.sparkSession)
-    path = folder(df.sparkSession, name)
+    spark = df.sparkSession
+    base(spark)
+    path = folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df.written_to)
 
 
 def _local(path: str) -> str | None:
@@ -82,6 +103,13 @@ def fetched(path: str) -> str:
     return _FETCHED[path]
 
 
+def forget() -> None:
+    """Remove a worker's copies of shared files; open maps of them stay valid."""
+    while _FETCHED:
+        with contextlib.suppress(OSError):
+            os.remove(_FETCHED.popitem()[1])
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all tables that these operators left in the shared folder; frames that read them can't be used any more."""
     remove(spark, f"{base(spark)}/wayfold")

@@ -1,7 +1,7 @@
 """Array kernels over Arrow text columns, shared by the text operators.
 
 A batch of texts is one byte buffer plus offsets. Words, n-grams and GPT-2 style
-pre-tokens are found with numpy over that buffer, in spans of a few MB, so that a
+pre-tokens are found with numpy over that buffer, in spans of SPAN bytes, so that a
 very long text costs no more working memory than many short ones. Every hash is
 a fixed function of the bytes (no per-process seed): it has the same value on
 every executor and on every retry.
@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SPAN = 1 << 20
+#: Bytes worked on at a time: arrays of 8 bytes for each fit the caches, and what a worker needs at most stays small.
+SPAN = 1 << 18
 
 
 def _give_back() -> None:
@@ -57,19 +58,45 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U) + U(seed)) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-@lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n; P is odd."""
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """P**i and P**-i modulo 2**64 for i < SPAN; P is odd."""
     p = 0x5851F42D4C957F2D
     q = pow(p, -1, 1 << 64)
     out = []
     for base in (p, q):
-        a = np.full(n, base, U)
+        a = np.full(SPAN, base, U)
         a[:1] = 1
         out.append(np.multiply.accumulate(a))
     return out[0], out[1]
 
 
+def sums(codes: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each range the sum of value[code] P**(place in the range): the same wherever it stands. start and end are sorted; whatever the ranges' lengths, working memory is that of SPAN codes."""
+    p, q = powers()
+    every = (1 << 64) - 1
+    step, back = int(p[-1]) * int(p[1]) & every, int(q[-1]) * int(q[1]) & every
+    out = np.zeros(len(start), U)
+    total, scale = 0, 1
+    run = np.zeros(min(SPAN, len(codes)) + 1, U)
+    for lo in range(0, max(len(codes), 1), SPAN):
+        part = codes[lo : lo + SPAN]
+        n = len(part)
+        np.cumsum(value[part] * p[:n], out=run[1 : n + 1])
+        last = lo + n == len(codes)
+        for at, sign in ((start, -1), (end, 1)):
+            a, z = np.searchsorted(at, lo), len(at) if last else np.searchsorted(at, lo + n)
+            got = run[at[a:z] - lo]
+            if lo:
+                got = got * U(scale) + U(total)
+            out[a:z] += got if sign > 0 else ~got + U(1)
+        total, scale = (total + scale * int(run[n])) & every, scale * step & every
+    out *= q[start % SPAN]
+    if len(codes) > SPAN:
+        out *= np.multiply.accumulate(np.append(U(1), np.full(len(codes) // SPAN, back, U)))[start // SPAN]
+    return out
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -124,48 +151,28 @@ class Words:
 
 
 def words(data: np.ndarray, at: np.ndarray, rule: str = "space", lower: bool = True) -> Words:
-    """The words of each text, found and hashed span by span; spans end between words."""
-    word, value = WORD_BYTES[rule], _LOWER if lower else _VALUE
-    hashes, starts, ends = [], [], []
-    lo, n = 0, len(data)
+    """The words of each text, found and hashed span by span; a word may reach over spans."""
+    word = WORD_BYTES[rule]
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     edges = np.unique(at)
-    while lo < n:
-        hi = min(n, lo + SPAN)
-        while hi < n:  # end the span where no word goes on
-            gap = np.flatnonzero(~word[data[max(lo, hi - 4096) : hi]])
-            if len(gap):
-                hi = max(lo, hi - 4096) + int(gap[-1]) + 1
-                break
-            k = np.searchsorted(edges, hi)
-            if k < len(edges) and edges[k] == hi:
-                break
-            hi = min(n, hi + SPAN)
-            if k < len(edges):
-                hi = min(hi, int(edges[k]))
-        span = data[lo:hi]
-        inside = np.zeros(len(span) + 2, bool)
-        inside[1:-1] = word[span]
-        cut = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, hi)] - lo
+    before = False
+    for lo in range(0, len(data), SPAN):
+        span = data[lo : lo + SPAN]
+        inside = np.empty(len(span) + 1, bool)
+        inside[0], inside[1:] = before, word[span]
+        before = bool(inside[-1])
         begin = inside[1:] & ~inside[:-1]
         finish = inside[:-1] & ~inside[1:]
-        both = cut[inside[cut] & inside[cut + 1]] if len(cut) else cut
-        begin[both] = True
-        finish[both] = True
-        s, e = np.flatnonzero(begin), np.flatnonzero(finish)
-        p, q = powers(max(SPAN, len(span)) if len(span) <= SPAN else 1 << (len(span) - 1).bit_length())
-        run = np.zeros(len(span) + 1, U)
-        np.cumsum(value[span] * p[: len(span)], out=run[1:])
-        hashes.append(mix((run[e] - run[s]) * q[s] + (e - s).astype(U) * _LENGTH))
-        starts.append(s + lo)
-        ends.append(e + lo)
-        lo = hi
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return Words(
-        np.concatenate(hashes) if hashes else np.zeros(0, U),
-        start,
-        np.concatenate(ends) if ends else np.zeros(0, np.int64),
-        np.searchsorted(start, at),
-    )
+        cut = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, lo + len(span))] - lo
+        both = cut[inside[cut] & inside[cut + 1]]
+        begin[both] = finish[both] = True
+        starts.append(np.flatnonzero(begin) + lo)
+        ends.append(np.flatnonzero(finish) + lo)
+    if before:
+        ends.append(np.array([len(data)]))
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    h = mix(sums(data, _LOWER if lower else _VALUE, start, end) + (end - start).astype(U) * _LENGTH)
+    return Words(h, start, end, np.searchsorted(start, at))
 
 
 _STEP = constants(64, 101)

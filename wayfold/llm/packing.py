@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str, end: int, rule: str = "word", length: int =
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    cuts = docs.mapInArrow(cut, schema)
+    cuts = _arrays.run(docs, cut, schema)
     kind = docs.schema["id"].dataType.simpleString()
     dealt = cuts.repartition("group").sortWithinPartitions("group", "id", "start")
-    return dealt.mapInArrow(place, f"id {kind}, start long, ids binary, length long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id)
+    return _arrays.run(dealt, place, f"id {kind}, start long, ids binary, length long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id)

@@ -122,8 +122,8 @@ def token_counts(docs: DataFrame, path: str, rule: str = "byte", limit: int = 51
         if keys:
             yield end()
 
-    found = docs.select("text").mapInArrow(distinct, "bucket long, key long, piece string")
-    stats = found.repartition(1 << n, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(pieces, "bucket long, n long")
+    found = _arrays.run(docs.select("text"), distinct, "bucket long, key long, piece string")
+    stats = _arrays.run(found.repartition(1 << n, "bucket").sortWithinPartitions("bucket", "key"), pieces, "bucket long, n long")
     sizes = _arrays.sizes(stats)
 
     def count(batches):
@@ -150,6 +150,6 @@ def token_counts(docs: DataFrame, path: str, rule: str = "byte", limit: int = 51
             yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array(total), pa.array(total > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    out = _shared.written(docs.mapInArrow(count, schema).withColumnRenamed("id", id), "token-counts")
+    out = _shared.written(_arrays.run(docs, count, schema).withColumnRenamed("id", id), "token-counts")
     _shared.remove(spark, at)
     return out
