@@ -78,3 +78,39 @@ def test_toxicity_keeps_all_without_labels(spark, folder, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_rows_are_judged_not_ids(spark, folder, tmp_path):
+    """Repeated and null ids, columns of clashing names, and a stage that rejects all."""
+    path, rows, items = folder
+    good = rows[1][1]
+    poor = "a b c " * 30
+    extra = [(None, good, "en", "s", 0), (None, poor, "en", "s", 0), (50, good, "en", "t", 0), (50, poor, "en", "s", 0), (51, items[0][1] + " " + good, "en", "s", 0), (None, items[0][1], "en", "s", 0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*rows[:40], *extra], names).selectExpr("*", "1 as n_words", "'x' as kept", "2.0 as score", "3 as hash", "'y' as `a.b`", "map('k', 1) as m", "4 as key")
+    by = {name: f for name, f in corpus_pipeline.STAGES}
+    out = by["quality rules"](spark, docs, path)
+    assert out.columns == docs.columns
+    texts = [(r.doc_id, r.text) for r in out.collect()]
+    assert (None, good) in texts and (50, good) in texts and (None, poor) not in texts and (50, poor) not in texts
+    out = by["decontamination"](spark, docs, path)
+    texts = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and (None, items[0][1]) not in texts and (None, good) in texts
+    out = by["near dedup"](spark, docs, path)
+    assert out.columns == docs.columns and {r.text for r in out.where("doc_id is null").collect()} == {x[1] for x in extra if x[0] is None}
+    assert by["toxicity"](spark, docs, path).columns == docs.columns
+    none = docs.where("doc_id < 0")
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, none, path).count() == 0, name
+    assert by["quality rules"](spark, docs.where("text like 'a b c%'"), path).count() == 0
+
+
+def test_a_very_long_text_goes_through(spark, folder):
+    path, rows, items = folder
+    long = " ".join("w%d" % (i * 7919 % 50_021) for i in range(120_000))
+    docs = spark.createDataFrame([*rows[:30], (7000, long, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        if name != "quality rules":
+            assert f(spark, docs, path).where("doc_id = 7000").count() == 1, name
+    pieces = corpus_pipeline.packing(spark, docs, path).where("doc_id = 7000").collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 120_000 and max(r.length for r in pieces) == 4096

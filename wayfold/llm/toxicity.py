@@ -4,10 +4,13 @@ A text's features are the distinct hashes (64 bits) of its words, pairs of neigh
 pairs with one word between, of lower-cased runs of letters and digits. Each coordinate
 has its own learning rate from its past gradients; L1 keeps the weights of few features.
 
-Learning takes at most `sample` labelled ids of the documents, those with the least hash, in
-hash order in one task of bounded size; features of a single row are left out. What comes
-back are the non-zero weights, at most MOST of them (else fit() refuses and asks for a
-larger l1), which are broadcast. Every text is scored whole.
+Learning takes at most `sample` labelled ids of the documents, those with the least hash.
+Their features are counted and numbered in Spark; those of so few rows that L1 keeps their
+weight at 0 for certain are left out, which changes no weight. One task takes the rows in
+hash order: it writes their numbers to the shared folder as they come and maps them, so in
+memory it holds two numbers a feature and one row. Its time follows the sample's size, not
+the corpus. What comes back are the non-zero weights, at most MOST of them (else fit()
+refuses and asks for a larger l1), which are broadcast. Every text is scored whole.
 
 Nulls: a null text is empty and scores by the bias alone; a null id is kept but never
 learned from; a null label is no label. Of several labels of one id the largest counts,
@@ -17,16 +20,17 @@ tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm import _arrays
+from wayfold.llm import _arrays, _shared
 from wayfold.llm._text import Index, U, constants, flat, mix, words
 
 SAMPLE = 16_000
-PREFIX = 26
 MOST = 1_000_000
 _KIND = constants(3, 515)
 _SECOND = constants(1, 516)[0]
@@ -45,26 +49,12 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def train(rows: list[np.ndarray], labels: list[int], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes with non-zero weights, and these. rows: each text's distinct hashes; the list is used up."""
-    # most features are of one row: a small table of hash prefixes finds nearly all of them before any array of all is made
-    often = np.zeros(1 << PREFIX, np.uint8)
-    for r in rows:
-        slot = r >> U(64 - PREFIX)
-        often[slot] = np.minimum(often[slot] + 1, 2)
-    for i, r in enumerate(rows):  # in place: what is left out is freed at once
-        rows[i] = r[often[r >> U(64 - PREFIX)] > 1]
-    del often
-    key, n = _arrays.counted(np.concatenate(rows)) if rows else (np.zeros(0, U), np.zeros(0, np.int64))
-    key = key[n > 1]
-    index = Index(key)
-    at = []
-    for r in rows:
-        place, there = index.find(r)
-        at.append(np.append(place[there], len(key)))
-    z, s = np.zeros(len(key) + 1), np.zeros(len(key) + 1)
+def train(rows: list[np.ndarray], labels: list[int], size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
+    """The weights of features 0 to size - 1, then the bias. rows: each text's distinct features, which may be memory-mapped."""
+    z, s = np.zeros(size + 1), np.zeros(size + 1)
     for _ in range(epochs):
-        for a, y in zip(at, labels, strict=True):
+        for r, y in zip(rows, labels, strict=True):
+            a = np.append(r, size)
             za, sa = z[a], s[a]
             free = np.abs(za) - l1
             free[-1] = abs(za[-1])  # the bias isn't shrunk
@@ -75,40 +65,71 @@ def train(rows: list[np.ndarray], labels: list[int], alpha: float, beta: float,
             s[a] = sa + g * g
     free = np.abs(z) - l1
     free[-1] = abs(z[-1])
-    w = np.where(free > 0, -np.sign(z) * free / ((beta + np.sqrt(s)) / alpha + l2), 0.0)
-    use = np.flatnonzero(w[:-1])
-    return np.append(key[use], BIAS), np.append(w[use], w[-1])
+    return np.where(free > 0, -np.sign(z) * free / ((beta + np.sqrt(s)) / alpha + l2), 0.0)
+
+
+def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct features of each text, in order."""
+    row, h = features(*flat(batch.column("text")))
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[keep], h[keep]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", sample: int = SAMPLE, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.15, l2: float = 0.0, epochs: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the features that matter. l1: times the square root of the number of rows, as the noise of a sum of gradients grows."""
+    spark = docs.sparkSession
     y = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    # at most `sample` rows of two numbers: their size is bounded, so they are broadcast
     y = y.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
-    y = y.withColumn("turn", F.xxhash64(F.col("id").cast("string"))).orderBy("turn", "id").limit(sample)
+    y = _shared.written(y.withColumn("turn", F.xxhash64(F.col("id").cast("string"))).orderBy("turn", "id").limit(sample), "toxicity-labels")
+    # at most `sample` rows of three numbers: their size is bounded, so they are broadcast
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(y), "id")
+    n = rows.count()
+    l1 = l1 * n**0.5
+    # a row moves a feature's gradient sum by 1 an epoch at most: below so many rows it never gets over l1, and its weight stays 0
+    least = max(1, math.floor(l1 / epochs) + 1)
+    b, path = _arrays.bits(docs), _shared.folder(spark, "toxicity")
+
+    def count(batches):
+        for batch in _arrays.slices(batches):
+            yield _arrays.rows(*_arrays.counted(_distinct(batch)[1]), b)
+
+    sizes = _arrays.sizes(_arrays.store(_arrays.run(rows.select("text"), count, _arrays.BLOBS), f"{path}/features", b, least=least))
 
     def take(batches):
+        store = _arrays.arrays(f"{path}/features", b, sizes)
         for batch in _arrays.slices(batches):
-            row, h = features(*flat(batch.column("text")))
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            keep = np.ones(len(h), bool)
-            keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            row, h = row[keep], h[keep]
+            row, h = _distinct(batch)
+            uniq = _arrays.counted(h)[0]
+            place = store.find(uniq)[0][Index(uniq).find(h)[0]] if len(h) else np.zeros(0, np.int64)
+            row, place = row[place >= 0], place[place >= 0].astype(np.uint32)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("y"), pa.array([h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["turn", "y", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("y"), pa.array([place[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["turn", "y", "features"])
 
     def learn(batches):
+        store = _arrays.arrays(f"{path}/features", b, sizes)
         xs, ys = [], []
-        for batch in batches:
-            xs += [np.frombuffer(x, U) for x in batch.column("features").to_pylist()]
+        for i, batch in enumerate(batches):
+            x = batch.column("features").to_pylist()
+            _arrays.save(f"{path}/rows", i, places=np.frombuffer(b"".join(x), np.uint32))
+            ends = np.cumsum([0, *(len(r) // 4 for r in x)])
+            held = _arrays.mapped(f"{path}/rows", "places", i, "u4", int(ends[-1]))
+            xs += [held[p:q] for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             ys += batch.column("y").to_pylist()
-        key, w = train(xs, ys, alpha, beta, l1 * len(xs) ** 0.5, l2, epochs)
+        w = train(xs, ys, int(store.sizes.sum()), alpha, beta, l1, l2, epochs)
+        use = np.flatnonzero(w[:-1])
+        at = np.searchsorted(np.cumsum(store.sizes), use, "right")
+        key = np.concatenate([store.column("keys", int(i), ("u8",))[use[at == i] - store.base[i]] for i in np.unique(at)] + [np.array([BIAS])])
+        w = np.append(w[use], w[-1])
         for lo in range(0, len(key), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 100_000].view(np.int64)), pa.array(w[lo : lo + 100_000])], ["key", "w"])
 
-    got = rows.mapInArrow(take, "turn long, y int, features binary").repartition(1).sortWithinPartitions("turn", F.xxhash64("features")).mapInArrow(learn, "key long, w double").limit(MOST + 1).toArrow()
+    taken = _arrays.run(rows.select("turn", "y", "text"), take, "turn long, y int, features binary")
+    got = _arrays.run(taken.repartition(1).sortWithinPartitions("turn", F.xxhash64("features")), learn, "key long, w double").limit(MOST + 1).toArrow()
+    _shared.remove(spark, path)
+    _shared.drop(y)
     if got.num_rows > MOST:
         raise ValueError(f"more than {MOST} weights; set a larger l1")
     key, w = got.column("key").to_numpy().view(U), got.column("w").to_numpy()
@@ -132,4 +153,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id: str = "doc_
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id)
+    return _arrays.run(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id)
