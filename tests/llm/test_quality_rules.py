@@ -121,3 +121,30 @@ def test_junk_is_caught_and_not_learned_from(spark, tmp_path):
     assert all(by[i].n_words >= 50 and 2 * by[i].n_repeat_words <= by[i].n_words for i, _, _ in junk)
     alone = quality(spark.createDataFrame(clean, "doc_id long, text string, lang string")).collect()
     assert all(by[r.doc_id].log_perplexity == pytest.approx(r.log_perplexity) for r in alone)
+
+
+def test_base_rules_are_the_contracts(spark, tmp_path):
+    """Symbols are counted and keep a text out of the model, but only perplexity rejects it."""
+    rows = [(i, prose(i), "en") for i in range(30)] + [(500, prose(77) + " #" * 9, "en")]
+    by = op7(spark, tmp_path, rows)
+    assert 10 * by[500].n_symbols > by[500].n_words and not by[500].base_failed
+    assert by[500].kept == (by[500].lower <= by[500].log_perplexity <= by[500].upper)
+
+
+def test_bands_do_not_gather_rows_by_language(spark):
+    """Few bands are broadcast; with many, both sides are salted. Both give the same."""
+    from wayfold.llm.quality_rules import _with_bands
+
+    measured = spark.range(200).selectExpr("id", "concat('l', id % 3) as lang", "xxhash64(id) as hash")
+    bands = spark.createDataFrame([("l0", 1.0), ("l1", 2.0)], "lang string, lower double")
+    few, many = (_with_bands(measured, bands, x) for x in (True, False))
+    assert sorted(map(tuple, few.select("id", "lower").collect()), key=str) == sorted(map(tuple, many.select("id", "lower").collect()), key=str)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning(lang" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rows = [(i, prose(i), "en") for i in range(20)] + [(900, " ".join(prose(j) for j in range(3000)), "en")]
+    df = spark.createDataFrame([(*r, 1, 2, "x", True, 3.0) for r in rows], "doc_id long, text string, lang string, id int, hash int, n_words string, kept boolean, lower double")
+    by = {r.doc_id: r for r in quality(df, clean=True).collect()}
+    assert len(by) == 21 and by[900].n_words == 240_000 and math.isfinite(by[900].log_perplexity)
+    assert (by[3].n_words, by[3].n_dup_lines) == (base(prose(3))[0], base(prose(3))[3])

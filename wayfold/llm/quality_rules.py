@@ -19,8 +19,8 @@ Q1 - R to Q3 + R with R = FENCE (Q3 - Q1), at least LEAST. The quartiles are tho
 language's distinct texts (by 64-bit hash) that pass the base rules (percentile_approx
 with ACCURACY, over all of them): copies neither narrow the band nor move it.
 
-clean: the model learns from texts that pass the base rules, not from what it is to catch,
-and from each distinct one once, else a text with many copies would leave the band as too
+clean: the model learns from texts that pass the base rules and hold few symbols, not from
+what it is to catch, and from each distinct one once, else a text with many copies would leave the band as too
 likely. Numbers of copies are counted by hash and mapped; each of n copies adds 1 / n to
 its grams, so no text is shuffled and the sums are whole.
 
@@ -40,15 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import _arrays, _shared
-from wayfold.llm._text import SPAN, WORD_BYTES, Index, U, constants, cut, flat, grams, mix, points, powers, sum_by, words
+from wayfold.llm._text import SPAN, WORD_BYTES, Index, U, constants, cut, flat, grams, mix, points, sum_by, sums, words
 
 ORDER = 4
 FENCE = 3.0
 #: A band reaches at least so far beyond its quartiles, also where a language's texts are few or alike.
 LEAST = 0.05
 ACCURACY = 10_000
-#: Languages whose discounts are broadcast at most (under 10 MB); more are joined by a shuffle.
+#: Languages whose discounts or bands are broadcast at most (under 10 MB); more are joined by a shuffle.
 LANGUAGES = 100_000
+SALTS = 64
 START, END = 2, 3
 #: Characters of texts that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +106,7 @@ def _copies(docs: DataFrame, path: str, b: int) -> tuple:
         for batch in batches:
             yield _arrays.rows(*_arrays.counted(batch.column("hash").to_numpy().view(U)), b)
 
-    return _arrays.sizes(_arrays.store(docs.select("hash").mapInArrow(count, _arrays.BLOBS), path, b, least=2))
+    return _arrays.sizes(_arrays.store(_arrays.run(docs.select("hash"), count, _arrays.BLOBS), path, b, least=2))
 
 
 def _grams(docs: DataFrame, copies: tuple | None = None, failed: Callable | None = None) -> DataFrame:
@@ -153,7 +154,7 @@ def _grams(docs: DataFrame, copies: tuple | None = None, failed: Callable | None
         yield from out()
 
     # the shares of a text's copies add up to 1 but for rounding
-    return docs.mapInArrow(count, "lang string, gram string, n double").groupBy("lang", "gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    return _arrays.run(docs, count, "lang string, gram string, n double").groupBy("lang", "gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def _discount(n: str) -> F.Column:
@@ -219,8 +220,8 @@ def _stored(model: DataFrame, path: str, b: int) -> tuple:
             _arrays.save(path, i, keys=key[order], logp=p[order], logg=np.array([r["logg"] for r in held])[order])
             yield pa.RecordBatch.from_pylist([{"bucket": i, "n": len(key)}])
 
-    rows = model.mapInArrow(keyed, "bucket long, key long, logp double, logg double")
-    return _arrays.sizes(rows.repartition(1 << b, "bucket").sortWithinPartitions("bucket").mapInArrow(save, "bucket long, n long"))
+    rows = _arrays.run(model, keyed, "bucket long, key long, logp double, logg double")
+    return _arrays.sizes(_arrays.run(rows.repartition(1 << b, "bucket").sortWithinPartitions("bucket"), save, "bucket long, n long"))
 
 
 def _score(store: _arrays.Arrays, data: np.ndarray, at: np.ndarray, lang: str) -> np.ndarray:
@@ -256,18 +257,7 @@ def _score(store: _arrays.Arrays, data: np.ndarray, at: np.ndarray, lang: str) -
 
 def _ranges(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each range."""
-    p, q = powers(SPAN)
-    run = np.zeros(len(data) + 1, U)
-    every = (1 << 64) - 1
-    scale, step, back = 1, int(p[-1]) * int(p[1]) & every, int(q[-1]) * int(q[1]) & every
-    value = constants(256, 12)
-    for lo in range(0, len(data), SPAN):
-        part = data[lo : lo + SPAN]
-        np.cumsum(value[part] * (p[: len(part)] * U(scale)), out=run[lo + 1 : lo + 1 + len(part)])
-        run[lo + 1 : lo + 1 + len(part)] += run[lo]
-        scale = scale * step & every
-    base = np.multiply.accumulate(np.append(U(1), np.full(len(data) // SPAN + 1, back, U)))
-    return mix((run[e] - run[s]) * q[s % SPAN] * base[s // SPAN] + (e - s).astype(U) * _CHAR[0])
+    return mix(sums(data, constants(256, 12), s, e) + (e - s).astype(U) * _CHAR[0])
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -315,8 +305,16 @@ def measures(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _with_bands(measured: DataFrame, bands: DataFrame, few: bool) -> DataFrame:
+    """Each row with its language's band. Rows are never gathered by language: few bands are broadcast, of more each is copied SALTS times."""
+    if few:
+        return measured.join(F.broadcast(bands), "lang", "left")
+    salted = bands.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return measured.withColumn("salt", F.pmod("hash", F.lit(SALTS))).join(salted, ["lang", "salt"], "left").drop("salt")
+
+
 def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most_symbols: int = 10, fence: float = FENCE, clean: bool = False, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, over most_repeated percent of them in repeated windows, or over most_symbols symbols to 100 of them) and kept of every row. clean: learn from each distinct text that passes these rules once."""
+    """id, the measures, log_perplexity (log10, a character), lower and upper (its language's band), base_failed (fewer than least_words words, or over most_repeated percent of them in repeated windows) and kept of every row. clean: learn once from each distinct text that passes these rules and has at most most_symbols symbols to 100 words; the band is of such texts too."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")).withColumn("hash", F.xxhash64("lang", "text"))
     b = _arrays.bits(docs)
@@ -324,9 +322,12 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, mos
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def failed(m):  # of arrays or Columns
-        return (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"]) | (100 * m["n_symbols"] > most_symbols * m["n_words"])
+        return (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
+
+    def unfit(m):  # to learn from
+        return failed(m) | (100 * m["n_symbols"] > most_symbols * m["n_words"])
 
-    counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)), failed) if clean else _grams(docs), "character-grams")
+    counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)), unfit) if clean else _grams(docs), "character-grams")
     _shared.remove(spark, again)
     sizes = _stored(character_model(counts), path, b)
 
@@ -343,11 +344,13 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, mos
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("hash"), *(pa.array(m[x]) for x in names), pa.array(-log / length)], ["id", "lang", "hash", *names, "log_perplexity"])
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, lang string, hash long, {', '.join(f'{x} long' for x in names)}, log_perplexity double"
-    measured = docs.mapInArrow(measure, schema).withColumn("base_failed", failed({x: F.col(x) for x in names}))
+    columns = {x: F.col(x) for x in names}
+    measured = _arrays.run(docs, measure, schema).withColumns({"base_failed": failed(columns), "unfit": unfit(columns)})
     measured = _shared.written(measured, "quality")
     _shared.remove(spark, path)
-    texts = measured.where(~F.col("base_failed")).groupBy("lang", "hash").agg(F.min("log_perplexity").alias("log_perplexity"))
+    texts = measured.where(~F.col("unfit" if clean else "base_failed")).groupBy("lang", "hash").agg(F.min("log_perplexity").alias("log_perplexity"))
     q, reach = F.percentile_approx("log_perplexity", [0.25, 0.75], ACCURACY), F.greatest(fence * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST))
     bands = texts.groupBy("lang").agg(q.alias("q")).select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    bands = _shared.written(bands, "quality-bands")  # a row a language
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return measured.join(bands, "lang", "left").select(F.col("id").alias(id), *names, "log_perplexity", "lower", "upper", "base_failed", kept.alias("kept"))
+    return _with_bands(measured, bands, bands.count() <= LANGUAGES).select(F.col("id").alias(id), *names, "log_perplexity", "lower", "upper", "base_failed", kept.alias("kept"))
