@@ -58,12 +58,14 @@ def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_fixity(spark: SparkSession, sf: str) -> DataFrame:
-    """The audit of a replica in which every page with page_id % 101 = 7 has other bytes and every one with page_id % 499 = 5 is lost."""
+    """The audit of a replica made of other bytes: of every page with page_id % 101 = 7 the first character is a "#", and every one with page_id % 499 = 5 can't be read there."""
     from wayfold.llm import _shared
     from wayfold.llm.fixity import audit, records, tree
 
-    here = _shared.written(records(_table(spark, sf, "pages")), "records")
-    there = here.where("page_id % 499 != 5").withColumn("hash", F.when(F.expr("page_id % 101 = 7"), F.sha2(F.concat(F.lit("damaged "), "hash"), 256)).otherwise(F.col("hash")))
+    pages = _table(spark, sf, "pages")
+    here = _shared.written(records(pages), "records")
+    damaged = pages.withColumn("html", F.when(F.expr("page_id % 101 = 7"), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    there = records(damaged).where("page_id % 499 != 5")
     one, other = tree(here.drop("page_id")), tree(there.drop("page_id"))
     bad = audit(one, other).join(here.select("file", "offset", "page_id"), ["file", "offset"]).groupBy("file").agg(F.count("other_hash").alias("n_damaged"), F.sum(F.col("other_hash").isNull().cast("long")).alias("n_lost"), F.min("offset").alias("first_offset"), F.min("page_id").alias("first_page"))
     files = here.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.sum("length").alias("n_bytes"))
@@ -72,15 +74,17 @@ def op5_fixity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Each assistant turn as a call "reply" that depends on the one two turns before, each user turn as the result of the turn before it."""
+    """Each assistant turn as a call "reply", each user turn as the result of the turn before it (orphans where that is no assistant's). A call depends on the calls 2 and 4 turns before, in conversations whose id is divisible by 3 on those after it, and in every seventh turn on one that doesn't exist."""
     from wayfold.llm.tool_calls import link
 
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     name = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    calls = turns.where("role = 'assistant'").select("conv_id", name(0).alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", F.when(F.col("turn") % 3 != 2, F.char_length("text")).alias("chars"))).alias("arguments"), F.array(name(2)).alias("parents"))
+    back = F.when(F.expr("conv_id % 3 = 0"), -1).otherwise(1)
+    parents = F.filter(F.array(name(2 * back), name(4 * back), F.when(F.expr("turn % 7 = 0"), F.lit("gone"))), lambda x: x.isNotNull())
+    calls = turns.where("role = 'assistant'").select("conv_id", name(0).alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", F.when(F.col("turn") % 3 != 2, F.char_length("text")).alias("chars"))).alias("arguments"), parents.alias("parents"))
     results = turns.where("role = 'user'").select("conv_id", name(1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
     schemas = spark.sql("select * from values ('reply', 'turn', 'integer', true), ('reply', 'text', 'string', true), ('reply', 'chars', 'integer', true) as t(name, field, type, required)")
-    return link(calls, results, schemas).select("conv_id", "call_id", "position", "level", F.array_join("errors", ",").alias("errors"), "n_results", "result_position", F.char_length("result").cast("long").alias("result_chars"), "status", F.sha2("arguments", 256).alias("arguments_sha256"))
+    return link(calls, results, schemas).select("conv_id", "call_id", "position", "level", "missing_parents", F.array_join("errors", ",").alias("errors"), "n_results", "result_position", F.char_length("result").cast("long").alias("result_chars"), "status", F.sha2("arguments", 256).alias("arguments_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,13 +129,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 SQL: dict[str, str] = {
     "op5_fixity": """
-WITH p AS (SELECT page_id // 1000 AS file, page_id,
+WITH p AS (SELECT page_id // 1000 AS file, page_id, replica,
     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2) AS record FROM pages),
-h AS (SELECT file, page_id, sha256(record) AS hash, octet_length(encode(record)) AS length FROM p),
-o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM h),
-both_ AS (SELECT 0 AS replica, file, off, hash, page_id FROM o
-  UNION ALL SELECT 1, file, off, CASE WHEN page_id % 101 = 7 THEN sha256('damaged ' || hash) ELSE hash END, page_id FROM o WHERE page_id % 499 <> 5),
+    || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || repeat(chr(13) || chr(10), 2) || coalesce(html, '') || repeat(chr(13) || chr(10), 2) AS record
+  FROM (SELECT page_id, url, 0 AS replica, html FROM pages UNION ALL SELECT page_id, url, 1, CASE WHEN page_id % 101 = 7 THEN '#' || substring(html, 2) ELSE html END FROM pages)),
+h AS (SELECT replica, file, page_id, sha256(record) AS hash, octet_length(encode(record)) AS length FROM p),
+w AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY replica, file ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM h),
+o AS (SELECT * FROM w WHERE replica = 0),
+both_ AS (SELECT * FROM w WHERE replica = 0 OR page_id % 499 <> 5),
 l1 AS (SELECT replica, file, off // 65536 AS k, sha256(string_agg(off || ':' || hash || ';', '' ORDER BY off, hash)) AS hash FROM both_ GROUP BY ALL),
 l2 AS (SELECT replica, file, k // 16 AS k, sha256(string_agg(l1.k || ':' || hash || ';', '' ORDER BY l1.k)) AS hash FROM l1 GROUP BY replica, file, k // 16),
 l3 AS (SELECT replica, file, k // 16 AS k, sha256(string_agg(l2.k || ':' || hash || ';', '' ORDER BY l2.k)) AS hash FROM l2 GROUP BY replica, file, k // 16),
@@ -142,13 +147,32 @@ SELECT f.file, n_records, n_bytes, a.hash AS root, a.hash IS NOT DISTINCT FROM b
 FROM (SELECT file, count(*) AS n_records, CAST(sum(length) AS BIGINT) AS n_bytes FROM o GROUP BY file) f
 JOIN roots a ON a.file = f.file AND a.replica = 0 LEFT JOIN roots b ON b.file = f.file AND b.replica = 1 LEFT JOIN bad ON bad.file = f.file""",
     "op6_tool_calls": """
-WITH calls AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'assistant'),
-results AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, count(*) AS n, min(turn) AS turn, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY ALL)
-SELECT c.conv_id, c.call_id, c.turn AS position, CAST(0 AS BIGINT) AS level, CASE WHEN c.turn % 3 = 2 THEN 'missing chars' ELSE '' END AS errors,
+WITH RECURSIVE calls AS (SELECT *, conv_id || '-' || turn AS call_id FROM conversations WHERE role = 'assistant'),
+results AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, count(*) AS n, min(turn) AS turn, min_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
+given AS (SELECT call_id, conv_id, unnest([conv_id || '-' || (turn - CASE WHEN conv_id % 3 = 0 THEN -2 ELSE 2 END), conv_id || '-' || (turn - CASE WHEN conv_id % 3 = 0 THEN -4 ELSE 4 END), CASE WHEN turn % 7 = 0 THEN 'gone' END]) AS parent FROM calls),
+edges AS (SELECT call_id, parent FROM given WHERE parent IN (SELECT call_id FROM calls)),
+chains AS (SELECT call_id, CAST(0 AS BIGINT) AS level FROM calls UNION SELECT e.call_id, c.level + 1 FROM chains c JOIN edges e ON e.parent = c.call_id),
+levels AS (SELECT call_id, max(level) AS level FROM chains GROUP BY call_id),
+gone AS (SELECT call_id, count(*) AS missing_parents FROM given WHERE parent IS NOT NULL AND parent NOT IN (SELECT call_id FROM calls) GROUP BY call_id)
+SELECT c.conv_id, c.call_id, c.turn AS position, level, coalesce(missing_parents, 0) AS missing_parents, CASE WHEN c.turn % 3 = 2 THEN 'missing chars' ELSE '' END AS errors,
   coalesce(r.n, 0) AS n_results, r.turn AS result_position, CAST(length(r.text) AS BIGINT) AS result_chars,
   CASE WHEN c.turn % 3 = 2 THEN 'invalid' WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
   sha256('{' || CASE WHEN c.turn % 3 = 2 THEN '' ELSE '"chars":' || length(c.text) || ',' END || '"text":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '}') AS arguments_sha256
-FROM calls c LEFT JOIN results r USING (conv_id, call_id)""",
+FROM calls c LEFT JOIN results r USING (conv_id, call_id) JOIN levels USING (call_id) LEFT JOIN gone USING (call_id)
+UNION ALL
+SELECT conv_id, call_id, NULL, NULL, NULL, NULL, n, turn, CAST(length(text) AS BIGINT), 'orphan', NULL FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)""",
+    "op10_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)""",
     "op9_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
