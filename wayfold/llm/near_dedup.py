@@ -13,9 +13,10 @@
    members, and their Jaccard is computed exactly. So a group of copies of one text costs
    a comparison a copy.
 4. Open are pairs of members of one list that no link so far connects. Such a list is cut
-   into blocks by hash; for each two blocks the sketches are compared (a pair only in the
-   first of its common lists), sets are shipped of classes whose estimate passes, and a
-   spanning forest of their exact links comes back. Lists never merge: texts that only
+   into blocks by hash, those of its largest component apart, as they need no comparison
+   with each other; for each other two blocks the sketches are compared (a pair only in
+   the first of its common lists), sets are shipped of classes whose estimate passes, and
+   a spanning forest of their exact links comes back. Lists never merge: texts that only
    share single values through others are not compared.
 5. Components of these links give each text its least reachable id.
 
@@ -157,9 +158,12 @@ def _units(batches, key: list[str]):
 
 
 def _blocks(df: DataFrame) -> DataFrame:
-    """Rows with blocks and block, once for each block that theirs is compared with: i <= j."""
-    df = df.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return df.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    """Rows of open lists with their block, once for each block that theirs is compared with: i <= j. Blocks from small on hold the list's largest component and are not compared with each other."""
+    away = F.col("root") != F.col("big")
+    block = F.when(away, F.pmod(F.xxhash64("node"), "small")).otherwise(F.col("small") + F.pmod(F.xxhash64("node"), "large"))
+    last = F.when(away, F.col("small") + F.col("large") - 1).otherwise(F.col("small") - 1)
+    df = df.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return df.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "small", "large", "big")
 
 
 def near_duplicates(docs: DataFrame, part: int = 80, whole: int = 100, n: int = 5, k: int = K, slack: float = SLACK, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,8 +313,12 @@ def _open(docs, classes, entries, heads, linked, b: int, n: int, part: int, whol
     """Links between members of one list that linked leaves in different components, written; None if no list has such."""
     rest = entries.join(heads.where("size > 2"), "value").where("node != head").select("value", "node").join(linked, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
     rest = _shared.written(rest.join(classes.select("node", "n"), "node"), "near-rest")
-    split = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("long")
-    lists = _shared.written(rest.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), split.alias("blocks")).where("low < high").select("value", "blocks"), "near-open-lists")
+    split = lambda c, n: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(n) / SHINGLES), F.lit(1)).cast("long")
+    parts = rest.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    most = F.max(F.struct("c", "n", "root"))
+    lists = parts.groupBy("value").agg(most.alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("roots > 1")
+    lists = lists.select("value", F.col("m.root").alias("big"), F.col("m.c").alias("lc"), F.col("m.n").alias("ln"), (F.col("c") - F.col("m.c")).alias("sc"), (F.col("n") - F.col("m.n")).alias("sn"))
+    lists = _shared.written(lists.select("value", "big", split("sc", "sn").alias("small"), split("lc", "ln").alias("large")), "near-open-lists")
     if lists.isEmpty():
         _shared.drop(rest, lists)
         return None
