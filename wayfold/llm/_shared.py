@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def drop(*frames: DataFrame) -> None:
         remove(df.sparkSession, df.written_to)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that are gone now, not whenever the driver happens to collect its garbage: between the passes of a job they are most of its disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _local(path: str) -> str | None:
     u = urlparse(path)
     return u.path if u.scheme in ("", "file") else None

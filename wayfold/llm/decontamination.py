@@ -137,6 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, ratio:
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
     out = _shared.written(_arrays.run(docs, judge, schema).withColumnRenamed("id", id), "decontaminated")
     _shared.remove(spark, path)
+    _shared.drop(found)
     return out
 
 

@@ -2,13 +2,14 @@
 
 A file's records lie at ordered offsets. Leaves are the records' sha256; a node of level 1
 covers RANGE bytes of offsets, one of level k + 1 FANOUT nodes of level k, and its hash is
-the sha256 of "key:hash;" of what it covers, in order. A node has at most FANOUT children
-and a range a bounded number of records, so no aggregate gathers more, and all files grow
+the sha256 of "key:hash;" of what it covers, in order (n equal leaves: "key:hash*n;", counted
+before they are gathered). A node has at most FANOUT children and a range a bounded number
+of different records, so no aggregate gathers more, and all files grow
 their trees in the same few aggregations. Replicas are compared root by root; only below
 nodes that differ are the next level's nodes joined, down to the records.
 
 Nulls: a record with a null file or offset can't be placed and is left out; a null hash is
-a value of its own. Repeated rows count as repeated children. A file or record that one
+a value of its own. Repeated rows are one leaf with their number. A file or record that one
 side lacks is reported as missing there. Empty tables give no rows. Extra columns are kept
 out.
 """
@@ -36,15 +37,20 @@ def records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     return rows.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "page_id", "hash")
 
 
+def _named(hash_: F.Column, n: F.Column) -> F.Column:
+    return F.concat(F.coalesce(hash_, F.lit("")), F.when(n > 1, F.concat(F.lit("*"), n.cast("string"))).otherwise(F.lit("")))
+
+
 def _parents(level: DataFrame, key: F.Column) -> DataFrame:
-    covered = F.array_sort(F.collect_list(F.struct("key", F.coalesce("hash", F.lit("")).alias("hash"))))
+    covered = F.array_sort(F.collect_list(F.struct("key", _named(F.col("hash"), F.col("n")).alias("hash"))))
     text = F.concat_ws("", F.transform(covered, lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["hash"], F.lit(";"))))
-    return level.groupBy("file", key.alias("node")).agg(F.sha2(text, 256).alias("hash")).select("file", F.col("node").alias("key"), "hash")
+    return level.groupBy("file", key.alias("node")).agg(F.sha2(text, 256).alias("hash")).select("file", F.col("node").alias("key"), "hash", F.lit(1).cast("long").alias("n"))
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Levels of all files' trees: 0 the records (key: offset), then the ranges, last the roots (key 0); each written to the shared folder."""
-    leaves = _shared.written(leaves.where("file is not null and offset is not null").select("file", F.col("offset").alias("key"), "hash"), "merkle-0")
+    leaves = leaves.where("file is not null and offset is not null").select("file", F.col("offset").alias("key"), "hash")
+    leaves = _shared.written(leaves.groupBy("file", "key", "hash").agg(F.count(F.lit(1)).alias("n")), "merkle-0")
     levels, of = [leaves], F.floor(F.col("key") / RANGE)
     top = leaves.agg(F.max(of)).first()[0] or 0
     while True:
@@ -67,7 +73,7 @@ def audit(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
             up = F.floor(F.col("key") / (RANGE if k == 0 else FANOUT))
             a, b = (x.withColumn("up", up).join(wrong, ["file", "up"], "left_semi").drop("up") for x in (a, b))
         # repeated records of one place are compared as one
-        a, b = (x.groupBy("file", "key").agg(F.concat_ws(";", F.array_sort(F.collect_list(F.coalesce("hash", F.lit(""))))).alias(h)) if k == 0 else x.withColumnRenamed("hash", h) for x, h in ((a, "hash"), (b, "other_hash")))
+        a, b = (x.groupBy("file", "key").agg(F.concat_ws(";", F.array_sort(F.collect_list(_named(F.col("hash"), F.col("n"))))).alias(h)) if k == 0 else x.withColumnRenamed("hash", h) for x, h in ((a, "hash"), (b, "other_hash")))
         found = a.join(b, ["file", "key"], "full").where("not hash <=> other_hash")
         if k == 0:
             return found.select("file", F.col("key").alias("offset"), "hash", "other_hash")

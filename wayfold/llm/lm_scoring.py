@@ -149,6 +149,7 @@ def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             yield _arrays.rows(*_arrays.merged(*zip(*held, strict=True)), n)
 
     stats = _arrays.store(_arrays.run(texts, count_words, _arrays.BLOBS), f"{path}/words", n).collect()
+    _shared.tidy(spark)
     sizes = tuple(sorted((r["bucket"], r["n"]) for r in stats))
     v, tokens = sum(r["n"] for r in stats), sum(r["total"] for r in stats)
     if v >= 1 << 32:
@@ -164,7 +165,9 @@ def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         yield from _sent(((None, _pair_keys(*ids(store, batch), v)) for batch in _arrays.slices(batches)), n)
 
     pairs = _arrays.sizes(_arrays.store(_arrays.run(texts, count_pairs, _arrays.BLOBS), f"{path}/pairs", n))
+    _shared.tidy(spark)
     own = (_triples(texts, ids, path, n, sizes, pairs, v),) if order == 3 else ()
+    _shared.tidy(spark)
     d2, d1, start, one = _lower(spark, path, n, sizes, pairs, v, "adjusted" if order == 3 else "counts")
     free = (d1[0] * one[0] + d1[1] * one[1] + d1[2] * one[4]) / one[5] if one[5] else 1.0
     return Model(path, n, order, sizes, pairs, tokens, v, (d1, d2, *own), start, int(one[5]), float(free))

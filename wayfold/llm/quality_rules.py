@@ -161,11 +161,16 @@ def _discount(n: str) -> F.Column:
     return F.when(F.col(n) >= 3, F.col("d3")).when(F.col(n) == 2, F.col("d2")).when(F.col(n) == 1, F.col("d1")).otherwise(0.0)
 
 
-def character_model(counts: DataFrame) -> DataFrame:
-    """lang, gram (1 to ORDER characters), logp (of its last character after the others) and logg (what it leaves to shorter contexts when it is the context), and gram "" with the unknown character's logp."""
+def character_model(counts: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """used: takes the tables that it wrote and reads. lang, gram (1 to ORDER characters), logp (of its last character after the others) and logg (what it leaves to shorter contexts when it is the context), and gram "" with the unknown character's logp."""
+
+    def written(df, name):
+        used.append(_shared.written(df, name))
+        return used[-1]
+
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = _shared.written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "character-grams")
+        levels[k] = written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "character-grams")
     table, lower = [], None
     for k in range(1, ORDER + 1):
         c = levels[k]
@@ -173,7 +178,7 @@ def character_model(counts: DataFrame) -> DataFrame:
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         ratio = lambda i, num, den, other: F.when(F.col("n1") == 0, 0.0).when(F.col(den) == 0, other).otherwise(F.least(F.greatest(F.lit(i) - (i + 1) * y * F.col(num) / F.nullif(F.col(den), F.lit(0.0)), F.lit(0.0)), F.lit(float(i))))
         d = of.select("lang", ratio(1, "n2", "n1", 0.0).alias("d1"), ratio(2, "n3", "n2", 1.0).alias("d2"), ratio(3, "n4", "n3", 1.5).alias("d3"))
-        d = _shared.written(d, "character-discounts")  # a row a language
+        d = written(d, "character-discounts")  # a row a language
         c = c.join(F.broadcast(d) if d.count() <= LANGUAGES else d, "lang").withColumn("take", _discount("n"))
         context = c.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), (F.sum("take") / F.sum("n")).alias("free"), F.count(F.lit(1)).alias("kinds"))
         c = c.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
@@ -185,7 +190,7 @@ def character_model(counts: DataFrame) -> DataFrame:
             p = c.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"]).select("lang", "gram", (own + F.col("free") * F.col("low")).alias("p"))
             free = context.select("lang", F.col("context").alias("gram"), "free")
             table[-1] = table[-1].join(free, ["lang", "gram"], "full").select("lang", "gram", "p", "free")
-        p = _shared.written(p, f"characters-{k}")
+        p = written(p, f"characters-{k}")
         lower = p
         table.append(p)
     table[0] = table[0].withColumn("free", F.lit(None).cast("double")) if "free" not in table[0].columns else table[0]
@@ -329,7 +334,9 @@ def quality(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, mos
 
     counts = _shared.written(_grams(docs, (again, b, _copies(docs, again, b)), unfit) if clean else _grams(docs), "character-grams")
     _shared.remove(spark, again)
-    sizes = _stored(character_model(counts), path, b)
+    used = [counts]
+    sizes = _stored(character_model(counts, used), path, b)
+    _shared.drop(*used)
 
     def measure(batches):
         store = _arrays.arrays(path, b, sizes)

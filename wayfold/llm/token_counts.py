@@ -6,6 +6,9 @@ with the tokenizers library and writes them as a sorted array to the shared fold
 Pass 2 cuts each text again into pre-token frequencies, joins them to the memory-mapped
 arrays and sums pieces times frequency. No ids are made and no text is shuffled.
 
+Pre-tokens are told apart by 64-bit hashes: of a billion different ones, two agree with a
+chance of 3 in 100, and then one of them is counted with the other's number of pieces.
+
 Nulls: a null text counts as empty (0 tokens, 0 bytes); a null id is kept. Repeated rows
 are counted each. An empty table gives no rows. Other columns are not read.
 """
