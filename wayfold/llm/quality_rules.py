@@ -171,6 +171,7 @@ def character_model(counts: DataFrame, used: list[DataFrame]) -> DataFrame:
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "character-grams")
+    few = counts.select("lang").distinct().count() <= LANGUAGES
     table, lower = [], None
     for k in range(1, ORDER + 1):
         c = levels[k]
@@ -178,8 +179,7 @@ def character_model(counts: DataFrame, used: list[DataFrame]) -> DataFrame:
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         ratio = lambda i, num, den, other: F.when(F.col("n1") == 0, 0.0).when(F.col(den) == 0, other).otherwise(F.least(F.greatest(F.lit(i) - (i + 1) * y * F.col(num) / F.nullif(F.col(den), F.lit(0.0)), F.lit(0.0)), F.lit(float(i))))
         d = of.select("lang", ratio(1, "n2", "n1", 0.0).alias("d1"), ratio(2, "n3", "n2", 1.0).alias("d2"), ratio(3, "n4", "n3", 1.5).alias("d3"))
-        d = written(d, "character-discounts")  # a row a language
-        c = c.join(F.broadcast(d) if d.count() <= LANGUAGES else d, "lang").withColumn("take", _discount("n"))
+        c = c.join(F.broadcast(d) if few else d, "lang").withColumn("take", _discount("n"))  # a row a language
         context = c.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), (F.sum("take") / F.sum("n")).alias("free"), F.count(F.lit(1)).alias("kinds"))
         c = c.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
         own = (F.col("n") - F.col("take")) / F.col("total")
@@ -190,7 +190,7 @@ def character_model(counts: DataFrame, used: list[DataFrame]) -> DataFrame:
             p = c.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"]).select("lang", "gram", (own + F.col("free") * F.col("low")).alias("p"))
             free = context.select("lang", F.col("context").alias("gram"), "free")
             table[-1] = table[-1].join(free, ["lang", "gram"], "full").select("lang", "gram", "p", "free")
-        p = written(p, f"characters-{k}")
+        p = written(p, f"characters-{k}") if k < ORDER else p  # the last one is read once
         lower = p
         table.append(p)
     table[0] = table[0].withColumn("free", F.lit(None).cast("double")) if "free" not in table[0].columns else table[0]
