@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -64,8 +65,10 @@ def drop(*frames: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that are gone now, not whenever the driver happens to collect its garbage: between the passes of a job they are most of its disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # frames go first, then what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _local(path: str) -> str | None:
