@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import _shared
-from wayfold.llm._text import U, cut, flat, mix, release
+from wayfold.llm._text import U, cut, flat, mix, release, resident
 
 #: Bytes of text that a map function takes at a time.
 SLICE = 1 << 20
+#: Bytes of a worker's memory (mapped files too) from which it gives back what it can at the end of a task.
+LARGE = 128 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -43,9 +45,10 @@ def run(df: DataFrame, f: Callable, schema: str) -> DataFrame:
         finally:
             arrays.cache_clear()
             _shared.forget()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            release()
+            if resident() > LARGE:  # else it costs a small task more than the task itself
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                release()
 
     _shared.limit(df.sparkSession)
     return df.mapInArrow(task, schema)
