@@ -112,6 +112,25 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), part=85, whole=100, n=5)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm import _shared
+    from wayfold.llm.suffix_dedup import fit, forget, removed
+
+    docs = _table(spark, sf, "documents")
+    dictionary = fit(docs, length=50)
+    digest = removed(docs, dictionary).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = _shared.written(digest, "suffix-dedup")
+    forget(spark, dictionary)
+    return out
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from wayfold.llm.whitening import fit, whiten
+
+    vectors = _table(spark, sf, "embeddings")
+    return whiten(vectors, fit(vectors, components=16))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_id_files": op1_id_files,
     "op2_toxicity": op2_toxicity,
@@ -123,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_whitening": op12_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
