@@ -39,15 +39,160 @@ def line(n, dx=1e-4, y=52.5):
     return [geo.point(13.37 + i * dx, y + (i % 3) * 1e-5) for i in range(n)]
 
 
+def segments(tracks):
+    """Segments of tracks, each of them lines of Mercator points."""
+    points = np.array([p for t in tracks for x in t for p in x], float).reshape(-1, 2)
+    track = np.array([i for i, t in enumerate(tracks) for x in t for _ in x], int)
+    line = np.array([j for t in tracks for j, x in enumerate(t) for _ in x], int)
+    last = np.array([k == len(x) - 1 for t in tracks for x in t for k in range(len(x))], bool)
+    return tiling.segments_of(points, track, line, last)
+
+
 def walked(lines, z):
-    """Polylines by tile."""
-    found, out, a = tiling.walk([np.array(x, float).reshape(-1, 2) for x in lines], z), {}, 0
-    for end in found.ends.tolist():
-        out.setdefault(tuple(found.tile[a].tolist()), []).append([tuple(p) for p in found.pixel[a:end].tolist()])
+    """Polylines by tile, of one track."""
+    found, out, a = tiling.walk(segments([lines]), z), {}, 0
+    for end, tile in zip(found.ends.tolist(), found.tile.tolist()):
+        out.setdefault((tile >> 32, tile & 0xFFFFFFFF), []).append([tuple(p) for p in found.pixel[a:end].tolist()])
         a = end
     return out
 
 
+def plain(track, z):
+    """The walk as a machine with a state, segment by segment: polylines as (tile, pixels)."""
+    now, held, out = None, [], []
+
+    def cut(p, q, box):
+        lo, hi = 0.0, 1.0
+        for k in (0, 1):
+            d = q[k] - p[k]
+            if d == 0:
+                if not box[k] <= p[k] <= box[k + 2]:
+                    return None
+                continue
+            u, v = sorted(((box[k] - p[k]) / d, (box[k + 2] - p[k]) / d))
+            lo, hi = max(lo, u), min(hi, v)
+        at = lambda t: tuple(p[k] + t * (q[k] - p[k]) for k in (0, 1))
+        return (p if lo == 0 else at(lo), q if hi == 1 else at(hi)) if lo <= hi else None
+
+    def stop():
+        if held:
+            out.append((now, held.copy()))
+        held.clear()
+
+    def add(part):
+        box = geo.tile_bounds(*now, z)
+        for p in part if not held else part[1:]:
+            held.append(tuple(min(max(math.floor((p[k] - box[k]) / (box[k + 2] - box[k]) * tiling.EXTENT + 0.5), 0), tiling.EXTENT) for k in (0, 1)))
+
+    for line in track:
+        for p, q in zip(line[:-2], line[1:-1]):
+            if math.dist(p, q) > geo.MAX_GAP:
+                continue
+            now = now or geo.point_tile(*p, z)
+            part = cut(p, q, geo.tile_bounds(*now, z))
+            if part is None:
+                stop()
+                now = geo.point_tile(*p, z)
+                continue
+            add(part)
+            if part[1] == q:
+                continue
+            stop()
+            to = geo.point_tile(*q, z)
+            if to == now:
+                continue
+            rest = cut(part[1], q, geo.tile_bounds(*to, z))
+            now = to if rest else geo.point_tile(*part[1], z)
+            if rest:
+                add(rest)
+                if rest[1] != q:
+                    stop()
+        stop()
+    return out
+
+
+def random_tracks(seed, n=30, z=14):
+    """Tracks of several lines: small steps, jumps from tile to tile, gaps, points on tile edges, short and empty lines."""
+    rng = np.random.default_rng(seed)
+    left, bottom, right, _ = geo.tile_bounds(8802, 5373, z)
+    size = right - left
+    tracks = []
+    for _ in range(n):
+        track, at = [], np.array([left, bottom]) + rng.random(2) * size
+        for _ in range(rng.integers(1, 6)):
+            line, step = [], rng.choice([0.05, 0.6, 2.0])
+            for _ in range(rng.choice([0, 1, 2, 3, 40])):
+                kind = rng.random()
+                if kind < 0.03:
+                    at = at + rng.choice([-1, 1], 2) * 9000
+                elif kind < 0.1:  # on an edge of tiles
+                    at = np.array([left + size * rng.integers(-2, 3), at[1]])
+                elif kind > 0.15:
+                    at = at + rng.normal(size=2) * size * step
+                line.append(tuple(at.tolist()))
+            track.append(line)
+        tracks.append(track)
+    return tracks
+
+
+@pytest.mark.parametrize("z", [6, 10, 14, 16])
+def test_walk_equals_a_plain_machine(z):
+    """Of many tracks at once; the tile is kept from line to line."""
+    tracks = random_tracks(z)
+    found, got, a = tiling.walk(segments(tracks), z), {}, 0
+    for end, tile, track in zip(found.ends.tolist(), found.tile.tolist(), found.track.tolist()):
+        got.setdefault(track, []).append(((tile >> 32, tile & 0xFFFFFFFF), [tuple(p) for p in found.pixel[a:end].tolist()]))
+        a = end
+    assert got == {i: lines for i, t in enumerate(tracks) if (lines := plain(t, z))}
+    assert sum(map(len, got.values())) > 100 or z < 14
+
+
+def test_a_line_begins_in_the_tile_where_the_last_one_ended():
+    left, bottom, right, top = geo.tile_bounds(8802, 5373, 14)
+    mid = (bottom + top) / 2
+    far = 6 * (right - left)
+    lines = [[(left + x + d, mid) for d in (1, 5, 9, 14, 20, 30)] for x in (0, far)]
+    got = walked(lines, 14)
+    assert sum(len(p) - 1 for ps in got.values() for p in ps) == 7  # of 4 + 4, the second line's first one is lost
+
+
+@pytest.mark.parametrize("z", [6, 14, 16])
+def test_transitions_are_the_walk_from_any_tile(z):
+    tracks = [t for t in random_tracks(z + 50, 12) if len(segments([t]).track)]
+    s = segments(tracks)
+    rows = {}
+    for t, before, after, open_ in tiling.transitions(s, z, np.full(len(tracks), -1)):
+        rows.setdefault(t, {})[before] = after, open_
+    for t, known in rows.items():
+        one = segments([tracks[t]])
+        x, y = geo.point_tile(*one.a[0].tolist(), z)
+        tiles = [(x + i) << 32 | (y + j) for i in range(-4, 5) for j in range(-4, 5)] + [b for b in known if b >= 0]
+        for before in [-1, *tiles]:
+            _, steps = tiling.resolve(one, z, np.array([before]))
+            assert known.get(before, known[-2]) == (steps.after[-1], steps.open[-1])
+
+
+def test_chunks_of_one_activity_make_the_same_lines(spark, monkeypatch):
+    """Activities above CHUNK points, cut to chunks that different tasks walk, beside one that isn't."""
+    rng = np.random.default_rng(1)
+    rows, seq = [], 0
+    for a in (1, 2, 3):
+        for part in range(7 if a < 3 else 1):
+            lng, lat = 13.3 + rng.random() / 50, 52.5 + rng.random() / 50
+            for _ in range(int(rng.choice([1, 2, 60, 90])) if a < 3 else 20):
+                jump = 0.05 if rng.random() < 0.03 else 0.004
+                lng, lat = lng + rng.normal() * jump, lat + rng.normal() * jump
+                seq += int(rng.choice([1, 1, 2]))
+                rows.append((a, part, seq, lng, lat))
+    points = spark.createDataFrame(rows, "activity_id long, part int, seq long, lng double, lat double").repartition(3)
+    line = lambda df: sorted((r.activity_id, r.z, r.x, r.y, str([tuple(c) for c in r.coords])) for r in df.collect())
+    want = line(tiling.exact(points))
+    assert len({r[1] for r in want}) == 5 and len(want) > 100
+    for size in (25, 9, 40):
+        monkeypatch.setattr(tiling, "CHUNK", size)
+        assert line(tiling.exact(points)) == want
+
+
 def test_walk_drops_the_last_point_and_short_lines():
     assert walked([line(2)], 10) == {}
     got = walked([line(5)], 10)
