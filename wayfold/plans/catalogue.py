@@ -431,9 +431,66 @@ def webhook_properties(spark, sf):
 # --- order-dependent or codec operators: no SQL, tested on their own
 
 
-@query()
+def _walk_sql(zooms: list[int], extent: int = 2048, epsilon: float = tiling.EPSILON) -> str:
+    """kept: activity_id, z, line, idx, x, y, px, py of the vertices of stored polylines, from the bottom left: the walk as a recursion over an activity's segments, the simplification as one over chords."""
+
+    def clip(p: str, a: str, b: str) -> str:
+        """Columns of the part of segment a to b (prefixes) in the box l, b, r, t: p0, p1 (shares of it) and pm (whether they meet)."""
+        sides = [(f"{b}x - {a}x", f"l - {a}x", f"r - {a}x"), (f"{b}y - {a}y", f"b - {a}y", f"t - {a}y")]
+        near = ", ".join(f"CASE WHEN {d} = 0 THEN 0.0::DOUBLE ELSE least(({lo}) / ({d}), ({hi}) / ({d})) END" for d, lo, hi in sides)
+        far = ", ".join(f"CASE WHEN {d} = 0 THEN 1.0::DOUBLE ELSE greatest(({lo}) / ({d}), ({hi}) / ({d})) END" for d, lo, hi in sides)
+        out = " OR ".join(f"({d} = 0 AND ({lo} > 0 OR {hi} < 0))" for d, lo, hi in sides)
+        return f"greatest(0.0::DOUBLE, {near}) AS {p}0, least(1.0::DOUBLE, {far}) AS {p}1, NOT ({out}) AS {p}m"
+
+    at = lambda t, a, b, c, end, v: f"CASE WHEN {t} = {end} THEN {v}{c} ELSE {a}{c} + {t} * ({b}{c} - {a}{c}) END"
+    tile = lambda v: f"CAST(greatest(floor(pow(2, z) / {C}::DOUBLE * ({v}x + {HALF}::DOUBLE)), 0) AS BIGINT), CAST(greatest(floor(pow(2, z) / {C}::DOUBLE * ({HALF}::DOUBLE - {v}y)), 0) AS BIGINT)"
+    pair = lambda v, x, y: tile(v).replace(" AS BIGINT), ", f" AS BIGINT) AS {x}, ") + f" AS {y}"
+    box = lambda x, y: f"{x} * size - {HALF}::DOUBLE AS l, {HALF}::DOUBLE - ({y} + 1) * size AS b, ({x} + 1) * size - {HALF}::DOUBLE AS r, {HALF}::DOUBLE - {y} * size AS t"
+    pixel = lambda v, lo, hi: f"CAST(least(greatest(floor(({v} - {lo}) / ({hi} - {lo}) * {extent} + 0.5), 0), {extent}) AS BIGINT)"
+    return f"""{_SEGMENTS},
+numbered AS (SELECT activity_id, row_number() OVER (PARTITION BY activity_id ORDER BY seq) AS i, mx AS px, my AS py, nx AS qx, ny AS qy FROM segs),
+zooms AS (SELECT z, {C}::DOUBLE / pow(2, z) AS size FROM (SELECT unnest({zooms}) AS z)),
+walk AS (
+  SELECT activity_id, z, size, 0::BIGINT AS i, false AS first, false AS second, false AS opened, NULL::BIGINT AS wx, NULL::BIGINT AS wy, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my, 0::BIGINT AS tx, 0::BIGINT AS ty, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, NULL::BIGINT AS nx, NULL::BIGINT AS ny, false AS going
+  FROM (SELECT DISTINCT activity_id FROM numbered), zooms
+  UNION ALL
+  SELECT activity_id, z, size, i, first, leaves AND second AS second, opened, wx, wy, ax, ay, mx, my, tx, ty, cx, cy, dx, dy,
+    CASE WHEN NOT first THEN sx WHEN NOT leaves THEN wx WHEN second THEN tx ELSE ux END, CASE WHEN NOT first THEN sy WHEN NOT leaves THEN wy WHEN second THEN ty ELSE uy END,
+    (first AND mx = qx AND my = qy) OR (leaves AND second AND dx = qx AND dy = qy)
+  FROM (SELECT *, {pair("m", "ux", "uy")}, {at("e0", "m", "q", "x", 0, "m")} AS cx, {at("e0", "m", "q", "y", 0, "m")} AS cy, {at("e1", "m", "q", "x", 1, "q")} AS dx, {at("e1", "m", "q", "y", 1, "q")} AS dy, em AND e0 <= e1 AS second
+  FROM (SELECT *, {clip("e", "m", "q")}
+  FROM (SELECT * EXCLUDE (l, b, r, t), {box("tx", "ty")}, first AND NOT (mx = qx AND my = qy) AND NOT (tx = wx AND ty = wy) AS leaves
+  FROM (SELECT *, {at("c0", "p", "q", "x", 0, "p")} AS ax, {at("c0", "p", "q", "y", 0, "p")} AS ay, {at("c1", "p", "q", "x", 1, "q")} AS mx, {at("c1", "p", "q", "y", 1, "q")} AS my, {pair("q", "tx", "ty")}, cm AND c0 <= c1 AS first
+  FROM (SELECT *, {clip("c", "p", "q")}
+  FROM (SELECT *, {box("wx", "wy")}
+  FROM (SELECT * EXCLUDE (nx, ny), coalesce(nx, sx) AS wx, coalesce(ny, sy) AS wy
+  FROM (SELECT w.activity_id, w.z, w.size, n.i, w.going AS opened, w.nx, w.ny, n.px, n.py, n.qx, n.qy, {pair("p", "sx", "sy").replace("z)", "w.z)")} FROM walk w JOIN numbered n ON n.activity_id = w.activity_id AND n.i = w.i + 1))))))))),
+parts AS (
+  SELECT activity_id, z, size, i, 1 AS k, wx AS x, wy AS y, ax AS sx, ay AS sy, mx AS ex, my AS ey, NOT opened AS fresh FROM walk WHERE first
+  UNION ALL SELECT activity_id, z, size, i, 2, tx, ty, cx, cy, dx, dy, true FROM walk WHERE second),
+lined AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY activity_id, z ORDER BY i, k) AS line, {box("x", "y")} FROM parts),
+vertices AS (
+  SELECT activity_id, z, line, x, y, row_number() OVER (PARTITION BY activity_id, z, line ORDER BY i, k, e) AS idx, {pixel("vx", "l", "r")} AS px, {pixel("vy", "b", "t")} AS py
+  FROM (SELECT *, 0 AS e, sx AS vx, sy AS vy FROM lined WHERE fresh UNION ALL SELECT *, 1, ex, ey FROM lined)),
+chords AS (
+  SELECT activity_id, z, line, 1::BIGINT AS lo, max(idx) AS hi FROM vertices GROUP BY ALL
+  UNION ALL
+  SELECT activity_id, z, line, unnest([lo, far]) AS lo, unnest([far, hi]) AS hi
+  FROM (SELECT activity_id, z, line, lo, hi, arg_min(idx, (-d, idx)) AS far, max(d) AS d
+    FROM (SELECT *, (ox - t * dx) * (ox - t * dx) + (oy - t * dy) * (oy - t * dy) AS d
+    FROM (SELECT *, greatest(0.0, least(1.0, (ox * dx + oy * dy) / CASE WHEN dx * dx + dy * dy > 0 THEN dx * dx + dy * dy ELSE 1 END)) AS t
+    FROM (SELECT c.*, v.idx, (v.px - a.px)::DOUBLE AS ox, (v.py - a.py)::DOUBLE AS oy, (b.px - a.px)::DOUBLE AS dx, (b.py - a.py)::DOUBLE AS dy
+      FROM chords c JOIN vertices a ON a.activity_id = c.activity_id AND a.z = c.z AND a.line = c.line AND a.idx = lo JOIN vertices b ON b.activity_id = c.activity_id AND b.z = c.z AND b.line = c.line AND b.idx = hi
+      JOIN vertices v ON v.activity_id = c.activity_id AND v.z = c.z AND v.line = c.line AND v.idx > lo AND v.idx < hi)))
+    GROUP BY activity_id, z, line, lo, hi)
+  WHERE d > {epsilon * epsilon}),
+kept AS (SELECT v.* FROM vertices v SEMI JOIN (SELECT activity_id, z, line, lo AS idx FROM chords UNION SELECT activity_id, z, line, hi FROM chords) c ON v.activity_id = c.activity_id AND v.z = c.z AND v.line = c.line AND v.idx = c.idx)"""
+
+
+@query(f"WITH RECURSIVE {_walk_sql(tiling.ZOOMS)} SELECT activity_id, z, x, y, string_agg(px || ' ' || py, ',' ORDER BY idx) AS line FROM kept GROUP BY activity_id, z, x, y, kept.line")
 def exact_clip(spark, sf):
-    return tiling.exact(points(spark, sf))
+    """The stored polylines of all zooms, their vertices as text."""
+    return tiling.exact(points(spark, sf)).select("activity_id", "z", "x", "y", F.array_join(F.transform("coords", lambda c: F.concat_ws(" ", c["x"].cast("string"), c["y"].cast("string"))), ",").alias("line"))
 
 
 @query()
