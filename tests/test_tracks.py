@@ -308,3 +308,54 @@ def test_raster_counts_masks_and_scales(spark):
 def test_saturation(spark):
     s = spark.range(300).select(F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), F.lit(1).cast("long").alias("x1"), F.lit(0).cast("long").alias("y1"))
     assert {r.visits for r in raster.counted(raster.bresenham(s, []), []).collect()} == {255}
+
+
+def test_lines_are_drawn_vertex_by_vertex(spark):
+    """A draw loop that keeps its last vertex while segments miss the tile, on lines along and over the far edges, with masks."""
+    rng = np.random.default_rng(6)
+    width, z, x, y = 64, 10, 550, 335
+    left, bottom, right, top = geo.tile_bounds(x, y, z)
+    place = lambda px, py: (math.degrees(2 * math.atan(math.exp((top - (top - bottom) * py / width) / geo.RADIUS)) - math.pi / 2), math.degrees((left + (right - left) * px / width) / geo.RADIUS))
+    masks = [(*place(40.5, 60.5), 6 * (right - left) / width), (*place(63, 10), 3 * (right - left) / width)]
+    lines = []
+    for _ in range(60):
+        far = rng.choice([0.1, 0.6, 0.95])
+        c = np.where(rng.random((int(rng.integers(1, 30)), 2)) < far, [2048, 0], rng.integers(0, 2049, (1, 2)))
+        lines.append([tuple(p) for p in np.where(rng.random(c.shape) < 0.4, rng.integers(0, 2049, c.shape), c).tolist()])
+    near = raster.tile_masks(masks, (z, x, y), width)
+    want, misses = {}, 0
+    for line in lines:
+        last = None
+        for px, py in line:
+            v = px * width // 2048, (2048 - py) * width // 2048
+            if any((v[0] - a) ** 2 + (v[1] - b) ** 2 <= r for a, b, r in near):
+                last = None
+            elif last is None:
+                last = v
+            elif v != last:
+                lo, hi = 0.0, 1.0
+                for k in (0, 1):
+                    d = v[k] - last[k]
+                    if d == 0:
+                        hi = -1.0 if last[k] > width - 1 else hi
+                        continue
+                    s, t = sorted((-last[k] / d, (width - 1 - last[k]) / d))
+                    lo, hi = max(lo, s), min(hi, t)
+                if lo > hi:
+                    misses += 1
+                    continue
+                (ax, ay), (bx, by) = (tuple(math.floor(last[k] + t * (v[k] - last[k])) for k in (0, 1)) for t in (lo, hi))
+                n = max(abs(bx - ax), abs(by - ay))
+                for i in range(n + 1):
+                    short = i * min(abs(bx - ax), abs(by - ay)) // n if n else 0
+                    dx, dy = (short, i) if abs(by - ay) > abs(bx - ax) else (i, short)
+                    p = ax + (dx if bx >= ax else -dx), ay + (dy if by >= ay else -dy)
+                    want[p] = min(want.get(p, 0) + 1, 255)
+                last = v
+    tiles = spark.createDataFrame([(i, z, x, y, [{"x": a, "y": b} for a, b in line]) for i, line in enumerate(lines)], tiling.TILES)
+    for limit in (raster.BROADCAST, 0):
+        raster.BROADCAST, kept = limit, raster.BROADCAST
+        got = {(r.px, r.py): r.visits for r in raster.rasterize(tiles, [(z, x, y)], z, width, 2048, masks).collect()}
+        raster.BROADCAST = kept
+        assert got == want
+    assert misses > 30

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 
+#: Masks of all tiles of an image that are broadcast at most; more are joined by tile.
+BROADCAST = 200_000
+
 
 def bresenham(segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, px, py: every pixel of the segments x0, y0 to x1, y1, both ends included."""
@@ -61,6 +64,36 @@ def tile_masks(masks: list[tuple[float, float, float]], tile: tuple[int, int, in
     return out
 
 
+def drawn(vertices: str, width: int) -> Column:
+    """The segments (a, b) that draw a polyline in a tile: from each visible vertex to the next.
+
+    A vertex that repeats the last one is passed over, and so is one whose segment misses the
+    tile: then the last one stays. That takes two vertices in a row on the tile's far edges
+    (their pixel is width), so only lines with such are gone through one by one; in all
+    others the last vertex is the one before.
+    """
+    v = F.col(vertices)
+    n = F.greatest(F.size(v) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(v, 1, n), F.slice(v, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    differ = lambda a, b: (a["x"] != b["x"]) | (a["y"] != b["y"])
+    beyond = lambda p: (p["x"] >= width) | (p["y"] >= width)
+    box = [F.lit(0.0), F.lit(0.0), F.lit(width - 1.0), F.lit(width - 1.0)]
+    meets = lambda a, b: geo.clip(*(p[c].cast("double") for p in (a, b) for c in "xy"), box)[0].isNotNull()
+    kind = "struct<x: bigint, y: bigint, hide: boolean>"
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<struct<a: {kind}, b: {kind}>>").alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        last, out = state["last"], state["out"]
+        draws = last.isNotNull() & differ(last, p) & meets(last, p)
+        now = F.when(p["hide"], F.lit(None).cast(kind)).when(last.isNull() | draws, p).otherwise(last)
+        return F.struct(now.alias("last"), F.when(~p["hide"] & F.coalesce(draws, F.lit(False)), F.concat(out, F.array(F.struct(last.alias("a"), p.alias("b"))))).otherwise(out).alias("out"))
+
+    each = F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y"), p["hide"].alias("hide")))
+    one_by_one = F.aggregate(each, start, step, lambda state: state["out"])
+    plain = F.transform(F.filter(pairs, lambda p: ~p["a"]["hide"] & ~p["b"]["hide"] & differ(p["a"], p["b"])), lambda p: p.cast(f"struct<a: {kind}, b: {kind}>"))
+    return F.when(F.exists(pairs, lambda p: beyond(p["a"]) & beyond(p["b"])), one_by_one).otherwise(plain)
+
+
 def rasterize(tiles: DataFrame, targets: list[tuple[int, int, int]], source: int, width: int, extent: int, masks: list[tuple[float, float, float]] = ()) -> DataFrame:
     """tx, ty, px, py, visits of the target tiles (z, x, y; of one zoom, a rectangle) from the polylines stored at zoom source."""
     z = targets[0][0]
@@ -77,16 +110,16 @@ def rasterize(tiles: DataFrame, targets: list[tuple[int, int, int]], source: int
     for t in targets:
         if found := tile_masks(masks, t, width):
             near[t[1], t[2]] = found
-    # vertices next to each other; a hidden one breaks the line, one that repeats its pixel is passed over
-    # (the walk that draws a line keeps its last vertex while segments miss the tile; only vertices on its far edges could tell)
-    n = F.greatest(F.size("v") - 1, F.lit(0))
-    s = lines.select("tx", "ty", F.explode(F.zip_with(F.slice("v", 1, n), F.slice("v", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     if near:
-        # masks of a few tiles: a row a tile, looked up by it
+        # a row a tile, looked up by it
         of = tiles.sparkSession.createDataFrame([(*t, m) for t, m in near.items()], "tx long, ty long, masks array<struct<x: long, y: long, r: long>>")
-        cover = lambda end: F.exists("masks", lambda m: (F.col(f"p.{end}.x") - m["x"]) * (F.col(f"p.{end}.x") - m["x"]) + (F.col(f"p.{end}.y") - m["y"]) * (F.col(f"p.{end}.y") - m["y"]) <= m["r"])
-        s = s.join(F.broadcast(of), ["tx", "ty"], "left").where(F.col("masks").isNull() | (~cover("a") & ~cover("b"))).drop("masks")
-    s = s.select("tx", "ty", *(F.col(f"p.{e}.{c}").cast("double").alias(f"{e}{c}") for e in "ab" for c in "xy")).where("not (ax = bx and ay = by)")
+        few = sum(map(len, near.values())) <= BROADCAST
+        cover = lambda v: F.coalesce(F.exists("masks", lambda m: (v["x"] - m["x"]) * (v["x"] - m["x"]) + (v["y"] - m["y"]) * (v["y"] - m["y"]) <= m["r"]), F.lit(False))
+        lines = lines.join(F.broadcast(of) if few else of, ["tx", "ty"], "left").select("tx", "ty", F.transform("v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), cover(v).alias("hide"))).alias("v"))
+    else:
+        lines = lines.withColumn("v", F.transform("v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.lit(False).alias("hide"))))
+    s = lines.select("tx", "ty", F.explode(drawn("v", width)).alias("p"))
+    s = s.select("tx", "ty", *(F.col(f"p.{e}.{c}").cast("double").alias(f"{e}{c}") for e in "ab" for c in "xy"))
     t0, t1 = geo.clip(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), box)
     s = s.withColumns({"t0": t0, "t1": t1}).where("t0 is not null")
     at = lambda t, a, b: F.floor(F.col(a) + F.col(t) * (F.col(b) - F.col(a))).cast("long")

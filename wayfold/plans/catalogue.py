@@ -493,11 +493,41 @@ def exact_clip(spark, sf):
     return tiling.exact(points(spark, sf)).select("activity_id", "z", "x", "y", F.array_join(F.transform("coords", lambda c: F.concat_ws(" ", c["x"].cast("string"), c["y"].cast("string"))), ",").alias("line"))
 
 
-@query()
+VIEW = geo.viewport_tiles((13.3, 52.5, 13.4, 52.55), 1024, 1024, [14])
+
+
+def _stored_raster_sql(width: int = 256, source: int = 14, extent: int = 2048) -> str:
+    """The polylines of the walk drawn vertex by vertex, as a recursion that carries the last vertex."""
+    z, x0, y0, x1, y1 = VIEW
+    d, shift = source - z, raster.scale(source, z, extent, width)
+    side = width - 1
+    lows, highs = (", ".join(f"{f}(-p{c} / nullif(q{c} - p{c}, 0), ({side} - p{c}) / nullif(q{c} - p{c}, 0))" for c in "xy") for f in ("least", "greatest"))
+    at = lambda t, c: f"CAST(floor(p{c} + {t} * (q{c} - p{c})) AS BIGINT)"
+    return f"""{_walk_sql([source], extent)}, {_MASK_SQL},
+boxes AS (SELECT x, y, {C}::DOUBLE / pow(2, {z}) AS size FROM (SELECT unnest(range({x0}, {x1 + 1})) AS x), (SELECT unnest(range({y0}, {y1 + 1})) AS y)),
+sides AS (SELECT x, y, x * size - {HALF}::DOUBLE AS l, {HALF}::DOUBLE - (y + 1) * size AS b, (x + 1) * size - {HALF}::DOUBLE AS r, {HALF}::DOUBLE - y * size AS t FROM boxes),
+near AS (SELECT x, y, CAST(trunc((cx - l) * ({width} / (r - l))) AS BIGINT) AS mx, CAST(trunc((t - cy) * ({width} / (r - l))) AS BIGINT) AS my, CAST(trunc(radius * ({width} / (r - l))) AS BIGINT) AS mr FROM sides, centres
+  WHERE pow(cx - greatest(l, least(cx, r)), 2) + pow(cy - greatest(b, least(cy, t)), 2) <= radius * radius),
+scaled AS (SELECT activity_id, line, row_number() OVER (PARTITION BY activity_id, line ORDER BY idx) AS i, x >> {d} AS tx, y >> {d} AS ty, (px + {extent} * (x - ((x >> {d}) << {d}))) >> {shift} AS vx, ({extent} - py + {extent} * (y - ((y >> {d}) << {d}))) >> {shift} AS vy FROM kept),
+seen AS (SELECT *, EXISTS (SELECT 1 FROM near n WHERE n.x = tx AND n.y = ty AND (vx - mx) * (vx - mx) + (vy - my) * (vy - my) <= mr * mr) AS hide FROM scaled WHERE tx BETWEEN {x0} AND {x1} AND ty BETWEEN {y0} AND {y1}),
+draw AS (
+  SELECT activity_id, line, i, tx, ty, CASE WHEN NOT hide THEN vx::DOUBLE END AS lx, CASE WHEN NOT hide THEN vy::DOUBLE END AS ly, false AS draws, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1 FROM seen WHERE i = 1
+  UNION ALL
+  SELECT activity_id, line, i, tx, ty, CASE WHEN hide THEN NULL WHEN px IS NULL OR draws THEN qx ELSE px END, CASE WHEN hide THEN NULL WHEN px IS NULL OR draws THEN qy ELSE py END, draws AND NOT hide, px, py, qx, qy, t0, t1
+  FROM (SELECT *, coalesce((px <> qx OR py <> qy) AND t0 <= t1 AND NOT (px = qx AND px > {side}) AND NOT (py = qy AND py > {side}), false) AS draws
+  FROM (SELECT *, greatest(0.0::DOUBLE, {lows}) AS t0, least(1.0::DOUBLE, {highs}) AS t1
+  FROM (SELECT w.activity_id, w.line, s.i, s.tx, s.ty, s.hide, w.lx AS px, w.ly AS py, s.vx::DOUBLE AS qx, s.vy::DOUBLE AS qy FROM draw w JOIN seen s ON s.activity_id = w.activity_id AND s.line = w.line AND s.i = w.i + 1)))),
+strokes AS (SELECT tx, ty, {at("t0", "x")} AS x0, {at("t0", "y")} AS y0, {at("t1", "x")} AS x1, {at("t1", "y")} AS y1 FROM draw WHERE draws),
+pix AS (SELECT *, unnest(generate_series(0, greatest(abs(x1 - x0), abs(y1 - y0)))) AS i FROM strokes),
+minor AS (SELECT *, CASE WHEN greatest(abs(x1 - x0), abs(y1 - y0)) = 0 THEN 0 ELSE (i * least(abs(x1 - x0), abs(y1 - y0))) // greatest(abs(x1 - x0), abs(y1 - y0)) END AS m, abs(y1 - y0) > abs(x1 - x0) AS steep FROM pix)
+SELECT tx, ty, x0 + (CASE WHEN x1 >= x0 THEN 1 ELSE -1 END) * (CASE WHEN steep THEN m ELSE i END) AS px, y0 + (CASE WHEN y1 >= y0 THEN 1 ELSE -1 END) * (CASE WHEN steep THEN i ELSE m END) AS py, least(count(*), 255) AS visits FROM minor GROUP BY ALL"""
+
+
+@query(f"WITH RECURSIVE {_stored_raster_sql()}")
 def stored_raster_z14(spark, sf):
     """The rasters of all z14 tiles of the view from the stored polylines."""
     tiles = tiling.exact(points(spark, sf), [14])
-    z, x0, y0, x1, y1 = geo.viewport_tiles((13.3, 52.5, 13.4, 52.55), 1024, 1024, [14])
+    z, x0, y0, x1, y1 = VIEW
     return raster.rasterize(tiles, [(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], 14, 256, 2048, [m[1:] for m in MASKS])
 
 
