@@ -7,6 +7,7 @@ import urllib.request
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import samples
 from wayfold import cli
@@ -144,6 +145,97 @@ def test_older_stores_are_migrated(spark, tmp_path):
         Engine(spark, str(at))
 
 
+def _units(e):
+    """Bucket folders that the latest manifest names, and the data files in them."""
+    from pathlib import Path
+
+    found = e.store._named(e.store._latest()[0])
+    return found, {str(f) for u in found for f in Path(e.store.path, u).rglob("*.parquet")}
+
+
+def test_a_replacement_writes_one_bucket(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    up = lambda *names: spark.createDataFrame([(n, bytearray(samples.gpx(samples.RIDE))) for n in names], "path string, content binary")
+    e.upload(up(*(f"{i}.gpx" for i in range(40))))
+    units, data = _units(e)
+    buckets = {u.split("bucket=")[1] for u in units}
+    assert len(buckets) > 8 and len({u.split("/")[1] for u in units}) == 1
+    before, tiles = e.store.activities, e.store.tiles
+    n = tiles.count()
+    e.upload(up("7.gpx"))
+    new, more = _units(e)
+    changed = units ^ new
+    assert len({u.split("bucket=")[1] for u in changed}) == 1 and len(changed) == 4  # a bucket of both tables, the old and the new
+    one = changed.pop().split("/")[-1]
+    assert {f for f in data if f"/{one}/" not in f} == {f for f in more if f"/{one}/" not in f}
+    assert e.count() == 40 and e.store.tiles.count() == n
+    # a reader that began before goes on
+    assert before.count() == 40 and tiles.count() == n
+    e.upload(up("new.gpx"))
+    assert len(_units(e)[0]) == len(new) + 2 and e.count() == 41  # beside what is there
+
+
+def test_what_no_manifest_names_is_removed(spark, tmp_path, monkeypatch):
+    from wayfold import store
+
+    monkeypatch.setattr(store, "KEPT", 3)
+    monkeypatch.setattr(store, "PARTS", 2)
+    e = Engine(spark, str(tmp_path / "db"))
+    up = spark.createDataFrame([("a.gpx", bytearray(samples.gpx(samples.RIDE)))], "path string, content binary")
+    for _ in range(5):
+        e.upload(up)
+    parts = lambda: {p.name for p in (tmp_path / "db" / "activities").iterdir() if any(p.glob("bucket=*"))}
+    assert len(parts()) == 3 == len(e.store._numbers())
+    (tmp_path / "db" / "activities" / "part=lost" / "bucket=1").mkdir(parents=True)
+    assert e.store.vacuum() == 0 and "part=lost" in parts()
+    e.store.vacuum(hours=-1)
+    assert len(parts()) == 3 and e.count() == 1
+    for i in range(5):  # new files of one bucket: never more than PARTS and one parts
+        e.upload(spark.createDataFrame([(f"{i}.gpx", bytearray(samples.gpx(samples.RIDE)))], "path string, content binary"))
+    assert e.count() == 6 and max(map(len, e.store._latest()[1]["tables"]["activities"].values())) <= 2
+
+
+def test_two_writers_of_masks_lose_none(spark, tmp_path):
+    one, two = Engine(spark, str(tmp_path / "db")).store, Engine(spark, str(tmp_path / "db")).store
+    threads = [threading.Thread(target=s.add_mask, args=(f"{n}{i}", 50.0, 10.0 + i, 100.0)) for i in range(3) for n, s in (("x", one), ("y", two))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(m["name"] for m in one.config().activity_mask) == ["x0", "x1", "x2", "y0", "y1", "y2"]
+
+
+def test_tiles_of_a_column_are_pruned_by_row(spark, tmp_path):
+    """Tiles of one x and many y: a tile's read takes in few rows of the zoom, by y as well as by x."""
+    import pyarrow.parquet as pq
+
+    from wayfold.store import morton
+
+    e = Engine(spark, str(tmp_path / "db"), create=True)
+    side = 128
+    tiles = spark.range(side * side).selectExpr("3L as activity_id", "14 as z", f"cast(id % {side} as int) as x", f"cast(id div {side} as int) as y", "array(named_struct('x', 1, 'y', 1), named_struct('x', 9, 'y', 9)) as coords")
+    spark.conf.set("parquet.block.size", "20000")
+    spark._jsc.hadoopConfiguration().set("parquet.block.size", "20000")
+    spark._jsc.hadoopConfiguration().set("parquet.page.size.row.check.min", "100")
+    spark._jsc.hadoopConfiguration().set("parquet.block.size.row.check.min", "100")
+    try:
+        e.store.upsert(e.store.activities.limit(0), tiles)
+    finally:
+        for k in ("parquet.block.size", "parquet.page.size.row.check.min", "parquet.block.size.row.check.min"):
+            spark._jsc.hadoopConfiguration().unset(k)
+        spark.conf.unset("parquet.block.size")
+    files_ = [f for f in _units(e)[1] if "activity_tiles" in f]
+    groups = [pq.ParquetFile(f).metadata.row_group(i) for f in files_ for i in range(pq.ParquetFile(f).num_row_groups)]
+    names = {c: next(i for i in range(groups[0].num_columns) if groups[0].column(i).path_in_schema == c) for c in "xy"}
+    spans = [tuple((g.column(names[c]).statistics.min, g.column(names[c]).statistics.max) for c in "xy") for g in groups]
+    for x in (3, 70):
+        of_x = [s for s in spans if s[0][0] <= x <= s[0][1]]
+        both = [s for s in of_x if s[1][0] <= 40 <= s[1][1]]
+        assert 0 < len(both) <= max(2, len(of_x) / 2) < len(spans)
+    at = spark.createDataFrame([(5, 3), (0, 0), (2**22 - 1, 2**22 - 1)], "x int, y int").select(morton(F.col("x"), F.col("y")).alias("m"))
+    assert [r.m for r in at.collect()] == [0b011011, 0, 2**44 - 1]
+
+
 def test_known_files_are_not_opened(spark, folder, tmp_path, monkeypatch):
     e = Engine(spark, str(tmp_path / "db"))
     (tmp_path / "in").mkdir()

@@ -52,9 +52,7 @@ class Engine:
     def import_path(self, path: str, join: str | None = None, trim: float | None = None, reset: bool = False) -> dict[str, int]:
         """Import a file or all below a folder; files whose key is known are passed over. join: a CSV of metadata."""
         if trim is not None:
-            c = self.store.config()
-            c.trim_dist = trim
-            self.store.save(c)
+            self.store.configure(lambda c: setattr(c, "trim_dist", trim))
         if reset:
             self.store.reset()
         # names first: only files that aren't known yet are opened

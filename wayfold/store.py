@@ -1,30 +1,35 @@
 """The engine's tables as Parquet in one folder, with configuration, masks and versions.
 
-Every write makes new parts of a table and then names them in the store's next manifest, a
-numbered file that is put in place by a rename which fails if another writer was first. So
-a reader sees the old version or the new one, a failed write leaves the old one, and of
-two writers the second starts over from what the first left.
+Activities and their tiles are dealt to buckets by a hash of the file key (an activity's id is
+that hash), so what belongs to a file lies in one bucket. Every write makes a new part, a
+folder of buckets, and then names them in the store's next manifest, a numbered file that is
+put in place by a rename which fails if another writer was first. New files are added beside
+what their buckets hold; a replaced file makes its bucket anew, and no other. So a reader
+sees the old version or the new one, a failed write leaves the old one, and of two writers
+the second starts over from what the first left. What no kept manifest names is removed.
+Configuration and masks lie in the manifest too.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.props import round4
 from wayfold.operators import tiling
-from wayfold.operators.activities import upserted
 
 ACTIVITIES = "id long, file string, title string, start_time timestamp, properties variant, created_at timestamp"
-VERSION = 3
-#: Parts of a table before an upsert makes one of them.
-PARTS = 64
+VERSION = 4
+#: Buckets of a new store: what a replacement reads and writes is one of them. Parts of a bucket before an upsert makes one of them.
+BUCKETS, PARTS = 16, 16
 #: Manifests that are kept, and times a writer starts over.
 KEPT, TRIES = 20, 10
 
@@ -58,14 +63,14 @@ def mask_text(m: dict) -> str:
 class Store:
     """A store at a path of any file system that Spark reads. create: make it if it is missing, else FileNotFoundError."""
 
-    def __init__(self, spark: SparkSession, path: str, create: bool = True):
+    def __init__(self, spark: SparkSession, path: str, create: bool = True, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
         self.jvm = spark._jvm
         if self._latest() is None:
             if not create:
                 raise FileNotFoundError(f"no store at {path}")
-            self.save(Config())
-            self._next(0, {"version": VERSION, "tables": {}})
+            with contextlib.suppress(Conflict):  # another has just made it
+                self._next(0, {"version": VERSION, "buckets": buckets, "config": asdict(Config()), "tables": {}})
         self.migrate()
 
     def _fs(self, path: str):
@@ -118,21 +123,63 @@ class Store:
 
     def _next(self, number: int, manifest: dict) -> None:
         self._put(f"manifests/{number + 1:012d}.json", manifest, over=False)
-        for old in self._numbers()[:-KEPT]:
-            fs, p = self._fs(f"{self.path}/manifests/{old:012d}.json")
-            fs.delete(p, False)
+        old = self._numbers()[:-KEPT]
+        gone = set().union(*(self._named(n) for n in old))
+        for n in old:
+            self._drop([f"manifests/{n:012d}.json"])
+        if gone:
+            self._drop(gone - self._kept())
+
+    def _named(self, number: int) -> set[str]:
+        """The folders that a manifest names; none if it went meanwhile."""
+        try:
+            tables = self._get(f"manifests/{number:012d}.json")["tables"]
+        except Exception:  # noqa: BLE001  (of the file system's own kind)
+            return set()
+        return {x for name, parts in tables.items() for x in (parts if isinstance(parts, list) else self._folders(name, parts))}
+
+    def _kept(self) -> set[str]:
+        return set().union(*(self._named(n) for n in self._numbers()))
+
+    @staticmethod
+    def _folders(name: str, buckets: dict[str, list[str]], some: Iterable[int] | None = None) -> list[str]:
+        return [f"{name}/{part}/bucket={b}" for b, parts in buckets.items() if some is None or int(b) in some for part in parts]
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Remove parts that no kept manifest names and that are older than some hours (a younger one may be a write under way); the number of parts."""
+        kept = {x.split("/bucket=")[0] for x in self._kept()}
+        old = []
+        for name in SCHEMAS:
+            fs, p = self._fs(f"{self.path}/{name}")
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                part = f"{name}/{f.getPath().getName()}"
+                if part not in kept and f.getModificationTime() / 1000 <= time.time() - hours * 3600:
+                    old.append(part)
+        self._drop(old)
+        return len(old)
 
     def migrate(self) -> None:
         """Bring an older store to VERSION, one step after another; a newer one is refused."""
         n, m = self._latest()
         if m["version"] > VERSION:
             raise ValueError(f"the store is of version {m['version']}, newer than {VERSION}")
-        steps = {0: lambda m: m | {"tables": m.get("tables", {})}, 1: lambda m: m | {"tables": {k: [v] for k, v in m["tables"].items()}}, 2: self._to_variant}
+        steps = {0: lambda m: m | {"tables": m.get("tables", {})}, 1: lambda m: m | {"tables": {k: [v] for k, v in m["tables"].items()}}, 2: self._to_variant, 3: self._to_buckets}
         while m["version"] < VERSION:
             m = steps[m["version"]](m) | {"version": m["version"] + 1}
             self._next(n, m)
             n += 1
 
+    def _to_buckets(self, m: dict) -> dict:
+        """Parts dealt to buckets by file, ids made anew from it, and the configuration's file put into the manifest."""
+        config = self._get("config.json") if self._exists(f"{self.path}/config.json") else asdict(Config())
+        m = m | {"buckets": BUCKETS, "config": config}
+        read = lambda name: self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in m["tables"][name])).drop("part") if m["tables"].get(name) else self._empty(name)
+        activities, tiles = read("activities"), read("activity_tiles")
+        ids = activities.select(F.col("id").alias("activity_id"), F.xxhash64("file").alias("new"))
+        tiles = tiles.join(ids, "activity_id").withColumn("activity_id", F.col("new")).drop("new")
+        part, found = self._part({"activities": activities.withColumn("id", F.xxhash64("file")), "activity_tiles": tiles}, m["buckets"])
+        return m | {"tables": {k: {str(b): [part] for b in v} for k, v in found.items()}}
+
     def _to_variant(self, m: dict) -> dict:
         """Properties, JSON text up to version 2, parsed once and for all."""
         parts = m["tables"].get("activities")
@@ -148,36 +195,54 @@ class Store:
     def config(self) -> Config:
         """Unknown keys are left out."""
         known = Config.__dataclass_fields__
-        return Config(**{k: v for k, v in self._get("config.json").items() if k in known})
+        return Config(**{k: v for k, v in self._latest()[1]["config"].items() if k in known})
+
+    def configure(self, change: Callable[[Config], None]) -> None:
+        """Apply change to the configuration as it is then, also where another writer is at it."""
+
+        def write(since):
+            known = Config.__dataclass_fields__
+            config = Config(**{k: v for k, v in since[1]["config"].items() if k in known})
+            change(config)
+            self._next(since[0], since[1] | {"config": asdict(config)})
+
+        self._tried(write)
 
     def save(self, config: Config) -> None:
-        self._put("config.json", asdict(config))
+        self.configure(lambda c: c.__dict__.update(asdict(config)))
 
     def add_mask(self, name: str, lat: float, lng: float, radius: float) -> None:
         """Add a mask, or replace the one of this name."""
         if not name or not -90 <= lat <= 90 or not -180 <= lng <= 180 or radius <= 0:
             raise ValueError("a mask has a name, a place and a radius above 0")
-        c = self.config()
-        c.activity_mask = [m for m in c.activity_mask if m["name"] != name] + [{"name": name, "lat": lat, "lng": lng, "radius": radius}]
-        self.save(c)
+
+        def change(c: Config) -> None:
+            c.activity_mask = [m for m in c.activity_mask if m["name"] != name] + [{"name": name, "lat": lat, "lng": lng, "radius": radius}]
+
+        self.configure(change)
 
     def remove_mask(self, name: str) -> None:
-        c = self.config()
-        rest = [m for m in c.activity_mask if m["name"] != name]
-        if len(rest) == len(c.activity_mask):
-            raise KeyError(f"no mask {name!r}")
-        c.activity_mask = rest
-        self.save(c)
+        def change(c: Config) -> None:
+            rest = [m for m in c.activity_mask if m["name"] != name]
+            if len(rest) == len(c.activity_mask):
+                raise KeyError(f"no mask {name!r}")
+            c.activity_mask = rest
+
+        self.configure(change)
 
     # tables
 
     def table(self, name: str) -> DataFrame:
+        return self._table(name, self._latest()[1])
+
+    def _table(self, name: str, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table as a manifest has it, or some of its buckets."""
         schema = SCHEMAS[name]
-        parts = self._latest()[1]["tables"].get(name)
-        if not parts:
+        found = self._folders(name, manifest["tables"].get(name, {}), buckets)
+        if not found:
             return self._empty(name)
         columns = [c.strip().split(" ")[0] for c in schema.replace("struct<x: int, y: int>", "struct").split(",")]
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in parts)).select(*columns)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in found)).select(*columns)
 
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[name])
@@ -190,25 +255,37 @@ class Store:
     def tiles(self) -> DataFrame:
         return self.table("activity_tiles")
 
-    def _write(self, tables: dict[str, DataFrame], since: tuple[int, dict], append: bool = False) -> None:
-        """Write tables as new parts, in place of those of the manifest since or beside them, then name them in the next one."""
-        n, m = since
-        names = {}
+    def _part(self, tables: dict[str, DataFrame], buckets: int) -> tuple[str, dict[str, list[int]]]:
+        """Write tables as a new part; its name, and which buckets it has of each."""
+        part, found = f"part={uuid.uuid4().hex}", {}
         for name, df in tables.items():
-            names[name] = f"{name}/part={uuid.uuid4().hex}"
-            # tiles are read by zoom and ranges of x and y
-            out = df.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y").write.partitionBy("z") if name == "activity_tiles" else df.write
-            out.parquet(f"{self.path}/{names[name]}")
-        old = {k: m["tables"].get(k, []) for k in names}
+            at = f"{self.path}/{name}/{part}"
+            if name == "activity_tiles":
+                # read by zoom and rectangles of tiles: along a curve, so that both x and y are near each other in a row group
+                df = df.withColumns({"bucket": _bucket(F.col("activity_id"), buckets), "_curve": morton(F.col("x"), F.col("y"))})
+                df.repartitionByRange("bucket", "z", "_curve").sortWithinPartitions("bucket", "z", "_curve").drop("_curve").write.partitionBy("bucket", "z").parquet(at)
+            else:
+                df = df.withColumn("bucket", _bucket(F.col("id"), buckets))
+                df.repartitionByRange("bucket", "file").write.partitionBy("bucket").parquet(at)
+            fs, p = self._fs(at)
+            found[name] = sorted(int(f.getPath().getName().removeprefix("bucket=")) for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith("bucket="))
+        return part, found
+
+    def _write(self, tables: dict[str, DataFrame], since: tuple[int, dict], over: Iterable[int] = ()) -> None:
+        """Write tables as a new part and name it in the next manifest: in place of what the buckets over hold, beside what others do."""
+        n, m = since
+        part, found = self._part(tables, m["buckets"])
+        after = {name: {b: parts for b, parts in m["tables"].get(name, {}).items() if int(b) not in over} for name in tables}
+        for name, buckets in found.items():
+            for b in map(str, buckets):
+                after[name][b] = [*after[name].get(b, []), part]
         try:
-            self._next(n, m | {"tables": m["tables"] | {k: [*(old[k] if append else []), v] for k, v in names.items()}})
+            self._next(n, m | {"tables": m["tables"] | after})
         except Conflict:
-            self._drop(list(names.values()))
+            self._drop([f"{name}/{part}" for name in tables])
             raise
-        if not append:
-            self._drop(sum(old.values(), []))
 
-    def _drop(self, parts: list[str]) -> None:
+    def _drop(self, parts: Iterable[str]) -> None:
         for part in parts:
             fs, p = self._fs(f"{self.path}/{part}")
             fs.delete(p, True)
@@ -223,21 +300,44 @@ class Store:
                     raise
 
     def upsert(self, activities: DataFrame, tiles: DataFrame) -> None:
-        """Put activities (one row a file) and their tiles in place of those with the same file; the replaced ones' tiles go too. New files alone are added as a part, so an import costs what it brings; a replacement writes the tables anew, in one part."""
+        """Put activities (one row a file, its id the hash of the file) and their tiles in place of those with the same file; the replaced ones' tiles go too.
+
+        An import of new files costs what it brings. Only buckets that hold a file to be replaced, or have come to PARTS parts, are read and made anew.
+        """
 
         def write(since):
-            parts = since[1]["tables"].get("activities", [])
-            if len(parts) < PARTS and self.activities.join(activities.select("file"), "file", "left_semi").isEmpty():
-                return self._write({"activities": activities, "activity_tiles": tiles}, since, append=True)
-            kept = upserted(self.activities, activities)
-            ids = kept.select(F.col("id").alias("activity_id"))
-            old = self.tiles.join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti").join(ids, "activity_id", "left_semi")
-            return self._write({"activities": kept, "activity_tiles": old.unionByName(tiles.select(*old.columns))}, since)
+            m = since[1]
+            bucket = _bucket(F.col("id"), m["buckets"]).alias("bucket")
+            come = {r["bucket"] for r in activities.select(bucket).distinct().collect()}  # at most a row a bucket
+            held = self._table("activities", m, come)
+            over = {r["bucket"] for r in held.join(activities.select("file"), "file", "left_semi").select(bucket).distinct().collect()}
+            over |= {b for b in come if len(m["tables"].get("activities", {}).get(str(b), [])) >= PARTS}
+            new = {"activities": activities, "activity_tiles": tiles}
+            if over:
+                kept = {"activities": self._table("activities", m, over).join(activities.select("file"), "file", "left_anti"), "activity_tiles": self._table("activity_tiles", m, over).join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti")}
+                new = {k: kept[k].unionByName(v.select(*kept[k].columns)) for k, v in new.items()}
+            return self._write(new, since, over)
 
         self._tried(write)
 
     def reset(self) -> None:
-        self._tried(lambda since: self._write({name: self._empty(name) for name in SCHEMAS}, since))
+        self._tried(lambda since: self._next(since[0], since[1] | {"tables": {}}))
+
+
+def _bucket(id: Column, buckets: int) -> Column:
+    return F.pmod(id, F.lit(buckets)).cast("int")
+
+
+def morton(x: Column, y: Column) -> Column:
+    """The place of a tile on a Z-shaped curve: the bits of x and y (32 each at most) in turn."""
+
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for by, keep in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(keep))
+        return v
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
 def rounded(fragment):
