@@ -16,6 +16,7 @@ from wayfold.functions import geo
 from wayfold.operators import activities
 from wayfold.serve import server, split_size, uploads
 from wayfold.sources import files, fit, polyline
+from wayfold.sources import known as keys
 from wayfold.store import VERSION, Conflict
 from wayfold.streaming import landing
 
@@ -54,7 +55,7 @@ def test_import(engine, folder):
     assert ride["total_distance"] == pytest.approx(kilometres(samples.RIDE), abs=1e-4) and (ride["elevation_min"], ride["elevation_max"], ride["elevation_loss"]) == (61.5, 61.8, 0)
     assert ride["elevation_gain"] == 500 and ride["activity_type"] == "ride"  # the CSV wins
     run = props(engine, "sample.tcx")
-    assert run["total_distance"] == pytest.approx(kilometres([p[1:] for p in samples.RUN if p[1] is not None]), abs=1e-4) and (run["elapsed_time"], run["moving_time"], run["max_speed"]) == (300, 0, 0.0)
+    assert run["total_distance"] == pytest.approx(kilometres([p[1:] for p in samples.RUN if p[1] is not None]), abs=1e-4) and (run["elapsed_time"], run["moving_time"], run["max_speed"]) == (384, 0, 0.0)  # 06:12:07 to 06:18:31, no two places within a minute
     assert "average_speed" not in run and "elevation_min" not in run
     loop = props(engine, "sample.fit")
     assert loop["manufacturer"] == "garmin" and loop["total_calories"] == 1188 and loop["elapsed_time"] == 590
@@ -241,12 +242,84 @@ def test_known_files_are_not_opened(spark, folder, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a [1] {x}*.gpx").write_bytes(samples.gpx(samples.RIDE))
     opened, real = [], files.opened
-    monkeypatch.setattr(files, "opened", lambda spark, at: (opened.append(len(at)), real(spark, at))[1])
+    monkeypatch.setattr(files, "opened", lambda spark, at: (opened.append(at.count()), real(spark, at))[1])
     assert e.import_path(str(tmp_path / "in"))["imported"] == 1 and e.import_path(str(tmp_path / "in"))["imported"] == 0
     (tmp_path / "in" / "b.gpx").write_bytes(samples.gpx(samples.RIDE))
     assert e.import_path(str(tmp_path / "in"))["imported"] == 1 and opened == [1, 1]
 
 
+def test_names_are_listed_by_tasks(spark, tmp_path):
+    for d in ("a/b/c", "a/d", ".hidden", "_tmp", "e"):
+        (tmp_path / d).mkdir(parents=True)
+    for f in ("x.gpx", "a/b/c/é [1]%20.fit", "a/d/y.tcx", "a/d/.z.gpx", ".hidden/h.gpx", "_tmp/t.gpx", "e/_SUCCESS"):
+        (tmp_path / f).write_text(f)
+    found = files.names(spark, str(tmp_path))
+    assert sorted(r.path for r in found.collect()) == sorted(str(tmp_path / f) for f in ("x.gpx", "a/b/c/é [1]%20.fit", "a/d/y.tcx"))
+    assert [r.path for r in files.names(spark, f"file:{tmp_path}/x.gpx").collect()] == [str(tmp_path / "x.gpx")]
+    gone = found.unionByName(spark.createDataFrame([(str(tmp_path / "no.gpx"),)], "path string"))
+    assert {r.path.split("/")[-1]: bytes(r.content).decode() if r.content else None for r in files.opened(spark, gone).collect()} == {"x.gpx": "x.gpx", "é [1]%20.fit": "a/b/c/é [1]%20.fit", "y.tcx": "a/d/y.tcx", "no.gpx": None}
+    with pytest.raises(FileNotFoundError):
+        files.names(spark, str(tmp_path / "none"))
+
+
+def test_unknown_keys_by_a_filter(spark):
+    known = spark.range(0, 60_000, 2).selectExpr("concat('f', id) as file")
+    rows = spark.range(0, 3000).selectExpr("case when id < 2990 then concat('f', id) end as file", "id")
+    want = [r.id for r in keys.unknown(rows, known).orderBy("id").collect()]
+    assert want == [i for i in range(3000) if i % 2 or i >= 2990]
+    assert [r.id for r in keys.unknown(rows, known, few=0).orderBy("id").collect()] == want
+    data, bits = keys.bloom(known, "file", 30_000)
+    assert len(data) == (1 << bits) // 8 < 100_000 and 0.1 < sum(b.bit_count() for b in data) / (1 << bits) < 0.5
+    # few new keys go to the exact join
+    new = keys._hashed(spark.range(100_000, 110_000).selectExpr("concat('f', id) as file"), "file").toArrow()
+    import numpy as np
+
+    bit = np.unpackbits(np.frombuffer(data, np.uint8))
+    maybe = np.logical_and.reduce([bit[at.astype(np.int64)] for at in keys._places(new.column("_one").to_numpy(), new.column("_two").to_numpy(), bits)])
+    assert maybe.mean() < 0.03
+    assert [r.id for r in keys.unknown(rows, known.limit(0), few=-1).orderBy("id").collect()] == list(range(3000))
+
+
+class Days:
+    """A client of a day: files in folders named by day, and a log of the days that are asked."""
+
+    def __init__(self, at):
+        self.at = str(at)
+
+    def __call__(self, day):
+        import pathlib
+
+        at = pathlib.Path(self.at)
+        with open(at / "asked", "a") as f:
+            f.write(f"{day}\n")
+        return [(p.name, p.read_bytes()) for p in sorted((at / day.isoformat()).glob("*.gpx"))] if (at / day.isoformat()).is_dir() else []
+
+
+def test_pull_by_day_and_as_a_stream(spark, tmp_path):
+    for day, name in (("2025-03-01", "a"), ("2025-03-02", "b"), ("2025-03-02", "a"), ("2025-03-04", "c"), ("2025-02-01", "old")):
+        (tmp_path / day).mkdir(exist_ok=True)
+        (tmp_path / day / f"{name}.gpx").write_bytes(samples.gpx(samples.RIDE))
+    asked = lambda: (tmp_path / "asked").read_text().split()
+    e = Engine(spark, str(tmp_path / "db"))
+    assert e.pull(Days(tmp_path), date(2025, 3, 2), lookback=2) == 2 and set(asked()) == {"2025-02-28", "2025-03-01", "2025-03-02"}
+    assert e.pull(Days(tmp_path), date(2025, 3, 2), lookback=2) == 0
+    s = Engine(spark, str(tmp_path / "stream"))
+
+    def run(until, **options):
+        (tmp_path / "asked").write_text("")
+        q = landing.ingest_pulled(s, Days(tmp_path), date(2025, 3, 1), str(tmp_path / "cp"), until=until, **options)
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r.file for r in s.store.activities.collect())
+
+    assert run(date(2025, 3, 3)) == ["a.gpx", "b.gpx"] and set(asked()) == {"2025-03-01", "2025-03-02"}
+    assert run(date(2025, 3, 3)) == ["a.gpx", "b.gpx"] and asked() == []  # restarted: nothing is asked again
+    (tmp_path / "2025-03-02" / "late.gpx").write_bytes(samples.gpx(samples.RIDE))
+    before = s.store._latest()[0]
+    assert run(date(2025, 3, 5), lookback=1) == ["a.gpx", "b.gpx", "c.gpx", "late.gpx"] and set(asked()) == {"2025-03-02", "2025-03-03", "2025-03-04"}
+    assert s.count() == 4 and s.store._latest()[0] == before + 1
+
+
 def test_properties_are_parsed_once(spark, engine):
     text = spark.createDataFrame([(1, '{"a": 1, "b": "x"}')], "id int, properties string").selectExpr("id", "properties", "current_timestamp() as start_time")
     condition = "a in [1, 2, x] && (b > 3 || b like 'x%') || has? c"

@@ -27,7 +27,7 @@ def test_places_by_formula():
 
 
 def test_columns_equal_driver_values(spark):
-    rows = [(20.6852, 40.1222), (-179.9, -80.0), (13.4, 52.5), (0.0, 0.0), (5.0, 90.0), (5.0, -90.0)]
+    rows = [(-58.3816, -34.6037), (-179.9, -80.0), (13.4, 52.5), (0.0, 0.0), (5.0, 90.0), (5.0, -90.0)]
     df = spark.createDataFrame(rows, "lng double, lat double")
     x, y = geo.mercator(F.col("lng"), F.col("lat"))
     tx, ty = geo.tile(x, y, 14)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 from collections.abc import Callable, Iterable
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from wayfold.functions.png import png
 from wayfold.operators import activities as acts
 from wayfold.operators import raster, stats, tiling
 from wayfold.plans import gradients
-from wayfold.sources import connectors, files, metadata
+from wayfold.sources import connectors, files, known, metadata, pull
 from wayfold.store import Store, mask_text, rounded
 
 LIMIT = 3000
@@ -55,19 +55,21 @@ class Engine:
             self.store.configure(lambda c: setattr(c, "trim_dist", trim))
         if reset:
             self.store.reset()
-        # names first: only files that aren't known yet are opened
+        # names first: only files that aren't known yet are opened, all of it by tasks
         found = files.names(self.spark, path)
         meta = metadata.read(self.spark, join) if join else None
         key = F.col("path")
         if meta is not None:
             found = found.join(meta.select("path", metadata.activity_id(F.col("more")).alias("_id")), "path", "left")
             key = files.file_key(key, F.col("_id"))
-        found = found.withColumn("file", key).join(self.store.activities.select("file"), "file", "left_anti").select("file", "path", "at")
-        new = found.collect()  # names alone, as many as Spark's own list of the folder has on the driver
-        if not new:
-            return {s: 0 for s in ("imported", "skipped", "failed")}
-        named = self.spark.createDataFrame([(r["file"], r["path"]) for r in new], "file string, path string")
-        return self._load(files.parsed(files.opened(self.spark, [r["at"] for r in new])).join(named, "path"), meta)
+        new = known.unknown(found.select(key.alias("file"), "path"), self.store.activities.select("file")).persist()
+        try:
+            if new.isEmpty():
+                return {s: 0 for s in ("imported", "skipped", "failed")}
+            return self._load(files.parsed(files.opened(self.spark, new)).join(new, "path"), meta)
+        finally:
+            new.unpersist()
+            self.store.vacuum()
 
     def upload(self, uploads: DataFrame) -> dict[str, int]:
         """path and content of pushed files, stored as upload:{file name}."""
@@ -81,6 +83,16 @@ class Engine:
         new = connectors.fetched(self.spark, client, self.store.activities, today, lookback, self.store.config().cutoff())
         return self._load(files.parsed(new).withColumn("file", F.col("path")))["imported"]
 
+    def _pulled(self, rows: DataFrame) -> int:
+        new = known.unknown(rows.select("path", "content").dropDuplicates(["path"]), self.store.activities.select(F.col("file").alias("path")), "path")
+        return self._load(files.parsed(new).withColumn("file", F.col("path")))["imported"]
+
+    def pull(self, client: Callable[[date], Iterable[tuple[str, bytes]]], today: date, lookback: int = 30) -> int:
+        """Import what a client of a day lists from today - lookback days (or the cutoff) on, a task a day; the number of activities added."""
+        self.spark.dataSource.register(pull.source(client))
+        since = max(today - timedelta(days=lookback), self.store.config().cutoff() or date.min)
+        return self._pulled(self.spark.read.format(pull.NAME).option("since", since.isoformat()).option("until", (today + timedelta(days=1)).isoformat()).load())
+
     # listings
 
     def activities(self, **conditions) -> DataFrame:

@@ -16,7 +16,7 @@ from wayfold.operators import activities as acts
 from wayfold.operators import raster, stats, tiling
 from wayfold.plans import gradients
 from wayfold.plans.filters import predicate
-from wayfold.sources import files, metadata
+from wayfold.sources import files, known, metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,9 +274,11 @@ def _lut_sql(name: str) -> str:
     return f"lut AS (SELECT v AS visits, {text} AS rgba FROM (SELECT unnest(generate_series(0, 255)) AS v) LEFT JOIN (VALUES {rows}) AS s(lo, hi, {cols}) ON v >= lo AND v < hi)"
 
 
-@query(f"WITH {_lut_sql('orange')} SELECT visits, rgba FROM lut")
+@query(f"WITH {_lut_sql('orange')} SELECT visits, rgba, count(*) AS activities FROM (SELECT least(count(*), 255) AS visits FROM events GROUP BY user_id) JOIN lut USING (visits) GROUP BY ALL")
 def gradient_lut(spark, sf):
-    return gradients.table(spark, "orange")
+    """Activities by their number of points (at most 255) and its colour."""
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("visits"))
+    return n.join(F.broadcast(gradients.table(spark, "orange")), "visits").groupBy("visits", "rgba").agg(F.count(F.lit(1)).alias("activities"))
 
 
 @query(f"WITH {_heat_sql(10, 256)}, {_lut_sql('orange')} SELECT rgba, count(*) AS pixels FROM heat JOIN lut USING (visits) GROUP BY rgba")
@@ -373,8 +375,9 @@ def metadata_left_join(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def dedupe_anti_join(spark, sf):
-    known = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").join(known, "o_orderkey", "left_anti").select("o_orderkey")
+    """The import's own way of passing over what is known, by its filter."""
+    seen = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return known.unknown(table(spark, sf, "orders").select("o_orderkey"), seen, "o_orderkey", few=100)
 
 
 @query("WITH old AS (SELECT c_custkey AS id, c_name AS file, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey + 1000000 AS id, c_name AS file, -c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) SELECT id, file, v FROM new UNION ALL SELECT id, file, v FROM old WHERE file NOT IN (SELECT file FROM new)")
@@ -398,11 +401,12 @@ def csv_cell_typing(spark, sf):
     return table(spark, sf, "part").select(F.explode(cells).alias("name", "cell")).groupBy("name", props.kind(props.cell(F.col("cell"))).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT z, CASE WHEN z <= 6 THEN 6 WHEN z <= 14 THEN 14 WHEN z <= 16 THEN 16 END AS source FROM (SELECT CAST(unnest(generate_series(0, 18)) AS INT) AS z)")
+@query("SELECT z, CASE WHEN z <= 6 THEN 6 WHEN z <= 14 THEN 14 WHEN z <= 16 THEN 16 END AS source, count(*) AS n FROM (SELECT CAST(event_id % 19 AS INT) AS z FROM events) GROUP BY ALL")
 def source_zoom_select(spark, sf):
+    """Tiles asked for (the zoom is the event's id modulo 19) by the stored zoom that serves them."""
     stored = [6, 2, 14, 10, 16]
-    z = spark.range(19).select(F.col("id").cast("int").alias("z"))
-    return z.select("z", F.try_element_at(F.filter(F.array(*map(F.lit, stored)), lambda s: s >= F.col("z")), F.lit(1)).alias("source"))
+    serves = F.create_map(*(F.lit(x) for z in range(19) for x in (z, geo.source_zoom(stored, z))))
+    return table(spark, sf, "events").select((F.col("event_id") % 19).cast("int").alias("z")).groupBy("z").agg(F.count(F.lit(1)).alias("n")).select("z", F.element_at(serves, F.col("z")).alias("source"), "n")
 
 
 @query("WITH f AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'a.gpx' WHEN 1 THEN 'b.tcx.gz' WHEN 2 THEN 'dir.x/c.FIT' WHEN 3 THEN 'gpx' WHEN 4 THEN 'd.fit.gz' WHEN 5 THEN 'e.gz' ELSE 'f.gpx.zip' END AS name FROM part) SELECT name, CASE name WHEN 'a.gpx' THEN 'gpx' WHEN 'b.tcx.gz' THEN 'tcx' WHEN 'gpx' THEN 'gpx' WHEN 'd.fit.gz' THEN 'fit' END AS kind, name LIKE '%.gz' AND name <> 'e.gz' AS gzip, count(*) AS n FROM f GROUP BY ALL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import json
 import re
+from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,18 +36,64 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _reader(spark: SparkSession):
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+def _system(path: str):
+    """The file system of a path, the path there, and what is put before paths there to name them."""
+    from pyarrow import fs
 
+    scheme = urlparse(path).scheme
+    store, at = fs.FileSystem.from_uri(path) if scheme not in ("", "file") else (fs.LocalFileSystem(), re.sub("^file:/+", "/", path))
+    return store, at, "" if scheme in ("", "file") else f"{scheme}://"
 
-def names(spark: SparkSession, path: str) -> DataFrame:
-    """path, and at (as Spark names it), of one file or of all below a folder; none is opened."""
-    return _reader(spark).load(path).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("path").alias("at"))
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path and is_folder of what lies in folders; what starts with . or _ is passed over, as Spark's own readers do."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            store, at, lead = _system(path)
+            info = store.get_file_info(at)
+            found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(at)) if f.base_name[:1] not in ("", ".", "_")]
+            for k in range(0, len(found), 10_000):
+                some = found[k : k + 10_000]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([lead + f.path for f in some], pa.string()), "is_folder": pa.array([not f.is_file for f in some], pa.bool_())})
 
-def opened(spark: SparkSession, at: list[str]) -> DataFrame:
-    """path and content of files, whose names are no patterns."""
-    return _reader(spark).load([re.sub(r"([\\\[\]{}*?^])", r"\\\1", x) for x in at]).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """path of one file or of all below a folder; none is opened.
+
+    Tasks list the folders, a level of the tree at a time, so the driver holds no names, only
+    whether a level has folders. Levels are kept by Spark until the frame is gone; if that is
+    lost, they are listed again.
+    """
+    if not _system(path)[0].get_file_info(_system(path)[1]).type.value:
+        raise FileNotFoundError(path)
+    level = spark.createDataFrame([(path.rstrip("/") or "/",)], "path string")
+    out = None
+    while level is not None:
+        found = level.mapInArrow(_listed, "path string, is_folder boolean").persist()
+        files = found.where("not is_folder").select("path")
+        out = files if out is None else out.unionByName(files)
+        folders = found.where("is_folder").select("path")
+        level = None if folders.isEmpty() else folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            try:
+                store, at, _ = _system(path)
+                with store.open_input_file(at) as f:
+                    content = f.read()
+            except OSError:
+                content = None
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([content], pa.binary())})
+
+
+def opened(spark: SparkSession, at: DataFrame) -> DataFrame:
+    """path and content (null if it can't be read) of files by path, read by tasks, one at a time each."""
+    return at.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_contents, "path string, content binary")
 
 
 def unzipped(files: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wayfold.sources import pull
+
 
 def files_in(engine, folder: str) -> DataFrame:
     """A stream of path and content of the files that arrive."""
@@ -24,6 +28,20 @@ def ingest(engine, folder: str, checkpoint: str, available_now: bool = True) ->
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def ingest_pulled(engine, client, since: date, checkpoint: str, lookback: int = 0, until: date | None = None) -> StreamingQuery:
+    """Import what a client of a day (see wayfold.sources.pull) lists, from since on; a day and the lookback before it are asked again whenever a new day begins, files that are known are passed over. until: the day to stop before, else today is the last."""
+    engine.spark.dataSource.register(pull.source(client))
+    options = {"since": since.isoformat(), "lookback": str(lookback)} | ({"until": until.isoformat()} if until else {})
+    if cutoff := engine.store.config().cutoff():
+        options["cutoff"] = cutoff.isoformat()
+    rows = engine.spark.readStream.format(pull.NAME).options(**options).load()
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        engine._pulled(batch)
+
+    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
+
+
 def ingest_webhooks(engine, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Upsert activity details that land as one JSON document a file."""
     bodies = engine.spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("value").alias("body"))
