@@ -115,3 +115,18 @@ def test_forest_needs_whole_sets():
     a = np.arange(100, dtype=np.uint64)
     got = forest([a, np.append(a[:92], np.arange(900, 908, dtype=np.uint64)), a + np.uint64(500)], ~np.eye(3, dtype=bool), 85, 100)
     assert got.tolist() == [0, 0, 2]
+
+
+def test_nothing_is_left_but_the_result(spark, monkeypatch):
+    """Also where lists stay open and classes are chained."""
+    import os
+
+    from wayfold.llm import _shared
+
+    docs = [(i, " ".join(f"w{j}" for j in range(i * 3, i * 3 + 60))) for i in range(12)] + [(50 + i, "a b c d e f " + " ".join(f"q{i}x{j}" for j in range(3))) for i in range(9)]
+    at = f"{_shared._local(_shared.base(spark))}/wayfold"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    for slack in (0.1, 1.0):
+        out = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 80, 100, 5, slack=slack)
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before} == {"near-duplicates"}
+        _shared.drop(out)

@@ -113,3 +113,18 @@ def test_token_counts(spark):
         want.append((i, len((x or "").encode()), n, n > 512))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert token_counts(df.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_buckets_follow_the_input(spark, tmp_path, monkeypatch):
+    from wayfold.llm import _arrays
+
+    spark.range(200_000).selectExpr("id", "sha2(cast(id as string), 256) as text").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert _arrays.bits(df) == (least - 1).bit_length() == _arrays.bits(spark.createDataFrame([(1,)], "id int"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert size * 0.9 < _arrays.input_bytes(df.where("id > 5")) < size * 1.1
+    monkeypatch.setattr(_arrays, "PER_BUCKET", size // 100)
+    assert _arrays.bits(df) == 7 and _arrays.bits(df.join(spark.range(9), "id")) == 7
+    monkeypatch.setattr(_arrays, "PER_BUCKET", 1)
+    assert _arrays.bits(df) == _arrays.MOST_BITS

@@ -128,3 +128,17 @@ def test_labels_without_documents_use_up_no_sample(spark):
 
 def test_sample_is_not_lowered():
     assert inspect.signature(fit).parameters["sample"].default == 16_000
+
+
+def test_rows_are_bounded_not_ids(spark):
+    """One id of thousands of rows: alike ones are one, different ones count to the sample."""
+    docs, labels = corpus(120)
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = fit(frame(docs), y), fit(frame(docs + [docs[5]] * 3000), y)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    many = frame(docs + [(docs[5][0], f"other{i} text") for i in range(500)])
+    turns = {r.doc_id: r.turn for r in y.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as turn").collect()}
+    rows = sorted((turns[r.doc_id], r.own, r.doc_id, r.text) for r in many.selectExpr("*", "xxhash64(text) as own").collect() if r.doc_id in turns)[:100]
+    got, want = fit(many, y, sample=100), fit(frame([r[2:] for r in rows]), y, sample=100)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])

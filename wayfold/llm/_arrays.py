@@ -67,9 +67,21 @@ def narrow(x: np.ndarray) -> np.ndarray:
 BLOBS = "bucket long, keys binary, counts binary"
 
 
+#: Bytes of the input's files a bucket, and buckets at most, as a power of 2.
+PER_BUCKET, MOST_BITS = 64 << 20, 16
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, as Spark's planner knows them; what has no files counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def bits(df: DataFrame) -> int:
-    """2**bits buckets: the number of shuffle partitions, rounded up."""
-    return max(1, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """2**bits buckets: as many as shuffle partitions, and as the input's bytes ask for, rounded up."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // PER_BUCKET)
+    return min(max(1, (n - 1).bit_length()), MOST_BITS)
 
 
 def bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -119,17 +131,22 @@ def rows(keys: np.ndarray, counts: np.ndarray, n: int, b: np.ndarray | None = No
     """Distinct keys, sorted within each bucket, and their counts, packed by bucket (of the key's hash, if none are given)."""
     b = bucket(keys, n) if b is None else b
     order = np.argsort(b, kind="stable")
-    ends = np.searchsorted(b[order], np.arange((1 << n) + 1))
     ids, ks, cs = [], [], []
-    for i in range(1 << n):
-        if ends[i] < ends[i + 1]:
-            at = order[ends[i] : ends[i + 1]]
-            ids.append(i)
-            ks.append(pack_sorted(keys[at]))
-            cs.append(pack(counts[at].astype(np.int64)))
+    for i, at in by_number(b, order):
+        ids.append(i)
+        ks.append(pack_sorted(keys[at]))
+        cs.append(pack(counts[at].astype(np.int64)))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.binary()), pa.array(cs, pa.binary())], ["bucket", "keys", "counts"])
 
 
+def by_number(b: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each bucket that has any, in an order by bucket."""
+    s = b[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    for lo, hi in zip(first.tolist(), np.append(first[1:], len(s))[: len(first)].tolist(), strict=True):
+        yield int(s[lo]), order[lo:hi]
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -223,12 +240,9 @@ class Arrays:
         columns = columns or ("counts",)
         place, values = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.float64 if name.startswith("log") else np.int64) for name in columns]
         b = bucket(keys, self.n)
-        order = np.argsort(b, kind="stable")
-        ends = np.searchsorted(b[order], np.arange((1 << self.n) + 1))
-        for i in np.flatnonzero(np.diff(ends)):
+        for i, at in by_number(b, np.argsort(b, kind="stable")):
             if not self.sizes[i]:
                 continue
-            at = order[ends[i] : ends[i + 1]]
             have = self.column("keys", i, ("u8",))
             pos = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
             ok = have[pos] == keys[at]

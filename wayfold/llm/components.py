@@ -15,7 +15,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     above it to the least of its neighbourhood (large star), then its neighbours below it
     (small star). A node's neighbours are only ever grouped to a minimum, never gathered.
     Each round's edges are written to the shared folder, so lineage stays short and a lost
-    executor costs one round. Rounds grow with the logarithm of the longest path.
+    executor costs one round. Rounds grow with the logarithm of the longest path. What is
+    returned reads the last round's table, its attribute edges, to be dropped after it.
     """
     now = _shared.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
@@ -33,4 +34,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         mark = tuple(stats)
     roots = now.select("b").distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+    out.edges = now
+    return out

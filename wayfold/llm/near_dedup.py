@@ -186,10 +186,10 @@ def near_duplicates(docs: DataFrame, part: int = 80, whole: int = 100, n: int =
     entries = _lists(classes, b, 1 - part / whole + slack)
     heads = _shared.written(entries.groupBy("value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-heads")
     one = _with_heads(docs, classes, entries, heads, b, n, part, whole, k, slack)
-    linked = _shared.written(components(one, "near-links"), "near-components")
+    linked = _joined(one)
     more = _open(docs, classes, entries, heads, linked, b, n, part, whole, k, slack)
     if more is not None:
-        again = _shared.written(components(one.unionByName(more), "near-links"), "near-components")
+        again = _joined(one.unionByName(more))
         _shared.drop(linked, more)
         linked = again
     _shared.drop(entries, heads, one)
@@ -207,6 +207,14 @@ def near_duplicates(docs: DataFrame, part: int = 80, whole: int = 100, n: int =
     return out
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """The components of links, written."""
+    found = components(links, "near-links")
+    out = _shared.written(found, "near-components")
+    _shared.drop(found.edges)
+    return out
+
+
 def _lists(classes: DataFrame, b: int, share: float) -> DataFrame:
     """value and node: the inverted lists, written."""
 
@@ -239,8 +247,8 @@ def _lists(classes: DataFrame, b: int, share: float) -> DataFrame:
     return out
 
 
-def _shipped(docs: DataFrame, classes: DataFrame, nodes: DataFrame, b: int, n: int) -> tuple[DataFrame, str]:
-    """node and set of these classes, made again from the texts of their least ids, which are looked up in arrays in the shared folder (returned too, to be removed when the sets have been used)."""
+def _shipped(docs: DataFrame, classes: DataFrame, nodes: DataFrame, b: int, n: int) -> tuple[DataFrame, tuple[str, str]]:
+    """node and set of these classes, made again from the texts of their least ids, which are looked up in arrays in the shared folder; and the folders to be removed when the sets have been used."""
     of = _shared.written(classes.select("node", "rep", "h1").join(nodes.select("node").distinct(), "node"), "near-wanted")
     path = _shared.folder(docs.sparkSession, "near-members")
 
@@ -260,7 +268,7 @@ def _shipped(docs: DataFrame, classes: DataFrame, nodes: DataFrame, b: int, n: i
                 found = _sets(batch, n)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_sums(found)[0]), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "h1", "set"])
 
-    return _arrays.run(docs, sets, "rep long, h1 long, set binary").join(of, ["rep", "h1"]).select("node", "set"), path
+    return _arrays.run(docs, sets, "rep long, h1 long, set binary").join(of, ["rep", "h1"]).select("node", "set"), (path, of.written_to)
 
 
 def _with_heads(docs, classes, entries, heads, b: int, n: int, part: int, whole: int, k: int, slack: float) -> DataFrame:
@@ -283,7 +291,7 @@ def _with_heads(docs, classes, entries, heads, b: int, n: int, part: int, whole:
     members = passed.join(blocks, "head").select("head", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", F.lit(1).alias("turn"))
     leads = blocks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("head").alias("node"), F.lit(0).alias("turn"))
     units = members.unionByName(leads)
-    sets, path = _shipped(docs, classes, units, b, n)
+    sets, used = _shipped(docs, classes, units, b, n)
 
     def verify(batches):
         now, lead = None, None
@@ -304,7 +312,8 @@ def _with_heads(docs, classes, entries, heads, b: int, n: int, part: int, whole:
 
     dealt = units.join(sets, "node").repartition(F.col("head"), F.col("block")).sortWithinPartitions("head", "block", "turn")
     out = _shared.written(_arrays.run(dealt.select("head", "block", "turn", "node", "set"), verify, "a long, b long"), "near-links")
-    _shared.remove(docs.sparkSession, path)
+    for path in used:
+        _shared.remove(docs.sparkSession, path)
     _shared.drop(pairs, passed, blocks)
     return out
 
@@ -312,7 +321,7 @@ def _with_heads(docs, classes, entries, heads, b: int, n: int, part: int, whole:
 def _open(docs, classes, entries, heads, linked, b: int, n: int, part: int, whole: int, k: int, slack: float) -> DataFrame | None:
     """Links between members of one list that linked leaves in different components, written; None if no list has such."""
     rest = entries.join(heads.where("size > 2"), "value").where("node != head").select("value", "node").join(linked, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-    rest = _shared.written(rest.join(classes.select("node", "n"), "node"), "near-rest")
+    every = rest = _shared.written(rest.join(classes.select("node", "n"), "node"), "near-rest")
     split = lambda c, n: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(n) / SHINGLES), F.lit(1)).cast("long")
     parts = rest.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     most = F.max(F.struct("c", "n", "root"))
@@ -350,7 +359,7 @@ def _open(docs, classes, entries, heads, linked, b: int, n: int, part: int, whol
 
     names = ["value", "i", "j", "block", "node", "root"]
     found = _shared.written(_arrays.run(dealt.select(*names, "n", "sketch", "values"), compare, ", ".join(f"{c} long" for c in names)), "near-open")
-    sets, path = _shipped(docs, classes, found, b, n)
+    sets, used = _shipped(docs, classes, found, b, n)
 
     def verify(batches):
         for unit in _units(batches, ["value", "i", "j"]):
@@ -365,6 +374,7 @@ def _open(docs, classes, entries, heads, linked, b: int, n: int, part: int, whol
 
     sent = found.join(sets, "node").repartition(F.col("value"), F.col("i"), F.col("j")).sortWithinPartitions("value", "i", "j")
     out = _shared.written(_arrays.run(sent.select(*names, "set"), verify, "a long, b long"), "near-links")
-    _shared.remove(docs.sparkSession, path)
-    _shared.drop(rest, lists, own, found)
+    for path in used:
+        _shared.remove(docs.sparkSession, path)
+    _shared.drop(every, rest, lists, own, found)
     return out

@@ -4,7 +4,9 @@ A text's features are the distinct hashes (64 bits) of its words, pairs of neigh
 pairs with one word between, of lower-cased runs of letters and digits. Each coordinate
 has its own learning rate from its past gradients; L1 keeps the weights of few features.
 
-Learning takes at most `sample` labelled ids of the documents, those with the least hash.
+Learning takes at most `sample` labelled rows of the documents, those with the least hashes
+of id and text; rows alike in both are one, so however often an id repeats, no more come.
+They are written once, and all passes of learning read them.
 Their features are counted and numbered in Spark; those of so few rows that L1 keeps their
 weight at 0 for certain are left out, which changes no weight. One task takes the rows in
 hash order: it writes their numbers to the shared folder as they come and maps them, so in
@@ -14,7 +16,7 @@ refuses and asks for a larger l1), which are broadcast. Every text is scored who
 
 Nulls: a null text is empty and scores by the bias alone; a null id is kept but never
 learned from; a null label is no label. Of several labels of one id the largest counts,
-of repeated rows of one id each is learned from. With no labels every score is 0.5. Empty
+of rows that repeat an id each different text is learned from, once. With no labels every score is 0.5. Empty
 tables give no rows. Other columns are not read.
 """
 
@@ -85,8 +87,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     y = y.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
     y = _shared.written(y.withColumn("turn", F.xxhash64(F.col("id").cast("string"))).orderBy("turn", "id").limit(sample), "toxicity-labels")
     # at most `sample` rows of three numbers: their size is bounded, so they are broadcast
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(y), "id")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(y), "id").withColumn("own", F.xxhash64("text"))
+    rows = every = _shared.written(rows.groupBy("turn", "own").agg(F.first("y").alias("y"), F.min("text").alias("text")), "toxicity-rows")
     n = rows.count()
+    if n > sample:
+        first = _shared.written(rows.select("turn", "own").orderBy("turn", "own").limit(sample), "toxicity-first")
+        rows, n = rows.join(F.broadcast(first), ["turn", "own"], "left_semi"), sample
     l1 = l1 * n**0.5
     # a row moves a feature's gradient sum by 1 an epoch at most: below so many rows it never gets over l1, and its weight stays 0
     least = max(1, math.floor(l1 / epochs) + 1)
@@ -129,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc
     taken = _arrays.run(rows.select("turn", "y", "text"), take, "turn long, y int, features binary")
     got = _arrays.run(taken.repartition(1).sortWithinPartitions("turn", F.xxhash64("features")), learn, "key long, w double").limit(MOST + 1).toArrow()
     _shared.remove(spark, path)
-    _shared.drop(y)
+    _shared.drop(y, every, *([first] if n == sample and rows is not every else []))
     if got.num_rows > MOST:
         raise ValueError(f"more than {MOST} weights; set a larger l1")
     key, w = got.column("key").to_numpy().view(U), got.column("w").to_numpy()
