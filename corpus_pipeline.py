@@ -2,8 +2,9 @@
 
 Each stage works on every row its predecessor kept; all but the last return the columns of
 documents, extra ones too. A filtering stage drops the rows that the operator rejects. Rows
-are told apart by a 64-bit hash of all their columns, not by id: of rows that repeat an id
-each has its own verdict, rows alike in every column share it, a null id is no shelter.
+are told apart by 128 bits of hash of all their columns and of which are null, not by id: of
+rows that repeat an id each has its own verdict, rows alike in every column share it, a null
+id is no shelter.
 Only near duplicates go by id, as their groups are made of ids: there a row with a null id
 stays, and rows that repeat a kept id stay.
 
@@ -26,32 +27,47 @@ from wayfold.llm.packing import pack
 from wayfold.llm.quality_rules import quality
 from wayfold.llm.toxicity import fit, score
 
-#: Rejected keys that are broadcast at most (16 bytes each and a hash table: under 128 MB); more are joined by a shuffle.
-BROADCAST = 2_000_000
+#: Rejected keys that are broadcast at most (33 bytes each and a hash table: under 128 MB); more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
-KEY = "_row_key"
+def _key(docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    name = "_row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of the row's content (maps can't be hashed and don't count)."""
-    return docs.withColumn(KEY, F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map")))
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key of the row's content: two 64-bit hashes, of all columns and of which are null (maps can't be hashed and don't count)."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"]
+    every = [*columns, F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in columns))]
+    return docs.withColumn(key, F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(k), *every)) for k in (1, 2))))
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key was rejected."""
+def _without(docs: DataFrame, rejected: DataFrame, name: str, key: str = "doc_id", used: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """docs without the rows whose key was rejected. used: tables that only rejected reads, removed; the frame's attribute keys is the table that it reads."""
     keys = _shared.written(rejected.where(F.col(key).isNotNull()).select(key).distinct(), name)
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    _shared.drop(*(df for df in used if hasattr(df, "written_to")))
+    out = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    out.keys = keys
+    return out
 
 
-def _filtered(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """docs without the rows that rejected(), given them with KEY as id, returns."""
-    keyed = _keyed(docs)
-    return _without(keyed, rejected(keyed), name, KEY).drop(KEY)
+def _filtered(docs: DataFrame, judged: Callable[[DataFrame, str], DataFrame], condition: str, name: str) -> DataFrame:
+    """docs without the rows for which judged(), given them with a key as id, says condition."""
+    key = _key(docs)
+    keyed = _keyed(docs, key)
+    found = judged(keyed, key)
+    out = _without(keyed, found.where(condition), name, key, (found,))
+    rest = out.drop(key)
+    rest.keys = out.keys
+    return rest
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _filtered(docs, lambda d: quality(d, clean=True, id=KEY).where("not kept"), "rejected-quality")
+    return _filtered(docs, lambda d, key: quality(d, clean=True, id=key), "not kept", "rejected-quality")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,17 +76,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.join(labels.where("toxic is not null"), "doc_id", "left_semi").isEmpty():
         return docs
     model = fit(docs, labels)
-    return _filtered(docs, lambda d: score(d, model, id=KEY).where("predicted = 1"), "rejected-toxic")
+    return _filtered(docs, lambda d, key: score(d, model, id=key), "predicted = 1", "rejected-toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five words, similarity 0.8 or more; of each group the document with the least id stays."""
-    return _without(docs, near_duplicates(docs, part=80, whole=100, n=5).where("not kept"), "rejected-copies")
+    found = near_duplicates(docs, part=80, whole=100, n=5)
+    return _without(docs, found.where("not kept"), "rejected-copies", used=(found,))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _filtered(docs, lambda d: decontaminate(d, benchmark, id=KEY).where("contaminated"), "rejected-contaminated")
+    return _filtered(docs, lambda d, key: decontaminate(d, benchmark, id=key), "contaminated", "rejected-contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,9 +108,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. What a stage wrote goes when the next one has been written; what the frame returned reads stays."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = _shared.written(docs, f"stage-{name.replace(' ', '-')}")
+            keys = getattr(out, "keys", None)
+            out = _shared.written(out, f"stage-{name.replace(' ', '-')}")
+            _shared.drop(*(df for df in (keys, last) if df is not None))
+            last = out
+        docs = out
     return docs
