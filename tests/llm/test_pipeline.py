@@ -114,3 +114,27 @@ def test_a_very_long_text_goes_through(spark, folder):
             assert f(spark, docs, path).where("doc_id = 7000").count() == 1, name
     pieces = corpus_pipeline.packing(spark, docs, path).where("doc_id = 7000").collect()
     assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 120_000 and max(r.length for r in pieces) == 4096
+
+
+def test_keys_tell_nulls_apart_and_take_no_name(spark):
+    rows = [(1, "t", None, "en", 1), (1, "t", "en", None, 1), (1, "t", None, "en", 1), (None, "t", "en", "en", None), (None, "t", "en", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = corpus_pipeline._key(docs)
+    got = [r[key] for r in corpus_pipeline._keyed(docs, key).collect()]
+    assert len(set(got)) == 4 and got[0] == got[2] and all(len(k) == 33 or "-" in k for k in got)
+    taken = docs.selectExpr("*", "'mine' as _Row_key")
+    out = corpus_pipeline._filtered(taken, lambda d, k: d.select(k, (d.lang == "en").alias("bad")), "bad", "test-rejected")
+    assert out.columns == taken.columns and sorted((r.lang or "", r._Row_key) for r in out.collect()) == [("", "mine")] * 2
+
+
+def test_superseded_tables_go(spark, folder):
+    import os
+
+    at = f"{corpus_pipeline._shared._local(corpus_pipeline._shared.base(spark))}/wayfold"
+    names = lambda: sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before)
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    out = corpus_pipeline.run(spark, folder[0])
+    n = out.count()
+    left = names()
+    assert [x for x in left if x.startswith(("stage", "rejected", "near"))] == ["stage-decontamination"], left
+    assert out.count() == n > 0
