@@ -109,6 +109,16 @@ def has(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) != "VOID", F.lit(False))
 
 
+#: Keys that most filters ask for: stored activities have a typed copy of them, which scans can skip by.
+HOT = ("activity_type", "total_distance", "moving_time", "elapsed_time", "average_speed", "elevation_gain")
+HOT_TYPE = "struct<" + ", ".join(f"{k}: struct<text: string, number: double>" for k in HOT) + ">"
+
+
+def hot(properties: Column) -> Column:
+    """The typed copies of HOT of a VARIANT column: text as comparisons take it, and number."""
+    return F.struct(*(F.struct(text(get(properties, k)).alias("text"), number(get(properties, k)).alias("number")).alias(k) for k in HOT))
+
+
 def cell(c: Column) -> Column:
     """A CSV cell typed as JSON if it is, else a string."""
     return F.coalesce(F.try_parse_json(c), c.cast("variant"))

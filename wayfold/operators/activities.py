@@ -1,4 +1,4 @@
-"""Listing, counting and profiling activities (id, file, title, start_time, created_at, properties as VARIANT; JSON text is parsed once a row)."""
+"""Listing, counting and profiling activities (id, file, title, start_time, created_at, properties as VARIANT; JSON text is parsed once a row). Where they have hot, typed copies of some keys, scans skip by it."""
 
 from __future__ import annotations
 
@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import props
-from wayfold.plans.filters import predicate
+from wayfold.plans.filters import implied, parse, predicate
 
 
 def matching(activities: DataFrame, filter: str | None = None, before: date | None = None, after: date | None = None) -> DataFrame:
     if not filter:
         return activities.where(predicate(F.lit(None), F.col("start_time"), None, before, after))
     if is_variant(activities):
-        return activities.where(predicate(F.col("properties"), F.col("start_time"), filter, before, after))
+        skip = implied(parse(filter), F.col("hot"), props.HOT) if "hot" in activities.columns else None
+        some = activities if skip is None else activities.where(skip)
+        return some.where(predicate(F.col("properties"), F.col("start_time"), filter, before, after))
     parsed = props.once(activities, "_v", props.variant(F.col("properties")))
     return parsed.where(predicate(F.col("_v"), F.col("start_time"), filter, before, after)).drop("_v")
 

@@ -173,6 +173,30 @@ def column(node: tuple, properties: Column) -> Column:
     return props.compare(v, op, node[2])
 
 
+def implied(node: tuple, hot: Column, keys: tuple[str, ...]) -> Column | None:
+    """What a match says of the typed copies of some keys (hot.key.text, hot.key.number), for scans to skip by; None if it says nothing. It holds wherever the predicate does, not the other way round."""
+    op = node[0]
+    if op in ("or", "and"):
+        a, b = implied(node[1], hot, keys), implied(node[2], hot, keys)
+        if a is None or b is None:
+            return None if op == "or" else b if a is None else a
+        return a | b if op == "or" else a & b
+    if op in ("not", "!=") or node[1] not in keys:
+        return None
+    text, number = hot[node[1]]["text"], hot[node[1]]["number"]
+    if op in ("has", "like"):
+        return text.isNotNull() | number.isNotNull()
+    if op == "in":
+        texts, numbers = [x for x in node[2] if isinstance(x, str)], [float(x) for x in node[2] if not isinstance(x, str)]
+        parts = [c.isin(x) for c, x in ((text, texts), (number, numbers)) if x]
+        return parts[0] | parts[1] if len(parts) > 1 else parts[0]
+    # any number is below any text
+    own, other, value = (text, number, F.lit(node[2])) if isinstance(node[2], str) else (number, text, F.lit(float(node[2])))
+    test = {"=": own.__eq__, "<": own.__lt__, "<=": own.__le__, ">": own.__gt__, ">=": own.__ge__}[op](value)
+    crosses = op in ("<", "<=") if isinstance(node[2], str) else op in (">", ">=")
+    return test | other.isNotNull() if crosses else test
+
+
 def predicate(properties: Column, start: Column, filter: str | None = None, before: date | None = None, after: date | None = None) -> Column:
     """All conditions of a listing; dates mean midnight UTC and are strict, a missing start time never matches one."""
     out = F.lit(True)

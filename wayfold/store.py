@@ -7,7 +7,8 @@ put in place by a rename which fails if another writer was first. New files are
 what their buckets hold; a replaced file makes its bucket anew, and no other. So a reader
 sees the old version or the new one, a failed write leaves the old one, and of two writers
 the second starts over from what the first left. What no kept manifest names is removed.
-Configuration and masks lie in the manifest too.
+Configuration and masks lie in the manifest too. Activities have a column hot beside their
+properties, typed copies of the keys that filters ask for most, and are sorted by the first.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from wayfold.functions import props
 from wayfold.functions.props import round4
 from wayfold.operators import tiling
 
-ACTIVITIES = "id long, file string, title string, start_time timestamp, properties variant, created_at timestamp"
+PLAIN = "id long, file string, title string, start_time timestamp, properties variant, created_at timestamp"
+ACTIVITIES = f"{PLAIN}, hot {props.HOT_TYPE}"
 VERSION = 4
 #: Buckets of a new store: what a replacement reads and writes is one of them. Parts of a bucket before an upsert makes one of them.
 BUCKETS, PARTS = 16, 16
@@ -185,7 +189,7 @@ class Store:
         parts = m["tables"].get("activities")
         if not parts:
             return m
-        old = self.spark.read.schema(ACTIVITIES.replace("variant", "string")).option("basePath", f"{self.path}/activities").parquet(*(f"{self.path}/{p}" for p in parts))
+        old = self.spark.read.schema(PLAIN.replace("variant", "string")).option("basePath", f"{self.path}/activities").parquet(*(f"{self.path}/{p}" for p in parts))
         name = f"activities/part={uuid.uuid4().hex}"
         old.withColumn("properties", F.try_parse_json("properties")).drop("part").write.parquet(f"{self.path}/{name}")
         return m | {"tables": m["tables"] | {"activities": [name]}}
@@ -241,7 +245,7 @@ class Store:
         found = self._folders(name, manifest["tables"].get(name, {}), buckets)
         if not found:
             return self._empty(name)
-        columns = [c.strip().split(" ")[0] for c in schema.replace("struct<x: int, y: int>", "struct").split(",")]
+        columns = StructType.fromDDL(schema).names
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in found)).select(*columns)
 
     def _empty(self, name: str) -> DataFrame:
@@ -265,8 +269,9 @@ class Store:
                 df = df.withColumns({"bucket": _bucket(F.col("activity_id"), buckets), "_curve": morton(F.col("x"), F.col("y"))})
                 df.repartitionByRange("bucket", "z", "_curve").sortWithinPartitions("bucket", "z", "_curve").drop("_curve").write.partitionBy("bucket", "z").parquet(at)
             else:
-                df = df.withColumn("bucket", _bucket(F.col("id"), buckets))
-                df.repartitionByRange("bucket", "file").write.partitionBy("bucket").parquet(at)
+                df = df.withColumns({"bucket": _bucket(F.col("id"), buckets), "hot": props.hot(F.col("properties"))})
+                order = ["bucket", F.col("hot")[props.HOT[0]]["text"], "file"]
+                df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(at)
             fs, p = self._fs(at)
             found[name] = sorted(int(f.getPath().getName().removeprefix("bucket=")) for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith("bucket="))
         return part, found
@@ -314,7 +319,7 @@ class Store:
             over |= {b for b in come if len(m["tables"].get("activities", {}).get(str(b), [])) >= PARTS}
             new = {"activities": activities, "activity_tiles": tiles}
             if over:
-                kept = {"activities": self._table("activities", m, over).join(activities.select("file"), "file", "left_anti"), "activity_tiles": self._table("activity_tiles", m, over).join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti")}
+                kept = {"activities": self._table("activities", m, over).drop("hot").join(activities.select("file"), "file", "left_anti"), "activity_tiles": self._table("activity_tiles", m, over).join(activities.select(F.col("id").alias("activity_id")), "activity_id", "left_anti")}
                 new = {k: kept[k].unionByName(v.select(*kept[k].columns)) for k, v in new.items()}
             return self._write(new, since, over)
 
