@@ -403,6 +403,35 @@ def test_streaming(spark, folder, tmp_path):
         (tmp_path / "land" / "skip.txt").write_text("x")
 
 
+def test_repeated_deliveries_reach_the_store_once(spark, tmp_path):
+    """In one batch, in a later one, and after a restart; a changed file of the same name is another."""
+    e = Engine(spark, str(tmp_path / "db"))
+    land = tmp_path / "land"
+    for d in ("1", "2", "3", "4"):
+        (land / d).mkdir(parents=True)
+    version = lambda: e.store._latest()[0]
+
+    def run():
+        landing.ingest(e, str(land), str(tmp_path / "cp")).awaitTermination(180)
+        return e.count(), version()
+
+    (land / "1" / "a.gpx").write_bytes(samples.gpx(samples.RIDE))
+    (land / "2" / "a.gpx").write_bytes(samples.gpx(samples.RIDE))
+    n, one = run()
+    assert n == 1
+    (land / "3" / "a.gpx").write_bytes(samples.gpx(samples.RIDE))
+    assert run() == (1, one)  # nothing was written
+    (land / "4" / "a.gpx").write_bytes(samples.gpx(samples.RIDE, kind="walk"))
+    n, two = run()
+    assert n == 1 and two == one + 1 and e.count(filter="activity_type = walk") == 1
+    body = json.dumps({"id": 7, "map": {"polyline": polyline.encode([(52.5 + i * 1e-3, 13.3) for i in range(9)])}, "type": "Ride"})
+    (tmp_path / "hooks").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / "hooks" / name).write_text(body)
+        landing.ingest_webhooks(e, str(tmp_path / "hooks"), str(tmp_path / "cp2")).awaitTermination(180)
+    assert e.count() == 2 and version() == two + 1
+
+
 def test_fit_decoder():
     got = fit.parse(samples.fit(samples.LOOP, chained=True))
     assert len(got["points"]) == 120 and got["points"][3][2] == 43 and got["start_time"] == 1_000_000_000 + fit.EPOCH

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, props
 from wayfold.operators import activities as acts
-from wayfold.operators import raster, stats, tiling
+from wayfold.operators import masks, raster, stats, tiling
 from wayfold.plans import gradients
 from wayfold.plans.filters import predicate
 from wayfold.sources import files, known, metadata
@@ -247,22 +247,18 @@ _MASK_SQL = "masks AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lat}::DOUB
 
 
 def _masks(spark: SparkSession) -> DataFrame:
-    """The configured masks: a handful of rows, so they are broadcast."""
-    x, y = geo.mercator(F.col("lng"), F.col("lat"))
-    return F.broadcast(spark.createDataFrame(MASKS, "name string, lat double, lng double, radius double").select("name", "radius", x.alias("cx"), y.alias("cy")))
+    return masks.centred(spark.createDataFrame(MASKS, "name string, lat double, lng double, radius double"))
 
 
 @query(f"WITH {_POINTS}, {_MERCATOR}, {_MASK_SQL} SELECT activity_id, seq FROM projected p WHERE EXISTS (SELECT 1 FROM centres WHERE (mx - cx) * (mx - cx) + (my - cy) * (my - cy) <= radius * radius)")
 def mask_vertices(spark, sf):
-    centres = [(*geo.point(lng, lat), r) for _, lat, lng, r in MASKS]
-    hidden = raster.hidden(F.col("mx"), F.col("my"), [(x, y, r * r) for x, y, r in centres])
-    return tiling.projected(points(spark, sf)).where(hidden).select("activity_id", "seq")
+    return masks.covered(tiling.projected(points(spark, sf)), _masks(spark), ["activity_id", "seq"])
 
 
 @query(f"WITH {_D14}, {_MASK_SQL}, box AS (SELECT x, y, x * ({C}::DOUBLE / pow(2, 14)) - {HALF}::DOUBLE AS l, {HALF}::DOUBLE - (y + 1) * ({C}::DOUBLE / pow(2, 14)) AS b, (x + 1) * ({C}::DOUBLE / pow(2, 14)) - {HALF}::DOUBLE AS r, {HALF}::DOUBLE - y * ({C}::DOUBLE / pow(2, 14)) AS t FROM density) SELECT x, y, name FROM box, centres WHERE pow(cx - greatest(l, least(cx, r)), 2) + pow(cy - greatest(b, least(cy, t)), 2) <= radius * radius")
 def mask_tile_intersect(spark, sf):
     tiles = _density(spark, sf, 14).select("x", "y")
-    return tiles.join(_masks(spark), geo.meets_circle(F.col("cx"), F.col("cy"), F.col("radius"), geo.bounds(F.col("x"), F.col("y"), 14))).select("x", "y", "name")
+    return masks.touched(tiles, 14, _masks(spark))
 
 
 def _lut_sql(name: str) -> str:

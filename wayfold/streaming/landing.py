@@ -1,4 +1,10 @@
-"""Structured Streaming ingestion of a landing folder: each micro-batch is upserted, so a batch that runs again changes nothing."""
+"""Structured Streaming ingestion of a landing folder: each micro-batch is upserted, so a batch that runs again changes nothing.
+
+Services deliver again what was not confirmed in time. What came within the last TTL with the
+same name and content (a webhook: with the same content) is passed over by state keyed by
+both, kept in the query's checkpoint, so it doesn't reach the store. Time is that of arrival,
+so nothing is ever too late.
+"""
 
 from __future__ import annotations
 
@@ -17,17 +23,37 @@ def files_in(engine, folder: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
 
 
-def ingest(engine, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Upsert arriving activity files as upload:{name}; available_now: what is there, then stop."""
+#: How long a delivery is remembered.
+TTL = "7 days"
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            engine.upload(batch)
 
-    out = files_in(engine, folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+def first_deliveries(arrived: DataFrame, keys: list[str], ttl: str = TTL) -> DataFrame:
+    """A stream without rows whose keys came within ttl before."""
+    timed = arrived.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", ttl)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
+def _batches(rows: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """A query that hands each batch with rows to write()."""
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()  # state is read and changed once a batch
+        try:
+            if not batch.isEmpty():
+                write(batch)
+        finally:
+            batch.unpersist()
+
+    out = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def ingest(engine, folder: str, checkpoint: str, available_now: bool = True, ttl: str = TTL) -> StreamingQuery:
+    """Upsert arriving activity files as upload:{name}; available_now: what is there, then stop."""
+    new = files_in(engine, folder).withColumns({"name": F.element_at(F.split("path", "/"), -1), "digest": F.sha2("content", 256)})
+    return _batches(first_deliveries(new, ["name", "digest"], ttl), lambda batch: engine.upload(batch.select("path", "content")), checkpoint, available_now)
+
+
 def ingest_pulled(engine, client, since: date, checkpoint: str, lookback: int = 0, until: date | None = None) -> StreamingQuery:
     """Import what a client of a day (see wayfold.sources.pull) lists, from since on; a day and the lookback before it are asked again whenever a new day begins, files that are known are passed over. until: the day to stop before, else today is the last."""
     engine.spark.dataSource.register(pull.source(client))
@@ -42,13 +68,7 @@ def ingest_pulled(engine, client, since: date, checkpoint: str, lookback: int =
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
 
 
-def ingest_webhooks(engine, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest_webhooks(engine, folder: str, checkpoint: str, available_now: bool = True, ttl: str = TTL) -> StreamingQuery:
     """Upsert activity details that land as one JSON document a file."""
-    bodies = engine.spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("value").alias("body"))
-
-    def upsert(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            engine.webhook(batch)
-
-    out = bodies.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if available_now else out).start()
+    bodies = engine.spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("value").alias("body"), F.sha2("value", 256).alias("digest"))
+    return _batches(first_deliveries(bodies, ["digest"], ttl), lambda batch: engine.webhook(batch.select("body")), checkpoint, available_now)
