@@ -39,7 +39,7 @@ def fit(points, start=1_000_000_000, sub_sport=7, chained=False) -> bytes:
 
 
 RIDE = [(13.402 + 0.00021 * i, 52.5021 + 0.00007 * (i * i % 5), 61.5 + (3 * i % 4) / 10) for i in range(9)]
-RUN = [("2024-09-15T06:12:07Z", 9.1832, 48.7761), ("2024-09-15T06:13:40Z", 9.1841, 48.7758), ("2024-09-15T06:14:02Z", None, None), ("2024-09-15T06:18:31Z", 9.1856, 48.7749)]
+RUN = [("2026-04-15T06:12:07Z", 9.1832, 48.7761), ("2026-04-15T06:13:40Z", 9.1841, 48.7758), ("2026-04-15T06:14:02Z", None, None), ("2026-04-15T06:18:31Z", 9.1856, 48.7749)]
 LOOP = [(13.3 + i * 0.0004, 52.5 + (i % 7) * 0.0003, 40 + i % 9, 10 * i) for i in range(60)]
 
 

@@ -166,14 +166,18 @@ def test_a_replacement_writes_one_bucket(spark, tmp_path):
     e.upload(up("7.gpx"))
     new, more = _units(e)
     changed = units ^ new
-    assert len({u.split("bucket=")[1] for u in changed}) == 1 and len(changed) == 4  # a bucket of both tables, the old and the new
+    assert len({u.split("bucket=")[1] for u in changed}) == 1 and len(changed) == 6  # a bucket of each table, the old and the new
     one = changed.pop().split("/")[-1]
     assert {f for f in data if f"/{one}/" not in f} == {f for f in more if f"/{one}/" not in f}
     assert e.count() == 40 and e.store.tiles.count() == n
+    # profiles are replaced with their bucket, and read without the activities
+    same = lambda df: sorted((r.key, r["count"], r.types) for r in df.collect())
+    assert same(e.properties()) == same(activities.property_stats(e.store.activities)) != []
+    assert "/activities/" not in str(e.properties().inputFiles()) and "variant" not in e.properties()._jdf.queryExecution().executedPlan().toString().lower()
     # a reader that began before goes on
     assert before.count() == 40 and tiles.count() == n
     e.upload(up("new.gpx"))
-    assert len(_units(e)[0]) == len(new) + 2 and e.count() == 41  # beside what is there
+    assert len(_units(e)[0]) == len(new) + 3 and e.count() == 41  # beside what is there
 
 
 def test_what_no_manifest_names_is_removed(spark, tmp_path, monkeypatch):

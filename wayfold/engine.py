@@ -102,10 +102,16 @@ class Engine:
         return acts.json_lines(self.activities(**conditions))
 
     def count(self, **conditions) -> int:
-        return acts.count(self.store.activities, **conditions)
+        if any(v is not None for v in conditions.values()):
+            return acts.count(self.store.activities, **conditions)
+        n = self.store.profile().where("key is null").first()
+        return n["count"] if n else 0
 
     def properties(self, **conditions) -> DataFrame:
-        return acts.property_stats(self.store.activities, **conditions)
+        """Without conditions from the profiles that were kept with the activities."""
+        if any(v is not None for v in conditions.values()):
+            return acts.property_stats(self.store.activities, **conditions)
+        return self.store.profile().where("key is not null")
 
     def etag(self, **conditions) -> str:
         """Of the number of activities, as it always has been."""

@@ -48,12 +48,23 @@ def type_class(v: Column) -> Column:
     return props.kind(v)
 
 
-def property_stats(activities: DataFrame, **conditions) -> DataFrame:
-    """key, count (activities with a scalar there) and types (sorted) of every property."""
+def property_stats(activities: DataFrame, by: tuple[str, ...] = (), **conditions) -> DataFrame:
+    """key, count (activities with a scalar there) and types (sorted) of every property, for each value of by."""
     v = F.col("properties") if is_variant(activities) else props.variant(F.col("properties"))
-    rows = props.once(matching(activities, **conditions).select("id", v.alias("p")), "v", F.col("p")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    each = rows.select("id", F.explode(F.map_entries(F.expr("cast(v as map<string, variant>)"))).alias("e")).select("id", F.col("e.key").alias("key"), props.kind(F.col("e.value")).alias("type"))
-    return each.where(F.col("type").isin("string", "number", "bool")).groupBy("key").agg(F.countDistinct("id").alias("count"), F.array_sort(F.collect_set("type")).alias("types"))
+    rows = props.once(matching(activities, **conditions).select("id", *by, v.alias("p")), "v", F.col("p")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    each = rows.select("id", *by, F.explode(F.map_entries(F.expr("cast(v as map<string, variant>)"))).alias("e")).select("id", *by, F.col("e.key").alias("key"), props.kind(F.col("e.value")).alias("type"))
+    return each.where(F.col("type").isin("string", "number", "bool")).groupBy(*by, "key").agg(F.countDistinct("id").alias("count"), F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def profile(activities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """property_stats, and the number of activities at a null key: what profiles of tables that share no activity add up to."""
+    n = activities.groupBy(*by).agg(F.lit(None).cast("string").alias("key"), F.count(F.lit(1)).alias("count"), F.array().cast("array<string>").alias("types"))
+    return property_stats(activities, by).unionByName(n)
+
+
+def merged_profiles(profiles: DataFrame) -> DataFrame:
+    """The profile of all, from those of their parts."""
+    return profiles.groupBy("key").agg(F.sum("count").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
 
 
 def enriched(properties: Column, more: Column) -> Column:

@@ -3,18 +3,22 @@
 Activities and their tiles are dealt to buckets by a hash of the file key (an activity's id is
 that hash), so what belongs to a file lies in one bucket. Every write makes a new part, a
 folder of buckets, and then names them in the store's next manifest, a numbered file that is
-put in place by a rename which fails if another writer was first. New files are added beside
-what their buckets hold; a replaced file makes its bucket anew, and no other. So a reader
-sees the old version or the new one, a failed write leaves the old one, and of two writers
-the second starts over from what the first left. What no kept manifest names is removed.
+put in place by a rename (on a machine's own file system, a link) that fails if another
+writer was first. New files are added beside what their buckets hold; a replaced file makes
+its bucket anew, and no other. So a reader sees the old version or the new one, a failed
+write leaves the old one, and of two writers the second starts over from what the first left.
+What no kept manifest names is removed.
 Configuration and masks lie in the manifest too. Activities have a column hot beside their
 properties, typed copies of the keys that filters ask for most, and are sorted by the first.
+With each bucket of a part lies the profile of its properties; these add up, as no file is in
+two, so the store's own is read without a look at an activity.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -28,6 +32,7 @@ from pyspark.sql.types import StructType
 from wayfold.functions import props
 from wayfold.functions.props import round4
 from wayfold.operators import tiling
+from wayfold.operators.activities import merged_profiles, profile
 
 PLAIN = "id long, file string, title string, start_time timestamp, properties variant, created_at timestamp"
 ACTIVITIES = f"{PLAIN}, hot {props.HOT_TYPE}"
@@ -42,7 +47,7 @@ class Conflict(RuntimeError):
     """Another writer changed the store meanwhile."""
 
 
-SCHEMAS = {"activities": ACTIVITIES, "activity_tiles": tiling.TILES}
+SCHEMAS = {"activities": ACTIVITIES, "activity_tiles": tiling.TILES, "profiles": "key string, count long, types array<string>"}
 
 
 @dataclass
@@ -85,7 +90,15 @@ class Store:
         fs, p = self._fs(path)
         return fs.exists(p)
 
+    def _local(self, path: str) -> str | None:
+        """The path on this machine, if the file system is its own: there a link is what fails if a file is there, a rename isn't."""
+        fs, p = self._fs(path)
+        return fs.makeQualified(p).toUri().getPath() if fs.getScheme() == "file" else None
+
     def _get(self, name: str) -> dict:
+        if (here := self._local(f"{self.path}/{name}")) is not None:
+            with open(here, encoding="utf-8") as f:
+                return json.load(f)
         fs, p = self._fs(f"{self.path}/{name}")
         stream = fs.open(p)
         try:
@@ -93,31 +106,45 @@ class Store:
         finally:
             stream.close()
 
-    def _put(self, name: str, value: dict, over: bool = True) -> None:
-        """A whole file or none. over: in place of an older one, else Conflict if there is one."""
+    def _put(self, name: str, value: dict) -> None:
+        """A whole file or none; Conflict if there is one."""
+        data = json.dumps(value, ensure_ascii=False).encode()
+        if (here := self._local(f"{self.path}/{name}")) is not None:
+            os.makedirs(os.path.dirname(here), exist_ok=True)
+            part = f"{self._local(self.path)}/.{uuid.uuid4().hex}"
+            try:
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.link(part, here)
+            except FileExistsError as e:
+                raise Conflict(name) from e
+            finally:
+                os.unlink(part)
+            return
         fs, part = self._fs(f"{self.path}/.{uuid.uuid4().hex}")
         out = fs.create(part, True)
         try:
-            out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
         _, p = self._fs(f"{self.path}/{name}")
         fs.mkdirs(p.getParent())
         kinds = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        how[0] = kinds.OVERWRITE if over else kinds.NONE
+        how[0] = kinds.NONE
         at = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         try:
             at.rename(fs.makeQualified(part), fs.makeQualified(p), how)
         except Exception as e:
             fs.delete(part, False)
-            if not over and fs.exists(p):
+            if fs.exists(p):
                 raise Conflict(name) from e
             raise
 
     def _numbers(self) -> list[int]:
         fs, p = self._fs(f"{self.path}/manifests")
-        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(p)) if fs.exists(p) else []
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def _latest(self) -> tuple[int, dict] | None:
         """The last manifest and its number; 0 is that of an older store."""
@@ -126,7 +153,7 @@ class Store:
         return (0, self._get("manifest.json")) if self._exists(f"{self.path}/manifest.json") else None
 
     def _next(self, number: int, manifest: dict) -> None:
-        self._put(f"manifests/{number + 1:012d}.json", manifest, over=False)
+        self._put(f"manifests/{number + 1:012d}.json", manifest)
         old = self._numbers()[:-KEPT]
         gone = set().union(*(self._named(n) for n in old))
         for n in old:
@@ -259,12 +286,21 @@ class Store:
     def tiles(self) -> DataFrame:
         return self.table("activity_tiles")
 
+    def profile(self) -> DataFrame:
+        """key, count and types of all properties, and the number of activities at a null key; no activity is read."""
+        return merged_profiles(self.table("profiles"))
+
     def _part(self, tables: dict[str, DataFrame], buckets: int) -> tuple[str, dict[str, list[int]]]:
         """Write tables as a new part; its name, and which buckets it has of each."""
         part, found = f"part={uuid.uuid4().hex}", {}
+        if "activities" in tables:  # of what was written, when it has been
+            tables = tables | {"profiles": None}
         for name, df in tables.items():
             at = f"{self.path}/{name}/{part}"
-            if name == "activity_tiles":
+            if name == "profiles":
+                written = self.spark.read.schema(f"{ACTIVITIES}, bucket int").parquet(f"{self.path}/activities/{part}")
+                profile(written, ("bucket",)).repartition("bucket").write.partitionBy("bucket").parquet(at)
+            elif name == "activity_tiles":
                 # read by zoom and rectangles of tiles: along a curve, so that both x and y are near each other in a row group
                 df = df.withColumns({"bucket": _bucket(F.col("activity_id"), buckets), "_curve": morton(F.col("x"), F.col("y"))})
                 df.repartitionByRange("bucket", "z", "_curve").sortWithinPartitions("bucket", "z", "_curve").drop("_curve").write.partitionBy("bucket", "z").parquet(at)
@@ -280,14 +316,14 @@ class Store:
         """Write tables as a new part and name it in the next manifest: in place of what the buckets over hold, beside what others do."""
         n, m = since
         part, found = self._part(tables, m["buckets"])
-        after = {name: {b: parts for b, parts in m["tables"].get(name, {}).items() if int(b) not in over} for name in tables}
+        after = {name: {b: parts for b, parts in m["tables"].get(name, {}).items() if int(b) not in over} for name in found}
         for name, buckets in found.items():
             for b in map(str, buckets):
                 after[name][b] = [*after[name].get(b, []), part]
         try:
             self._next(n, m | {"tables": m["tables"] | after})
         except Conflict:
-            self._drop([f"{name}/{part}" for name in tables])
+            self._drop([f"{name}/{part}" for name in found])
             raise
 
     def _drop(self, parts: Iterable[str]) -> None:
