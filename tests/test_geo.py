@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def test_columns_equal_driver_values(spark):
 @pytest.mark.parametrize("line,want", [((-1, 5, 11, 5), ((0, 5), (10, 5))), ((2, 2, 3, 3), ((2, 2), (3, 3))), ((-5, -5, -1, 20), None), ((5, -1, 5, 4), ((5, 0), (5, 4))), ((10, 0, 10, 10), ((10, 0), (10, 10))), ((11, 0, 11, 10), None), ((3, 3, 3, 3), ((3, 3), (3, 3))), ((-1, 9.5, 2, 12.5), None), ((-1, 9, 2, 12), ((0, 10), (0, 10)))])
 def test_clip(spark, line, want):
     box = (0.0, 0.0, 10.0, 10.0)
-    got = tiling._inside(*map(float, line), box)
+    a, b, low, high = (np.array([p], float) for p in (line[:2], line[2:], box[:2], box[2:]))
+    meets, start, end = tiling._clipped(a, b, low, high)
+    got = (tuple(start[0].tolist()), tuple(end[0].tolist())) if meets[0] else None
     assert got == (want and tuple(tuple(map(float, p)) for p in want))
     df = spark.createDataFrame([tuple(map(float, line))], "a double, b double, c double, d double")
     t0, t1 = geo.clip(*(F.col(c) for c in "abcd"), tuple(map(F.lit, box)))
