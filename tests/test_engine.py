@@ -52,11 +52,11 @@ def test_import(engine, folder):
     assert engine.counts == {"imported": 3, "skipped": 4, "failed": 2}
     assert engine.count() == 3
     ride = props(engine, "sample.gpx")
-    assert ride["total_distance"] == pytest.approx(kilometres(samples.RIDE), abs=1e-4) and (ride["elevation_min"], ride["elevation_max"], ride["elevation_loss"]) == (61.5, 61.8, 0)
+    assert ride["total_distance"] == pytest.approx(kilometres(samples.RIDE), abs=1e-4) and (ride["min_elevation"], ride["max_elevation"], ride["elevation_loss"]) == (61.5, 61.8, 0)
     assert ride["elevation_gain"] == 500 and ride["activity_type"] == "ride"  # the CSV wins
     run = props(engine, "sample.tcx")
     assert run["total_distance"] == pytest.approx(kilometres([p[1:] for p in samples.RUN if p[1] is not None]), abs=1e-4) and (run["elapsed_time"], run["moving_time"], run["max_speed"]) == (384, 0, 0.0)  # 06:12:07 to 06:18:31, no two places within a minute
-    assert "average_speed" not in run and "elevation_min" not in run
+    assert "average_speed" not in run and "min_elevation" not in run
     loop = props(engine, "sample.fit")
     assert loop["manufacturer"] == "garmin" and loop["total_calories"] == 1188 and loop["elapsed_time"] == 590
     assert engine.import_path(str(folder / "activities"))["imported"] == 0 and engine.count() == 3
@@ -382,11 +382,13 @@ def test_webhook_and_pull(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
     line = polyline.encode([(52.5 + i * 1e-3, 13.3 + i * 1e-3) for i in range(9)])
     body = {"id": 7, "name": "Lunch", "map": {"polyline": line}, "start_date": "2024-05-01T10:00:00Z", "total_elevation_gain": 12.5, "type": "Ride", "distance": 2500.0, "average_speed": 5.0, "max_speed": 10.0, "gear": {"id": "g1", "name": "Bike"}, "laps": [1], "kudos": 3}
-    rows = [(json.dumps(body),), (json.dumps(body | {"id": 8, "type": "VirtualRide"}),), ("{broken",)]
-    assert e.webhook(spark.createDataFrame(rows, "body string")) == {"imported": 1, "skipped": 1, "failed": 1}
+    lacking = [(json.dumps({k: v for k, v in body.items() if k != gone}),) for gone in ("id", "name", "map", "start_date", "type", "distance", "average_speed", "max_speed")]
+    rows = [(json.dumps(body),), (json.dumps(body | {"id": 8, "type": "VirtualRide"}),), ("{broken",), *lacking]
+    assert e.webhook(spark.createDataFrame(rows, "body string")) == {"imported": 1, "skipped": 1, "failed": 9}
     p = props(e, "strava:7")
     assert (p["total_distance"], p["average_speed"], p["max_speed"], p["activity_gear"], p["gear_id"], p["kudos"]) == (2.5, 18.0, 36.0, "Bike", "g1", 3)
     assert p["activity_type"] == "Ride" and p["elevation_gain"] == 12.5 and "laps" not in p
+    assert (p["id"], p["start_date"], p["min_elevation"], p["max_elevation"]) == (7, "2024-05-01T10:00:00Z", 0, 0) and "map" not in p and "name" not in p
     asked = []
 
     def client(since):
@@ -428,7 +430,7 @@ def test_repeated_deliveries_reach_the_store_once(spark, tmp_path):
     (land / "4" / "a.gpx").write_bytes(samples.gpx(samples.RIDE, kind="walk"))
     n, two = run()
     assert n == 1 and two == one + 1 and e.count(filter="activity_type = walk") == 1
-    body = json.dumps({"id": 7, "map": {"polyline": polyline.encode([(52.5 + i * 1e-3, 13.3) for i in range(9)])}, "type": "Ride"})
+    body = json.dumps({"id": 7, "map": {"polyline": polyline.encode([(52.5 + i * 1e-3, 13.3) for i in range(9)])}, "type": "Ride", "name": "Lunch", "start_date": "2024-05-01T10:00:00Z", "distance": 900, "average_speed": 5, "max_speed": 6})
     (tmp_path / "hooks").mkdir()
     for name in ("x", "y"):
         (tmp_path / "hooks" / name).write_text(body)
@@ -440,6 +442,7 @@ def test_fit_decoder():
     got = fit.parse(samples.fit(samples.LOOP, chained=True))
     assert len(got["points"]) == 120 and got["points"][3][2] == 43 and got["start_time"] == 1_000_000_000 + fit.EPOCH
     assert got["points"][5][:2] == pytest.approx(samples.LOOP[5][:2], abs=1e-6)
+    assert got["properties"]["manufacturer"] == "garmin" and not {"start_time", "sub_sport"} & set(got["properties"])
     assert fit.parse(samples.fit(samples.LOOP, sub_sport=58)) is None and fit.parse(samples.fit([])) is None
     for bad in (b"", b"x" * 40, samples.fit(samples.LOOP)[:200]):
         with pytest.raises((ValueError, IndexError)):
@@ -490,7 +493,8 @@ def test_http(spark, tmp_path, monkeypatch):
         raise OSError("no network")
 
     line = polyline.encode([(52.5 + i * 1e-3, 13.3 + i * 1e-3) for i in range(9)])
-    details = {1: {"id": 1, "name": "a", "map": {"polyline": line}, "start_date": "2024-05-01T10:00:00Z", "type": "Walk"}, 2: {"id": 2, "map": {"polyline": line}, "type": "VirtualRun"}}
+    pace = {"distance": 900, "average_speed": 1.5, "max_speed": 2}
+    details = {1: {"id": 1, "name": "a", "map": {"polyline": line}, "start_date": "2024-05-01T10:00:00Z", "type": "Walk", **pace}, 2: {"id": 2, "name": "b", "map": {"polyline": line}, "start_date": "2024-05-02T10:00:00Z", "type": "VirtualRun", **pace}}
     s = server(Engine(spark, str(tmp_path / "db")), upload=True, render=True, cors=True, fetch=True, webhook=True, sources={"mine": lambda since: [("mine/1.fit", samples.fit(samples.LOOP))], "broken": broken}, detail=lambda owner, activity: details[activity])
     threading.Thread(target=s.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{s.server_port}"

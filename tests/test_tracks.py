@@ -25,14 +25,14 @@ def test_stats(spark):
         5: [(0, 0.0, 0.0, None, 0), (0, 0.0, 1.0, None, 10), (0, 0.0, 1.0 + step, 7.0, None), (0, 0.0, 1.0, None, 30)],
     }
     got = {r.activity_id: r for r in stats.track_stats(frame(spark, tracks)).collect()}
-    assert (got[1].elevation_gain, got[1].elevation_loss, got[1].elevation_min, got[1].elevation_max) == (5, 5, 50, 55)
+    assert (got[1].elevation_gain, got[1].elevation_loss, got[1].min_elevation, got[1].max_elevation) == (5, 5, 50, 55)
     assert got[1].elapsed_time is None and got[1].average_speed is None
     assert (got[2].elapsed_time, got[2].moving_time, got[2].max_speed) == (300, 5, 0.0)
     assert got[3].max_speed == pytest.approx(36, abs=0.1) and got[3].total_distance == pytest.approx(0.1, abs=1e-4)
     assert got[4].total_distance is None and got[4].elapsed_time is None
     # a jump doesn't count, nor do times that aren't next to each other; elapsed skips missing ones
     assert got[5].total_distance == pytest.approx(0.2, abs=1e-4) and (got[5].elapsed_time, got[5].moving_time) == (30, 0)
-    assert got[5].average_speed is None and got[5].elevation_min is None
+    assert got[5].average_speed is None and got[5].min_elevation is None
 
 
 def line(n, dx=1e-4, y=52.5):

@@ -36,7 +36,7 @@ def climb(elevations: Column) -> Column:
 
 
 def track_stats(points: DataFrame, elevation: bool = True) -> DataFrame:
-    """total_distance (km), elapsed_time and moving_time (s), average_speed and max_speed (km/h), elevation_gain, _loss, _min and _max of each activity; null where its points can't tell."""
+    """total_distance (km), elapsed_time and moving_time (s), average_speed and max_speed (km/h), elevation_gain and elevation_loss, min_elevation and max_elevation of each activity; null where its points can't tell."""
     near = F.col("d") <= MAX_GAP
     moving = near & (F.col("dt") > 0) & (F.col("dt") <= PAUSE)
     timed = F.col("t").isNotNull()
@@ -62,11 +62,11 @@ def track_stats(points: DataFrame, elevation: bool = True) -> DataFrame:
         values = F.transform("levels", lambda x: x["ele"])
         enough = F.size("levels") >= 2
         fold = F.when(enough, climb(values))
-        columns |= {"elevation_gain": fold["gain"], "elevation_loss": fold["loss"], "elevation_min": F.when(enough, F.array_min(values)), "elevation_max": F.when(enough, F.array_max(values))}
+        columns |= {"elevation_gain": fold["gain"], "elevation_loss": fold["loss"], "min_elevation": F.when(enough, F.array_min(values)), "max_elevation": F.when(enough, F.array_max(values))}
     return out.select("activity_id", *(v.alias(k) for k, v in columns.items()))
 
 
-NAMES = ("total_distance", "elapsed_time", "moving_time", "average_speed", "max_speed", "elevation_gain", "elevation_loss", "elevation_min", "elevation_max")
+NAMES = ("total_distance", "elapsed_time", "moving_time", "average_speed", "max_speed", "elevation_gain", "elevation_loss", "min_elevation", "max_elevation")
 
 
 def fragments(stats: DataFrame) -> Column:

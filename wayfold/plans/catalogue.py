@@ -7,6 +7,7 @@ Every query runs over its whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def _r(name: str, digits: int = 4) -> Column:
 @query(f"WITH {_STATS} SELECT activity_id, round(metres / 1000, 4) AS total_distance, elapsed AS elapsed_time, moving AS moving_time, round(CASE WHEN moving > 0 THEN metres / moving * 3.6::DOUBLE END, 4) AS average_speed, round(fastest * 3.6::DOUBLE, 4) AS max_speed, CASE WHEN levels >= 2 THEN low END AS elevation_min, CASE WHEN levels >= 2 THEN high END AS elevation_max FROM sums")
 def track_stats(spark, sf):
     s = stats.track_stats(points(spark, sf))
-    return s.select("activity_id", _r("total_distance"), "elapsed_time", "moving_time", _r("average_speed"), _r("max_speed"), "elevation_min", "elevation_max")
+    return s.select("activity_id", _r("total_distance"), "elapsed_time", "moving_time", _r("average_speed"), _r("max_speed"), F.col("min_elevation").alias("elevation_min"), F.col("max_elevation").alias("elevation_max"))
 
 
 @query(f"WITH {_STATS} SELECT activity_id, round(metres / 1000, 4) AS total_distance FROM sums")
@@ -277,6 +278,14 @@ def gradient_lut(spark, sf):
     return n.join(F.broadcast(gradients.table(spark, "orange")), "visits").groupBy("visits", "rgba").agg(F.count(F.lit(1)).alias("activities"))
 
 
+@query("WITH v AS (SELECT least(count(*), 255) AS visits FROM events GROUP BY user_id), " + ", ".join(_lut_sql(n).replace("lut AS", f"lut{i} AS", 1) for i, n in enumerate(gradients.PALETTES)) + " ".join(f"{' UNION ALL' if i else ''} SELECT '{n}' AS palette, rgba, count(*) AS activities FROM v JOIN lut{i} USING (visits) GROUP BY ALL" for i, n in enumerate(gradients.PALETTES)))
+def palettes(spark, sf):
+    """Activities by the colour that each palette gives their number of points."""
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("visits"))
+    rows = reduce(DataFrame.unionByName, (gradients.table(spark, p).withColumn("palette", F.lit(p)) for p in gradients.PALETTES))
+    return n.join(F.broadcast(rows), "visits").groupBy("palette", "rgba").agg(F.count(F.lit(1)).alias("activities"))
+
+
 @query(f"WITH {_heat_sql(10, 256)}, {_lut_sql('orange')} SELECT rgba, count(*) AS pixels FROM heat JOIN lut USING (visits) GROUP BY rgba")
 def heat_colored(spark, sf):
     heat = _heat(spark, sf, 10, 256)
@@ -333,6 +342,7 @@ _filter("filter_in", "k in [1, 2, 50, 'x'] || type in [purchase, signup]", "k IN
 _filter("filter_like_ci", "type like 'P%' || type like '_LIC_'", "type ILIKE 'p%' OR type ILIKE '_lic_'")
 _filter("filter_has", "has? flag && has? type", "flag IS NOT NULL AND type IS NOT NULL")
 _filter("filter_and_or_not", "!(type = click) && k > 10 || value < 5", "(NOT (type = 'click') AND k > 10) OR value < 5")
+_filter("filter_grouping", "(type = click || (type = purchase && !(k > 70))) && !(has? missing || flag = false)", "(type = 'click' OR (type = 'purchase' AND NOT k > 70)) AND NOT (false OR flag = false)")
 _filter("filter_date_range", None, "ts < TIMESTAMP '2024-01-11' AND ts > TIMESTAMP '2024-01-04'", *_dates())
 
 
@@ -496,9 +506,9 @@ def exact_clip(spark, sf):
 VIEW = geo.viewport_tiles((13.3, 52.5, 13.4, 52.55), 1024, 1024, [14])
 
 
-def _stored_raster_sql(width: int = 256, source: int = 14, extent: int = 2048) -> str:
+def _stored_raster_sql(view: tuple[int, int, int, int, int], width: int = 256, source: int = 14, extent: int = 2048) -> str:
     """The polylines of the walk drawn vertex by vertex, as a recursion that carries the last vertex."""
-    z, x0, y0, x1, y1 = VIEW
+    z, x0, y0, x1, y1 = view
     d, shift = source - z, raster.scale(source, z, extent, width)
     side = width - 1
     lows, highs = (", ".join(f"{f}(-p{c} / nullif(q{c} - p{c}, 0), ({side} - p{c}) / nullif(q{c} - p{c}, 0))" for c in "xy") for f in ("least", "greatest"))
@@ -523,12 +533,24 @@ minor AS (SELECT *, CASE WHEN greatest(abs(x1 - x0), abs(y1 - y0)) = 0 THEN 0 EL
 SELECT tx, ty, x0 + (CASE WHEN x1 >= x0 THEN 1 ELSE -1 END) * (CASE WHEN steep THEN m ELSE i END) AS px, y0 + (CASE WHEN y1 >= y0 THEN 1 ELSE -1 END) * (CASE WHEN steep THEN i ELSE m END) AS py, least(count(*), 255) AS visits FROM minor GROUP BY ALL"""
 
 
-@query(f"WITH RECURSIVE {_stored_raster_sql()}")
+def _stored_raster(spark, sf, view: tuple[int, int, int, int, int]) -> DataFrame:
+    z, x0, y0, x1, y1 = view
+    return raster.rasterize(tiling.exact(points(spark, sf), [14]), [(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], 14, 256, 2048, [m[1:] for m in MASKS])
+
+
+@query(f"WITH RECURSIVE {_stored_raster_sql(VIEW)}")
 def stored_raster_z14(spark, sf):
     """The rasters of all z14 tiles of the view from the stored polylines."""
-    tiles = tiling.exact(points(spark, sf), [14])
-    z, x0, y0, x1, y1 = VIEW
-    return raster.rasterize(tiles, [(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)], 14, 256, 2048, [m[1:] for m in MASKS])
+    return _stored_raster(spark, sf, VIEW)
+
+
+VIEW_11 = geo.viewport_tiles((13.3, 52.5, 13.4, 52.55), 256, 256, [11])
+
+
+@query(f"WITH RECURSIVE {_stored_raster_sql(VIEW_11)}")
+def stored_raster_z11(spark, sf):
+    """The same of z11 tiles, each from the 64 stored ones below it, scaled down."""
+    return _stored_raster(spark, sf, VIEW_11)
 
 
 @query(f"WITH {_POINTS} SELECT activity_id, count(*) AS n, CAST(sum(seq * (CAST(round(lat * 100000) AS BIGINT) * 3 + CAST(round(lng * 100000) AS BIGINT) * 7)) AS BIGINT) AS checksum FROM points GROUP BY activity_id")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from wayfold.functions import props
 from wayfold.sources.polyline import decoded
 
-#: Properties of a webhook activity that are dropped, and the renamed ones.
+#: Properties of a webhook activity that are dropped, the renamed ones, those that are made anew, and those that are 0 where they are missing.
 NOISY = ("laps", "segment_efforts", "splits_metric", "splits_standard", "photos", "highlighted_kudosers")
-RENAMED = {"total_elevation_gain": "elevation_gain", "elev_low": "elevation_min", "elev_high": "elevation_max", "type": "activity_type"}
-HANDLED = ("id", "name", "map", "start_date", "gear", "distance", "average_speed", "max_speed")
+RENAMED = {"total_elevation_gain": "elevation_gain", "elev_low": "min_elevation", "elev_high": "max_elevation", "type": "activity_type"}
+HANDLED = ("name", "map", "gear", "distance", "average_speed", "max_speed")
+ABSENT = ("elevation_gain", "min_elevation", "max_elevation")
 
 
 def unit_columns(distance: Column, average: Column, fastest: Column) -> dict[str, Column]:
@@ -23,7 +24,7 @@ def unit_columns(distance: Column, average: Column, fastest: Column) -> dict[str
 
 
 def webhook_activities(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Activity detail JSON as path (strava:{id}), status, title, start_time, properties (fragments) and points; virtual ones are skipped, unreadable ones failed."""
+    """Activity detail JSON as path (strava:{id}), status, title, start_time, properties (fragments) and points; virtual ones and those without points are skipped. What isn't JSON, or lacks its id, name, type, start, line or one of distance and speeds, has failed."""
     v = F.try_parse_json(F.col(column))
     rows = bodies.select(v.alias("v"))
     get = lambda k, t: F.try_variant_get("v", props.path(k) if "." not in k else "$" + "".join(f"['{p}']" for p in k.split(".")), t)
@@ -42,12 +43,13 @@ def webhook_activities(bodies: DataFrame, column: str = "body") -> DataFrame:
         get("name", "string").alias("title"),
         F.try_to_timestamp(get("start_date", "string")).alias("start_time"),
         F.coalesce(get("type", "string").startswith("Virtual"), F.lit(False)).alias("virtual"),
-        props.merge(fields, own).alias("properties"),
+        props.merge(F.create_map(*(F.lit(x) for k in ABSENT for x in (k, "0.0"))), fields, own).alias("properties"),
+        F.exists(F.array(get("name", "string"), get("type", "string"), get("map.polyline", "string"), *(get(k, "double").cast("string") for k in ("distance", "average_speed", "max_speed"))), lambda x: x.isNull()).alias("lacks"),
         get("map.polyline", "string").alias("line"),
     )
     rows = decoded(rows, "line", "q")
     points = F.transform(F.coalesce("q", F.array().cast("array<struct<lat:double,lng:double>>")), lambda p: F.struct(F.lit(0).alias("part"), p["lng"].alias("lng"), p["lat"].alias("lat"), F.lit(None).cast("double").alias("ele"), F.lit(None).cast("long").alias("t")))
-    status = F.when(F.col("path").isNull(), "failed").when(F.col("virtual"), "skipped").when(F.size(points) < 1, "skipped").otherwise("imported")
+    status = F.when(F.col("path").isNull() | F.col("start_time").isNull() | F.col("lacks"), "failed").when(F.col("virtual"), "skipped").when(F.size(points) < 1, "skipped").otherwise("imported")
     return rows.select("path", status.alias("status"), "title", "start_time", "properties", points.alias("points"))
 
 

@@ -20,15 +20,15 @@ def fragment(cell: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path (of the file, below the CSV's folder) and more (its cells as JSON fragments, without blank ones) of each row; of rows with one path the last counts, rows without a filename are left out."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """path (of the file, below the CSV's folder) and more (its cells as JSON fragments, spaces kept, without blank ones) of each row; of rows with one path the last counts, rows without a filename are left out."""
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     rows = rows.toDF(*(c.lower().replace(" ", "_") for c in rows.columns)).withColumn("_line", F.monotonically_increasing_id())
     names = [c for c in rows.columns if c not in ("filename", "_line")]
     if "filename" not in rows.columns:
         raise ValueError("the metadata has no filename column")
     base = posixpath.dirname(path)
-    cells = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.when(F.trim(F.col(c)) != "", fragment(F.trim(F.col(c))))))), lambda _, v: v.isNotNull()) if names else F.create_map().cast("map<string,string>")
-    out = rows.where(F.trim("filename") != "").select(F.concat(F.lit(base + "/"), F.trim("filename")).alias("path"), cells.alias("more"), "_line")
+    cells = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.when(F.trim(F.col(c)) != "", fragment(F.col(c)))))), lambda _, v: v.isNotNull()) if names else F.create_map().cast("map<string,string>")
+    out = rows.where(F.trim("filename") != "").select(F.concat(F.lit(base + "/"), F.col("filename")).alias("path"), cells.alias("more"), "_line")
     return out.groupBy("path").agg(F.max_by("more", "_line").alias("more"))
 
 
