@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.types import StructType
 
-from wayfold.sources import batches, polyline
+from wayfold.plans import imports
+from wayfold.sources import batches, files, polyline
 
 LINE = pa.list_(pa.struct([("lat", pa.float64()), ("lng", pa.float64())]))
 
@@ -49,6 +50,26 @@ def test_lines_are_made_objects_by_pieces(spark):
     assert np.allclose([[p["lat"], p["lng"]] for p in back[39]], [[p["lat"], p["lng"]] for p in points[39]], atol=1e-5)
 
 
+def test_files_are_made_and_unpacked_by_pieces(spark):
+    point = [{"seq": i, "lng": 13.3, "lat": 52.5, "ele": None, "t": 1_000_000_000 + i, "time": "x"} for i in range(50)]
+    kinds = pa.list_(pa.struct([("seq", pa.int64()), ("lng", pa.float64()), ("lat", pa.float64()), ("ele", pa.float64()), ("t", pa.int64()), ("time", pa.string())]))
+    n = 2_000
+    rows = pa.RecordBatch.from_pydict({
+        "path": pa.array([f"{i}{('.fit', '.gpx.gz')[i % 2]}" for i in range(n)]), "content": pa.array([b"g" * 1_000 if i % 2 else None for i in range(n)], pa.binary()),
+        "p": pa.array([None if i % 2 else point for i in range(n)], kinds), "virtual": pa.array([False] * n), "broken": pa.array([i % 100 == 1 for i in range(n)]),
+    })
+    made = list(imports._finished([rows]))
+    assert len(made) > 5 and max(b.num_rows for b in made) < 400
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    assert whole.column("path").equals(rows.column("path"))
+    packed = pa.RecordBatch.from_arrays([whole.column("path"), pa.array(["gpx"] * n), pa.array([i % 2 == 1 for i in range(n)]), whole.column("content")], ["path", "kind", "gz", "content"])
+    out = list(files.unzipped(Frame(spark, "path string, content binary")).run([packed]))
+    assert len(out) > 2
+    got = [c for b in out for c in b.column("content").to_pylist()]
+    assert got[1] is None and got[101] is None and got[3] == b"g" * 1_000 and got[0] == whole.column("content")[0].as_py() and got[0][8:12] == b".FIT"
+    assert [p for b in out for p in b.column("path").to_pylist()] == rows.column("path").to_pylist()
+
+
 def test_session_setting_is_kept(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)

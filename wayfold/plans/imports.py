@@ -23,6 +23,7 @@ from wayfold.engine import Engine
 from wayfold.operators import tiling
 from wayfold.plans.catalogue import _POINTS, _STATS, _walk_sql, points, query, table
 from wayfold.sources import connectors, files, fit, polyline
+from wayfold.sources.batches import limit, pieces
 
 #: Seconds that are added to the times of events, which lie in 1970: FIT files begin later. Points of a line of GPX and TCX files.
 LATER, LINE = 1_000_000_000, 20
@@ -88,7 +89,7 @@ def _fit(points: list[dict], virtual: bool) -> bytes:
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """FIT files encoded, .gz files packed, broken ones cut in their middle."""
-    for batch in batches:
+    for batch in pieces(batches, "content", "p"):
         out = []
         for r in batch.to_pylist():
             content = r["content"] if r["content"] is not None else _fit(r["p"], r["virtual"])
@@ -105,6 +106,7 @@ def user_files(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, (".gpx", ".tcx", ".fit", ".gpx.gz"))), (kind + 1).cast("int"))
     content = F.when(kind == 1, tcx(LINE)).when(kind != 2, gpx(LINE, F.when(virtual, "VirtualRide").otherwise("ride")))
     rows = _tracks(spark, sf).select(F.concat(F.lit("files/"), u.cast("string"), name).alias("path"), content.alias("content"), F.when(kind == 2, F.col("p")).alias("p"), virtual.alias("virtual"), (u % 7 == 0).alias("broken"))
+    limit(spark)
     return rows.mapInArrow(_finished, "path string, content binary")
 
 

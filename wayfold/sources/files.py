@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import props
+from wayfold.sources.batches import limit, pieces
 
 GPX = "metadata struct<time: string>, trk array<struct<name: string, type: string, trkseg: array<struct<trkpt: array<struct<_lat: double, _lon: double, ele: double, time: string>>>>>>, _corrupt string"
 TCX = "Activities struct<Activity: array<struct<Lap: array<struct<Track: array<struct<Trackpoint: array<struct<Time: string, AltitudeMeters: double, Position: struct<LatitudeDegrees: double, LongitudeDegrees: double>>>>>>>>>>, _corrupt string"
@@ -99,10 +100,11 @@ def opened(spark: SparkSession, at: DataFrame) -> DataFrame:
 def unzipped(files: DataFrame) -> DataFrame:
     """Files with kind, and gzipped content unpacked (null if it is damaged)."""
     kind, gz = sniff(F.col("path"))
+    limit(files.sparkSession)
     files = files.select("path", kind.alias("kind"), (gz & kind.isNotNull()).alias("gz"), "content")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "content"):
             out = []
             for c, z in zip(b.column("content").to_pylist(), b.column("gz").to_pylist()):
                 try:
@@ -159,7 +161,7 @@ def _fit(files: DataFrame) -> DataFrame:
     def run(batches):
         from wayfold.sources import fit
 
-        for b in batches:
+        for b in pieces(batches, "content"):
             rows = []
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 row = {"path": path, "bad": False, "virtual": False, "title": None, "start_time": None, "properties": [], "points": []}
