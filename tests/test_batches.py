@@ -1,6 +1,6 @@
 """Python in tasks takes Arrow batches a bounded piece at a time, whatever the session lets a batch hold."""
 
-import gzip
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,18 @@ def test_files_are_made_and_unpacked_by_pieces(spark):
     assert [p for b in out for p in b.column("path").to_pylist()] == rows.column("path").to_pylist()
 
 
+def test_files_are_saved_one_at_a_time(tmp_path):
+    batch = pa.RecordBatch.from_pydict({"path": [f"{tmp_path}/f/{i}.gpx" for i in range(100)], "content": pa.array([bytes([i]) * 100_000 for i in range(100)], pa.binary())})
+    list(imports._saved([batch.slice(0, 1)]))  # what the first call imports isn't counted
+    tracemalloc.start()
+    try:
+        (told,) = imports._saved([batch])
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+    assert told.column("n").to_pylist() == [100] and (tmp_path / "f" / "99.gpx").read_bytes() == b"c" * 100_000
+
+
 def test_session_setting_is_kept(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)

@@ -151,11 +151,11 @@ def parsed_files(spark, sf):
 def _saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files written where their paths say; a task that is run again writes the same."""
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            store, at, _ = files._system(path)
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            store, at, _ = files._system(path.as_py())
             store.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with store.open_output_stream(at) as f:
-                f.write(content)
+                f.write(content.as_buffer())
         yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
 
@@ -170,6 +170,7 @@ def imported(spark: SparkSession, sf: str) -> Engine:
     tracks = _tracks(spark, sf)
     name = F.concat(F.lit("f/"), u.cast("string"), F.lit(".gpx"))
     written = tracks.select(F.concat(F.lit(at + "/"), name).alias("path"), gpx(None, F.lit("ride")).alias("content"))
+    limit(spark)
     written.mapInArrow(_saved, "n long").agg(F.sum("n")).collect()  # one row
     cells = {
         "Filename": name,
