@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.plans import catalogue, imports
-from wayfold.sources import metadata
+from wayfold.sources import files, metadata
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,11 @@ def test_cells_keep_their_spaces(spark, tmp_path):
     (tmp_path / "m.csv").write_text('Filename,Sport Name,Rank,Blank\na.gpx, Trail Run ," 7 ",  \n b.gpx,x,y,z\n')
     rows = {r["path"]: dict(r["more"]) for r in metadata.read(spark, f"{tmp_path}/m.csv").collect()}
     assert rows == {f"{tmp_path}/a.gpx": {"sport_name": '" Trail Run "', "rank": "7"}, f"{tmp_path}/ b.gpx": {"sport_name": '"x"', "rank": '"y"', "blank": '"z"'}}
+
+
+def test_metadata_by_uri_has_the_names_that_are_listed(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.gpx").write_text("x")
+    (tmp_path / "m.csv").write_text("Filename,Rank\nf/a.gpx,7\n")
+    known = metadata.read(spark, f"file://{tmp_path}/m.csv")
+    assert [dict(r["more"]) for r in files.names(spark, f"file://{tmp_path}/f").join(known, "path").collect()] == [{"rank": "7"}]

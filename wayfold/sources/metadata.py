@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import props
+from wayfold.sources import files
 
 
 def header(c: Column) -> Column:
@@ -26,7 +27,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     names = [c for c in rows.columns if c not in ("filename", "_line")]
     if "filename" not in rows.columns:
         raise ValueError("the metadata has no filename column")
-    base = posixpath.dirname(path)
+    _, at, lead = files._system(path)  # as files.names() names what it lists
+    base = posixpath.dirname(lead + at)
     cells = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.when(F.trim(F.col(c)) != "", fragment(F.col(c)))))), lambda _, v: v.isNotNull()) if names else F.create_map().cast("map<string,string>")
     out = rows.where(F.trim("filename") != "").select(F.concat(F.lit(base + "/"), F.col("filename")).alias("path"), cells.alias("more"), "_line")
     return out.groupBy("path").agg(F.max_by("more", "_line").alias("more"))
