@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -49,6 +50,57 @@ def test_orders_one_and_two_predict():
     assert 8 * sum(map(len, id_coder.encode(ids, 4))) < 7 * len(ids)
 
 
+@pytest.mark.parametrize("top", [3, 40_000, (1 << 24) - 1])
+def test_counted_chances_round_trip(top, monkeypatch):
+    """Ids with and without a frequency of their own, in several groups of blocks."""
+    monkeypatch.setattr(id_coder, "BLOCK", 300)
+    monkeypatch.setattr(id_coder, "LANES", 5)
+    rng = np.random.default_rng(top)
+    for ids in (np.zeros(0), np.zeros(1), np.full(4000, top), rng.integers(0, top + 1, 3001), np.tile(rng.integers(0, top, 40), 60), rng.zipf(1.3, 6000) % top):
+        ids = ids.astype(np.uint32)
+        width, counted = id_coder.nibbles(top), []
+        blocks = id_coder.encode(ids, width, counted)
+        assert len(counted) == -(-len(ids) // 1500)
+        ends = np.cumsum([len(b) for b in blocks]).astype(np.int64)
+        assert np.array_equal(id_coder.decode(np.frombuffer(b"".join(blocks), np.uint8), ends, len(ids), width, counted), ids)
+        for i in range(len(blocks)):  # each alone, by its group's chances
+            part = ids[i * 300 : i * 300 + 300]
+            assert np.array_equal(id_coder.decode(np.frombuffer(blocks[i], np.uint8), np.array([len(blocks[i])]), len(part), width, counted[i // 5 :][:1]), part)
+
+
+def _cpu(f) -> float:
+    """CPU seconds of f's fastest of three runs."""
+    took = []
+    for _ in range(3):
+        at = time.process_time()
+        f()
+        took.append(time.process_time() - at)
+    return min(took)
+
+
+def test_an_id_costs_few_steps_and_bits(monkeypatch):
+    """Ids as frequent as words are: blocks near their entropy of 10.2 bits (11.1; 17.1 before), coded and decoded in the time of some 54 gathers, products and scatters (189 before)."""
+    rng = np.random.default_rng(1)
+    chance = 1 / np.arange(10, 4010)
+    ids = rng.permutation(50_000)[rng.choice(4000, 4096 * 64, p=chance / chance.sum())].astype(np.uint32)
+    monkeypatch.setattr(id_coder, "BLOCK", 64)
+    got = []
+
+    def there_and_back():
+        counted = []
+        blocks = id_coder.encode(ids, 4, counted)
+        got[:] = [8 * sum(map(len, blocks + counted)) / len(ids), id_coder.decode(np.frombuffer(b"".join(blocks), np.uint8), np.cumsum([len(b) for b in blocks]), len(ids), 4, counted)]
+
+    table, x = np.arange(1 << 21, dtype=np.uint32), rng.integers(0, 1 << 21, 4096)
+
+    def steps():
+        for _ in range(64):
+            table[x] = table.take(x) * np.uint32(3)
+
+    assert _cpu(there_and_back) < 110 * _cpu(steps)
+    assert got[0] < 12 and np.array_equal(got[1], ids)
+
+
 def test_files_follow_the_inputs_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("wayfold.llm.id_files.FILE", 2000)
     docs = spark.createDataFrame([(i, "some words here " * 20, "x", 1) for i in range(100)], "doc_id long, text string, ids string, tokens int")

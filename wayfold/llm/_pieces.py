@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import contextlib
 import os
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -162,10 +164,16 @@ class Coder:
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, one after another, and how many each has: the library's model on their byte-level form."""
-        model, table = self.tokenizer.model, byte_letters()
-        got = [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))] for x in texts]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())), size
+        tokenize, get = self.tokenizer.model.tokenize, attrgetter("id")
+        raw = [x.encode() for x in texts]
+        every = byte_letters()[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-16-le")
+        ids, size, at = array("I"), array("q"), 0
+        for x in raw:
+            got = tokenize(every[at : at + len(x)])
+            ids.extend(map(get, got))
+            size.append(len(got))
+            at += len(x)
+        return np.array(ids, np.uint32), np.array(size, np.int64)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         """keys: sorted, none known. A level is merged into the one before it when it has grown to a quarter of it."""
@@ -235,11 +243,13 @@ def strings(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on, in order."""
+def byte_letters() -> np.ndarray:
+    """The letter (UTF-16 code) that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on, in order."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    out = np.arange(256, dtype="<u2")
+    out[rest] = 256 + np.arange(len(rest))
+    return out
 
 
 @contextlib.contextmanager

@@ -288,7 +288,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 def classes() -> np.ndarray:
     """The class of each code point: letter, number, white space, other."""
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    kinds = {a + b: kind.get(a, OTHER) for a in "LMNPSZC" for b in "ultmoncdesfikpr"}
+    out = np.fromiter(map(kinds.__getitem__, map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
     out[WHITE] = SPACE
     return out
 

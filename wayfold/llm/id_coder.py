@@ -1,47 +1,52 @@
-"""Adaptive range coding of token ids in independent blocks, many blocks in step.
+"""Range coding of token ids in independent blocks, many blocks in step.
 
-Each block starts from an empty model and is coded alone. What drives the coder:
+Each block starts from empty tables and is coded alone. What drives the coder:
 
 order 2 and 1: tables of the id that last followed the last two ids, or the last one, each
-with how often it was right in a row, which gives its chance to be right again.
-order 0: the id that is the majority of the block so far, with the share of its hits; and
-adaptive cumulative frequencies of the parts (nibbles) of an id after the parts before.
-
-An id is coded as "the order-2 prediction", "the order-1 prediction", "the order-0
-prediction" or "none of them", then in the last case by its nibbles (the last one evenly).
-The chances of the first symbol are a mixture of what the three orders give, with weights
-that follow how well each did (Bayesian, per block). All arithmetic is +, *, / of doubles
-and integers in a fixed order, so every machine decodes what another wrote.
-
-The blocks of a call are coded in lockstep by numpy: one step codes the next id of each. The
-tables of a block take 7 KB and are touched a few times a step, for what a step costs is
-mostly their way through the caches. The range coder works in 64 bits and puts out 32-bit
-words; carries are added up when a block ends.
+with how often it was right in a row. Both runs, and whether the two agree, say how likely
+each is to be right now.
+order 0: how often ids come that neither foresaw.
+
+An id is coded as "the order-2 prediction", "the order-1 prediction" or "neither", then in the
+last case by its order-0 frequency, both in one step of the coder; ids too rare for a frequency
+of their own follow evenly. Tables are learned from the ids before, block by block. The chances
+are counted once for the blocks of a call, and a reader needs them (Chances.packed). All arithmetic
+is of integers, but for a quotient that doubles give exactly, so every machine decodes what
+another wrote.
+
+The blocks of a call are coded in lockstep by numpy: one step codes the next id of each, in
+some 40 array operations. The range coder works in 64 bits and puts out 32-bit words; carries
+are added up when a block ends.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 
+from wayfold.llm import _arrays
+
 #: Ids in a block, and blocks coded in step: many, as what numpy's calls cost is shared by them.
 BLOCK = 2048
 LANES = 4096
 
 U = np.uint64
 _SLOTS = 1 << 9
-#: Contexts of a nibble after two or more others, by hash.
-_PREFIX = 63
-#: Bits of the total frequency of the first symbol and of a nibble; least frequency of a nibble.
-_FIRST, _NIBBLE, _LEAST = 12, 14, 2
+#: Bits of the total frequency of what was right, and of order 0.
+_FIRST, _ORDER0 = 12, 16
+_BITS = _FIRST + _ORDER0
+#: Ids with an order-0 frequency of their own, at most.
+_OWN = 1 << 14
 _WORD, _LOW = U(1 << 32), U((1 << 32) - 1)
-_32, _4 = U(32), U(4)
-_RUN = 24
-#: Chance that a prediction is right which was so many times in a row before; 0: never met.
-_CHANCE = np.array([0.0, 0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.92], np.float32)
-#: A row has the lower bounds of its nibbles. It moves by a power of a half towards what came, by more in a block's first steps.
-_RATES = ((32, np.int16(3)), (160, np.int16(4)), (700, np.int16(5)), (BLOCK, np.int16(6)))
-_TO = np.array([[_LEAST * i if i <= s else (1 << _NIBBLE) - _LEAST * (16 - i) for i in range(16)] for s in range(16)], np.int16)
-_EVEN = np.array([i << (_NIBBLE - 4) for i in range(16)], np.int16)
+_32 = U(32)
+_RUN = np.uint32(24)
+_ID = np.uint32((1 << 24) - 1)
+#: A run of 0: never met; then 1 more than it was right in a row, 7 at most. The next run, moved to its bits: after a miss, after a hit.
+_NEXT = np.array([1] * 8 + [1, 2, 3, 4, 5, 6, 7, 7], np.uint32) << _RUN
+#: Chance that a prediction of each run is right, where nothing was counted.
+_CHANCE = np.array([0.001, 0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.92])
 
 
 class Writer:
@@ -66,8 +71,9 @@ class Writer:
         go = np.flatnonzero(size < _WORD)
         if len(go):
             lane, l = ix[go], low[go]
-            self.out[self.at[lane] * self.lanes + lane] = l >> _32
-            self.at[lane] += 1
+            at = self.at[lane]
+            self.out[at * self.lanes + lane] = l >> _32
+            self.at[lane] = at + 1
             low[go] = l << _32
             size[go] <<= _32
 
@@ -108,171 +114,228 @@ class Reader:
         go = np.flatnonzero(size < _WORD)
         if len(go):
             lane = ix[go]
-            low[go] = low[go] << _32 | self._next(self.at[lane])
+            at = self.at[lane]
+            low[go] = low[go] << _32 | self._next(at)
             size[go] <<= _32
-            self.at[lane] += 1
+            self.at[lane] = at + 1
 
 
-class Model:
-    """The model of some blocks; rows of its tables are lanes."""
+def _shares(counts: np.ndarray, total: int) -> np.ndarray:
+    """Frequencies of 1 at least that add up to total, nearly as the counts do; what rounding leaves goes to the largest of each row."""
+    rows, n = counts.shape
+    out = 1 + counts * (total - n) // np.maximum(counts.sum(1, keepdims=True), 1)
+    out[np.arange(rows), counts.argmax(1)] += total - out.sum(1)
+    return out
 
-    def __init__(self, lanes: int, width: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * _SLOTS
-        self.tables = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
-        self.major, self.lead, self.share = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32), np.full(lanes, 0.05, np.float32)
-        self.weights = [np.full(lanes, w, np.float32) for w in (0.5, 0.3, 0.2)]
-        self.contexts = 1 + 16 + (_PREFIX + 1) * (width - 3)
-        self.rows = np.tile(_EVEN, (lanes * self.contexts, 1))
 
-    def guess(self, k: int, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
-        """Frequencies of "order 2", "order 1" and "order 0" for the first k lanes."""
+@dataclass
+class Chances:
+    """first: frequencies of order 2, order 1 and neither (rows: the runs of both, and whether they agree); ids and freq: order 0, in order of ids, then one more frequency, of all the others."""
+
+    first: np.ndarray
+    ids: np.ndarray
+    freq: np.ndarray
+
+    @classmethod
+    def even(cls) -> Chances:
+        """Where nothing was counted."""
+        two, one = np.repeat(_CHANCE, 8), np.tile(_CHANCE, 8)
+        apart = np.stack([two, (1 - two) * one, (1 - two) * (1 - one)], 1)
+        agree = np.stack([1 - apart[:, 2], np.zeros(64), apart[:, 2]], 1)
+        return cls(_shares((np.concatenate([apart, agree]) * 1000).astype(np.int64), 1 << _FIRST), np.zeros(0, np.uint32), np.array([1 << _ORDER0]))
+
+    @classmethod
+    def counted(cls, kinds: np.ndarray, rest: np.ndarray) -> Chances:
+        """kinds: row of first * 3 + which was right; rest: the ids where neither was."""
+        ids, n = _arrays.counted(rest)
+        often = np.flatnonzero(n << (_ORDER0 + 1) >= len(rest))
+        often = np.sort(often[np.argsort(-n[often], kind="stable")[:_OWN]])
+        freq = _shares(np.append(n[often], len(rest) - n[often].sum())[None], 1 << _ORDER0)[0]
+        return cls(_shares(np.bincount(kinds, minlength=384).reshape(128, 3), 1 << _FIRST), ids[often].astype(np.uint32), freq)
+
+    def packed(self) -> bytes:
+        parts = [_arrays.pack(self.first.astype(np.uint16)), _arrays.pack(np.diff(self.ids, prepend=np.uint32(0))), _arrays.pack(self.freq.astype(np.uint32))]
+        return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Chances:
+        got = []
+        for dtype in (np.uint16, np.uint32, np.uint32):
+            size = int.from_bytes(data[:4], "little")
+            got.append(_arrays.unpack(data[4 : 4 + size], dtype))
+            data = data[4 + size :]
+        return cls(got[0].astype(np.int64).reshape(128, 3), np.cumsum(got[1], dtype=np.uint32), got[2].astype(np.int64))
+
+    @cached_property
+    def cum(self) -> np.ndarray:
+        """Where "order 2", "order 1" and "neither" begin, and their frequencies, of 2**_BITS; by kind."""
+        return ((np.cumsum(self.first, 1) - self.first).astype(U) << U(_ORDER0)).reshape(-1)
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return (self.first.astype(U) << U(_ORDER0)).reshape(-1)
+
+    @cached_property
+    def begin(self) -> np.ndarray:
+        return (np.cumsum(self.freq) - self.freq).astype(U)
+
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return self.freq.astype(U)
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        """The number of each id up to the largest, and of one above; those without a frequency of their own have the last."""
+        out = np.full(int(self.ids[-1]) + 2 if len(self.ids) else 1, len(self.ids), np.uint16)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """The number of the id at each place of order 0."""
+        return np.repeat(np.arange(len(self.freq), dtype=np.uint16), self.freq)
+
+
+class Orders:
+    """The tables of some blocks."""
+
+    def __init__(self, lanes: int):
+        self.base = np.arange(2 * lanes).reshape(2, lanes) * _SLOTS
+        self.table = np.zeros(2 * lanes * _SLOTS, np.uint32)
+        self.p1 = self.p2 = np.zeros(lanes, np.uint32)
+
+    def guess(self, k: int) -> np.ndarray:
+        """The row of Chances.first of the first k lanes; ids: what orders 2 and 1 foresee."""
+        p1, p2, last = self.p1[:k], self.p2[:k], np.uint32(_SLOTS - 1)
         h = p1 * np.uint32(40503)
-        last = np.uint32(_SLOTS - 1)
-        self.slots = [self.base[:k] + ((h + p2 * np.uint32(30011) + (p2 >> np.uint32(5))) & last), self.base[:k] + ((h + (p1 >> np.uint32(7))) & last)]
-        met = [t.take(s) for t, s in zip(self.tables, self.slots, strict=True)]
-        self.runs = [x >> np.uint32(_RUN) for x in met]
-        self.ids = [*(x & np.uint32((1 << _RUN) - 1) for x in met), self.major[:k]]
-        a, b, c = self.ids
-        self.chance = [*(_CHANCE.take(r) for r in self.runs), self.share[:k]]
-        qa, qb, qc = (w[:k] * q for w, q in zip(self.weights, self.chance, strict=True))
-        ab, ac, bc = a == b, a == c, b == c
-        full = np.float32(4000.0)
-        fa = ((qa + ab * qb + ac * qc) * full).astype(np.int32) + 2
-        fb = (((qb + bc * qc) * full).astype(np.int32) + 2) * ~ab
-        fc = ((qc * full).astype(np.int32) + 2) * ~(ac | bc)
-        return [fa, fb, fc]
-
-    def learn(self, k: int, ids: np.ndarray, none: np.ndarray) -> None:
-        """ids came; none: where no prediction was right."""
-        hits = [x == ids for x in self.ids]
-        one, some, more = np.float32(1.0), np.float32(0.02), np.float32(0.002)
-        like = [w[:k] * (np.abs(q - ~hit) * (hit | none) + some) + more for w, hit, q in zip(self.weights, hits, self.chance, strict=True)]
-        scale = one / (like[0] + like[1] + like[2])
-        for w, x in zip(self.weights, like, strict=True):
-            np.multiply(x, scale, out=w[:k])
-        for table, slot, hit, run in zip(self.tables, self.slots, hits, self.runs, strict=False):
-            table[slot] = ids | ((np.minimum(run, np.uint32(6)) * hit + np.uint32(1)) << np.uint32(_RUN))
-        hit, share, lead = hits[2], self.share[:k], self.lead[:k]
-        share += (hit - share) * some
-        lead += hit.astype(np.int32) * np.int32(2) - np.int32(1)
-        np.copyto(self.major[:k], ids, where=lead < 0)
-        np.abs(lead, out=lead)
-
-    def place(self, ix: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        """The rows of a nibble after the ones before it."""
-        at = ix * self.contexts
-        if level == 1:
-            at += prefix + 1
-        elif level > 1:
-            at += ((prefix ^ (prefix >> 6)) & _PREFIX) + (17 + (_PREFIX + 1) * (level - 2))
-        return at
-
-    def move(self, rows: np.ndarray, row: np.ndarray, sym: np.ndarray, rate: np.int16) -> None:
-        step = _TO.take(sym, 0)
-        step -= row
-        step >>= rate
-        step += row
-        self.rows[rows] = step
+        slots = np.empty((2, k), np.uint32)
+        np.bitwise_and(h + p2 * np.uint32(30011) + (p2 >> np.uint32(5)), last, out=slots[0])
+        np.bitwise_and(h + (p1 >> np.uint32(7)), last, out=slots[1])
+        self.slots = self.base[:, :k] + slots
+        met = self.table.take(self.slots)
+        self.ids, self.runs = met & _ID, met >> _RUN
+        row = self.runs[0] << np.uint32(3)
+        row += self.runs[1]
+        row += (self.ids[0] == self.ids[1]) * np.uint32(64)
+        return row
+
+    def learn(self, k: int, ids: np.ndarray) -> np.ndarray:
+        """ids came; returns which orders had foreseen them."""
+        hits = self.ids == ids
+        new = _NEXT.take(self.runs + hits * np.uint32(8))
+        new |= ids
+        self.table[self.slots] = new
+        self.p2, self.p1 = self.p1, ids
+        return hits
 
 
 def nibbles(top: int) -> int:
     """Nibbles of the largest id, 4 at least; ids have 24 bits."""
-    if top >= 1 << _RUN:
+    if top >= 1 << 24:
         raise ValueError("ids of more than 24 bits")
     return max(4, -(-int(top).bit_length() // 4))
 
 
-def _walk(coder: Writer | Reader, sizes: np.ndarray, width: int, ids: np.ndarray | None, start: np.ndarray) -> np.ndarray:
-    """Codes (ids given) or decodes blocks of these sizes, the longest first; returns the ids, block after block."""
-    lanes = len(sizes)
-    model = Model(lanes, width)
-    reading = ids is None
-    out = np.zeros(int(sizes.sum()), np.uint32) if reading else ids
-    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    first, nibble, whole = U(_FIRST), U(_NIBBLE), U((1 << _NIBBLE) - 1)
-    for step in range(int(sizes[0]) if lanes else 0):
-        k = int(np.searchsorted(-sizes, -step, "left"))  # blocks longer than step
-        lane, low, size = model.lane[:k], coder.low[:k], coder.range[:k]
-        fa, fb, fc = model.guess(k, p1[:k], p2[:k])
-        ab = fa + fb
-        abc = ab + fc
-        if reading:
-            v = coder.point(low, size, first).astype(np.int32)
-            a, b, c = v >= fa, v >= ab, v >= abc
-            sym = np.where(b, model.ids[2], np.where(a, model.ids[1], model.ids[0]))
-        else:
-            sym = out[start[:k] + step]
-            a = sym != model.ids[0]
-            b = a & (sym != model.ids[1])
-            c = b & (sym != model.ids[2])
-        # a, b, c: not order 2's, nor 1's, nor 0's
-        cum = fa * a + fb * b + fc * c
-        freq = np.where(c, (1 << _FIRST) - abc, np.where(b, fc, np.where(a, fb, fa)))
-        size[:] = coder.narrow(lane, low, size, cum.astype(U), freq.astype(U), first)
-        ix = np.flatnonzero(c)
-        if len(ix):
-            rate = next(r for until, r in _RATES if step < until)
-            own, span = low[ix], size[ix]
-            at = np.arange(len(ix)) * 16
-            prefix = np.zeros(len(ix), np.int64)
-            mine = None if reading else sym[ix].astype(np.int64)
-            for level in range(width - 1):
-                rows = model.place(ix, level, prefix)
-                row = model.rows.take(rows, 0)
-                if reading:
-                    v = coder.point(own, span, nibble)
-                    s = np.bitwise_count((row <= v.astype(np.int16)[:, None]).view(U)).sum(1, dtype=np.int64) - 1
-                else:
-                    s = (mine >> (4 * (width - 1 - level))) & 15
-                flat = row.reshape(-1)
-                cum = flat.take(at + s).astype(U)
-                # the upper bound of the last nibble, the next row's 0, is the whole
-                freq = (flat.take(at + s + 1, mode="wrap").astype(U) - cum) & whole
-                span = coder.narrow(ix, own, span, cum, freq, nibble)
-                model.move(rows, row, s, rate)
-                prefix = (prefix << 4) | s
-                if level % 2 == 0:
-                    coder.settle(ix, own, span)
-            last = coder.point(own, span, _4) if reading else (mine & 15).astype(U)
-            span = coder.narrow(ix, own, span, last, U(1), _4)
-            coder.settle(ix, own, span)
-            low[ix], size[ix] = own, span
-            if reading:
-                sym[ix] = (prefix << 4) | last.astype(np.int64)
-        coder.settle(lane, low, size)
-        if reading:
-            out[start[:k] + step] = sym
-        model.learn(k, sym, c)
-        p2[:k], p1[:k] = p1[:k], sym
-    return out
-
-
 def _blocks(n: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.arange(0, n, BLOCK)
     return start, np.minimum(BLOCK, n - start)
 
 
-def encode(ids: np.ndarray, width: int) -> list[bytes]:
-    """The coded blocks of BLOCK ids each, the last one with the rest."""
+def _encode(ids: np.ndarray, width: int, chances: Chances | None) -> tuple[list[bytes], Chances]:
+    """Blocks of ids, the last one with the rest, and what they were coded by (counted here if not given)."""
+    _, sizes = _blocks(len(ids))
+    lanes, steps = len(sizes), int(sizes[0])
+    of = np.zeros((lanes, steps), np.uint32)
+    of.reshape(-1)[: len(ids)] = ids
+    of = np.ascontiguousarray(of.T)  # a row a step
+    orders, kinds = Orders(lanes), np.empty((steps, lanes), np.uint16)
+    ks = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()  # blocks longer than each step
+    for step, k in enumerate(ks):
+        row = orders.guess(k)
+        two, one = orders.learn(k, of[step, :k])
+        np.add(row * np.uint32(3), np.where(two, np.uint32(0), np.uint32(2) - one), out=kinds[step, :k], casting="unsafe")
+    short = int(sizes[-1])
+    if chances is None:
+        own = np.ones(of.shape, bool)
+        own[short:, -1] = False
+        some = kinds[own]
+        chances = Chances.counted(some, of[own][some % np.uint16(3) == 2])
+    coder = Writer(lanes, room=steps * (4 * width + _BITS) // 32 + 8)
+    lane, bits, even, top = np.arange(lanes), U(_BITS), U(4 * width), np.uint32(len(chances.number) - 1)
+    for step, k in enumerate(ks):
+        low, size, kind, x = coder.low[:k], coder.range[:k], kinds[step, :k], of[step, :k]
+        cum, freq = chances.cum.take(kind), chances.size.take(kind)
+        ix = np.flatnonzero(kind % np.uint16(3) == 2)
+        at = chances.number.take(np.minimum(x[ix], top))
+        each = freq[ix] >> U(_ORDER0)
+        cum[ix] += each * chances.begin.take(at)
+        freq[ix] = each * chances.wide.take(at)
+        size[:] = coder.narrow(lane, low, size, cum, freq, bits)
+        coder.settle(lane, low, size)
+        rare = ix[at == len(chances.ids)]
+        if len(rare):
+            own, span = low[rare], size[rare]
+            span = coder.narrow(rare, own, span, x[rare].astype(U), U(1), even)
+            coder.settle(rare, own, span)
+            low[rare], size[rare] = own, span
+    return coder.blocks(), chances
+
+
+def _decode(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int, chances: Chances) -> np.ndarray:
+    """The ids of blocks of these sizes, the longest first."""
+    lanes, steps = len(sizes), int(sizes[0])
+    coder, orders, lane = Reader(words, begin), Orders(lanes), np.arange(lanes)
+    out = np.zeros((steps, lanes), np.uint32)
+    bits, even, ids = U(_BITS), U(4 * width), np.append(chances.ids, np.uint32(0))
+    for step, k in enumerate(np.searchsorted(-sizes, -np.arange(steps), "left").tolist()):
+        low, size = coder.low[:k], coder.range[:k]
+        kind = orders.guess(k) * np.uint32(3)
+        v = coder.point(low, size, bits)
+        a, c = v >= chances.cum.take(kind + np.uint32(1)), v >= chances.cum.take(kind + np.uint32(2))
+        sym = np.where(a, orders.ids[1], orders.ids[0])
+        kind += a
+        kind += c
+        cum, freq = chances.cum.take(kind), chances.size.take(kind)
+        ix = np.flatnonzero(c)
+        each, from_ = freq[ix] >> U(_ORDER0), cum[ix]
+        # below 2**28 by below 2**13: the nearest double is never a whole number too high
+        at = chances.rank.take(((v[ix] - from_).astype(np.int64) / each.astype(np.int64)).astype(np.int64))
+        sym[ix] = ids.take(at)
+        cum[ix] = from_ + each * chances.begin.take(at)
+        freq[ix] = each * chances.wide.take(at)
+        size[:] = coder.narrow(lane, low, size, cum, freq, bits)
+        coder.settle(lane, low, size)
+        rare = ix[at == len(chances.ids)]
+        if len(rare):
+            own, span = low[rare], size[rare]
+            last = coder.point(own, span, even)
+            span = coder.narrow(rare, own, span, last, U(1), even)
+            coder.settle(rare, own, span)
+            low[rare], size[rare], sym[rare] = own, span, last
+        out[step, :k] = sym
+        orders.learn(k, sym)
+    return np.ascontiguousarray(out.T).reshape(-1)[: int(sizes.sum())]
+
+
+def encode(ids: np.ndarray, width: int, counted: list[bytes] | None = None) -> list[bytes]:
+    """The coded blocks of BLOCK ids each, the last one with the rest. counted: takes the chances of each LANES blocks, counted from their ids; without it they are coded by even ones."""
     out: list[bytes] = []
-    start, size = _blocks(len(ids))
-    for lo in range(0, len(start), LANES):
-        s, n = start[lo : lo + LANES], size[lo : lo + LANES]
-        coder = Writer(len(s), room=BLOCK * (4 * width + 8) // 32 + 8)
-        _walk(coder, n, width, ids.astype(np.uint32, copy=False), s)
-        out += coder.blocks()
+    ids = ids.astype(np.uint32, copy=False)
+    for lo in range(0, len(ids), LANES * BLOCK):
+        blocks, chances = _encode(ids[lo : lo + LANES * BLOCK], width, Chances.even() if counted is None else None)
+        out += blocks
+        if counted is not None:
+            counted.append(chances.packed())
     return out
 
 
-def decode(data: np.ndarray, ends: np.ndarray, n: int, width: int) -> np.ndarray:
-    """The n ids of coded blocks, which end at these places of data."""
+def decode(data: np.ndarray, ends: np.ndarray, n: int, width: int, counted: list[bytes] | None = None) -> np.ndarray:
+    """The n ids of coded blocks, which end at these places of data. counted: as encode() gave it."""
     out = np.zeros(n, np.uint32)
     start, size = _blocks(n)
     begin = np.append(0, ends)[:-1] // 4 if len(ends) else ends
     words = np.frombuffer(data[: len(data) // 4 * 4].tobytes(), ">u4").astype(np.uint32)
-    for lo in range(0, len(start), LANES):
+    for i, lo in enumerate(range(0, len(start), LANES)):
         s, m = start[lo : lo + LANES], size[lo : lo + LANES]
-        coder = Reader(words, begin[lo : lo + LANES])
-        out[s[0] : s[-1] + m[-1]] = _walk(coder, m, width, None, s - s[0])
+        out[s[0] : s[-1] + m[-1]] = _decode(words, begin[lo : lo + LANES], m, width, Chances.even() if counted is None else Chances.unpacked(counted[i]))
     return out

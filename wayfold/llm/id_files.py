@@ -3,13 +3,14 @@
 Rows are dealt to files by ranges of the id (rows of one id by a hash of their text), as many
 as keep the texts of each to FILE bytes, however large the input is; each task sorts its range, encodes its texts, appends the end id to each and writes one file:
 
-    "WFID1\\n", coded blocks, footer, footer length (8 bytes), crc32 of the footer (4), "WFID1\\n"
+    "WFID2\\n", coded blocks, footer, footer length (8 bytes), crc32 of the footer (4), "WFID2\\n"
 
 A block (see id_coder) is decoded alone; the footer, an Arrow batch of one row, has the end
-and crc32 of each block, the documents' ids and their numbers of ids. A file is written
-whole or not at all, and a retried task writes the same name. Reading goes through Spark's
-own readers, checks every sum and gives back each document's ids and its start, the number
-of ids of all documents before it; of the files only their totals reach the driver.
+and crc32 of each block, the chances that each LANES blocks are coded by, the documents' ids
+and their numbers of ids. A file is written whole or not at all, and a retried task writes the
+same name. Reading goes through Spark's own readers, checks every sum and gives back each
+document's ids and its start, the number of ids of all documents before it; of the files only
+their totals reach the driver.
 
 Nulls: a null text is empty (only the end id); a null id comes first. Repeated rows are
 stored each. An empty table gives no file. Other columns are not read.
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from wayfold.llm import _arrays, _shared, id_coder
 from wayfold.llm._pieces import coder
 
-MARK = b"WFID1\n"
+MARK = b"WFID2\n"
 #: Bytes of texts in a file, on average at most: files are held whole by their tasks.
 FILE = 128 << 20
 
 
-def _file(docs: list, tokens: np.ndarray, blocks: list[bytes], width: int) -> list[bytes]:
+def _file(docs: list, tokens: np.ndarray, blocks: list[bytes], width: int, chances: list[bytes]) -> list[bytes]:
     batch = pa.RecordBatch.from_arrays(
         [
             pa.array([docs], pa.list_(pa.int64())),
@@ -42,8 +43,9 @@ def _file(docs: list, tokens: np.ndarray, blocks: list[bytes], width: int) -> li
             pa.array([np.cumsum([len(b) for b in blocks], dtype=np.int64).tolist()], pa.list_(pa.int64())),
             pa.array([[zlib.crc32(b) for b in blocks]], pa.list_(pa.uint32())),
             pa.array([width], pa.int64()),
+            pa.array([chances], pa.list_(pa.binary())),
         ],
-        ["docs", "tokens", "ends", "sums", "width"],
+        ["docs", "tokens", "ends", "sums", "width", "chances"],
     )
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as f:
@@ -71,7 +73,7 @@ def parse(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         if zlib.crc32(body[begin:end]) != s:
             raise ValueError(f"block {i} is damaged")
         begin = end
-    ids = id_coder.decode(np.frombuffer(body, np.uint8), ends, int(tokens.sum()), row.column(4)[0].as_py())
+    ids = id_coder.decode(np.frombuffer(body, np.uint8), ends, int(tokens.sum()), row.column(4)[0].as_py(), row.column(5)[0].as_py())
     return docs.to_pylist(), tokens, ids
 
 
@@ -88,7 +90,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
     def write_by(c, batches):
         width = id_coder.nibbles(max(c.tokenizer.get_vocab_size(), end))
         part = TaskContext.get().partitionId()
-        names, tokens, blocks, held, size = [], [], [], [], 0
+        names, tokens, blocks, chances, held, size = [], [], [], [], [], 0
         whole = id_coder.BLOCK * id_coder.LANES
 
         for batch in _arrays.slices(batches):
@@ -102,11 +104,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
             size += len(out)
             if size >= whole:
                 every = np.concatenate(held)
-                blocks += id_coder.encode(every[:whole], width)
+                blocks += id_coder.encode(every[:whole], width, chances)
                 held, size = [every[whole:]], size - whole
-        blocks += id_coder.encode(np.concatenate(held) if held else np.zeros(0, np.uint32), width)
+        blocks += id_coder.encode(np.concatenate(held) if held else np.zeros(0, np.uint32), width, chances)
         n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        _shared.write(f"{path}/ids-{part:06d}.wfid", _file(names, n, blocks, width))
+        _shared.write(f"{path}/ids-{part:06d}.wfid", _file(names, n, blocks, width, chances))
         yield pa.RecordBatch.from_pylist([{"file": part, "n_docs": len(names), "n_ids": int(n.sum())}])
 
     dealt = docs.repartitionByRange(files, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
