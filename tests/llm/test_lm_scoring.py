@@ -1,10 +1,13 @@
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from wayfold.llm import _arrays, _shared
 from wayfold.llm.lm_scoring import discounts, fit, score
 
 TEXTS = [
@@ -103,6 +106,29 @@ def test_random_texts_long_texts_and_clashing_columns(spark):
         fit(df, order=4)
 
 
+def test_small_numbers_take_a_byte(tmp_path):
+    x = np.array([0, 3, 254, 255, 256, 70_000, 1 << 40, 7], np.int64)
+    for y in (x, x[:3], x[:0]):
+        _arrays.save_small(f"file://{tmp_path}/{len(y)}", 4, counts=y)
+        got = _arrays.small(f"file://{tmp_path}/{len(y)}", "counts", 4, len(y))
+        assert np.array_equal(got.whole(), y) and np.array_equal(got[np.arange(len(y))[::-1]], y[::-1])
+        assert os.path.getsize(f"{tmp_path}/{len(y)}/counts-4.u1") == len(y)
+
+
+def test_columns_of_pairs_take_a_byte_although_some_counts_are_large(spark):
+    """Six columns of a byte beside the key (seven of up to four bytes before), with the same scores where a context has more than 255 followers."""
+    rows = [(i, f"the w{i % 280}") for i in range(290)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(df)
+    at, n = _shared.fetched(f"{model.path}/pairs"), sum(size for _, size in model.pairs)
+    assert n == 561
+    assert sum(os.path.getsize(f"{at}/{name}") for name in os.listdir(at) if not name.startswith("keys-")) < 6.9 * n
+    p, *_ = brute(rows, 3)
+    for r in score(model, df.where("doc_id in (5, 200, 285)")).collect():
+        w = [0, *tokens(rows[r.doc_id][1])]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w))))
+
+
 def test_nothing_to_learn_from(spark):
     model = fit(spark.createDataFrame([], "doc_id long, text string"))
     got = score(model, spark.createDataFrame(OTHER, "doc_id long, text string")).collect()

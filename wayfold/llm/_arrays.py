@@ -169,15 +169,16 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, held
 
 
-def store(blobs: DataFrame, path: str, n: int, least: int = 1, then: Callable | None = None, schema: str = "bucket long, n long, total long") -> DataFrame:
-    """Merge each bucket, write the keys that occur least times or more with their counts to path, and return a row of the number of keys and the sum of counts of each bucket (or what then(bucket, keys, counts) yields)."""
+def store(blobs: DataFrame, path: str, n: int, least: int = 1, then: Callable | None = None, schema: str = "bucket long, n long, total long", small: bool = False) -> DataFrame:
+    """Merge each bucket, write the keys that occur least times or more with their counts (small: by save_small()) to path, and return a row of the number of keys and the sum of counts of each bucket (or what then(bucket, keys, counts) yields)."""
 
     def merge(batches):
         for i, held in by_bucket(batches):
             k, c = merged([unpack_sorted(r["keys"]) for r in held], [unpack(r["counts"], np.int64) for r in held])
             if least > 1:
                 k, c = k[c >= least], c[c >= least]
-            save(path, i, keys=k, counts=narrow(c))
+            save(path, i, keys=k)
+            save_small(path, i, counts=c) if small else save(path, i, counts=narrow(c))
             if then:
                 yield from then(i, k, c)
             else:
@@ -191,6 +192,36 @@ def save(path: str, i: int, **columns: np.ndarray) -> None:
         _shared.write(f"{path}/{name}-{i}.{x.dtype.str[1:]}", [memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else b""])
 
 
+class Small:
+    """Whole numbers in a byte each, memory-mapped; 255 stands for those that a table of places and values has."""
+
+    def __init__(self, low: np.ndarray, over: np.ndarray):
+        self.low, (self.at, self.over) = low, over.reshape(2, -1)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.over[np.searchsorted(self.at, at[big])]
+        return out
+
+    def whole(self) -> np.ndarray:
+        out = self.low.astype(np.int64)
+        out[self.at] = self.over
+        return out
+
+
+def save_small(path: str, i: int, **columns: np.ndarray) -> None:
+    """Whole numbers from 0 on of which few are 255 or more, to be read by small()."""
+    for name, x in columns.items():
+        at = np.flatnonzero(x >= 255)
+        save(path, i, **{name: np.minimum(x, 255).astype(np.uint8), f"{name}_over": np.concatenate([at, x[at].astype(np.int64)])})
+
+
+def small(path: str, name: str, i: int, n: int) -> Small:
+    return Small(mapped(path, name, i, "u1", n), whole(path, f"{name}_over", i, ("i8",)))
+
+
 def mapped(path: str, name: str, i: int, dtype: str, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype)
@@ -210,21 +241,23 @@ def whole(path: str, name: str, i: int, dtypes: tuple[str, ...]) -> np.ndarray:
 
 
 class Arrays:
-    """The arrays of a store, memory-mapped bucket by bucket as they are needed. sizes: bucket -> number of keys."""
+    """The arrays of a store, memory-mapped bucket by bucket as they are needed. sizes: bucket -> number of keys; small: columns of save_small()."""
 
-    def __init__(self, path: str, n: int, sizes: tuple[tuple[int, int], ...]):
-        self.path, self.n = path, n
+    def __init__(self, path: str, n: int, sizes: tuple[tuple[int, int], ...], small: tuple[str, ...] = ()):
+        self.path, self.n, self.small = path, n, small
         self.sizes = np.zeros(1 << n, np.int64)
         for i, size in sizes:
             self.sizes[i] = size
         self.base = np.cumsum(self.sizes) - self.sizes
-        self.open: dict[tuple[str, int], np.ndarray] = {}
+        self.open: dict[tuple[str, int], np.ndarray | Small] = {}
 
     def bucket_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.base + self.sizes, place, "right")
 
-    def column(self, name: str, i: int, dtypes: tuple[str, ...] | None = None) -> np.ndarray:
+    def column(self, name: str, i: int, dtypes: tuple[str, ...] | None = None) -> np.ndarray | Small:
         dtypes = dtypes or (("u8",) if name == "keys" else WHOLE)
+        if (name, i) not in self.open and name in self.small:
+            self.open[name, i] = small(self.path, name, i, int(self.sizes[i]))
         if (name, i) not in self.open:
             for d in dtypes:
                 try:
@@ -254,9 +287,9 @@ class Arrays:
 
 
 @lru_cache(maxsize=4)
-def arrays(path: str, n: int, sizes: tuple[tuple[int, int], ...]) -> Arrays:
+def arrays(path: str, n: int, sizes: tuple[tuple[int, int], ...], small: tuple[str, ...] = ()) -> Arrays:
     """A task's open store."""
-    return Arrays(path, n, sizes)
+    return Arrays(path, n, sizes, small)
 
 
 def sizes(stats: DataFrame) -> tuple[tuple[int, int], ...]:

@@ -44,6 +44,11 @@ END = constants(2, 909)[0]
 
 #: n-grams a map task holds before it sends them.
 HELD = 2_000_000
+#: Columns of words and of pairs that are a byte a key but for few.
+OF_WORDS = ("total", "n1", "n2", "n3", "before")
+OF_PAIRS = ("counts", "adjusted", "n1", "n2", "n3", "after")
+#: Pairs (a power of 2) whose first followers are counted from one place.
+GROUP = 5
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -121,7 +126,7 @@ class Model:
     free1: float
 
     def stores(self) -> tuple[_arrays.Arrays, _arrays.Arrays]:
-        return _arrays.arrays(f"{self.path}/words", self.bits, self.words), _arrays.arrays(f"{self.path}/pairs", self.bits, self.pairs)
+        return _arrays.arrays(f"{self.path}/words", self.bits, self.words, OF_WORDS), _arrays.arrays(f"{self.path}/pairs", self.bits, self.pairs, OF_PAIRS)
 
 
 def _pair_keys(ids: np.ndarray, first: np.ndarray, v: int) -> np.ndarray:
@@ -164,7 +169,7 @@ def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         store = _arrays.arrays(f"{path}/words", n, sizes)
         yield from _sent(((None, _pair_keys(*ids(store, batch), v)) for batch in _arrays.slices(batches)), n)
 
-    pairs = _arrays.sizes(_arrays.store(_arrays.run(texts, count_pairs, _arrays.BLOBS), f"{path}/pairs", n))
+    pairs = _arrays.sizes(_arrays.store(_arrays.run(texts, count_pairs, _arrays.BLOBS), f"{path}/pairs", n, small=True))
     _shared.tidy(spark)
     own = (_triples(texts, ids, path, n, sizes, pairs, v),) if order == 3 else ()
     _shared.tidy(spark)
@@ -176,13 +181,14 @@ def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 def _triples(texts: DataFrame, ids: Callable, path: str, n: int, sizes: tuple, pairs: tuple, v: int) -> tuple[float, float, float]:
     """Count triples, save them and their sums beside the pairs that are their contexts, and save what each pair counts for at order 2 ("adjusted"); returns their discounts.
 
-    followers: the last words of each context's triples, in order, and their counts; first, total, n1, n2 and n3: where a
-    pair's begin, their sum, and how many have count 1, 2, 3 or more.
+    followers: the last words of each context's triples, in order, and their counts; begin and after: where those of each
+    2**GROUP pairs begin, and each pair's after that; n1, n2 and n3: how many have count 1, 2, 3 or more. Their sum is the
+    pair's own count, as a word follows it each time (the end mark is no context).
     """
     spark = texts.sparkSession
 
     def count(batches):
-        store, pair_store = _arrays.arrays(f"{path}/words", n, sizes), _arrays.arrays(f"{path}/pairs", n, pairs)
+        store, pair_store = _arrays.arrays(f"{path}/words", n, sizes), _arrays.arrays(f"{path}/pairs", n, pairs, OF_PAIRS)
 
         def found():
             for batch in _arrays.slices(batches):
@@ -199,7 +205,7 @@ def _triples(texts: DataFrame, ids: Callable, path: str, n: int, sizes: tuple, p
         yield from _sent(found(), n)
 
     def merge(batches):
-        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs)
+        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs, OF_PAIRS)
         for i, held in _arrays.by_bucket(batches):
             size = int(pair_store.sizes[i])
             if not size:
@@ -207,28 +213,30 @@ def _triples(texts: DataFrame, ids: Callable, path: str, n: int, sizes: tuple, p
             k, c = _arrays.merged([_arrays.unpack_sorted(r["keys"]) for r in held], [_arrays.unpack(r["counts"], np.int64) for r in held])
             context, w = (k // U(v + 1)).astype(np.int64), k % U(v + 1)
             at = np.flatnonzero(np.diff(context, prepend=-1))
-            columns = [np.zeros(size, np.int64) for _ in range(4)]
-            for column, x in zip(columns, _context_sums(c, at), strict=True):
+            columns = [np.zeros(size, np.int64) for _ in range(3)]
+            for column, x in zip(columns, _context_sums(c, at)[1:], strict=True):
                 column[context[at]] = x
-            total, n1, n2, n3 = map(_arrays.narrow, columns)
-            _arrays.save(f"{path}/pairs", i, first=_arrays.narrow(np.searchsorted(context, np.arange(size))), total=total, n1=n1, n2=n2, n3=n3)
-            _arrays.save(f"{path}/triples", i, followers=w.astype(np.uint32), counts=_arrays.narrow(c))
+            first = np.searchsorted(context, np.arange(size))
+            begin = first[:: 1 << GROUP]
+            _arrays.save(f"{path}/triples", i, followers=w.astype(np.uint32), begin=_arrays.narrow(begin))
+            _arrays.save_small(f"{path}/triples", i, counts=c)
+            _arrays.save_small(f"{path}/pairs", i, after=first - np.repeat(begin, 1 << GROUP)[:size], **dict(zip(("n1", "n2", "n3"), columns, strict=True)))
             yield pa.RecordBatch.from_pylist([{"bucket": -1 - i, "keys": None, "counts": None, "stats": _counts_of(c)}], schema=arrow)
             last = pair_store.column("keys", i)[context] % U(v + 1) * U(v + 1) + w
             blobs = _arrays.rows(*_arrays.counted(last), n)
             yield pa.RecordBatch.from_arrays([*blobs.columns, pa.nulls(blobs.num_rows, arrow.field("stats").type)], schema=arrow)
 
     def adjust(batches):
-        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs)
+        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs, OF_PAIRS)
         for i, held in _arrays.by_bucket(batches):
             if i < 0:
                 yield pa.RecordBatch.from_pylist([{"stats": r["stats"]} for r in held], schema=pa.schema([arrow.field("stats")]))
             elif pair_store.sizes[i]:
                 keys = pair_store.column("keys", i)
-                out = np.where(keys // U(v + 1) == U(v), pair_store.column("counts", i).astype(np.int64), 0)
+                out = np.where(keys // U(v + 1) == U(v), pair_store.column("counts", i).whole(), 0)
                 for r in held:
                     out[np.searchsorted(keys, _arrays.unpack_sorted(r["keys"]))] += _arrays.unpack(r["counts"], np.int64)
-                _arrays.save(f"{path}/pairs", i, adjusted=_arrays.narrow(out))
+                _arrays.save_small(f"{path}/pairs", i, adjusted=out)
 
     arrow = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
     # every bucket gets a row, so that each is saved
@@ -248,11 +256,11 @@ def _lower(spark, path: str, n: int, sizes: tuple, pairs: tuple, v: int, column:
     bounds = np.concatenate([[0], np.cumsum(bounds)])
 
     def sums(batches):
-        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs)
+        pair_store = _arrays.arrays(f"{path}/pairs", n, pairs, OF_PAIRS)
         for i in (x for batch in batches for x in batch.column("id").to_pylist()):
             if not pair_store.sizes[i]:
                 continue
-            keys, counts = pair_store.column("keys", i), pair_store.column(column, i)
+            keys, counts = pair_store.column("keys", i), pair_store.column(column, i).whole()
             u = (keys // U(v + 1)).astype(np.int64)
             at = np.flatnonzero(np.diff(u, prepend=-1))
             uniq, own = u[at], _context_sums(counts, at)
@@ -282,7 +290,7 @@ def _lower(spark, path: str, n: int, sizes: tuple, pairs: tuple, v: int, column:
                 for to, k in zip((total, n1, n2, n3), x, strict=True):
                     to[u] += k
                 before[_arrays.unpack_sorted(r["v"]).astype(np.int64)] += _arrays.unpack(r["c"], np.int64)
-            _arrays.save(f"{path}/words", i, **{name: _arrays.narrow(x) for name, x in (("total", total), ("n1", n1), ("n2", n2), ("n3", n3), ("before", before))})
+            _arrays.save_small(f"{path}/words", i, total=total, n1=n1, n2=n2, n3=n3, before=before)
             yield pa.RecordBatch.from_pylist([{"stats": [*_counts_of(before), int((before >= 3).sum()), int(before.sum())]}])
 
     got = _arrays.run(shares.where("bucket >= 0").repartition(1 << n, "bucket").sortWithinPartitions("bucket"), gather, "stats array<long>").collect()
@@ -303,8 +311,8 @@ def _interpolated(count: np.ndarray, sums: list[np.ndarray], d: np.ndarray, lowe
     return np.where(sums[0] > 0, p, lower)
 
 
-def _follower_counts(model: Model, store: _arrays.Arrays, context: np.ndarray, first: np.ndarray, kinds: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """How often each word follows a context (a pair's place, -1 for none), found by halving its range of followers."""
+def _follower_counts(model: Model, store: _arrays.Arrays, context: np.ndarray, kinds: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How often each word follows a context (a pair's place, -1 for none; kinds: its number of followers), found by halving its range of followers."""
     out = np.zeros(len(w), np.int64)
     order = np.flatnonzero((context >= 0) & (kinds > 0))
     order = order[np.argsort(context[order], kind="stable")]
@@ -312,8 +320,10 @@ def _follower_counts(model: Model, store: _arrays.Arrays, context: np.ndarray, f
     ends = np.searchsorted(b, np.arange((1 << model.bits) + 1))
     for i in np.flatnonzero(np.diff(ends)).tolist():
         at = order[ends[i] : ends[i + 1]]
-        followers, counts = (_arrays.whole(f"{model.path}/triples", name, i, kind) for name, kind in (("followers", ("u4",)), ("counts", _arrays.WHOLE)))
-        lo, hi, x = first[at].copy(), (first + kinds)[at], w[at]
+        followers, begin = (_arrays.whole(f"{model.path}/triples", name, i, kind) for name, kind in (("followers", ("u4",)), ("begin", _arrays.WHOLE)))
+        pair = context[at] - store.base[i]
+        lo = begin[pair >> GROUP] + store.column("after", i)[pair]
+        hi, x = lo + kinds[at], w[at]
         end = hi.copy()
         todo = np.arange(len(at))
         while len(todo):
@@ -324,7 +334,7 @@ def _follower_counts(model: Model, store: _arrays.Arrays, context: np.ndarray, f
             todo = todo[lo[todo] < hi[todo]]
         there = np.flatnonzero(lo < end)
         there = there[followers[lo[there]] == x[there]]
-        out[at[there]] = counts[lo[there]]
+        out[at[there]] = _arrays.small(f"{model.path}/triples", "counts", i, len(followers))[lo[there]]
     return out
 
 
@@ -356,12 +366,12 @@ def score(model: Model, docs: DataFrame, id: str = "doc_id", text: str = "text")
                 out[seen] = x[at]  # noqa: B023
                 return out
 
-            names = ("adjusted", "first", "total", "n1", "n2", "n3") if m.order == 3 else ("counts",)
+            names = ("adjusted", "counts", "n1", "n2", "n3") if m.order == 3 else ("counts",)
             pair, number, *rest = (full(x, -1 if k == 0 else 0) for k, x in enumerate(pair_store.find(pairs, *names)))
             p = _interpolated(number, [_before(x, first, s) for x, s in zip((total, n1, n2, n3), m.start, strict=True)], d[1], p)
             if m.order == 3:
-                begin, *sums = (_before(x, first, 0) for x in rest)
-                number = _follower_counts(m, pair_store, np.where(place >= 0, _before(pair, first, -1), -1), begin, sums[1] + sums[2] + sums[3], place)
+                sums = [_before(x, first, 0) for x in rest]
+                number = _follower_counts(m, pair_store, np.where(place >= 0, _before(pair, first, -1), -1), sums[1] + sums[2] + sums[3], place)
                 p = _interpolated(number, sums, d[2], p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(np.diff(first)), pa.array(sum_by(first, (count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, m.tokens)), pa.array(sum_by(first, base)), pa.array(sum_by(first, np.log10(p)))],
