@@ -1,5 +1,6 @@
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -68,6 +69,16 @@ def test_counted_chances_round_trip(top, monkeypatch):
             assert np.array_equal(id_coder.decode(np.frombuffer(blocks[i], np.uint8), np.array([len(blocks[i])]), len(part), width, counted[i // 5 :][:1]), part)
 
 
+def test_bytes_of_files_written_before(monkeypatch):
+    """Blocks are those of WFID2 files that are there already."""
+    monkeypatch.setattr(id_coder, "BLOCK", 300)
+    monkeypatch.setattr(id_coder, "LANES", 5)
+    x = (np.arange(6000, dtype=np.uint64) ** 2 * 7919 >> np.uint64(5)) % np.uint64(50257)
+    ids = np.where(np.arange(6000) % 3 > 0, x % np.uint64(40), x).astype(np.uint32)
+    assert zlib.crc32(b"".join(id_coder.encode(ids, 4, []))) == 1836131946
+    assert zlib.crc32(b"".join(id_coder.encode(ids, 4))) == 558471860
+
+
 def _cpu(f) -> float:
     """CPU seconds of f's fastest of three runs."""
     took = []

@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayfold.llm import _pieces, _text
-from wayfold.llm._pieces import Coder, parts, pretokens, strings
+from wayfold.llm import _arrays, _pieces, _text
+from wayfold.llm._pieces import Coder, coder, parts, pretokens, strings
 from wayfold.llm.token_counts import token_counts
 
 P = pytest.importorskip("public_tokenizers")
@@ -41,6 +41,48 @@ def test_long_texts_are_cut_where_pretokens_start(name, rule, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [x.ids for x in c.tokenizer.encode_batch(some, add_special_tokens=False)]
 
 
+def test_tables_last_for_a_stage_that_keeps_them(spark):
+    """A worker's next task of the stage knows what the last one met; no other stage finds it."""
+    path = P.path("byte_bpe_50k.json")
+
+    def known(keep):
+        def f(batches):
+            with coder(path, "byte", keep=keep) as c:
+                before = c.known
+                for b in batches:
+                    c.encode(b.column("text"))
+                yield pa.RecordBatch.from_pydict({"before": [before], "after": [c.known]})
+
+        df = spark.range(0, 400, 1, 40).selectExpr("concat('some words and number ', id % 10) AS text")
+        return [tuple(r) for r in _arrays.run(df, f, "before long, after long", keep=keep).collect()]
+
+    assert {a for a, _ in known(False)} == {0}
+    again = known(True)
+    assert {b for _, b in again} == {b for _, b in known(False)} and 14 in {a for a, _ in again}
+    assert {a for a, _ in known(False)} == {0}
+
+
+def test_tables_of_a_failed_task_are_dropped():
+    path = P.path("byte_bpe_50k.json")
+    with coder(path, "byte", keep=True) as c:
+        c.encode(pa.array(["some words"]))
+    with pytest.raises(KeyError), coder(path, "byte", keep=True) as c:
+        assert c.known == 2
+        raise KeyError
+    with coder(path, "byte", keep=True) as c:
+        assert c.known == 0
+    _pieces.forget()
+
+
+def test_pretokens_are_looked_up_once(monkeypatch):
+    c, calls, find = Coder(P.path("byte_bpe_50k.json"), "byte"), [], Coder.find
+    monkeypatch.setattr(Coder, "find", lambda self, h: calls.append(len(h)) or find(self, h))
+    for _ in range(2):
+        ids, _ = c.encode(pa.array(["new words, new words"]))
+        assert ids.tolist() == c.tokenizer.encode("new words, new words", add_special_tokens=False).ids
+    assert calls == [5, 5]
+
+
 def test_pretokens_equal_the_librarys_cut():
     c = Coder(P.path("byte_bpe_50k.json"), "byte")
     for t in texts(500, 9):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm import _shared
+from wayfold.llm import _pieces, _shared
 from wayfold.llm._text import U, cut, flat, mix, release, resident
 
 #: Bytes of text that a map function takes at a time.
@@ -36,10 +36,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
                 yield batch.slice(lo, hi - lo)
 
 
-def run(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema); when a task ends, its worker closes its stores and gives all memory back, for it is kept for tasks of other stages."""
+def run(df: DataFrame, f: Callable, schema: str, keep: bool = False) -> DataFrame:
+    """df.mapInArrow(f, schema); when a task ends, its worker closes its stores and gives all memory back, for it is kept for tasks of other stages. keep: but for the tables of pre-tokens, which the first task of another stage drops."""
 
     def task(batches):
+        if not keep:
+            _pieces.forget()
         try:
             yield from f(batches)
         finally:

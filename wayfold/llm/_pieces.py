@@ -175,16 +175,18 @@ class Coder:
             at += len(x)
         return np.array(ids, np.uint32), np.array(size, np.int64)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """keys: sorted, none known. A level is merged into the one before it when it has grown to a quarter of it."""
+    def learn(self, keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """keys: sorted, none known. Where the ids of each start, and how many they are. A level is merged into the one before it when it has grown to a quarter of it."""
         new, size = self.pieces(texts)
-        self.levels.append((Index(keys), len(self.ids) + np.cumsum(size) - size, size))
+        from_ = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, new])
+        self.levels.append((Index(keys), from_, size))
         while len(self.levels) > 1 and 4 * len(self.levels[-1][0].keys) > len(self.levels[-2][0].keys):
             (a, *x), (b, *y) = self.levels[-2:]
             keys = np.concatenate([a.keys, b.keys])
             order = np.argsort(keys, kind="stable")
             self.levels[-2:] = [(Index(keys[order]), *(np.concatenate(z)[order] for z in zip(x, y, strict=True)))]
+        return from_, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), and each text's range of them."""
@@ -220,13 +222,14 @@ class Coder:
             from_, size = self.find(h)
             missing = np.flatnonzero(size < 0)
             if len(missing):
-                new, where = np.unique(h[missing], return_index=True)
-                pick = missing[where]
+                new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
                 if self.levels and self.known + len(new) > KEPT:
                     self.reset()
-                    new, pick = np.unique(h, return_index=True)
-                self.learn(new, strings(cp, s[pick], e[pick]))
-                from_, size = self.find(h)
+                    missing = np.arange(len(h))
+                    new, where, back = np.unique(h, return_index=True, return_inverse=True)
+                pick = missing[where]
+                f, n = self.learn(new, strings(cp, s[pick], e[pick]))
+                from_[missing], size[missing] = f[back], n[back]
             run = np.cumsum(size)
             total = int(run[-1]) if len(run) else 0
             ids = self.ids[np.repeat(from_ - run + size, size) + np.arange(total)]
@@ -252,11 +255,24 @@ def byte_letters() -> np.ndarray:
     return out
 
 
+#: A worker's tables for its next task of a stage that asks for them.
+_KEPT: dict[tuple[str, str], Coder] = {}
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
 @contextlib.contextmanager
-def coder(path: str, rule: str):
-    """A task's coder; its tables are freed with the task, so that a reused worker keeps nothing of them."""
-    c = Coder(path, rule)
+def coder(path: str, rule: str, keep: bool = False):
+    """A task's coder; its tables are freed with the task, so that a reused worker keeps nothing of them. keep: a worker's next task of the stage has them too (see _arrays.run), as most of its pre-tokens were met before."""
+    c = _KEPT.pop((path, rule), None) or Coder(path, rule)
+    whole = False
     try:
         yield c
+        whole = True
     finally:
-        c.reset()
+        if keep and whole:
+            _KEPT[path, rule] = c
+        else:
+            c.reset()

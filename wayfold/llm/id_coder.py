@@ -15,8 +15,9 @@ is of integers, but for a quotient that doubles give exactly, so every machine d
 another wrote.
 
 The blocks of a call are coded in lockstep by numpy: one step codes the next id of each, in
-some 40 array operations. The range coder works in 64 bits and puts out 32-bit words; carries
-are added up when a block ends.
+some 40 array operations. Most are of 32 bits and go through all blocks without picking any, as
+picked places cost several times as much; what a step looks up lies side by side in one word.
+The range coder works in 64 bits and puts out 32-bit words; carries are added up when a block ends.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ _BITS = _FIRST + _ORDER0
 _OWN = 1 << 14
 _WORD, _LOW = U(1 << 32), U((1 << 32) - 1)
 _32 = U(32)
-_RUN = np.uint32(24)
+#: A run of 0: never met; then 1 more than it was right in a row, 7 at most.
+_RUN, _ONE, _MOST = np.uint32(24), np.uint32(1 << 24), np.uint32(6)
 _ID = np.uint32((1 << 24) - 1)
-#: A run of 0: never met; then 1 more than it was right in a row, 7 at most. The next run, moved to its bits: after a miss, after a hit.
-_NEXT = np.array([1] * 8 + [1, 2, 3, 4, 5, 6, 7, 7], np.uint32) << _RUN
+#: A half of a word, what is in the lower one, and a whole order 0: from 0 on, of 2**_ORDER0 (less 1, as in Chances.place).
+_HALF, _LOWER, _ALL = np.uint32(16), np.uint32((1 << 16) - 1), np.uint32((1 << _ORDER0) - 1)
 #: Chance that a prediction of each run is right, where nothing was counted.
 _CHANCE = np.array([0.001, 0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.92])
 
@@ -56,21 +58,21 @@ class Writer:
         self.lanes, self.low, self.range = lanes, np.zeros(lanes, U), np.full(lanes, ~U(0))
         self.out, self.at = np.zeros(room * lanes, U), np.zeros(lanes, np.int64)
 
-    def narrow(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
-        """Moves low (of lanes ix) in place and returns the new range."""
+    def narrow(self, ix: np.ndarray | None, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
+        """Moves low (of lanes ix, of the first ones if None) in place and returns the new range."""
         unit = size >> bits
         add = cum * unit
         low += add
         over = np.flatnonzero(low < add)
         if len(over):  # a carry goes into the last word
-            over = ix[over]
+            over = over if ix is None else ix[over]
             self.out[(self.at[over] - 1) * self.lanes + over] += U(1)
         return freq * unit
 
-    def settle(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+    def settle(self, ix: np.ndarray | None, low: np.ndarray, size: np.ndarray) -> None:
         go = np.flatnonzero(size < _WORD)
         if len(go):
-            lane, l = ix[go], low[go]
+            lane, l = go if ix is None else ix[go], low[go]
             at = self.at[lane]
             self.out[at * self.lanes + lane] = l >> _32
             self.at[lane] = at + 1
@@ -105,15 +107,15 @@ class Reader:
         """Where the code points, below 2**bits."""
         return np.minimum(low // (size >> bits), (U(1) << bits) - U(1))
 
-    def narrow(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
+    def narrow(self, ix: np.ndarray | None, low: np.ndarray, size: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits) -> np.ndarray:
         unit = size >> bits
         low -= cum * unit
         return freq * unit
 
-    def settle(self, ix: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+    def settle(self, ix: np.ndarray | None, low: np.ndarray, size: np.ndarray) -> None:
         go = np.flatnonzero(size < _WORD)
         if len(go):
-            lane = ix[go]
+            lane = go if ix is None else ix[go]
             at = self.at[lane]
             low[go] = low[go] << _32 | self._next(at)
             size[go] <<= _32
@@ -146,12 +148,12 @@ class Chances:
 
     @classmethod
     def counted(cls, kinds: np.ndarray, rest: np.ndarray) -> Chances:
-        """kinds: row of first * 3 + which was right; rest: the ids where neither was."""
+        """kinds: row of first * 4 + which was right; rest: the ids where neither was."""
         ids, n = _arrays.counted(rest)
         often = np.flatnonzero(n << (_ORDER0 + 1) >= len(rest))
         often = np.sort(often[np.argsort(-n[often], kind="stable")[:_OWN]])
         freq = _shares(np.append(n[often], len(rest) - n[often].sum())[None], 1 << _ORDER0)[0]
-        return cls(_shares(np.bincount(kinds, minlength=384).reshape(128, 3), 1 << _FIRST), ids[often].astype(np.uint32), freq)
+        return cls(_shares(np.bincount(kinds, minlength=512).reshape(128, 4)[:, :3], 1 << _FIRST), ids[often].astype(np.uint32), freq)
 
     def packed(self) -> bytes:
         parts = [_arrays.pack(self.first.astype(np.uint16)), _arrays.pack(np.diff(self.ids, prepend=np.uint32(0))), _arrays.pack(self.freq.astype(np.uint32))]
@@ -167,27 +169,27 @@ class Chances:
         return cls(got[0].astype(np.int64).reshape(128, 3), np.cumsum(got[1], dtype=np.uint32), got[2].astype(np.int64))
 
     @cached_property
-    def cum(self) -> np.ndarray:
-        """Where "order 2", "order 1" and "neither" begin, and their frequencies, of 2**_BITS; by kind."""
-        return ((np.cumsum(self.first, 1) - self.first).astype(U) << U(_ORDER0)).reshape(-1)
+    def kind(self) -> np.ndarray:
+        """Of each kind (row of first * 4 + which was right): where it begins, of 2**_FIRST, in the upper half, its frequency in the lower."""
+        out = np.zeros((128, 4), np.uint32)
+        out[:, :3] = (np.cumsum(self.first, 1) - self.first) << 16 | self.first
+        return out.reshape(-1)
 
     @cached_property
-    def size(self) -> np.ndarray:
-        return (self.first.astype(U) << U(_ORDER0)).reshape(-1)
+    def bounds(self) -> np.ndarray:
+        """Of each row of first: where "neither" begins in the upper half, where "order 1" does in the lower."""
+        return ((self.first[:, 0] + self.first[:, 1]) << 16 | self.first[:, 0]).astype(np.uint32)
 
     @cached_property
-    def begin(self) -> np.ndarray:
-        return (np.cumsum(self.freq) - self.freq).astype(U)
+    def place(self) -> np.ndarray:
+        """Of each id with a frequency of its own, then of all others: where it begins in the upper half, its frequency less 1 in the lower."""
+        return ((np.cumsum(self.freq) - self.freq) << 16 | self.freq - 1).astype(np.uint32)
 
     @cached_property
-    def wide(self) -> np.ndarray:
-        return self.freq.astype(U)
-
-    @cached_property
-    def number(self) -> np.ndarray:
-        """The number of each id up to the largest, and of one above; those without a frequency of their own have the last."""
-        out = np.full(int(self.ids[-1]) + 2 if len(self.ids) else 1, len(self.ids), np.uint16)
-        out[self.ids] = np.arange(len(self.ids))
+    def by_id(self) -> np.ndarray:
+        """The place of each id up to the largest, and of one above; those without a frequency of their own have the last."""
+        out = np.full(int(self.ids[-1]) + 2 if len(self.ids) else 1, self.place[-1], np.uint32)
+        out[self.ids] = self.place[:-1]
         return out
 
     @cached_property
@@ -212,7 +214,7 @@ class Orders:
         np.bitwise_and(h + p2 * np.uint32(30011) + (p2 >> np.uint32(5)), last, out=slots[0])
         np.bitwise_and(h + (p1 >> np.uint32(7)), last, out=slots[1])
         self.slots = self.base[:, :k] + slots
-        met = self.table.take(self.slots)
+        met = self.table.take(self.slots, mode="clip")  # spares a check
         self.ids, self.runs = met & _ID, met >> _RUN
         row = self.runs[0] << np.uint32(3)
         row += self.runs[1]
@@ -222,7 +224,10 @@ class Orders:
     def learn(self, k: int, ids: np.ndarray) -> np.ndarray:
         """ids came; returns which orders had foreseen them."""
         hits = self.ids == ids
-        new = _NEXT.take(self.runs + hits * np.uint32(8))
+        new = np.minimum(self.runs, _MOST)
+        new *= hits
+        new <<= _RUN
+        new += _ONE
         new |= ids
         self.table[self.slots] = new
         self.p2, self.p1 = self.p1, ids
@@ -252,27 +257,34 @@ def _encode(ids: np.ndarray, width: int, chances: Chances | None) -> tuple[list[
     ks = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()  # blocks longer than each step
     for step, k in enumerate(ks):
         row = orders.guess(k)
-        two, one = orders.learn(k, of[step, :k])
-        np.add(row * np.uint32(3), np.where(two, np.uint32(0), np.uint32(2) - one), out=kinds[step, :k], casting="unsafe")
+        two, one = ~orders.learn(k, of[step, :k])
+        row <<= np.uint32(2)
+        row += two.view(np.uint8) << one.view(np.uint8)
+        kinds[step, :k] = row
     short = int(sizes[-1])
     if chances is None:
-        own = np.ones(of.shape, bool)
-        own[short:, -1] = False
-        some = kinds[own]
-        chances = Chances.counted(some, of[own][some % np.uint16(3) == 2])
+        full = lanes - (short < steps)
+        some, came = kinds[:, :full].reshape(-1), of[:, :full].reshape(-1)
+        if full < lanes:
+            some, came = np.append(some, kinds[:short, -1]), np.append(came, of[:short, -1])
+        chances = Chances.counted(some, came[(some & np.uint16(2)).view(np.int16).astype(bool)])
+        del some, came
     coder = Writer(lanes, room=steps * (4 * width + _BITS) // 32 + 8)
-    lane, bits, even, top = np.arange(lanes), U(_BITS), U(4 * width), np.uint32(len(chances.number) - 1)
+    bits, even, others = U(_BITS), U(4 * width), chances.place[-1]
     for step, k in enumerate(ks):
         low, size, kind, x = coder.low[:k], coder.range[:k], kinds[step, :k], of[step, :k]
-        cum, freq = chances.cum.take(kind), chances.size.take(kind)
-        ix = np.flatnonzero(kind % np.uint16(3) == 2)
-        at = chances.number.take(np.minimum(x[ix], top))
-        each = freq[ix] >> U(_ORDER0)
-        cum[ix] += each * chances.begin.take(at)
-        freq[ix] = each * chances.wide.take(at)
-        size[:] = coder.narrow(lane, low, size, cum, freq, bits)
-        coder.settle(lane, low, size)
-        rare = ix[at == len(chances.ids)]
+        first, known = chances.kind.take(kind, mode="clip"), (kind & np.uint16(2)) == 0
+        place = chances.by_id.take(x, mode="clip")
+        rare = place == others
+        rare &= ~known
+        np.copyto(place, _ALL, where=known)
+        each = first & _LOWER
+        first -= each
+        first += each * (place >> _HALF)
+        each *= (place & _LOWER) + np.uint32(1)
+        size[:] = coder.narrow(None, low, size, first.astype(U), each.astype(U), bits)
+        coder.settle(None, low, size)
+        rare = np.flatnonzero(rare)
         if len(rare):
             own, span = low[rare], size[rare]
             span = coder.narrow(rare, own, span, x[rare].astype(U), U(1), even)
@@ -284,28 +296,29 @@ def _encode(ids: np.ndarray, width: int, chances: Chances | None) -> tuple[list[
 def _decode(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int, chances: Chances) -> np.ndarray:
     """The ids of blocks of these sizes, the longest first."""
     lanes, steps = len(sizes), int(sizes[0])
-    coder, orders, lane = Reader(words, begin), Orders(lanes), np.arange(lanes)
+    coder, orders = Reader(words, begin), Orders(lanes)
     out = np.zeros((steps, lanes), np.uint32)
-    bits, even, ids = U(_BITS), U(4 * width), np.append(chances.ids, np.uint32(0))
+    bits, even, ids, end = U(_BITS), U(4 * width), np.append(chances.ids, np.uint32(0)), np.uint32(1 << _BITS)
     for step, k in enumerate(np.searchsorted(-sizes, -np.arange(steps), "left").tolist()):
         low, size = coder.low[:k], coder.range[:k]
-        kind = orders.guess(k) * np.uint32(3)
-        v = coder.point(low, size, bits)
-        a, c = v >= chances.cum.take(kind + np.uint32(1)), v >= chances.cum.take(kind + np.uint32(2))
-        sym = np.where(a, orders.ids[1], orders.ids[0])
-        kind += a
-        kind += c
-        cum, freq = chances.cum.take(kind), chances.size.take(kind)
-        ix = np.flatnonzero(c)
-        each, from_ = freq[ix] >> U(_ORDER0), cum[ix]
+        both = chances.bounds.take(orders.guess(k), mode="clip")
+        v = coder.point(low, size, bits).astype(np.uint32)
+        neither, one = both & ~_LOWER, both << _HALF
+        a, c = v >= one, v >= neither
         # below 2**28 by below 2**13: the nearest double is never a whole number too high
-        at = chances.rank.take(((v[ix] - from_).astype(np.int64) / each.astype(np.int64)).astype(np.int64))
-        sym[ix] = ids.take(at)
-        cum[ix] = from_ + each * chances.begin.take(at)
-        freq[ix] = each * chances.wide.take(at)
-        size[:] = coder.narrow(lane, low, size, cum, freq, bits)
-        coder.settle(lane, low, size)
-        rare = ix[at == len(chances.ids)]
+        each = (end - neither) >> _HALF
+        at = chances.rank.take((((v - neither) * c).view(np.int32) / each.view(np.int32)).astype(np.int64), mode="clip")
+        place = chances.place.take(at, mode="clip")
+        cum, freq, sym = one * a, one, orders.ids[0].copy()
+        np.copyto(freq, neither, where=a)
+        freq -= cum
+        np.copyto(cum, neither + each * (place >> _HALF), where=c)
+        np.copyto(freq, each * ((place & _LOWER) + np.uint32(1)), where=c)
+        np.copyto(sym, orders.ids[1], where=a)
+        np.copyto(sym, ids.take(at, mode="clip"), where=c)
+        size[:] = coder.narrow(None, low, size, cum.astype(U), freq.astype(U), bits)
+        coder.settle(None, low, size)
+        rare = np.flatnonzero((at == len(chances.ids)) & c)
         if len(rare):
             own, span = low[rare], size[rare]
             last = coder.point(own, span, even)

@@ -84,7 +84,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
 
     def write(batches):
-        with coder(tokenizer, rule) as c:
+        with coder(tokenizer, rule, keep=True) as c:
             yield from write_by(c, batches)
 
     def write_by(c, batches):
@@ -112,7 +112,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, rule: st
         yield pa.RecordBatch.from_pylist([{"file": part, "n_docs": len(names), "n_ids": int(n.sum())}])
 
     dealt = docs.repartitionByRange(files, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return _arrays.run(dealt, write, "file long, n_docs long, n_ids long")
+    return _arrays.run(dealt, write, "file long, n_docs long, n_ids long", keep=True)
 
 
 def read_ids(spark: SparkSession, path: str, totals: list[tuple[int, int]], id: str = "doc_id") -> DataFrame:
